@@ -12,9 +12,6 @@ _ISO_SHAPE = (
     r"^(?!0000)\d{4}-\d{2}-\d{2}"
     r"([T ]\d{2}(:\d{2}(:\d{2}(\.\d+)?)?)?(Z|[+-]\d{2}(:?\d{2})?)?)?$"
 )
-_HAS_ZONE = r"^.{10}[T ].*(Z|[+-]\d{2}(:?\d{2})?)$"
-_HOUR_ONLY = r"^(.{10}[T ]\d{2})(Z|[+-].*)$"
-_MINUTE_ONLY = r"^(.{10}[T ]\d{2}:\d{2})(Z|[+-].*)$"
 
 
 def _epoch() -> Column:
@@ -38,10 +35,25 @@ def parse_iso(text: Column) -> Column:
     hour-precision times with a zone, so the shape is checked and missing parts
     are filled in before it.
     """
-    timed = F.when(F.length(text) == 10, F.concat(text, F.lit("T00:00:00"))).otherwise(text)
-    zoned = F.when(timed.rlike(_HAS_ZONE), timed).otherwise(F.concat(timed, F.lit("Z")))
-    full = F.regexp_replace(zoned, _HOUR_ONLY, "$1:00$2")
-    full = F.regexp_replace(full, _MINUTE_ONLY, "$1:00$2")
+
+    def zone(start: int) -> Column:
+        return F.coalesce(F.nullif(F.substring(text, start, 10), F.lit("")), F.lit("Z"))
+
+    tail = F.substring(text, 20, 40)
+    zoned = tail.endswith("Z") | tail.contains("+") | tail.contains("-")
+    full = (
+        F.when(F.length(text) == 10, F.concat(text, F.lit("T00:00:00Z")))
+        .when(
+            F.substring(text, 14, 1) != ":",
+            F.concat(F.substring(text, 1, 13), F.lit(":00:00"), zone(14)),
+        )
+        .when(
+            F.substring(text, 17, 1) != ":",
+            F.concat(F.substring(text, 1, 16), F.lit(":00"), zone(17)),
+        )
+        .when(zoned, text)
+        .otherwise(F.concat(text, F.lit("Z")))
+    )
     return F.when(text.rlike(_ISO_SHAPE), to_utc_ntz(F.try_to_timestamp(full)))
 
 

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, functions as F
 
 from ..functions.numbers import parse_number
@@ -14,7 +16,8 @@ MIN_TEMPERATURE = 20.0
 MAX_TEMPERATURE = 95.0
 MAX_VIBRATION = 4.95
 
-_REPLACEMENT = "�"
+_REPLACEMENT = "\ufffd"
+_STRING = r'"[^"\\]*+(?:\\.[^"\\]*+)*+"'
 
 
 def decode_value(raw: Column) -> Column:
@@ -25,17 +28,23 @@ def decode_value(raw: Column) -> Column:
 
 
 def temperature_ok(value: Column) -> Column:
-    """Inclusive range; null fails."""
-    return F.coalesce(value.between(F.lit(MIN_TEMPERATURE), F.lit(MAX_TEMPERATURE)), F.lit(False))
+    """Inclusive range; null stays null, which a filter drops."""
+    return value.between(F.lit(MIN_TEMPERATURE), F.lit(MAX_TEMPERATURE))
 
 
 def vibration_ok(value: Column) -> Column:
-    """Upper limit only; null and NaN fail."""
-    return F.coalesce(value <= F.lit(MAX_VIBRATION).cast("double"), F.lit(False))
+    """Upper limit only; NaN fails."""
+    return value <= F.lit(MAX_VIBRATION).cast("double")
+
+
+def _fails(rule: Column) -> Column:
+    """Null counts as a failure."""
+    return ~F.coalesce(rule, F.lit(False))
 
 
 def _reason_list(*rules: tuple[Column, str]) -> Column:
-    return F.array_compact(F.array(*[F.when(broken, name) for broken, name in rules]))
+    none = F.array().cast("array<string>")
+    return F.concat(*[F.when(broken, F.array(F.lit(name))).otherwise(none) for broken, name in rules])
 
 
 def check_readings(readings: DataFrame) -> DataFrame:
@@ -43,22 +52,76 @@ def check_readings(readings: DataFrame) -> DataFrame:
     return readings.withColumn(
         "reasons",
         _reason_list(
-            (~temperature_ok(F.col("temperature")), "temperature_range"),
-            (~vibration_ok(F.col("vibration")), "vibration_limit"),
+            (_fails(temperature_ok(F.col("temperature"))), "temperature_range"),
+            (_fails(vibration_ok(F.col("vibration"))), "vibration_limit"),
         ),
     )
 
 
+def valid_readings(readings: DataFrame) -> DataFrame:
+    """Typed readings that pass, as plain comparisons a scan can push down."""
+    return readings.where(
+        temperature_ok(F.col("temperature")) & vibration_ok(F.col("vibration"))
+    )
+
+
+def hot_or_cold(readings: DataFrame) -> DataFrame:
+    return readings.where(_fails(temperature_ok(F.col("temperature"))))
+
+
+def shaking(readings: DataFrame) -> DataFrame:
+    return readings.where(_fails(vibration_ok(F.col("vibration"))))
+
+
 def _one_object(value: Column) -> Column:
-    """True for text that is exactly one JSON object.
+    """True when no text follows the JSON object that ``value`` starts with.
 
-    The key list alone ignores what follows the object; wrapped in an array with
-    one more element, trailing text changes the length or breaks the parse.
+    A first closing brace at the very end proves it. Otherwise the text is wrapped
+    in an array with one more element: trailing text changes the length or breaks
+    the parse.
     """
+    ends_once = F.instr(value, "}") == F.length(F.rtrim(value))
     wrapped = F.concat(F.lit("["), value, F.lit(",0]"))
-    return F.json_object_keys(value).isNotNull() & F.coalesce(
-        F.json_array_length(wrapped) == 2, F.lit(False)
+    return F.when(ends_once, True).otherwise(
+        F.coalesce(F.json_array_length(wrapped) == 2, F.lit(False))
+    )
+
+
+def _strict_quotes(value: Column) -> Column:
+    """False for JSON in single quotes, which the parser would let pass.
+
+    With all double-quoted strings removed, no apostrophe may be left.
+    """
+    outside = F.regexp_replace(value, _STRING, "")
+    return F.when(value.contains("'"), ~outside.contains("'")).otherwise(True)
+
+
+def _typed_fields(log: DataFrame) -> DataFrame:
+    """Parse each message once, then turn its texts into typed columns.
+
+    Both steps end in a generator on purpose: a filter on their results is not
+    pushed below it, so nothing is parsed a second time to evaluate the filter.
+    ``_keys`` is only worked out where some field is null.
+    """
+    texts = PAYLOAD_TEXT.names
+    parsed = log.select(
+        *log.columns,
+        F.json_tuple("value", *texts).alias(*[f"_{t}" for t in texts]),
     )
+    some_null = reduce(lambda a, b: a | b, [F.col(f"_{t}").isNull() for t in texts])
+    value = F.col("value")
+    typed = F.struct(
+        F.col("_event_id").alias("event_id"),
+        F.col("_device_id").alias("device_id"),
+        parse_iso(F.col("_timestamp")).alias("event_time"),
+        parse_number(F.col("_temperature")).alias("temperature"),
+        parse_number(F.col("_vibration")).alias("vibration"),
+        F.col("_status").alias("status"),
+        F.when(some_null, F.json_object_keys("value")).alias("_keys"),
+        some_null.alias("_some_null"),
+        (_one_object(value) & _strict_quotes(value)).alias("_alone"),
+    )
+    return parsed.select(*log.columns, F.inline(F.array(typed)))
 
 
 def check_messages(log: DataFrame) -> DataFrame:
@@ -68,43 +131,31 @@ def check_messages(log: DataFrame) -> DataFrame:
     just ``missing_keys``. Columns of ``log`` are kept; the message time comes out
     as ``event_time``.
     """
-    keys = F.json_object_keys("value")
-    parsed = log.withColumn("_object", F.coalesce(_one_object(F.col("value")), F.lit(False)))
-    parsed = parsed.withColumn("_keys", F.when(F.col("_object"), keys)).withColumn(
-        "_text", F.from_json(F.when(F.col("_object"), F.col("value")), PAYLOAD_TEXT)
-    )
-    typed = parsed.select(
-        *log.columns,
-        "_object",
-        "_keys",
-        F.col("_text.event_id").alias("event_id"),
-        F.col("_text.device_id").alias("device_id"),
-        parse_iso(F.col("_text.timestamp")).alias("event_time"),
-        parse_number(F.col("_text.temperature")).alias("temperature"),
-        parse_number(F.col("_text.vibration")).alias("vibration"),
-        F.col("_text.status").alias("status"),
-    )
-    obj = F.col("_object")
+    typed = _typed_fields(log)
+    nulls = F.col("_some_null")
+    obj = F.coalesce(F.col("_alone"), F.lit(False)) & (~nulls | F.col("_keys").isNotNull())
 
-    def present(key: str) -> Column:
-        return obj & F.array_contains("_keys", key)
+    def null_value(key: str, column: str | None = None) -> Column:
+        """The key is there, but gives no usable value."""
+        present = ~nulls | F.array_contains("_keys", key)
+        return obj & F.col(column or key).isNull() & present
 
     temperature, vibration = F.col("temperature"), F.col("vibration")
     required = F.array(*[F.lit(k) for k in REQUIRED_KEYS])
-    null_text = [present(k) & F.col(k).isNull() for k in ("event_id", "device_id", "status")]
-    return typed.withColumn(
-        "reasons",
-        _reason_list(
-            (~obj, "malformed"),
-            (obj & (F.size(F.array_except(required, "_keys")) > 0), "missing_keys"),
-            (present("timestamp") & F.col("event_time").isNull(), "timestamp_invalid"),
-            (present("temperature") & temperature.isNull(), "temperature_not_numeric"),
-            (temperature.isNotNull() & ~temperature_ok(temperature), "temperature_range"),
-            (present("vibration") & vibration.isNull(), "vibration_not_numeric"),
-            (vibration.isNotNull() & ~vibration_ok(vibration), "vibration_limit"),
-            (null_text[0] | null_text[1] | null_text[2], "null_required"),
+    rules = [
+        (~obj, "malformed"),
+        (obj & nulls & (F.size(F.array_except(required, "_keys")) > 0), "missing_keys"),
+        (null_value("timestamp", "event_time"), "timestamp_invalid"),
+        (null_value("temperature"), "temperature_not_numeric"),
+        (obj & temperature.isNotNull() & _fails(temperature_ok(temperature)), "temperature_range"),
+        (null_value("vibration"), "vibration_not_numeric"),
+        (obj & vibration.isNotNull() & _fails(vibration_ok(vibration)), "vibration_limit"),
+        (
+            null_value("event_id") | null_value("device_id") | null_value("status"),
+            "null_required",
         ),
-    ).drop("_object", "_keys")
+    ]
+    return typed.withColumn("reasons", _reason_list(*rules)).drop("_keys", "_some_null", "_alone")
 
 
 def valid_rows(checked: DataFrame) -> DataFrame:

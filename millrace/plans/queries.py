@@ -34,7 +34,7 @@ def _readings(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _valid(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return quality.valid_rows(quality.check_readings(_readings(spark, sf_dir)))
+    return quality.valid_readings(_readings(spark, sf_dir))
 
 
 def _log(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -68,16 +68,14 @@ def cleansed(spark, sf_dir):
 
 def invalid_temperature(spark, sf_dir):
     return (
-        _readings(spark, sf_dir)
-        .where(~quality.temperature_ok(F.col("temperature")))
+        quality.hot_or_cold(_readings(spark, sf_dir))
         .select("event_id", "device_id", "temperature")
     )
 
 
 def invalid_vibration(spark, sf_dir):
     return (
-        _readings(spark, sf_dir)
-        .where(~quality.vibration_ok(F.col("vibration")))
+        quality.shaking(_readings(spark, sf_dir))
         .select("event_id", "device_id", "vibration")
     )
 
