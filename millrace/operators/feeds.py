@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from .ordering import previous
 
-_SALTS = 64
+_TASK_GROUPS = 256
 
 
 def latest(df: DataFrame, limit: int | None = None, tie: list[str] | None = None) -> DataFrame:
@@ -20,18 +20,19 @@ def latest(df: DataFrame, limit: int | None = None, tie: list[str] | None = None
     return df.limit(limit) if limit else df
 
 
-def last_n(df: DataFrame, key: list[str], order: list[Column], n: int, spread: str) -> DataFrame:
+def last_n(df: DataFrame, key: list[str], order: list[Column], n: int) -> DataFrame:
     """The first ``n`` rows of each key by ``order`` (newest first when descending).
 
-    A hot key is first cut to ``n`` per salt of ``spread``, before and after the
-    shuffle, so its final task sees at most ``n`` rows per salt.
+    Every task keeps at most ``n`` rows per key before the shuffle. With very many
+    tasks that is still much for one key, so tasks are first merged in groups, and
+    the last step sees at most ``n`` rows per key and group.
     """
-    salted = df.withColumn("_salt", F.pmod(F.xxhash64(spread), F.lit(_SALTS)))
-    part = Window.partitionBy(*key, "_salt").orderBy(*order)
+    grouped = df.withColumn("_group", F.spark_partition_id() % _TASK_GROUPS)
+    part = Window.partitionBy(*key, "_group").orderBy(*order)
     whole = Window.partitionBy(*key).orderBy(*order)
-    few = salted.withColumn("_rn", F.row_number().over(part)).where(F.col("_rn") <= n)
+    few = grouped.withColumn("_rn", F.row_number().over(part)).where(F.col("_rn") <= n)
     return (
-        few.drop("_salt")
+        few.drop("_group")
         .withColumn("_rn", F.row_number().over(whole))
         .where(F.col("_rn") <= n)
         .drop("_rn")
@@ -54,16 +55,25 @@ def newest_per_key(df: DataFrame, key: list[str], order: list[str]) -> DataFrame
 
 
 def merge_feed(
-    seen: DataFrame, page: DataFrame, key: list[str] | None, order: list[str], n: int
+    seen: DataFrame, page: DataFrame, key: str | None, time: str, n: int, tie: str | None = None
 ) -> DataFrame:
     """Append a page to a feed, skip rows already in it, keep the newest ``n``.
 
-    ``key`` identifies a row; None compares whole rows.
+    ``key`` identifies a row, and decides between equal times. The newest ``n`` keys
+    are found from two columns; only their rows, a side the limit keeps small, are
+    then read whole. Without a key whole rows are compared, with ``tie`` for equal times.
     """
     both = seen.unionByName(page)
-    whole = newest_per_key(both, key, order) if key else both.dropDuplicates()
-    newest = [F.col(c).desc_nulls_last() for c in order]
-    return whole.orderBy(*newest).limit(n)
+    if key is None:
+        order = [F.col(c).desc_nulls_last() for c in (time, tie) if c]
+        return both.dropDuplicates().orderBy(*order).limit(n)
+    newest = (
+        both.groupBy(key)
+        .agg(F.max(time).alias("_time"))
+        .orderBy(F.col("_time").desc_nulls_last(), F.col(key).desc())
+        .limit(n)
+    )
+    return newest_per_key(both.join(newest, key, "left_semi"), [key], [time])
 
 
 def drop_unchanged(

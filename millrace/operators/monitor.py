@@ -161,8 +161,4 @@ def unprocessed_messages(log: DataFrame, offsets: DataFrame, limit: int | None =
 
 def recent_message(log: DataFrame) -> DataFrame:
     """Last message of the partition with the highest end offset; ties go to the lowest."""
-    last = F.max_by(
-        F.struct(*[F.col(c) for c in log.columns]),
-        F.struct("offset", (F.lit(0) - F.col("partition")).alias("_low")),
-    )
-    return log.agg(last.alias("m")).where("m is not null").select("m.*")
+    return log.orderBy(F.col("offset").desc(), F.col("partition")).limit(1)

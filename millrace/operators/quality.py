@@ -17,13 +17,17 @@ MAX_TEMPERATURE = 95.0
 MAX_VIBRATION = 4.95
 
 _REPLACEMENT = "\ufffd"
+_ASIDE = "\ufdd0"  # a noncharacter, which no text contains
 _STRING = r'"[^"\\]*+(?:\\.[^"\\]*+)*+"'
 
 
 def decode_value(raw: Column) -> Column:
     """Message text of a binary value: UTF-8, with undecodable bytes dropped."""
     text = raw.cast("string")
-    repaired = F.replace(F.make_valid_utf8(text), F.lit(_REPLACEMENT), F.lit(""))
+    # a replacement character the sender wrote is set aside while bad bytes become one
+    aside = F.replace(text, F.lit(_REPLACEMENT), F.lit(_ASIDE))
+    dropped = F.replace(F.make_valid_utf8(aside), F.lit(_REPLACEMENT), F.lit(""))
+    repaired = F.replace(dropped, F.lit(_ASIDE), F.lit(_REPLACEMENT))
     return F.when(F.is_valid_utf8(text), text).otherwise(repaired)
 
 

@@ -405,21 +405,21 @@ def metric_changes(spark, sf_dir):
 def last_n_per_key(spark, sf_dir):
     readings = _valid(spark, sf_dir).select("device_id", "event_time", "event_number", "temperature")
     newest = [F.col("event_time").desc(), F.col("event_number").desc()]
-    return feeds.last_n(readings, ["device_id"], newest, 30, "event_number")
+    return feeds.last_n(readings, ["device_id"], newest, 30)
 
 
 def merged_feed(spark, sf_dir):
     feed = _valid(spark, sf_dir).select("event_id", "device_id", "event_time", "temperature", "event_number")
     seen = feed.where(F.col("event_time") < _ntz(FEED_SPLIT[0]))
     page = feed.where(F.col("event_time") >= _ntz(FEED_SPLIT[1]))
-    return feeds.merge_feed(seen, page, ["event_id"], ["event_time", "event_number"], 50)
+    return feeds.merge_feed(seen, page, "event_number", "event_time", 50)
 
 
 def merged_gold_feed(spark, sf_dir):
     feed = _hourly(spark, sf_dir)
     seen = feed.where(F.col("hour_start") < _ntz(FEED_SPLIT[0]))
     page = feed.where(F.col("hour_start") >= _ntz(FEED_SPLIT[1]))
-    return feeds.merge_feed(seen, page, None, ["window_start", "window_end"], 50)
+    return feeds.merge_feed(seen, page, None, "window_start", 50, tie="window_end")
 
 
 def latest_state(spark, sf_dir):

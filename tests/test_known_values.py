@@ -1,0 +1,55 @@
+"""Figures worked out beforehand for the given tables."""
+
+from datetime import datetime
+
+import pytest
+
+from millrace.plans.queries import QUERIES
+
+KPI = {
+    "sf0.001": ("2024-01-01 01:45:40.167754", "2024-01-30 22:20:38.235689", 523, 48.67, 107),
+    "sf0.01": ("2024-01-01 00:08:26.640140", "2024-01-30 23:38:14.262777", 5205, 48.41, 1053),
+    "sf0.1": ("2024-01-01 00:00:11.172425", "2024-01-30 23:58:04.196976", 52107, 48.34, 10365),
+}
+LAG = {
+    "sf0.001": (287, "2024-01-01 13:41:20.461779"),
+    "sf0.01": (3190, "2024-01-01 00:06:29.165275"),
+    "sf0.1": (32326, "2024-01-01 00:00:11.172425"),
+}
+HOURS = {"sf0.001": 381, "sf0.01": 719, "sf0.1": 720}
+
+
+@pytest.mark.parametrize("sf", sorted(KPI))
+def test_batch_and_lag(spark, sf):
+    folder = f"/root/testdata/{sf}"
+    start, end, events, temp, warnings = KPI[sf]
+    row = QUERIES["batch_kpis"](spark, folder).first()
+    assert tuple(row) == (
+        datetime.fromisoformat(start),
+        datetime.fromisoformat(end),
+        events,
+        temp,
+        warnings,
+    )
+    queue, oldest = LAG[sf]
+    lag = QUERIES["topic_lag"](spark, folder).first()
+    assert (lag.in_queue, lag.oldest_unprocessed) == (queue, datetime.fromisoformat(oldest))
+    assert QUERIES["hourly_kpis"](spark, folder).count() == HOURS[sf]
+
+
+def test_small_facts(spark, sf_dir):
+    devices = QUERIES["device_summary"](spark, sf_dir).collect()
+    assert {(d.device_id, d.total_events, d.avg_temp, d.anomaly_count) for d in devices} == {
+        ("CNC-001", 1092, 49.07, 224),
+        ("CNC-002", 1008, 48.65, 214),
+        ("PRESS-04", 1033, 48.13, 217),
+        ("ROBOT-A", 1039, 47.86, 184),
+        ("ROBOT-B", 1033, 48.30, 214),
+    }
+    reasons = {r.reason: r.rejected for r in QUERIES["reject_reasons"](spark, sf_dir).collect()}
+    assert reasons == {"temperature_range": 4719, "vibration_limit": 118}
+    newest = [r.event_id for r in QUERIES["latest_silver"](spark, sf_dir).take(3)]
+    assert newest == ["9997", "9994", "9987"]
+    recent = [r.event_id for r in QUERIES["recent_messages"](spark, sf_dir).take(3)]
+    assert recent == ["9999", "9998", "9997"]
+    assert QUERIES["metric_changes"](spark, sf_dir).count() == 3198

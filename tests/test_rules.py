@@ -1,0 +1,120 @@
+"""One message per row of the rule table."""
+
+import json
+from datetime import datetime
+
+import pytest
+
+from millrace.operators.quality import check_messages, decode_value, quarantine_rows, valid_rows
+
+GOOD = {
+    "event_id": "e1",
+    "device_id": "CNC-001",
+    "timestamp": "2024-01-01T00:00:00+00:00",
+    "temperature": 50.0,
+    "vibration": 1.0,
+    "status": "OK",
+}
+
+
+def message(**changes):
+    body = {**GOOD, **changes}
+    return json.dumps({k: v for k, v in body.items() if v is not ...})
+
+
+CASES = [
+    (message(temperature=20.0), ""),
+    (message(temperature=95.0), ""),
+    (message(vibration=4.95), ""),
+    (message(temperature=19.99), "temperature_range"),
+    (message(temperature=95.01), "temperature_range"),
+    (message(vibration=4.96), "vibration_limit"),
+    (message(vibration=-3.0), ""),
+    (message(temperature=99, vibration=5), "temperature_range,vibration_limit"),
+    (message(temperature="72.5"), ""),
+    (message(temperature=" 72.5 "), ""),
+    (message(temperature="abc"), "temperature_not_numeric"),
+    (message(temperature="5d"), "temperature_not_numeric"),
+    (message(temperature="NaN"), "temperature_not_numeric"),
+    (message(temperature=None), "temperature_not_numeric"),
+    (message(temperature=True), "temperature_not_numeric"),
+    (message(temperature={"a": 1}), "temperature_not_numeric"),
+    (message(vibration=float("nan")), "malformed"),
+    (message(vibration="NaN"), "vibration_not_numeric"),
+    (message(status=...), "missing_keys"),
+    (message(temperature=...), "missing_keys"),
+    (message(timestamp=..., vibration=9), "missing_keys,vibration_limit"),
+    (message(status=None), "null_required"),
+    (message(event_id=None, device_id=None), "null_required"),
+    (message(line=7), ""),
+    (message(timestamp="2024-01-01T00:00:00+02:00"), ""),
+    (message(timestamp="2024-01-01"), ""),
+    (message(timestamp="2024-01-01T00:00:00Z"), ""),
+    (message(timestamp="2024-01-01 00:00"), ""),
+    (message(timestamp="2024-01-01T00:00Z"), ""),
+    *[
+        (message(timestamp=bad), "timestamp_invalid")
+        for bad in ("2024", "2024-1-1", "T00:00:00", "bad", "", "20240101", "2024-W01-1",
+                    "2024-02-30", "0000-01-01", "2024-01-01 00:00:00 UTC", " 2024-01-01")
+    ],
+    (message(timestamp=5), "timestamp_invalid"),
+    (message(timestamp=None), "timestamp_invalid"),
+    ("not json", "malformed"),
+    ("[1,2]", "malformed"),
+    ('"str"', "malformed"),
+    ("", "malformed"),
+    (None, "malformed"),
+    ("null", "malformed"),
+    (message() + " x", "malformed"),
+    (message() + message(), "malformed"),
+    (message() + "," + message(), "malformed"),
+    (message() + " \n ", ""),
+    (message()[:-1], "malformed"),
+    (message().replace('"', "'"), "malformed"),
+    (message(status="it's } fine"), ""),
+    (message(device_id='say "it\'s"'), ""),
+    (message()[:-1] + ', "temperature": 10}', "temperature_range"),  # the last one counts
+]
+
+
+@pytest.fixture(scope="module")
+def checked(spark):
+    rows = [(0, i, datetime(2024, 1, 1), value) for i, (value, _) in enumerate(CASES)]
+    log = spark.createDataFrame(
+        rows, "partition int, offset bigint, timestamp timestamp_ntz, value string"
+    )
+    return check_messages(log).cache()
+
+
+def test_reasons(checked):
+    got = {r.offset: ",".join(r.reasons) for r in checked.select("offset", "reasons").collect()}
+    wrong = {CASES[i]: reasons for i, reasons in got.items() if reasons != CASES[i][1]}
+    assert not wrong
+
+
+def test_split_is_complete(checked):
+    good = {r.offset for r in valid_rows(checked).collect()}
+    bad = {r.offset for r in quarantine_rows(checked).collect()}
+    assert good | bad == set(range(len(CASES))) and not good & bad
+
+
+def test_typed_fields(checked):
+    rows = {r.value: r for r in valid_rows(checked).collect()}
+    shifted = rows[message(timestamp="2024-01-01T00:00:00+02:00")]
+    assert shifted.event_time == datetime(2023, 12, 31, 22)
+    assert rows[message(temperature="72.5")].temperature == 72.5
+
+
+def test_raw_text_is_kept(checked):
+    raw = {r.offset: r.raw_value for r in quarantine_rows(checked).collect()}
+    assert all(raw[i] == CASES[i][0] for i in raw)
+
+
+@pytest.mark.parametrize(
+    "raw",
+    [b"plain", "é€😀".encode(), b"a\xffb", b"ab\xe2\x82A", b"\xf0\x9f\x98", b"\xc3(", b"",
+     b"a\xff\xef\xbf\xbdb"],
+)
+def test_bad_bytes_are_dropped(spark, raw):
+    df = spark.createDataFrame([(bytearray(raw),)], "v binary")
+    assert df.select(decode_value(df.v)).first()[0] == raw.decode("utf-8", errors="ignore")

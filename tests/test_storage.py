@@ -1,0 +1,106 @@
+from datetime import datetime
+
+import pytest
+from pyspark.sql import functions as F
+
+from millrace.operators import tables
+from millrace.schemas import GOLD, SILVER, stored
+from millrace.sources import logs, objects, telemetry
+
+GOOD = ("e1", "CNC-001", datetime(2024, 1, 1), 50.1, 1.0, "OK")
+COLUMNS = "event_id string, device_id string, timestamp timestamp_ntz, temperature double, vibration double, status string"
+
+
+def silver(spark, *rows):
+    return spark.createDataFrame(list(rows) or [GOOD], COLUMNS)
+
+
+def test_append_narrows_and_keeps_order(spark, tmp_path):
+    path = str(tmp_path / "t")
+    tables.append(silver(spark).select("status", "event_id", "temperature", "device_id", "vibration", "timestamp"), path, SILVER)
+    tables.append(silver(spark), path, SILVER)
+    got = spark.read.schema(SILVER).parquet(path)
+    assert got.count() == 2
+    assert got.first().temperature == pytest.approx(50.1, rel=1e-6)
+    assert [f.dataType for f in got.schema] == [f.dataType for f in SILVER]
+
+
+def test_extra_and_missing_columns_are_refused(spark, tmp_path):
+    with pytest.raises(tables.ContractError, match="line"):
+        tables.append(silver(spark).withColumn("line", F.lit(1)), str(tmp_path / "t"), SILVER)
+    with pytest.raises(tables.ContractError, match="status"):
+        tables.append(silver(spark).drop("status"), str(tmp_path / "t"), SILVER)
+
+
+def test_one_null_fails_the_whole_append(spark, tmp_path):
+    bad = ("e2", None, datetime(2024, 1, 1), 50.0, 1.0, "OK")
+    path = tmp_path / "t"
+    with pytest.raises(Exception, match="device_id"):
+        tables.append(silver(spark, GOOD, bad), str(path), SILVER)
+    assert not list(path.glob("*.parquet"))
+
+
+def test_text_that_does_not_cast_fails(spark, tmp_path):
+    bad = silver(spark).withColumn("temperature", F.lit("abc"))
+    with pytest.raises(Exception, match="CAST_INVALID_INPUT"):
+        tables.append(bad, str(tmp_path / "t"), SILVER)
+
+
+def test_batch_replaces_only_itself(spark, tmp_path):
+    path = str(tmp_path / "t")
+    for batch, n in ((0, 3), (1, 2), (0, 3)):
+        rows = [(f"e{batch}{i}", *GOOD[1:]) for i in range(n)]
+        tables.write_batch(silver(spark, *rows), path, SILVER, batch)
+    table = spark.read.schema(stored(SILVER)).parquet(path)
+    assert table.count() == 5
+    m = tables.table_metrics(table).first()
+    assert (m.record_count, m.snapshot_count, m.current_snapshot_id) == (5, 2, 1)
+    assert m.last_updated is not None
+
+
+def test_metrics_of_an_empty_table(spark):
+    m = tables.table_metrics(spark.createDataFrame([], stored(GOLD))).first()
+    assert tuple(m) == (0, 0, None, None)
+
+
+def test_publish_limits_only_when_asked(spark, tmp_path):
+    rows = spark.range(250).select(F.col("id").alias("n"))
+    for limit, want in ((None, 250), (0, 250), (100, 100), (1000, 250)):
+        path = str(tmp_path / f"l{limit}")
+        logs.publish(rows, path, limit)
+        assert logs.read_published(spark, path).count() == want
+
+
+def test_log_round_trip(spark, sf_dir, tmp_path):
+    log = telemetry.bronze_log(telemetry.telemetry_from_events(telemetry.read_events(spark, sf_dir)))
+    path = str(tmp_path / "log")
+    logs.write_log(log, path)
+    again = logs.read_log(spark, path)
+    assert again.exceptAll(log).count() == 0 == log.exceptAll(again).count()
+
+
+def test_objects(spark, tmp_path):
+    (tmp_path / "a" / "b").mkdir(parents=True)
+    texts = {"a/one.txt": "line 1\nline 2\n", "a/b/two.txt": "é", "three.txt": "x"}
+    for name, text in texts.items():
+        (tmp_path / name).write_text(text)
+    (tmp_path / "empty.txt").write_text("")  # passed over, as documented
+    listed = objects.list_objects(spark, str(tmp_path))
+    sizes = {name: len(text.encode()) for name, text in texts.items()}
+    root = f"file:{tmp_path}/"
+    assert {r.path.removeprefix(root): r.length for r in listed.collect()} == sizes
+    assert "content" not in listed._jdf.queryExecution().executedPlan().toString()
+    read = {r.path.rsplit("/", 1)[1]: r.content for r in objects.read_objects(spark, str(tmp_path)).collect()}
+    assert read["one.txt"] == "line 1\nline 2\n" and read["two.txt"] == "é"
+    total = objects.store_totals(listed).first()
+    assert (total.object_count, total.total_bytes) == (3, sum(sizes.values()))
+    folders = {r.folder.removeprefix(root): r.object_count for r in objects.bucket_metrics(listed).collect()}
+    assert folders["a"] == 1 and folders["a/b"] == 1
+    assert tuple(objects.store_totals(listed.where("1 = 0")).first()) == (0, 0)
+
+
+def test_csv_quotes_survive(spark, tmp_path):
+    df = spark.createDataFrame([('say "hi", ok', 1), ("", 2)], "t string, n int")
+    objects.write_csv(df, str(tmp_path / "c"))
+    again = spark.read.schema(df.schema).option("header", True).option("escape", '"').csv(str(tmp_path / "c"))
+    assert again.where("n = 1").first().t == 'say "hi", ok'
