@@ -104,8 +104,9 @@ def _typed_fields(log: DataFrame) -> DataFrame:
     """Parse each message once, then turn its texts into typed columns.
 
     Both steps end in a generator on purpose: a filter on their results is not
-    pushed below it, so nothing is parsed a second time to evaluate the filter.
-    ``_keys`` is only worked out where some field is null.
+    pushed below it, so nothing is parsed a second time to evaluate the filter, and
+    the generated methods stay small enough for the JIT compiler. ``_keys`` is only
+    worked out where some field is null.
     """
     texts = PAYLOAD_TEXT.names
     parsed = log.select(
@@ -114,6 +115,7 @@ def _typed_fields(log: DataFrame) -> DataFrame:
     )
     some_null = reduce(lambda a, b: a | b, [F.col(f"_{t}").isNull() for t in texts])
     value = F.col("value")
+    keys = F.when(some_null, F.json_object_keys("value"))
     typed = F.struct(
         F.col("_event_id").alias("event_id"),
         F.col("_device_id").alias("device_id"),
@@ -121,9 +123,12 @@ def _typed_fields(log: DataFrame) -> DataFrame:
         parse_number(F.col("_temperature")).alias("temperature"),
         parse_number(F.col("_vibration")).alias("vibration"),
         F.col("_status").alias("status"),
-        F.when(some_null, F.json_object_keys("value")).alias("_keys"),
+        keys.alias("_keys"),
         some_null.alias("_some_null"),
-        (_one_object(value) & _strict_quotes(value)).alias("_alone"),
+        F.coalesce(
+            _one_object(value) & _strict_quotes(value) & (~some_null | keys.isNotNull()),
+            F.lit(False),
+        ).alias("_object"),
     )
     return parsed.select(*log.columns, F.inline(F.array(typed)))
 
@@ -136,8 +141,7 @@ def check_messages(log: DataFrame) -> DataFrame:
     as ``event_time``.
     """
     typed = _typed_fields(log)
-    nulls = F.col("_some_null")
-    obj = F.coalesce(F.col("_alone"), F.lit(False)) & (~nulls | F.col("_keys").isNotNull())
+    obj, nulls = F.col("_object"), F.col("_some_null")
 
     def null_value(key: str, column: str | None = None) -> Column:
         """The key is there, but gives no usable value."""
@@ -146,7 +150,7 @@ def check_messages(log: DataFrame) -> DataFrame:
 
     temperature, vibration = F.col("temperature"), F.col("vibration")
     required = F.array(*[F.lit(k) for k in REQUIRED_KEYS])
-    rules = [
+    reasons = _reason_list(
         (~obj, "malformed"),
         (obj & nulls & (F.size(F.array_except(required, "_keys")) > 0), "missing_keys"),
         (null_value("timestamp", "event_time"), "timestamp_invalid"),
@@ -158,8 +162,9 @@ def check_messages(log: DataFrame) -> DataFrame:
             null_value("event_id") | null_value("device_id") | null_value("status"),
             "null_required",
         ),
-    ]
-    return typed.withColumn("reasons", _reason_list(*rules)).drop("_keys", "_some_null", "_alone")
+    )
+    kept = [c for c in typed.columns if c not in ("_keys", "_some_null", "_object")]
+    return typed.select(*kept, F.inline(F.array(F.struct(reasons.alias("reasons")))))
 
 
 def valid_rows(checked: DataFrame) -> DataFrame:

@@ -290,22 +290,17 @@ def epoch_times(spark, sf_dir):
 
 
 def iso_times(spark, sf_dir):
-    """Event times written in ten ways, read back."""
+    """Event times written in nine ways, good and bad, read back."""
     events = telemetry.read_events(spark, sf_dir)
     full = F.replace(F.rpad(F.col("ts").cast("string"), 26, "0"), F.lit(" "), F.lit("T"))
-    form = F.pmod("event_id", F.lit(10))
-    text = (
-        F.when(form == 0, full)
-        .when(form == 1, F.concat(full, F.lit("Z")))
-        .when(form == 2, F.concat(F.substring(full, 1, 19), F.lit("+02:00")))
-        .when(form == 3, F.substring(full, 1, 10))
-        .when(form == 4, F.concat(F.substring(full, 1, 13), F.lit("Z")))
-        .when(form == 5, F.replace(F.substring(full, 1, 16), F.lit("T"), F.lit(" ")))
-        .when(form == 6, F.concat(F.substring(full, 1, 16), F.lit("-0530")))
-        .when(form == 7, F.substring(full, 1, 7))
-        .when(form == 8, F.concat(full, F.lit(" UTC")))
-    )
-    return events.select("event_id", parse_iso(text).alias("event_time"))
+    # form: characters kept, text added
+    forms = [(26, ""), (26, "Z"), (19, "+02:00"), (10, ""), (13, "Z"), (16, ""), (16, "-0530"), (7, ""), (26, " UTC")]
+    form = (F.pmod("event_id", F.lit(10)) + 1).cast("int")
+    kept = F.try_element_at(F.array(*[F.lit(n) for n, _ in forms]), form)
+    added = F.try_element_at(F.array(*[F.lit(t) for _, t in forms]), form)
+    written = events.select("event_id", F.substr(full, F.lit(1), kept).alias("day"), added.alias("rest"))
+    text = written.select("event_id", F.inline(F.array(F.struct(F.concat("day", "rest").alias("text")))))
+    return text.select("event_id", parse_iso(F.col("text")).alias("event_time"))
 
 
 def iso_output(spark, sf_dir):
