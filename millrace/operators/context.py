@@ -11,7 +11,8 @@ _MAX_LAYERS = 1000
 def _newest_list(rows: DataFrame, time: str, tie: str) -> Column:
     """Array of the newest five rows, newest first; the list is bounded before it is built."""
     few = rows.orderBy(F.col(time).desc_nulls_last(), F.col(tie).desc()).limit(_LAST)
-    keyed = few.select(F.struct(F.col(time).alias("_t"), F.col(tie).alias("_k"), F.struct(*rows.columns).alias("row")).alias("r"))
+    whole = F.struct(*rows.columns).alias("row")
+    keyed = few.select(F.struct(F.col(time).alias("_t"), F.col(tie).alias("_k"), whole).alias("r"))
     listed = keyed.agg(
         F.transform(F.sort_array(F.collect_list("r"), asc=False), lambda r: r["row"])
     )

@@ -65,7 +65,8 @@ def sorted_copy(df: DataFrame, group: list[str], order: list[Column | str]) -> D
 
 
 def _join_runs(rows: DataFrame, runs: DataFrame, keys: list[str]) -> DataFrame:
-    renamed = runs.select(*[F.col(k).alias(f"_r_{k}") for k in keys], *[c for c in runs.columns if c not in keys])
+    rest = [c for c in runs.columns if c not in keys]
+    renamed = runs.select(*[F.col(k).alias(f"_r_{k}") for k in keys], *rest)
     same = reduce(lambda a, b: a & b, [F.col(k).eqNullSafe(F.col(f"_r_{k}")) for k in keys])
     return rows.join(renamed, same).drop(*[f"_r_{k}" for k in keys])
 

@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, functions as F, types as T
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types as T
+
+from ..schemas import stored
+from .feeds import latest
 
 
 class ContractError(ValueError):
@@ -48,6 +51,13 @@ def write_batch(df: DataFrame, path: str, contract: T.StructType, batch_id: int)
     )
 
 
+def scan_latest(
+    spark: SparkSession, path: str, contract: T.StructType, limit: int | None = 500
+) -> DataFrame:
+    """Rows of a stored table, newest first."""
+    return latest(spark.read.schema(stored(contract)).parquet(path), limit)
+
+
 def table_metrics(table: DataFrame) -> DataFrame:
     """Rows, snapshots, current snapshot and last change of a table.
 

@@ -33,7 +33,7 @@ _MEAN = (
 _MEASURES = f"""
          min(event_time) AS window_start, max(event_time) AS window_end,
          count(*) AS total_events, {_MEAN} AS avg_temp,
-         cast(count(*) FILTER (WHERE status = 'WARNING') AS INT) AS anomaly_count"""
+         count(*) FILTER (WHERE status = 'WARNING') AS anomaly_count"""
 _H = (
     _V
     + f""",
@@ -167,7 +167,10 @@ y AS (
 )"""
 
 _READING = "event_id, device_id, event_time, temperature, vibration, status"
-_ISO = "strftime(event_time, '%Y-%m-%dT%H:%M:%S') || CASE WHEN microsecond(event_time) % 1000000 = 0 THEN '' ELSE strftime(event_time, '.%f') END || '+00:00'"
+_ISO = (
+    "strftime(event_time, '%Y-%m-%dT%H:%M:%S') || CASE WHEN microsecond(event_time) % 1000000 = 0"
+    " THEN '' ELSE strftime(event_time, '.%f') END || '+00:00'"
+)
 _FEED = """
 f AS (SELECT event_id, device_id, event_time, temperature, event_number FROM v)"""
 _DEVICES = ["CNC-001", "CNC-002", "ROBOT-A", "ROBOT-B", "PRESS-04"]
@@ -184,7 +187,7 @@ ORACLES: dict[str, str] = {
     "device_summary": f"""WITH {_V}
         SELECT device_id, min(event_time) AS first_seen, max(event_time) AS last_seen,
                count(*) AS total_events, {_MEAN} AS avg_temp,
-               cast(count(*) FILTER (WHERE status = 'WARNING') AS INT) AS anomaly_count
+               count(*) FILTER (WHERE status = 'WARNING') AS anomaly_count
         FROM v GROUP BY device_id""",
     "kpi_labels": f"""WITH {_H}
         SELECT 'W' || row_number() OVER (ORDER BY window_start) AS label, * FROM h""",
@@ -366,7 +369,8 @@ ORACLES: dict[str, str] = {
         SELECT partition, "offset", reasons FROM m WHERE reasons <> ''""",
     "stream_gold": f"""WITH {_M},
         b AS (SELECT {_MEASURES} FROM m WHERE reasons = '' HAVING count(*) > 0)
-        SELECT * REPLACE (cast(cast(avg_temp AS FLOAT) AS DOUBLE) AS avg_temp) FROM b""",
+        SELECT * REPLACE (cast(cast(avg_temp AS FLOAT) AS DOUBLE) AS avg_temp,
+                          cast(anomaly_count AS INT) AS anomaly_count) FROM b""",
     "run_counters": f"""WITH {_M}
         SELECT count(*) AS ingested, count(*) FILTER (WHERE reasons = '') AS processed,
                count(*) FILTER (WHERE reasons <> '') AS invalidated,

@@ -274,7 +274,7 @@ def consumed_messages(spark, sf_dir):
 def lag_bands(spark, sf_dir):
     events = telemetry.read_events(spark, sf_dir)
     return (
-        events.select(lag_band(telemetry.reading_rank(events)).alias("band"))
+        events.select(lag_band(telemetry.reading_rank()).alias("band"))
         .groupBy("band")
         .agg(F.count(F.lit(1)).alias("messages"))
     )
@@ -282,7 +282,7 @@ def lag_bands(spark, sf_dir):
 
 def epoch_times(spark, sf_dir):
     events = telemetry.read_events(spark, sf_dir)
-    k = telemetry.reading_rank(events)
+    k = telemetry.reading_rank()
     micros = F.timestamp_diff("MICROSECOND", _ntz("1970-01-01 00:00:00"), F.col("ts"))
     millis = F.floor(micros / 1000).cast("bigint")
     sent = F.when(k == 0, 0).when(k > 1, millis).cast("bigint")
@@ -294,7 +294,8 @@ def iso_times(spark, sf_dir):
     events = telemetry.read_events(spark, sf_dir)
     full = F.replace(F.rpad(F.col("ts").cast("string"), 26, "0"), F.lit(" "), F.lit("T"))
     # form: characters kept, text added
-    forms = [(26, ""), (26, "Z"), (19, "+02:00"), (10, ""), (13, "Z"), (16, ""), (16, "-0530"), (7, ""), (26, " UTC")]
+    forms = [(26, ""), (26, "Z"), (19, "+02:00"), (10, ""), (13, "Z"), (16, ""), (16, "-0530")]
+    forms += [(7, ""), (26, " UTC")]
     form = (F.pmod("event_id", F.lit(10)) + 1).cast("int")
     kept = F.try_element_at(F.array(*[F.lit(n) for n, _ in forms]), form)
     added = F.try_element_at(F.array(*[F.lit(t) for _, t in forms]), form)
@@ -434,9 +435,11 @@ def latest_state(spark, sf_dir):
 def _pieces(readings: DataFrame, qualified: Column) -> DataFrame:
     """The resources a set of readings stands for, per day: a table per device and
     three-hour block, a topic per log partition, a bucket."""
-    day = F.substring(F.col("event_time").cast("string"), 1, 10)
-    block = F.floor(F.substring(F.col("event_time").cast("string"), 12, 2).cast("int") / 3)
-    table = F.concat("device_id", F.lit("."), day, F.lit("b"), block.cast("string"))
+    hour = F.timestamp_diff("HOUR", _ntz("1970-01-01 00:00:00"), F.col("event_time"))
+    cells = readings.select("device_id", "partition", F.floor(hour / 3).alias("block")).distinct()
+    start = F.timestamp_add("HOUR", F.col("block") * 3, _ntz("1970-01-01 00:00:00"))
+    day = F.substring(start.cast("string"), 1, 10)
+    table = F.concat("device_id", F.lit("."), day, F.lit("b"), (F.col("block") % 8).cast("string"))
     pieces = F.array(
         F.struct(
             F.lit("table").alias("kind"),
@@ -449,7 +452,7 @@ def _pieces(readings: DataFrame, qualified: Column) -> DataFrame:
         F.struct(F.lit("bucket").alias("kind"), day.alias("name")),
     )
     return (
-        readings.select(day.alias("layer"), F.explode(pieces).alias("p"))
+        cells.select(day.alias("layer"), F.explode(pieces).alias("p"))
         .select("layer", "p.kind", "p.name")
         .distinct()
     )

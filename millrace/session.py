@@ -36,4 +36,19 @@ def scratch_path(spark: SparkSession, label: str) -> str:
             raise ValueError("set spark.checkpoint.dir to a folder shared by all executors")
         base = tempfile.mkdtemp(prefix="millrace-")
         spark.conf.set("spark.checkpoint.dir", base)
-    return f"{base.rstrip('/')}/millrace/{label}-{uuid.uuid4().hex}"
+    return f"{_own_folder(spark, base)}/{label}-{uuid.uuid4().hex}"
+
+
+def clear_scratch(spark: SparkSession) -> None:
+    """Delete this application's intermediate tables.
+
+    Results built on them can no longer be read afterwards.
+    """
+    base = spark.conf.get("spark.checkpoint.dir", None)
+    if base:
+        hadoop = spark._jvm.org.apache.hadoop.fs.Path(_own_folder(spark, base))
+        hadoop.getFileSystem(spark._jsc.hadoopConfiguration()).delete(hadoop, True)
+
+
+def _own_folder(spark: SparkSession, base: str) -> str:
+    return f"{base.rstrip('/')}/millrace/{spark.sparkContext.applicationId}"

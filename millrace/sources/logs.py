@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from ..operators.quality import decode_value
 from ..schemas import ENVELOPE
 
+FILES_PER_BATCH = 1000
 
 def publish(rows: DataFrame, path: str, limit: int | None = None) -> None:
     """Append rows to a log as JSON lines; no limit publishes all."""
@@ -17,6 +18,15 @@ def publish(rows: DataFrame, path: str, limit: int | None = None) -> None:
     rows.select(F.to_json(F.struct("*")).alias("value")).write.mode("append").text(path)
 
 
+def publish_kafka(rows: DataFrame, servers: str, topic: str, limit: int | None = None) -> None:
+    """The same to a Kafka topic. Needs the connector package; not tested here."""
+    if limit:
+        rows = rows.limit(limit)
+    rows.select(F.to_json(F.struct("*")).alias("value")).write.format("kafka").option(
+        "kafka.bootstrap.servers", servers
+    ).option("topic", topic).save()
+
+
 def read_published(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.text(path)
 
@@ -35,11 +45,12 @@ def read_log(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.schema(ENVELOPE).parquet(path)
 
 
-def stream_log(spark: SparkSession, path: str, files_per_batch: int | None = None) -> DataFrame:
-    """The log as a stream; progress lives in the query's checkpoint."""
-    reader = spark.readStream.schema(ENVELOPE)
-    if files_per_batch:
-        reader = reader.option("maxFilesPerTrigger", files_per_batch)
+def stream_log(spark: SparkSession, path: str, files_per_batch: int = FILES_PER_BATCH) -> DataFrame:
+    """The log as a stream; progress lives in the query's checkpoint.
+
+    A first run over a long log goes through it in batches of this many files.
+    """
+    reader = spark.readStream.schema(ENVELOPE).option("maxFilesPerTrigger", files_per_batch)
     return reader.parquet(path)
 
 

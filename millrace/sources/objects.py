@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 
 def list_objects(spark: SparkSession, folder: str) -> DataFrame:
@@ -33,7 +33,7 @@ def write_csv(df: DataFrame, folder: str) -> None:
     df.write.option("header", True).option("escape", '"').csv(folder)
 
 
-def folder_of(path: F.Column) -> F.Column:
+def folder_of(path: Column) -> Column:
     return F.regexp_replace(path, "/[^/]*$", "")
 
 

@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types as T
 
 from ..functions.times import iso_text
 from ..operators.ordering import number_by_id
+from .logs import FILES_PER_BATCH
 
 # The plant's devices, in the order of user_id modulo five.
 DEVICES = ["CNC-001", "CNC-002", "ROBOT-A", "ROBOT-B", "PRESS-04"]
@@ -32,11 +33,12 @@ def stream_events(spark: SparkSession, sf_dir: str) -> DataFrame:
     return (
         spark.readStream.schema(EVENTS)
         .option("pathGlobFilter", "events.parquet")
+        .option("maxFilesPerTrigger", FILES_PER_BATCH)
         .parquet(sf_dir)
     )
 
 
-def reading_rank(events: DataFrame) -> F.Column:
+def reading_rank() -> Column:
     """The counter k inside ``props``."""
     return F.get_json_object("props", "$.k").cast("int")
 
@@ -51,14 +53,14 @@ def telemetry_from_events(events: DataFrame) -> DataFrame:
         ),
         F.col("ts").alias("event_time"),
         F.col("value").alias("temperature"),
-        (reading_rank(events) * F.lit(VIBRATION_STEP)).alias("vibration"),
+        (reading_rank() * F.lit(VIBRATION_STEP)).alias("vibration"),
         F.when(F.col("event_type") == "error", "WARNING").otherwise("OK").alias("status"),
         F.pmod("user_id", F.lit(LOG_PARTITIONS)).cast("int").alias("partition"),
         F.col("event_id").alias("event_number"),
     )
 
 
-def payload_json() -> F.Column:
+def payload_json() -> Column:
     """JSON message of a typed reading."""
     return F.to_json(
         F.struct(
@@ -116,7 +118,7 @@ def consumer_offsets(readings: DataFrame) -> DataFrame:
 
 def probes_from_events(events: DataFrame) -> DataFrame:
     """Service probe results, one per event: the service is the event type."""
-    k = reading_rank(events)
+    k = reading_rank()
     return events.select(
         F.concat(F.initcap("event_type"), F.lit(" Service")).alias("description"),
         (F.lit(9000) + k).cast("int").alias("port"),

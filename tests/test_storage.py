@@ -58,6 +58,28 @@ def test_batch_replaces_only_itself(spark, tmp_path):
     assert m.last_updated is not None
 
 
+def test_scan_is_newest_first(spark, tmp_path):
+    path = str(tmp_path / "t")
+    rows = [(f"e{i}", "d", datetime(2024, 1, 1 + i), 50.0, 1.0, "OK") for i in range(9)]
+    tables.write_batch(silver(spark, *rows), path, SILVER, 0)
+    ids = [r.event_id for r in tables.scan_latest(spark, path, SILVER, 3).collect()]
+    assert ids == ["e8", "e7", "e6"]
+    assert tables.scan_latest(spark, path, SILVER, None).count() == 9
+    assert tables.scan_latest(spark, path, SILVER, 0).count() == 9
+    with pytest.raises(Exception, match="PATH_NOT_FOUND"):
+        tables.scan_latest(spark, path + "x", SILVER)
+
+
+def test_anomaly_count_that_does_not_fit_fails_the_write(spark, tmp_path):
+    row = (datetime(2024, 1, 1), datetime(2024, 1, 2), 2**40, 50.0, 2**40)
+    kpi = spark.createDataFrame(
+        [row],
+        "window_start timestamp_ntz, window_end timestamp_ntz, total_events bigint, avg_temp double, anomaly_count bigint",
+    )
+    with pytest.raises(Exception, match="OVERFLOW"):
+        tables.write_batch(kpi, str(tmp_path / "g"), GOLD, 0)
+
+
 def test_metrics_of_an_empty_table(spark):
     m = tables.table_metrics(spark.createDataFrame([], stored(GOLD))).first()
     assert tuple(m) == (0, 0, None, None)
@@ -104,3 +126,14 @@ def test_csv_quotes_survive(spark, tmp_path):
     objects.write_csv(df, str(tmp_path / "c"))
     again = spark.read.schema(df.schema).option("header", True).option("escape", '"').csv(str(tmp_path / "c"))
     assert again.where("n = 1").first().t == 'say "hi", ok'
+
+
+def test_scratch_is_cleared(spark):
+    from millrace.session import clear_scratch, scratch_path
+
+    path = scratch_path(spark, "t")
+    assert path != scratch_path(spark, "t")
+    spark.range(3).write.parquet(path)
+    clear_scratch(spark)
+    with pytest.raises(Exception, match="PATH_NOT_FOUND"):
+        spark.read.parquet(path)
