@@ -12,6 +12,9 @@ _ISO_SHAPE = (
     r"^(?!0000)\d{4}-\d{2}-\d{2}"
     r"([T ]\d{2}(:\d{2}(:\d{2}(\.\d+)?)?)?(Z|[+-]\d{2}(:?\d{2})?)?)?$"
 )
+_FULL_SHAPE = (
+    r"^(?!0000)\d{4}-\d{2}-\d{2}[T ]\d{2}:\d{2}:\d{2}(\.\d+)?(Z|[+-]\d{2}(:?\d{2})?)$"
+)
 
 
 def _epoch() -> Column:
@@ -39,9 +42,7 @@ def parse_iso(text: Column) -> Column:
     def zone(start: int) -> Column:
         return F.coalesce(F.nullif(F.substring(text, start, 10), F.lit("")), F.lit("Z"))
 
-    tail = F.substring(text, 20, 40)
-    zoned = tail.endswith("Z") | tail.contains("+") | tail.contains("-")
-    full = (
+    filled = (
         F.when(F.length(text) == 10, F.concat(text, F.lit("T00:00:00Z")))
         .when(
             F.substring(text, 14, 1) != ":",
@@ -51,10 +52,10 @@ def parse_iso(text: Column) -> Column:
             F.substring(text, 17, 1) != ":",
             F.concat(F.substring(text, 1, 16), F.lit(":00"), zone(17)),
         )
-        .when(zoned, text)
         .otherwise(F.concat(text, F.lit("Z")))
     )
-    return F.when(text.rlike(_ISO_SHAPE), to_utc_ntz(F.try_to_timestamp(full)))
+    full = F.when(text.rlike(_FULL_SHAPE), text).when(text.rlike(_ISO_SHAPE), filled)
+    return to_utc_ntz(F.try_to_timestamp(full))
 
 
 def from_epoch_millis(millis: Column) -> Column:

@@ -101,12 +101,9 @@ def _strict_quotes(value: Column) -> Column:
 
 
 def _typed_fields(log: DataFrame) -> DataFrame:
-    """Parse each message once, then turn its texts into typed columns.
+    """Parse each message once and turn its texts into typed columns.
 
-    Both steps end in a generator on purpose: a filter on their results is not
-    pushed below it, so nothing is parsed a second time to evaluate the filter, and
-    the generated methods stay small enough for the JIT compiler. ``_keys`` is only
-    worked out where some field is null.
+    ``_keys`` is only worked out where some field is null.
     """
     texts = PAYLOAD_TEXT.names
     parsed = log.select(
@@ -116,7 +113,8 @@ def _typed_fields(log: DataFrame) -> DataFrame:
     some_null = reduce(lambda a, b: a | b, [F.col(f"_{t}").isNull() for t in texts])
     value = F.col("value")
     keys = F.when(some_null, F.json_object_keys("value"))
-    typed = F.struct(
+    return parsed.select(
+        *log.columns,
         F.col("_event_id").alias("event_id"),
         F.col("_device_id").alias("device_id"),
         parse_iso(F.col("_timestamp")).alias("event_time"),
@@ -130,7 +128,6 @@ def _typed_fields(log: DataFrame) -> DataFrame:
             F.lit(False),
         ).alias("_object"),
     )
-    return parsed.select(*log.columns, F.inline(F.array(typed)))
 
 
 def check_messages(log: DataFrame) -> DataFrame:
@@ -139,6 +136,9 @@ def check_messages(log: DataFrame) -> DataFrame:
     Rules on a field apply only where its key is present: a missing key reports
     just ``missing_keys``. Columns of ``log`` are kept; the message time comes out
     as ``event_time``.
+
+    The reasons come out of a generator on purpose: a filter on them is not pushed
+    below it, so no message is parsed a second time to evaluate the filter.
     """
     typed = _typed_fields(log)
     obj, nulls = F.col("_object"), F.col("_some_null")
