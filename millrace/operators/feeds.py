@@ -5,8 +5,10 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from .ordering import previous
+from .sizing import measured
 
 _TASK_GROUPS = 256
+_HEAD = 20
 
 
 def latest(df: DataFrame, limit: int | None = None, tie: list[str] | None = None) -> DataFrame:
@@ -54,26 +56,30 @@ def newest_per_key(df: DataFrame, key: list[str], order: list[str]) -> DataFrame
     )
 
 
-def merge_feed(
-    seen: DataFrame, page: DataFrame, key: str | None, time: str, n: int, tie: str | None = None
-) -> DataFrame:
+def merge_feed(seen: DataFrame, page: DataFrame, key: str | None, time: str, n: int) -> DataFrame:
     """Append a page to a feed, skip rows already in it, keep the newest ``n``.
 
-    ``key`` identifies a row, and decides between equal times. The newest ``n`` keys
-    are found from two columns; only their rows, a side the limit keeps small, are
-    then read whole. Without a key whole rows are compared, with ``tie`` for equal times.
+    ``key`` identifies a row; None compares whole rows. Equal times are ordered by key.
+
+    The newest rows, copies included, are taken first: that needs no shuffle. When
+    they hold ``n`` different keys, or every row there is, no other row can belong to
+    the result. Otherwise copies crowd the front, and the keys are found by an
+    aggregate over all rows.
     """
     both = seen.unionByName(page)
-    if key is None:
-        order = [F.col(c).desc_nulls_last() for c in (time, tie) if c]
-        return both.dropDuplicates().orderBy(*order).limit(n)
-    newest = (
-        both.groupBy(key)
-        .agg(F.max(time).alias("_time"))
-        .orderBy(F.col("_time").desc_nulls_last(), F.col(key).desc())
-        .limit(n)
-    )
-    return newest_per_key(both.join(newest, key, "left_semi"), [key], [time])
+    identity = [key] if key else both.columns
+    newest = [F.col(c).desc_nulls_last() for c in [time, *(c for c in identity if c != time)]]
+    size = n * _HEAD
+    head = measured(both.orderBy(*newest).limit(size))
+    if head.count() < size or head.select(*identity).distinct().count() >= n:
+        pool = head
+    elif key:
+        keys = both.groupBy(key).agg(F.max(time).alias(time)).orderBy(*newest).limit(n)
+        pool = both.join(keys.select(key), key, "left_semi")
+    else:
+        pool = both
+    single = newest_per_key(pool, [key], [time]) if key else pool.dropDuplicates()
+    return single.orderBy(*newest).limit(n)
 
 
 def drop_unchanged(

@@ -415,7 +415,7 @@ def merged_gold_feed(spark, sf_dir):
     feed = _hourly(spark, sf_dir)
     seen = feed.where(F.col("hour_start") < _ntz(FEED_SPLIT[0]))
     page = feed.where(F.col("hour_start") >= _ntz(FEED_SPLIT[1]))
-    return feeds.merge_feed(seen, page, None, "window_start", 50, tie="window_end")
+    return feeds.merge_feed(seen, page, None, "window_start", 50)
 
 
 def latest_state(spark, sf_dir):

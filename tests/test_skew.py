@@ -119,14 +119,25 @@ def test_newest_per_key(df, rows):
     assert {tuple(r) for r in got.collect()} == want
 
 
-def test_merge_feed_with_hot_copies(spark):
-    rows = [(i, 1000 - i, f"v{i}") for i in range(200)]
-    copies = [rows[3]] * 500
-    seen = spark.createDataFrame(rows[50:] + copies, "id bigint, t int, v string")
-    page = spark.createDataFrame(rows[:100] + copies, "id bigint, t int, v string")
-    assert {tuple(r) for r in merge_feed(seen, page, "id", "t", 20).collect()} == set(rows[:20])
-    whole = merge_feed(seen, page, None, "t", 20, tie="id").collect()
-    assert {tuple(r) for r in whole} == set(rows[:20]) and len(whole) == 20
+@pytest.mark.parametrize("copies", [0, 1, 500])
+@pytest.mark.parametrize("n", [1, 20, 150, 1000])
+def test_merge_feed(spark, copies, n):
+    """With 500 copies near the front the newest rows alone do not suffice."""
+    rows = [(i, 1000 - i // 2, f"v{i}") for i in range(200)]
+    hot = [rows[3]] * copies
+    seen = spark.createDataFrame(rows[50:] + hot, "id bigint, t int, v string")
+    page = spark.createDataFrame(rows[:100] + hot, "id bigint, t int, v string")
+    want = set(sorted(rows, key=lambda r: (-r[1], -r[0]))[:n])
+    for key in ("id", None):
+        got = [tuple(r) for r in merge_feed(seen, page, key, "t", n).collect()]
+        assert set(got) == want and len(got) == len(want)
+
+
+def test_merge_feed_keeps_the_newest_version(spark):
+    old = spark.createDataFrame([(i, i, "old") for i in range(100)], "id bigint, t int, v string")
+    new = spark.createDataFrame([(i, 1000, "new") for i in range(3)], "id bigint, t int, v string")
+    got = {tuple(r) for r in merge_feed(old, new, "id", "t", 5).collect()}
+    assert got == {(2, 1000, "new"), (1, 1000, "new"), (0, 1000, "new"), (99, 99, "old"), (98, 98, "old")}
 
 
 def test_broadcast_follows_measured_size(spark, df):
