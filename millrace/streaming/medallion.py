@@ -67,7 +67,11 @@ def process_batch(
     leaves no duplicates. Counters are observed during the first write.
     """
     number = tables.first_batch + batch_id
-    checked = check_messages(messages).persist(StorageLevel.MEMORY_AND_DISK)
+    checked = check_messages(messages)
+    # raw text is kept only where it goes to quarantine: less to hold between the writes
+    raw = F.when(F.size("reasons") > 0, F.col("value"))
+    checked = checked.withColumn("value", raw).drop("timestamp")
+    checked = checked.persist(StorageLevel.MEMORY_AND_DISK)
     try:
         seen = Observation()
         watched = checked.observe(
@@ -76,7 +80,7 @@ def process_batch(
             F.count_if(F.size("reasons") == 0).alias("processed"),
         )
         valid = valid_rows(watched)
-        silver = valid.withColumn("timestamp", F.col("event_time")).select(*SILVER.names)
+        silver = valid.withColumnRenamed("event_time", "timestamp").select(*SILVER.names)
         write_batch(silver, tables.silver, SILVER, number)
         write_batch(quarantine_rows(checked), tables.quarantine, QUARANTINE, number)
         # KPIs come from the doubles, before the table narrows them to float
