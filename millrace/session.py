@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from functools import cache
 
 from pyspark.sql import SparkSession
 
@@ -25,18 +26,8 @@ def local_session(cpus: int | str = "*", shuffle_partitions: int = 8) -> SparkSe
 
 
 def scratch_path(spark: SparkSession, label: str) -> str:
-    """A new folder name for an intermediate table that every executor can reach.
-
-    The base is the session's ``spark.checkpoint.dir``. Only a local session may
-    go without: it gets a temporary folder of its own.
-    """
-    base = spark.conf.get("spark.checkpoint.dir", None)
-    if not base:
-        if not spark.sparkContext.master.startswith("local"):
-            raise ValueError("set spark.checkpoint.dir to a folder shared by all executors")
-        base = tempfile.mkdtemp(prefix="millrace-")
-        spark.conf.set("spark.checkpoint.dir", base)
-    return f"{_own_folder(spark, base)}/{label}-{uuid.uuid4().hex}"
+    """A new folder name for an intermediate table that every executor can reach."""
+    return f"{_own_folder(spark)}/{label}-{uuid.uuid4().hex}"
 
 
 def clear_scratch(spark: SparkSession) -> None:
@@ -44,11 +35,24 @@ def clear_scratch(spark: SparkSession) -> None:
 
     Results built on them can no longer be read afterwards.
     """
-    base = spark.conf.get("spark.checkpoint.dir", None)
-    if base:
-        hadoop = spark._jvm.org.apache.hadoop.fs.Path(_own_folder(spark, base))
-        hadoop.getFileSystem(spark._jsc.hadoopConfiguration()).delete(hadoop, True)
+    folder = spark._jvm.org.apache.hadoop.fs.Path(_own_folder(spark))
+    folder.getFileSystem(spark._jsc.hadoopConfiguration()).delete(folder, True)
+
 
+@cache
+def _local_base(application: str) -> str:
+    return tempfile.mkdtemp(prefix="millrace-")
 
-def _own_folder(spark: SparkSession, base: str) -> str:
-    return f"{base.rstrip('/')}/millrace/{spark.sparkContext.applicationId}"
+
+def _own_folder(spark: SparkSession) -> str:
+    """This application's folder below the session's ``spark.checkpoint.dir``.
+
+    Only a local session may go without that setting: it gets a temporary folder.
+    """
+    application = spark.sparkContext.applicationId
+    base = spark.conf.get("spark.checkpoint.dir", None)
+    if not base:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder shared by all executors")
+        base = _local_base(application)
+    return f"{base.rstrip('/')}/millrace/{application}"
