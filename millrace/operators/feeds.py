@@ -9,6 +9,7 @@ from .sizing import measured
 
 _TASK_GROUPS = 256
 _HEAD = 20
+_HEAD_MAX = 100_000
 
 
 def latest(df: DataFrame, limit: int | None = None, tie: list[str] | None = None) -> DataFrame:
@@ -56,6 +57,18 @@ def newest_per_key(df: DataFrame, key: list[str], order: list[str]) -> DataFrame
     )
 
 
+def _complete_head(
+    rows: DataFrame, identity: list[str], newest: list[Column], n: int
+) -> DataFrame | None:
+    """The first rows by ``newest`` if they are sure to hold the first ``n`` identities."""
+    size = n * _HEAD
+    if size > _HEAD_MAX:
+        return None
+    head = measured(rows.orderBy(*newest).limit(size))
+    whole = head.count() < size
+    return head if whole or head.select(*identity).distinct().count() >= n else None
+
+
 def merge_feed(seen: DataFrame, page: DataFrame, key: str | None, time: str, n: int) -> DataFrame:
     """Append a page to a feed, skip rows already in it, keep the newest ``n``.
 
@@ -63,20 +76,17 @@ def merge_feed(seen: DataFrame, page: DataFrame, key: str | None, time: str, n:
 
     The newest rows, copies included, are taken first: that needs no shuffle. When
     they hold ``n`` different keys, or every row there is, no other row can belong to
-    the result. Otherwise copies crowd the front, and the keys are found by an
-    aggregate over all rows.
+    the result. Otherwise copies crowd the front (or ``n`` is large), and the keys are
+    found by an aggregate over all rows.
     """
     both = seen.unionByName(page)
     identity = [key] if key else both.columns
     newest = [F.col(c).desc_nulls_last() for c in [time, *(c for c in identity if c != time)]]
-    size = n * _HEAD
-    head = measured(both.orderBy(*newest).limit(size))
-    if head.count() < size or head.select(*identity).distinct().count() >= n:
-        pool = head
-    elif key:
+    pool = _complete_head(both, identity, newest, n)
+    if pool is None and key:
         keys = both.groupBy(key).agg(F.max(time).alias(time)).orderBy(*newest).limit(n)
         pool = both.join(keys.select(key), key, "left_semi")
-    else:
+    elif pool is None:
         pool = both
     single = newest_per_key(pool, [key], [time]) if key else pool.dropDuplicates()
     return single.orderBy(*newest).limit(n)

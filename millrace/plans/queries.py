@@ -41,6 +41,10 @@ def _log(spark: SparkSession, sf_dir: str) -> DataFrame:
     return telemetry.bronze_log(_readings(spark, sf_dir))
 
 
+def _positions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return telemetry.log_positions(_readings(spark, sf_dir))
+
+
 def _offsets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return measured(telemetry.consumer_offsets(_readings(spark, sf_dir)))
 
@@ -214,17 +218,15 @@ def metrics_long(spark, sf_dir):
 
 
 def recent_messages(spark, sf_dir):
-    found = monitor.recent_messages(_log(spark, sf_dir), _offsets(spark, sf_dir), 50)
-    return _message_fields(found)
+    return monitor.recent_messages(_positions(spark, sf_dir), _offsets(spark, sf_dir), 50)
 
 
 def unprocessed_messages(spark, sf_dir):
-    found = monitor.unprocessed_messages(_log(spark, sf_dir), _offsets(spark, sf_dir), 50)
-    return _message_fields(found)
+    return monitor.unprocessed_messages(_positions(spark, sf_dir), _offsets(spark, sf_dir), 50)
 
 
 def recent_message(spark, sf_dir):
-    return _message_fields(monitor.recent_message(_log(spark, sf_dir)))
+    return monitor.recent_message(_positions(spark, sf_dir))
 
 
 def published_messages(spark, sf_dir):

@@ -74,18 +74,28 @@ def payload_json() -> Column:
     )
 
 
-def bronze_log(readings: DataFrame) -> DataFrame:
-    """Message envelopes with a dense offset per log partition.
+def _numbered(readings: DataFrame) -> DataFrame:
+    """Readings with a dense offset per log partition, in event number order.
 
-    A producer stores the offset once, when it appends. Here it is derived, in
-    event number order.
+    A producer stores the offset once, when it appends. Here it is derived.
     """
-    numbered = number_by_id(readings, ["partition"], "event_number", "offset")
-    return numbered.select(
+    return number_by_id(readings, ["partition"], "event_number", "offset")
+
+
+def bronze_log(readings: DataFrame) -> DataFrame:
+    """Message envelopes with a dense offset per log partition."""
+    return _numbered(readings).select(
         "partition", "offset", F.col("event_time").alias("timestamp"), payload_json().alias("value")
     )
 
 
+def log_positions(readings: DataFrame) -> DataFrame:
+    """The same log with only the event id for a payload."""
+    return _numbered(readings).select(
+        "partition", "offset", F.col("event_time").alias("timestamp"), "event_id"
+    )
+
+
 def unnumbered_log(readings: DataFrame) -> DataFrame:
     """Envelopes for a stream, whose offsets ascend but have gaps."""
     return readings.select(

@@ -156,3 +156,11 @@ def test_context_with_nothing_in_it(spark, log, offsets):
     assert doc["bronze_layer"]["total_messages"] == log.count()
     no_log = context_document(none, layers, metrics.where("1 = 0"), silver, gold).first().context
     assert json.loads(no_log)["bronze_layer"] is None
+
+
+def test_browsing_keeps_the_message(spark, log, offsets):
+    found = monitor.recent_messages(log, offsets, 8).collect()
+    assert all(r.value.startswith('{"event_id":') for r in found) and len(found) == 8
+    waiting = monitor.unprocessed_messages(log, offsets, 5).collect()
+    assert [r.offset for r in waiting] == list(range(waiting[0].offset, waiting[0].offset + 5))
+    assert monitor.unprocessed_messages(log, offsets, None).count() == 3190

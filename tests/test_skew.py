@@ -120,7 +120,7 @@ def test_newest_per_key(df, rows):
 
 
 @pytest.mark.parametrize("copies", [0, 1, 500])
-@pytest.mark.parametrize("n", [1, 20, 150, 1000])
+@pytest.mark.parametrize("n", [1, 20, 150, 1000, 10_000])
 def test_merge_feed(spark, copies, n):
     """With 500 copies near the front the newest rows alone do not suffice."""
     rows = [(i, 1000 - i // 2, f"v{i}") for i in range(200)]
