@@ -40,17 +40,16 @@ def context_document(
     """
     spark = inventory.sparkSession
 
-    def count(kind: str) -> Column:
-        return inventory.where(F.col("kind") == kind).agg(F.count(F.lit(1))).scalar()
-
+    kinds = {"topics": "topic", "tables": "table", "buckets": "bucket"}
+    counts = inventory.agg(
+        F.struct(*[F.count_if(F.col("kind") == k).alias(name) for name, k in kinds.items()])
+    ).scalar()
     bronze = metrics.limit(1).select(
         F.struct("topic", "total_messages", "lag_seconds", "processing_rate")
     )
     document = F.struct(
         F.struct(
-            count("topic").alias("topics"),
-            count("table").alias("tables"),
-            count("bucket").alias("buckets"),
+            *[counts[name].alias(name) for name in kinds],
             _readiness_map(readiness).alias("readiness"),
         ).alias("dashboard"),
         bronze.scalar().alias("bronze_layer"),
