@@ -27,7 +27,7 @@ from millrace.llm.common import add_columns, texts
 #: Words up to this many bytes are scanned; both ways give the same parts.
 SCANNED = 128
 #: Words remembered per Python worker; the memory is emptied when full.
-REMEMBERED = 300_000
+REMEMBERED = 250_000
 
 _NONE = 1 << 60
 
@@ -178,6 +178,24 @@ def decode(df: DataFrame, vocabulary: str, ids: str = "ids", text: str = "decode
     return add_columns(df, [ids], [T.StructField(text, T.StringType())], compute)
 
 
+def encode_and_decode(
+    df: DataFrame, vocabulary: str, text: str = "text", ids: str = "ids", decoded: str = "decoded"
+) -> DataFrame:
+    """df with the ids of its texts and what these ids decode to, in one pass over the rows."""
+
+    def compute():
+        bpe = _vocabulary(vocabulary)
+
+        def made(column: pa.Array) -> list:
+            found = [bpe.encode(t) for t in texts(column)]
+            return [found, [bpe.decode(x) for x in found]]
+
+        return made
+
+    fields = [T.StructField(ids, T.ArrayType(T.IntegerType(), False)), T.StructField(decoded, T.StringType())]
+    return add_columns(df, [text], fields, compute)
+
+
 def ids_sha256(ids: str) -> Column:
     """Digest of the decimal ids, joined by one space."""
     return F.sha2(F.array_join(F.col(ids).cast("array<string>"), " "), 256)
@@ -185,7 +203,7 @@ def ids_sha256(ids: str) -> Column:
 
 def tokenized(df: DataFrame, vocabulary: str) -> DataFrame:
     """Per document: token count and the digests of ids and decoded text."""
-    made = decode(encode(df.select("doc_id", "text"), vocabulary), vocabulary)
+    made = encode_and_decode(df.select("doc_id", "text"), vocabulary)
     return made.select(
         "doc_id",
         F.size("ids").cast("long").alias("n_tokens"),

@@ -56,7 +56,7 @@ def add_columns(
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         made = compute()
-        for batch in batches:
+        for batch in (part for whole in batches for part in parts(whole)):
             new = made(*batch.columns[n:])
             new = [
                 a.cast(arrow.field(n + i).type) if isinstance(a, pa.Array) else pa.array(a, arrow.field(n + i).type)
@@ -67,6 +67,20 @@ def add_columns(
     return given.mapInArrow(run, schema).toDF(*kept, *[f.name for f in fields])
 
 
+#: Bytes of rows handled at once; a longer row is handled alone.
+PART_BYTES = 4 << 20
+
+
+def parts(batch: pa.RecordBatch, limit: int = PART_BYTES) -> Iterator[pa.RecordBatch]:
+    """The batch in slices of limited size."""
+    if batch.nbytes <= limit or batch.num_rows < 2:
+        yield batch
+        return
+    half = batch.num_rows // 2
+    yield from parts(batch.slice(0, half), limit)
+    yield from parts(batch.slice(half), limit)
+
+
 def texts(column: pa.Array) -> list[str]:
     """Python strings; null counts as empty."""
     return [t or "" for t in column.to_pylist()]
@@ -169,3 +183,15 @@ def grams(words: Words, n: int) -> tuple[np.ndarray, np.ndarray]:
 def utf8(column: pa.Array) -> list[bytes]:
     """UTF-8 bytes of each text; null counts as empty."""
     return [b or b"" for b in column.cast(pa.binary()).to_pylist()]
+
+
+def slices(batch: list[bytes], limit: int) -> Iterator[tuple[int, int]]:
+    """Row ranges of about limit bytes each; a longer text is a range of its own."""
+    lo = size = 0
+    for i, b in enumerate(batch):
+        if i > lo and size + len(b) > limit:
+            yield lo, i
+            lo, size = i, 0
+        size += len(b)
+    if lo < len(batch):
+        yield lo, len(batch)

@@ -7,19 +7,77 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from millrace.llm import bpe
+from millrace.llm import bpe, decontaminate, warc
 from millrace.llm.common import table
 
 #: The vocabulary of op8; any other file of its kind will do.
 VOCABULARY = public_tokenizers.path("word_bpe_49k.json")
 
 
+def op4_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate.contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+def op5_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return warc.round_trip(table(spark, sf_dir, "pages"))
+
+
 def op8_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.tokenized(table(spark, sf_dir, "documents"), VOCABULARY)
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op4_decontaminate": op4_decontaminate,
+    "op5_warc": op5_warc,
     "op8_bpe": op8_bpe,
 }
 
-ORACLES: dict[str, str] = {}
+#: A-Z in lower case, other letters as they are.
+_LOWER = "translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+
+_OP4 = rf"""
+WITH w AS (
+  SELECT doc_id, regexp_extract_all({_LOWER}, '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM documents),
+b AS (
+  SELECT item_id, regexp_extract_all({_LOWER}, '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM benchmark),
+windows AS (
+  SELECT item_id, least(10, len(w)) AS n, array_to_string(w[p:p + least(10, len(w)) - 1], ' ') AS s
+  FROM b, unnest(range(1, len(w) - least(10, len(w)) + 2)) AS t(p) WHERE len(w) > 0),
+places AS (
+  SELECT doc_id, p, n, array_to_string(w[p:p + n - 1], ' ') AS s
+  FROM w, (SELECT DISTINCT n FROM windows), unnest(range(1, len(w) - n + 2)) AS t(p)),
+hits AS (SELECT DISTINCT doc_id, item_id, p, n FROM places JOIN windows USING (n, s)),
+words AS (
+  SELECT doc_id, count(DISTINCT p + k) AS n_hit FROM hits, unnest(range(0, n)) AS t(k) GROUP BY doc_id),
+items AS (
+  SELECT doc_id, count(*) AS n_items, string_agg(item_id, ',' ORDER BY item_id) AS ids
+  FROM (SELECT DISTINCT doc_id, CAST(item_id AS varchar) AS item_id FROM hits) GROUP BY doc_id)
+SELECT doc_id, CAST(coalesce(len(w), 0) AS bigint) AS n_words, CAST(coalesce(n_hit, 0) AS bigint) AS n_hit,
+       CAST(coalesce(n_items, 0) AS bigint) AS n_items, sha256(coalesce(ids, '')) AS items_sha256,
+       coalesce(n_hit, 0) > 0 AS contaminated
+FROM w LEFT JOIN words USING (doc_id) LEFT JOIN items USING (doc_id)
+"""
+
+_BITS = "0000000100100011010001010110011110001001101010111100110111101111"
+_OP5 = f"""
+WITH p AS (SELECT page_id, coalesce(html, '') AS html FROM pages),
+h AS (SELECT page_id, strlen(html) AS payload_bytes, sha1(html) AS hex FROM p),
+bits AS (
+  SELECT page_id, array_to_string(list_transform(string_split(hex, ''),
+    c -> substr('{_BITS}', 4 * (instr('0123456789abcdef', c) - 1) + 1, 4)), '') AS bits FROM h),
+digests AS (
+  SELECT page_id, array_to_string(list_transform(range(0, 32),
+    i -> substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', 1
+      + 16 * CAST(bits[5 * i + 1] AS int) + 8 * CAST(bits[5 * i + 2] AS int) + 4 * CAST(bits[5 * i + 3] AS int)
+      + 2 * CAST(bits[5 * i + 4] AS int) + CAST(bits[5 * i + 5] AS int), 1)), '') AS payload_digest FROM bits),
+firsts AS (SELECT hex, min(page_id) AS first FROM h GROUP BY hex)
+SELECT page_id, payload_bytes, payload_digest,
+       CASE WHEN page_id = first THEN 'response' ELSE 'revisit' END AS record_type,
+       CASE WHEN page_id <> first THEN first END AS refers_to, true AS intact
+FROM h JOIN firsts USING (hex) JOIN digests USING (page_id)
+"""
+
+ORACLES: dict[str, str] = {
+    "op4_decontaminate": _OP4,
+    "op5_warc": _OP5,
+}

@@ -1,0 +1,64 @@
+"""Records written and read back."""
+
+import base64
+import gzip
+import hashlib
+import io
+
+import pytest
+
+from millrace.llm.warc import read_archives, read_records, record, round_trip, write_archives
+from millrace.session import scratch_path
+
+PAGES = [
+    (3, "http://a/", "<p>é</p>"), (1, "http://b/\r\nX: y", "<p>é</p>"), (2, None, None), (9, "u", ""), (None, "n", "<p>é</p>"),
+    (4, "big", "x" * 300_000), (4, "big", "x" * 300_000), (5, "big2", "x" * 300_000), (6, "own", "\r\n\r\nWARC/1.1\r\n"),
+]
+
+
+def digest(text):
+    return base64.b32encode(hashlib.sha1((text or "").encode()).digest()).decode()
+
+
+def test_round_trip(spark):
+    df = spark.createDataFrame(PAGES, "page_id long, url string, html string").withColumnRenamed("url", "URL")
+    first = {"<p>é</p>": 1, "": 2, "x" * 300_000: 4, PAGES[-1][2]: 6}
+    want = []
+    for page_id, _, html in PAGES:
+        own = page_id is None or first[html or ""] == page_id
+        refers = None if own else first[html or ""]
+        want.append((page_id, len((html or "").encode()), digest(html), "response" if own else "revisit", refers, True))
+    assert sorted(map(tuple, round_trip(df).collect()), key=str) == sorted(want, key=str)
+
+
+def test_payloads_and_small_archives(spark):
+    df = spark.createDataFrame(PAGES, "page_id long, url string, html string").repartition(2)
+    made = write_archives(df, scratch_path(spark, "test-warc"), revisit_from=100, archive_bytes=1000)
+    assert made.count() > 2 and made.agg({"records": "sum"}).first()[0] == len(PAGES)
+    got = read_archives(spark, made).collect()
+    assert all(r.intact for r in got)
+    small = {(r.page_id, r.payload.decode()) for r in got if r.payload_bytes < 100}
+    assert small == {(i, h or "") for i, _, h in PAGES if len(h or "") < 100}
+    assert {r.url for r in got if r.page_id == 1} == {"http://b/%0D%0AX: y"}
+    assert [r.refers_to for r in got if r.record_type == "revisit"] == [4]
+
+
+def test_empty_table(spark):
+    assert round_trip(spark.createDataFrame([], "page_id long, url string, html string")).collect() == []
+
+
+def test_standard_tools_read_a_member():
+    plain = gzip.decompress(record(1, "u", b"abc", None))
+    assert plain.startswith(b"WARC/1.1\r\nWARC-Type: response") and plain.endswith(b"abc\r\n\r\n")
+
+
+def test_damage_is_seen():
+    whole = record(1, "u", b"abc" * 100, None) + record(2, "u", b"x", 1)
+    assert [r["page_id"] for r in read_records(io.BytesIO(whole))] == [1, 2]
+    with pytest.raises(ValueError):
+        list(read_records(io.BytesIO(whole[:-9])))
+    other = gzip.compress(gzip.decompress(record(1, "u", b"abc", None)).replace(b"abc\r", b"abd\r"))
+    assert [r["intact"] for r in read_records(io.BytesIO(other))] == [False]
+    short = gzip.compress(gzip.decompress(record(1, "u", b"abc", None)).replace(b"abc\r", b"ab\r"))
+    with pytest.raises(ValueError):
+        list(read_records(io.BytesIO(short)))
