@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
+import pickle
 from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
@@ -132,7 +133,24 @@ _NO_SPACE = _table(lambda b: b != 32 and not 9 <= b <= 13)
 _NO_SPACE[0] = 255
 
 
+def word_parts(batch: list[bytes]) -> tuple[Words, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Letter words of the texts; per word its hash, first eight bytes, last four, and length."""
+    data, first, end, starts = _ranges(batch, _LETTERS)
+    padded = np.concatenate([data, np.zeros(8, dtype=np.uint8)])
+    eights = np.ndarray((len(data) + 1,), dtype="<u8", buffer=padded, strides=(1,))
+    lengths = end - first
+    hashes = _hashes(data, first, end)
+    last = eights[np.maximum(end - 4, first)] & np.uint64(0xFFFFFFFF)
+    return Words(hashes, starts), hashes, eights[first], last, lengths
+
+
 def _words(batch: list[bytes], kinds: np.ndarray) -> Words:
+    data, first, end, starts = _ranges(batch, kinds)
+    return Words(_hashes(data, first, end), starts)
+
+
+def _ranges(batch: list[bytes], kinds: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Bytes of the texts, where words begin and end, and the first word of each text."""
     joined = b"\n".join(batch) + b"\n"
     kept = kinds[np.frombuffer(joined, dtype=np.uint8)]
     inside = kept != 0
@@ -142,8 +160,7 @@ def _words(batch: list[bytes], kinds: np.ndarray) -> Words:
     first, end = edge[0::2], edge[1::2]
     lengths = np.fromiter(map(len, batch), dtype=np.int64, count=len(batch)) + 1
     limits = np.concatenate([[0], np.cumsum(lengths)])
-    starts = np.searchsorted(first, limits)
-    return Words(_hashes(kept, first, end), starts)
+    return kept, first, end, np.searchsorted(first, limits)
 
 
 def _hashes(data: np.ndarray, first: np.ndarray, end: np.ndarray) -> np.ndarray:
@@ -195,3 +212,35 @@ def slices(batch: list[bytes], limit: int) -> Iterator[tuple[int, int]]:
         size += len(b)
     if lo < len(batch):
         yield lo, len(batch)
+
+
+def held_out(of: int, which: int) -> Column:
+    """Rows that no label is learned from: by a checksum of the id. A null id is not held out."""
+    return F.coalesce(F.crc32(F.col("doc_id").cast("string").cast("binary")) % of == which, F.lit(False))
+
+
+def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, kept_out: Column, most: int) -> DataFrame:
+    """doc_id, text and label of about ``most`` labelled rows at most, chosen by a hash of the id."""
+    usable = labels.where(~kept_out & F.col(label).isNotNull() & F.col("doc_id").isNotNull())
+    usable = usable.groupBy("doc_id").agg(F.max(label).cast("int").alias("label"))
+    share = min(1.0, most / max(1, usable.count()))
+    chosen = usable.where(F.pmod(F.xxhash64("doc_id"), F.lit(1 << 20)) < int(share * (1 << 20)))
+    # Its size is bounded by ``most``, whatever the size of the table.
+    return docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).join(F.broadcast(chosen), "doc_id")
+
+
+def fitted(sample: DataFrame, fit: Callable[[list[bytes], np.ndarray], object]) -> object:
+    """The model that fit(texts, labels) makes of a bounded sample, in one task."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        ids, held, labels = [], [], []
+        for batch in batches:
+            ids += batch.column(0).to_pylist()
+            held += utf8(batch.column(1))
+            labels += batch.column(2).to_pylist()
+        order = sorted(range(len(ids)), key=lambda i: (ids[i], held[i]))
+        model = fit([held[i] for i in order], np.array([labels[i] for i in order], dtype=np.int64))
+        yield pa.RecordBatch.from_arrays([pa.array([pickle.dumps(model)], pa.binary())], names=["model"])
+
+    rows = sample.select("doc_id", "text", "label").repartition(1).mapInArrow(run, "model binary").collect()
+    return pickle.loads(rows[0].model) if rows else fit([], np.zeros(0, dtype=np.int64))

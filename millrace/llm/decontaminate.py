@@ -146,6 +146,8 @@ class TestItems:
         q, width = self.suffixes[hit], self.width[hit]
         lo = suffixes.place(self.words, q, width)
         times = suffixes.place(self.words, q, width, after=True) - lo
+        if not times.sum():
+            return out
         which = np.repeat(np.arange(len(q)), times)
         inside = np.arange(len(which)) - np.repeat(np.cumsum(times) - times, times)
         at, q, width = suffixes.order[lo[which] + inside], q[which], width[which]
