@@ -84,10 +84,10 @@ WITH p AS (SELECT page_id, coalesce(html, '') AS html FROM pages),
 h AS (SELECT page_id, strlen(html) AS payload_bytes, sha1(html) AS hex FROM p),
 bits AS (
   SELECT page_id, array_to_string(list_transform(string_split(hex, ''),
-    c -> substr('{_BITS}', 4 * (instr('0123456789abcdef', c) - 1) + 1, 4)), '') AS bits FROM h),
+    lambda c: substr('{_BITS}', 4 * (instr('0123456789abcdef', c) - 1) + 1, 4)), '') AS bits FROM h),
 digests AS (
   SELECT page_id, array_to_string(list_transform(range(0, 32),
-    i -> substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', 1
+    lambda i: substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', 1
       + 16 * CAST(bits[5 * i + 1] AS int) + 8 * CAST(bits[5 * i + 2] AS int) + 4 * CAST(bits[5 * i + 3] AS int)
       + 2 * CAST(bits[5 * i + 4] AS int) + CAST(bits[5 * i + 5] AS int), 1)), '') AS payload_digest FROM bits),
 firsts AS (SELECT hex, min(page_id) AS first FROM h GROUP BY hex)
