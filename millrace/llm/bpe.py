@@ -16,6 +16,7 @@ import heapq
 import json
 import unicodedata
 
+import public_tokenizers
 import pyarrow as pa
 import regex
 from pyspark.sql import Column, DataFrame
@@ -24,6 +25,8 @@ from pyspark.sql import types as T
 
 from millrace.llm.common import add_columns, texts
 
+#: A public vocabulary; any other file of its kind will do.
+VOCABULARY = public_tokenizers.path("word_bpe_49k.json")
 #: Words up to this many bytes are scanned; both ways give the same parts.
 SCANNED = 128
 #: Words remembered per Python worker; the memory is emptied when full.

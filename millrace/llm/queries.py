@@ -4,14 +4,16 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from millrace.llm import bpe, decontaminate, html_text, pii, quality_rules, toxicity, warc
+import corpus_pipeline
+from millrace.llm import bpe, decontaminate, html_text, line_dedup, ngram_join, pii, quality_model, quality_rules, toxicity, warc
 from millrace.llm.common import table
 
-#: The vocabulary of op8; any other file of its kind will do.
-VOCABULARY = public_tokenizers.path("word_bpe_49k.json")
+
+def op1_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return line_dedup.without_repeats(docs)
 
 
 def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -39,10 +41,23 @@ def op7_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op8_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return bpe.tokenized(table(spark, sf_dir, "documents"), VOCABULARY)
+    return bpe.tokenized(table(spark, sf_dir, "documents"), bpe.VOCABULARY)
+
+
+def op9_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ngram_join.joined(table(spark, sf_dir, "documents"))
+
+
+def op10_quality_model(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality_model.scored(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return corpus_pipeline.run(spark, sf_dir)
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_line_dedup": op1_line_dedup,
     "op2_toxicity": op2_toxicity,
     "op3_pii": op3_pii,
     "op4_decontaminate": op4_decontaminate,
@@ -50,6 +65,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op6_html_text": op6_html_text,
     "op7_quality_rules": op7_quality_rules,
     "op8_bpe": op8_bpe,
+    "op9_ngram_join": op9_ngram_join,
+    "op10_quality_model": op10_quality_model,
+    "pipeline": pipeline,
 }
 
 #: A-Z in lower case, other letters as they are.

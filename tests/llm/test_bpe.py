@@ -6,8 +6,8 @@ import public_tokenizers
 import pytest
 from tokenizers import Tokenizer
 
-from millrace.llm.bpe import SCANNED, WordBpe, decode, encode, tokenized
-from millrace.llm.queries import QUERIES, VOCABULARY
+from millrace.llm.bpe import SCANNED, VOCABULARY, WordBpe, decode, encode, tokenized
+from millrace.llm.queries import QUERIES
 
 ODD = [
     "", " ", "\n\t", "ΑΣ ΟΔΟΣ Σ", "İstanbul ǅ ß ẞ", "a<|endoftext|>b <|startoftext|>", "<|x|> <|",
