@@ -27,7 +27,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -37,7 +37,7 @@ SHINGLE, PERCENT = 3, 90
 #: Words whose frequency is told to the tasks, the most frequent first; it orders lists only.
 TOLD_WORDS = 100_000
 #: Rounds in which each list proposes one query.
-ROUNDS = 2
+ROUNDS = 1
 #: Candidates indexed at once, and candidates of a query in one task.
 BLOCK, TASK = 256, 4096
 #: Bytes of text handled at once.
@@ -150,7 +150,7 @@ def with_sets(docs: DataFrame, ranks: WordRanks, percent: int, n_words: int = SH
 
 
 def whole_sets(docs: DataFrame, n_words: int = SHINGLE) -> DataFrame:
-    """doc_id, digest of the set and all its shingles in ascending order."""
+    """docs with the digest of the set and all its shingles in ascending order, without text."""
 
     def compute():
         def made(column: pa.Array) -> list:
@@ -167,7 +167,7 @@ def whole_sets(docs: DataFrame, n_words: int = SHINGLE) -> DataFrame:
         return made
 
     fields = [T.StructField("digest", T.BinaryType()), T.StructField("items", T.BinaryType())]
-    return add_columns(docs.select("doc_id", "text"), ["text"], fields, compute).drop("text")
+    return add_columns(docs, ["text"], fields, compute).drop("text")
 
 
 class DivideSkip:
@@ -234,13 +234,21 @@ class DivideSkip:
                     heapq.heappush(heap, (lists[k][at], k, at))
 
 
-def links(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """Pairs (query, other) whose sets are similar enough. sets: node and items."""
+def links(pairs: DataFrame, docs: DataFrame, leads: DataFrame, percent: int, n_words: int) -> DataFrame:
+    """Pairs (query, other) of nodes whose sets are similar enough.
+
+    ``leads`` gives a document of each node. The texts of a query and of its candidates are
+    fetched in one join, and their sets meet where the query is searched. The candidates of
+    one query are dealt to several tasks when they are many.
+    """
     tasks = pairs.groupBy("query").agg(F.ceil(F.count("*") / TASK).alias("tasks"))
-    pairs = pairs.join(tasks, "query").withColumn("task", F.pmod(F.xxhash64("other"), F.col("tasks"))).drop("tasks")
-    others = pairs.join(sets.withColumnRenamed("node", "other"), "other").select("query", "task", "other", "items")
-    queries = pairs.select("query", "task").distinct().join(sets.withColumnRenamed("node", "query"), "query")
-    queries = queries.select("query", "task", F.lit(None).cast("long").alias("other"), "items")
+    pairs = pairs.join(tasks, "query").withColumn("task", F.pmod(F.xxhash64("other"), F.col("tasks")))
+    others = pairs.select("query", "task", "other", F.col("other").alias("node"))
+    queries = pairs.select("query", "task").distinct()
+    queries = queries.select("query", "task", F.lit(None).cast("long").alias("other"), F.col("query").alias("node"))
+    asked = saved(others.unionAll(queries).join(leads, "node"), "asked")
+    sets = whole_sets(docs.join(asked, "doc_id").drop("doc_id"), n_words)
+    sets = sets.where(F.xxhash64("digest") == F.col("node")).select("query", "task", "other", "items")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         key, query, numbers, held = None, None, [], []
@@ -272,7 +280,7 @@ def links(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
             yield searched()
 
     # The query's own row comes first, then its candidates.
-    rows = others.unionAll(queries).repartition("query", "task").sortWithinPartitions("query", "task", F.asc_nulls_first("other"))
+    rows = sets.repartition("query", "task").sortWithinPartitions("query", "task", F.asc_nulls_first("other"))
     return saved(rows.mapInArrow(run, "query long, other long"), "links")
 
 
@@ -299,46 +307,69 @@ def components(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     return label
 
 
+def candidates(lists: DataFrame, nodes: DataFrame, percent: int, step: int) -> DataFrame:
+    """Pairs to be searched: in the first rounds each list's head with the others, at the end
+    all pairs that are in one list and not yet in one component.
+
+    Of two linked sets one has its rare shingles wholly below the other's last one; those
+    that are not shared are missing from the overlap. So the pair shares at least
+    T - max(T of each) + 1 rare shingles, T being the overlap that it needs. Heads see only
+    part of what a pair shares; what they miss comes at the end.
+    """
+    current = lists.join(nodes, "node")
+    heads = (
+        current.groupBy("item")
+        .agg(
+            F.min("component").alias("_a"),
+            F.max("component").alias("_b"),
+            F.min_by(F.struct("node", "component", "n"), F.xxhash64("component", "node", F.lit(step))).alias("head"),
+        )
+        .where("_a <> _b")
+        .drop("_a", "_b")
+    )
+    if step < ROUNDS:
+        pairs = current.join(heads, "item").where(F.col("component") != F.col("head.component"))
+        pairs = pairs.select(
+            F.col("head.node").alias("query"), F.col("head.n").alias("n1"), F.col("node").alias("other"), F.col("n").alias("n2")
+        )
+    else:
+        current = saved(current.join(heads.select("item"), "item"), "open-lists")
+        a, b = current.alias("a"), current.alias("b")
+        apart = (F.col("a.item") == F.col("b.item")) & (F.col("a.component") < F.col("b.component"))
+        pairs = a.join(b, apart & _near(F.col("a.n"), F.col("b.n"), percent))
+        pairs = pairs.select(
+            F.col("a.node").alias("query"), F.col("a.n").alias("n1"), F.col("b.node").alias("other"), F.col("b.n").alias("n2")
+        )
+    pairs = pairs.where(_near(F.col("n1"), F.col("n2"), percent))
+    needed = F.ceil(percent * (F.col("n1") + F.col("n2")) / (100 + percent) - 1e-6)
+    own = F.ceil(percent * F.greatest("n1", "n2") / 100 - 1e-6)
+    pairs = pairs.groupBy("query", "other", "n1", "n2").agg(F.count("*").alias("shared"))
+    return pairs.where(F.col("shared") >= needed - own + 1).select("query", "other")
+
+
+def _near(a: Column, b: Column, percent: int) -> Column:
+    """Sizes that allow the similarity."""
+    return F.least(a, b) * 100 >= F.greatest(a, b) * percent
+
+
 def joined(docs: DataFrame, percent: int = PERCENT, n_words: int = SHINGLE) -> DataFrame:
     """Per document: doc_id, size of its shingle set, smallest doc_id that links lead to."""
     docs = docs.select("doc_id", "text")
     found = saved(with_sets(docs, told_ranks(docs), percent, n_words), "sets")
     usable = found.where(F.col("doc_id").isNotNull() & (F.col("n") > 0))
-    same = saved(usable.groupBy("digest").agg(F.min("doc_id").alias("node"), F.first("n").alias("n")), "nodes")
-    own = usable.join(same.select("digest", F.col("node").alias("doc_id")), ["digest", "doc_id"])
-    entries = own.select(F.col("doc_id").alias("node"), "digest", "n", F.explode("rare").alias("item"))
+    same = saved(usable.groupBy("digest").agg(F.min("doc_id").alias("node")), "nodes")
     # A node is a set, numbered by its digest: rows of equal id may have different ones.
     number = F.xxhash64("digest")
-    entries = entries.select(number.alias("node"), "n", "item")
-    several = entries.groupBy("item").agg(F.count("*").alias("k")).where("k > 1").select("item")
-    lists = saved(entries.join(several, "item"), "lists")
+    leads = same.select(number.alias("node"), F.col("node").alias("doc_id"))
+    entries = usable.select(number.alias("node"), "n", F.explode("rare").alias("item"))
+    several = entries.groupBy("item").agg(F.min("node").alias("_a"), F.max("node").alias("_b")).where("_a < _b")
+    lists = saved(entries.join(several.select("item"), "item").distinct(), "lists")
     nodes = saved(lists.select("node", F.col("node").alias("component")).distinct(), "components")
-    wanted = same.select("digest", F.col("node").alias("doc_id")).join(
-        nodes.select(F.col("node").alias("_n")), number == F.col("_n"), "left_semi"
-    )
-    texts = docs.join(wanted.select("doc_id").distinct(), "doc_id", "left_semi")
-    sets = whole_sets(texts, n_words).join(wanted, ["digest", "doc_id"], "left_semi")
-    sets = saved(sets.select(number.alias("node"), "items").dropDuplicates(["node"]), "items")
-
-    near = lambda a, b: F.least(a, b) * 100 >= F.greatest(a, b) * percent
     for step in range(ROUNDS + 1):
-        current = lists.join(nodes, "node")
-        open_lists = current.groupBy("item").agg(
-            F.min("component").alias("_a"), F.max("component").alias("_b"),
-            F.min_by(F.struct("node", "component", "n"), F.xxhash64("component", "node", F.lit(step))).alias("head"),
-        ).where("_a <> _b").drop("_a", "_b")
-        current = saved(current.join(open_lists, "item"), "open-lists")
-        if step < ROUNDS:
-            pairs = current.where(near(F.col("n"), F.col("head.n")) & (F.col("component") != F.col("head.component")))
-            pairs = pairs.select(F.col("head.node").alias("query"), F.col("node").alias("other"))
-        else:
-            a, b = current.drop("head").alias("a"), current.drop("head").alias("b")
-            apart = (F.col("a.item") == F.col("b.item")) & (F.col("a.component") < F.col("b.component"))
-            pairs = a.join(b, apart & near(F.col("a.n"), F.col("b.n")))
-            pairs = pairs.select(F.col("a.node").alias("query"), F.col("b.node").alias("other"))
-        found_links = links(saved(pairs.distinct(), "pairs"), sets, percent)
+        pairs = candidates(lists, nodes, percent, step)
+        edges = links(saved(pairs, "pairs"), docs, leads, percent, n_words)
         of = lambda c: nodes.withColumnsRenamed({"node": c, "component": f"_{c}"})
-        edges = found_links.join(of("query"), "query").join(of("other"), "other")
+        edges = edges.join(of("query"), "query").join(of("other"), "other")
         nodes = components(nodes, edges.select(F.col("_query").alias("a"), F.col("_other").alias("b")))
 
     smallest = same.join(nodes.withColumnRenamed("node", "_n"), number == F.col("_n"))
