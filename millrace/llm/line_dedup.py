@@ -175,7 +175,8 @@ def without_repeats(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
         F.when(F.trim(F.regexp_replace(text, r"[\n\t\r\x0B\f]", " ")) == "", F.lit("")).otherwise(text)
     )
     return (
-        held.join(gone, same, "left")
+        # Both sides grow with the input: the same join at every size.
+        held.join(gone.hint("merge"), same, "left")
         .withColumn("_text", text)
         .select(
             *[F.col("_text").alias(c) if c == "text" else F.col(f"`{c}`") for c in names],
