@@ -247,7 +247,8 @@ def links(pairs: DataFrame, docs: DataFrame, leads: DataFrame, percent: int, n_w
     queries = pairs.select("query", "task").distinct()
     queries = queries.select("query", "task", F.lit(None).cast("long").alias("other"), F.col("query").alias("node"))
     asked = saved(others.unionAll(queries).join(leads, "node"), "asked")
-    sets = whole_sets(docs.join(asked, "doc_id").drop("doc_id"), n_words)
+    # Both sides grow with the input: the same join at every size.
+    sets = whole_sets(docs.join(asked.hint("merge"), "doc_id").drop("doc_id"), n_words)
     sets = sets.where(F.xxhash64("digest") == F.col("node")).select("query", "task", "other", "items")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -384,4 +385,4 @@ def joined(docs: DataFrame, percent: int = PERCENT, n_words: int = SHINGLE) -> D
 def one_of_each(docs: DataFrame, percent: int = PERCENT, n_words: int = SHINGLE) -> DataFrame:
     """The documents that lead their component, as they came; those without id stay."""
     led = saved(joined(docs, percent, n_words), "joined").where("doc_id <> component_id").select("doc_id").distinct()
-    return docs.join(led, "doc_id", "left_anti")
+    return docs.join(led.hint("merge"), "doc_id", "left_anti")
