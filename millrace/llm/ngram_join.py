@@ -7,10 +7,10 @@ any order that all sets share. It comes from word frequencies: a list is no long
 document count of the shingle's rarest word. It only decides how short the lists are, never
 the result.
 
-Equal sets are one node. In each of a few rounds every list proposes one of its nodes as a
-query for the others, at most as many pairs as list entries; what links is joined into
-components. At the end all pairs of a list that are not yet in one component are searched.
-A search is DivideSkip: the longest lists of the query are set aside, the short ones are
+Equal sets are one node. Short lists give all their pairs; a long list proposes one of its
+nodes as a query for the others, so there are no more pairs than a constant times the list
+entries. What links is joined into components. Then all pairs of long lists that are not
+yet in one component are searched, which leaves little of large groups of copies. A search is DivideSkip: the longest lists of the query are set aside, the short ones are
 merged on a heap that skips what cannot reach T, the long ones are probed by bisection, and
 what reaches the required overlap is a link.
 
@@ -36,8 +36,8 @@ from millrace.llm.common import Words, add_columns, grams, mixed, saved, slices,
 SHINGLE, PERCENT = 3, 90
 #: Words whose frequency is told to the tasks, the most frequent first; it orders lists only.
 TOLD_WORDS = 100_000
-#: Rounds in which each list proposes one query.
-ROUNDS = 1
+#: Entries of a short list, of which all pairs are candidates at once.
+SHORT = 32
 #: Candidates indexed at once, and candidates of a query in one task.
 BLOCK, TASK = 256, 4096
 #: Bytes of text handled at once.
@@ -308,44 +308,54 @@ def components(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     return label
 
 
-def candidates(lists: DataFrame, nodes: DataFrame, percent: int, step: int) -> DataFrame:
-    """Pairs to be searched: in the first rounds each list's head with the others, at the end
-    all pairs that are in one list and not yet in one component.
+def with_sizes(lists: DataFrame) -> DataFrame:
+    """lists with whether a list is long, and how many long and short ones its node is in."""
+    sizes = lists.groupBy("item").agg((F.count("*") > SHORT).alias("long"))
+    sized = saved(lists.join(sizes, "item"), "sized")
+    longs = sized.groupBy("node").agg(F.count_if("long").alias("longs"), F.count_if(~F.col("long")).alias("shorts"))
+    return saved(sized.join(longs, "node"), "lists")
+
+
+def _pairs(a: DataFrame, b: DataFrame, rest: str | None, apart: Column, percent: int) -> DataFrame:
+    """Pairs of list entries that share enough rare shingles.
 
     Of two linked sets one has its rare shingles wholly below the other's last one; those
     that are not shared are missing from the overlap. So the pair shares at least
-    T - max(T of each) + 1 rare shingles, T being the overlap that it needs. Heads see only
-    part of what a pair shares; what they miss comes at the end.
+    T - max(T of each) + 1 rare shingles, T being the overlap that it needs. ``rest`` counts
+    a node's lists of the kind that is not joined here: it may share as many more.
     """
-    current = lists.join(nodes, "node")
-    heads = (
-        current.groupBy("item")
-        .agg(
-            F.min("component").alias("_a"),
-            F.max("component").alias("_b"),
-            F.min_by(F.struct("node", "component", "n"), F.xxhash64("component", "node", F.lit(step))).alias("head"),
-        )
-        .where("_a <> _b")
-        .drop("_a", "_b")
-    )
-    if step < ROUNDS:
-        pairs = current.join(heads, "item").where(F.col("component") != F.col("head.component"))
-        pairs = pairs.select(
-            F.col("head.node").alias("query"), F.col("head.n").alias("n1"), F.col("node").alias("other"), F.col("n").alias("n2")
-        )
-    else:
-        current = saved(current.join(heads.select("item"), "item"), "open-lists")
-        a, b = current.alias("a"), current.alias("b")
-        apart = (F.col("a.item") == F.col("b.item")) & (F.col("a.component") < F.col("b.component"))
-        pairs = a.join(b, apart & _near(F.col("a.n"), F.col("b.n"), percent))
-        pairs = pairs.select(
-            F.col("a.node").alias("query"), F.col("a.n").alias("n1"), F.col("b.node").alias("other"), F.col("b.n").alias("n2")
-        )
-    pairs = pairs.where(_near(F.col("n1"), F.col("n2"), percent))
+    a, b = a.alias("a"), b.alias("b")
+    same = (F.col("a.item") == F.col("b.item")) & _near(F.col("a.n"), F.col("b.n"), percent) & apart
+    more = F.least(f"a.{rest}", f"b.{rest}") if rest else F.lit(0)
+    found = a.join(b, same).select(
+        F.col("a.node").alias("query"), F.col("b.node").alias("other"), F.col("a.n").alias("n1"), F.col("b.n").alias("n2"),
+        more.alias("more"),
+    )
     needed = F.ceil(percent * (F.col("n1") + F.col("n2")) / (100 + percent) - 1e-6)
     own = F.ceil(percent * F.greatest("n1", "n2") / 100 - 1e-6)
-    pairs = pairs.groupBy("query", "other", "n1", "n2").agg(F.count("*").alias("shared"))
-    return pairs.where(F.col("shared") >= needed - own + 1).select("query", "other")
+    shared = found.groupBy("query", "other", "n1", "n2", "more").agg(F.count("*").alias("shared"))
+    return shared.where(F.col("shared") + F.col("more") >= needed - own + 1).select("query", "other")
+
+
+def first_candidates(lists: DataFrame, percent: int) -> DataFrame:
+    """All pairs of short lists, and of each long list one node with the others.
+
+    A short list gives a bounded number of pairs for each of its entries. The heads of long
+    lists see only part of what a pair shares; what they miss comes in the second search.
+    """
+    short, long = lists.where("NOT long"), lists.where("long")
+    pairs = _pairs(short, short, "longs", F.col("a.node") < F.col("b.node"), percent)
+    heads = long.groupBy("item").agg(F.min_by(F.struct("node", "n", "shorts"), F.xxhash64("node")).alias("h"))
+    heads = heads.select("item", "h.*")
+    return pairs.unionAll(_pairs(heads, long, "shorts", F.col("a.node") != F.col("b.node"), percent)).distinct()
+
+
+def last_candidates(lists: DataFrame, nodes: DataFrame, percent: int) -> DataFrame:
+    """Pairs of long lists that are not yet in one component."""
+    long = lists.where("long").join(nodes, "node")
+    several = long.groupBy("item").agg(F.min("component").alias("_a"), F.max("component").alias("_b"))
+    long = saved(long.join(several.where("_a <> _b").select("item"), "item"), "open-lists")
+    return _pairs(long, long, "shorts", F.col("a.component") < F.col("b.component"), percent)
 
 
 def _near(a: Column, b: Column, percent: int) -> Column:
@@ -365,10 +375,14 @@ def joined(docs: DataFrame, percent: int = PERCENT, n_words: int = SHINGLE) -> D
     entries = usable.select(number.alias("node"), "n", F.explode("rare").alias("item"))
     several = entries.groupBy("item").agg(F.min("node").alias("_a"), F.max("node").alias("_b")).where("_a < _b")
     lists = saved(entries.join(several.select("item"), "item").distinct(), "lists")
+    lists = with_sizes(lists)
     nodes = saved(lists.select("node", F.col("node").alias("component")).distinct(), "components")
-    for step in range(ROUNDS + 1):
-        pairs = candidates(lists, nodes, percent, step)
-        edges = links(saved(pairs, "pairs"), docs, leads, percent, n_words)
+    for last in (False, True):
+        pairs = last_candidates(lists, nodes, percent) if last else first_candidates(lists, percent)
+        pairs = saved(pairs, "pairs")
+        if pairs.isEmpty():
+            continue
+        edges = links(pairs, docs, leads, percent, n_words)
         of = lambda c: nodes.withColumnsRenamed({"node": c, "component": f"_{c}"})
         edges = edges.join(of("query"), "query").join(of("other"), "other")
         nodes = components(nodes, edges.select(F.col("_query").alias("a"), F.col("_other").alias("b")))
