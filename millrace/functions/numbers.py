@@ -30,11 +30,21 @@ def exact_mean(value: Column) -> Column:
     has no effect. Whole and fractional parts are summed apart: each stays within
     a long for trillions of rows, and the partial aggregate needs no BigDecimal.
     """
+    whole, parts = mean_parts(value)
+    return mean_of_parts(F.sum(whole), F.sum(parts), F.count(value))
+
+
+def mean_parts(value: Column) -> tuple[Column, Column]:
+    """Whole part and millionths of a reading, as integers to be summed."""
     fixed = F.floor(value * F.lit(float(_MICRO)) + F.lit(0.5)).cast("bigint")
-    fraction = F.pmod(fixed, F.lit(_MICRO))
-    whole = ((fixed - fraction) / _MICRO).cast("bigint")
-    total = F.sum(whole).cast("decimal(32,0)") * _MICRO + F.sum(fraction).cast("decimal(32,0)")
-    return total.cast("double") / F.lit(float(_MICRO)) / F.count(value).cast("double")
+    parts = F.pmod(fixed, F.lit(_MICRO))
+    return ((fixed - parts) / _MICRO).cast("bigint"), parts
+
+
+def mean_of_parts(whole: Column, parts: Column, count: Column) -> Column:
+    """Mean from the sums of ``mean_parts`` and the number of readings."""
+    total = whole.cast("decimal(32,0)") * _MICRO + parts.cast("decimal(32,0)")
+    return total.cast("double") / F.lit(float(_MICRO)) / count.cast("double")
 
 
 def kilobytes(size: Column) -> Column:

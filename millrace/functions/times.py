@@ -8,13 +8,9 @@ from __future__ import annotations
 
 from pyspark.sql import Column, functions as F
 
-_ISO_SHAPE = (
-    r"^(?!0000)\d{4}-\d{2}-\d{2}"
-    r"([T ]\d{2}(:\d{2}(:\d{2}(\.\d+)?)?)?(Z|[+-]\d{2}(:?\d{2})?)?)?$"
-)
-_FULL_SHAPE = (
-    r"^(?!0000)\d{4}-\d{2}-\d{2}[T ]\d{2}:\d{2}:\d{2}(\.\d+)?(Z|[+-]\d{2}(:?\d{2})?)$"
-)
+_ZONE = r"[+-]\d{2}(:?\d{2})?"
+_ISO_SHAPE = rf"^(?!0000)\d{{4}}-\d{{2}}-\d{{2}}([T ]\d{{2}}(:\d{{2}}(:\d{{2}}(\.\d+)?)?)?(Z|{_ZONE})?)?\z"
+_DAY_MINUTES = 24 * 60
 
 
 def _epoch() -> Column:
@@ -34,28 +30,25 @@ def micros_between(start: Column, end: Column) -> Column:
 def parse_iso(text: Column) -> Column:
     """Zone-less UTC timestamp from ISO 8601 text; null when it is not ISO.
 
-    The cast alone would also take ``2024`` or a bare time and refuse
-    hour-precision times with a zone, so the shape is checked and missing parts
-    are filled in before it.
+    A cast alone would also take ``2024`` or a bare time, so the shape is checked and
+    missing parts of the clock are filled in. The offset is taken off in minutes: any
+    below a day counts, also those that no zone on earth has.
     """
-
-    def zone(start: int) -> Column:
-        return F.coalesce(F.nullif(F.substring(text, start, 10), F.lit("")), F.lit("Z"))
-
+    rest = F.substring(text, 12, 60)
+    zone = F.regexp_extract(rest, rf"{_ZONE}\z", 0)
+    clock = F.regexp_extract(rest, r"^[0-9:.]*", 0)
     filled = (
-        F.when(F.length(text) == 10, F.concat(text, F.lit("T00:00:00Z")))
-        .when(
-            F.substring(text, 14, 1) != ":",
-            F.concat(F.substring(text, 1, 13), F.lit(":00:00"), zone(14)),
-        )
-        .when(
-            F.substring(text, 17, 1) != ":",
-            F.concat(F.substring(text, 1, 16), F.lit(":00"), zone(17)),
-        )
-        .otherwise(F.concat(text, F.lit("Z")))
+        F.when(F.length(clock) == 0, F.lit("00:00:00"))
+        .when(F.length(clock) == 2, F.concat(clock, F.lit(":00:00")))
+        .when(F.length(clock) == 5, F.concat(clock, F.lit(":00")))
+        .otherwise(clock)
     )
-    full = F.when(text.rlike(_FULL_SHAPE), text).when(text.rlike(_ISO_SHAPE), filled)
-    return to_utc_ntz(F.try_to_timestamp(full))
+    local = F.try_to_timestamp(F.concat(F.substring(text, 1, 10), F.lit("T"), filled, F.lit("Z")))
+    digits = F.rpad(F.regexp_replace(zone, "[^0-9]", ""), 4, "0")
+    minutes = F.substring(digits, 1, 2).try_cast("int") * 60 + F.substring(digits, 3, 2).try_cast("int")
+    ahead = F.when(F.substring(zone, 1, 1) == "-", -minutes).otherwise(minutes)
+    utc = F.timestamp_add("MINUTE", F.lit(0) - ahead, to_utc_ntz(local))
+    return F.when(text.rlike(_ISO_SHAPE) & (minutes < _DAY_MINUTES), utc)
 
 
 def from_epoch_millis(millis: Column) -> Column:

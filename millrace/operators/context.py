@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, functions as F
 
 _LAST = 5
-_MAX_LAYERS = 1000
+_KINDS = {"topics": "topic", "tables": "table", "buckets": "bucket"}
 
 
 def _newest_list(rows: DataFrame, time: str, tie: str) -> Column:
@@ -19,47 +19,64 @@ def _newest_list(rows: DataFrame, time: str, tie: str) -> Column:
     return listed.scalar()
 
 
-def _readiness_map(readiness: DataFrame) -> Column:
-    """Layer to status. Layers are configured, not data: too many is an error, not a cut."""
-    bounded = readiness.select("layer", "status").limit(_MAX_LAYERS + 1)
-    too_many = F.raise_error(F.lit(f"more than {_MAX_LAYERS} layers")).cast("map<string,string>")
-    entries = F.map_from_entries(F.array_sort(F.collect_list(F.struct("layer", "status"))))
-    return bounded.agg(F.when(F.count(F.lit(1)) <= _MAX_LAYERS, entries).otherwise(too_many)).scalar()
+def _json(*fields: Column | str) -> Column:
+    return F.to_json(F.struct(*fields), {"ignoreNullFields": "false"})
+
+
+def context_summary(
+    expected_inventory: DataFrame, readiness: DataFrame, silver: DataFrame, gold: DataFrame
+) -> DataFrame:
+    """One row, one JSON column: resource and layer counts and the last rows of each table.
+
+    ``expected_inventory`` holds the resources that some expectation asks for.
+    """
+    counts = expected_inventory.agg(
+        F.struct(*[F.count_if(F.col("kind") == k).alias(name) for name, k in _KINDS.items()])
+    ).scalar()
+    layers = readiness.agg(
+        F.struct(
+            F.count(F.lit(1)).alias("layers"), F.count_if(F.col("status") == "ready").alias("ready")
+        )
+    ).scalar()
+    return expected_inventory.sparkSession.range(1).select(
+        _json(
+            F.struct(*[counts[n].alias(n) for n in _KINDS], layers.alias("readiness")).alias("dashboard"),
+            F.struct(_newest_list(silver, "timestamp", "event_id").alias("last_5_records")).alias("silver_layer"),
+            F.struct(_newest_list(gold, "window_start", "window_end").alias("last_5_records")).alias("gold_layer"),
+        ).alias("context")
+    )
 
 
 def context_document(
-    inventory: DataFrame,
+    expected_inventory: DataFrame,
+    details: DataFrame,
     readiness: DataFrame,
     metrics: DataFrame,
     silver: DataFrame,
     gold: DataFrame,
 ) -> DataFrame:
-    """One row, one JSON column: resources, log metrics and the last rows of each table.
+    """The context in parts: (part, name, context), a JSON text per row.
 
-    Each part is a scalar subquery of bounded size.
+    A ``summary`` row, a ``topic`` row for each topic, a ``layer`` row for each layer and a
+    ``piece`` row for each expected resource. Layers, topics and pieces are rows of their
+    own, so none of them is cut or has to fit in one value.
     """
-    spark = inventory.sparkSession
-
-    kinds = {"topics": "topic", "tables": "table", "buckets": "bucket"}
-    counts = inventory.agg(
-        F.struct(*[F.count_if(F.col("kind") == k).alias(name) for name, k in kinds.items()])
-    ).scalar()
-    bronze = metrics.limit(1).select(
-        F.struct("topic", "total_messages", "lag_seconds", "processing_rate")
-    )
-    document = F.struct(
-        F.struct(
-            *[counts[name].alias(name) for name in kinds],
-            _readiness_map(readiness).alias("readiness"),
-        ).alias("dashboard"),
-        bronze.scalar().alias("bronze_layer"),
-        F.struct(_newest_list(silver, "timestamp", "event_id").alias("last_5_records")).alias(
-            "silver_layer"
-        ),
-        F.struct(_newest_list(gold, "window_start", "window_end").alias("last_5_records")).alias(
-            "gold_layer"
-        ),
-    )
-    return spark.range(1).select(
-        F.to_json(document, {"ignoreNullFields": "false"}).alias("context")
+    summary = context_summary(expected_inventory, readiness, silver, gold)
+    return (
+        summary.select(F.lit("summary").alias("part"), F.lit("").alias("name"), "context")
+        .unionAll(
+            metrics.select(
+                F.lit("topic"),
+                "topic",
+                _json("topic", "total_messages", "lag_seconds", "processing_rate"),
+            )
+        )
+        .unionAll(readiness.select(F.lit("layer"), "layer", _json("layer", "status", "expected", "present")))
+        .unionAll(
+            details.select(
+                F.lit("piece"),
+                F.concat_ws("/", "layer", "kind", "name"),
+                _json("layer", "kind", "name", "status"),
+            )
+        )
     )

@@ -5,11 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from .ordering import previous
-from .sizing import measured
 
 _TASK_GROUPS = 256
-_HEAD = 20
-_HEAD_MAX = 100_000
 
 
 def latest(df: DataFrame, limit: int | None = None, tie: list[str] | None = None) -> DataFrame:
@@ -45,57 +42,50 @@ def last_n(df: DataFrame, key: list[str], order: list[Column], n: int) -> DataFr
 def newest_per_key(df: DataFrame, key: list[str], order: list[str]) -> DataFrame:
     """Upsert view: of each key only the row greatest by ``order``.
 
-    An aggregate rather than a window, so copies collapse before the shuffle. Works
-    on a stream in update or complete mode.
+    Equal ``order`` goes to the row whose other columns, as they come, are greatest, so
+    the answer does not depend on the order of the rows. A null key is a key. An
+    aggregate rather than a window, so copies collapse before the shuffle. Works on a
+    stream in update or complete mode.
     """
     rest = [c for c in df.columns if c not in key]
+    rank = [*order, *(c for c in rest if c not in order)]
+    row = F.max(F.struct(*[F.col(c).alias(f"_{i}") for i, c in enumerate(rank)]))
     return (
         df.groupBy(*key)
-        .agg(F.max_by(F.struct(*rest), F.struct(*order)).alias("_row"))
-        .select(*key, *[F.col(f"_row.{c}").alias(c) for c in rest])
+        .agg(row.alias("_row"))
+        .select(*key, *[F.col(f"_row._{rank.index(c)}").alias(c) for c in rest])
         .select(*df.columns)
     )
 
 
-def _complete_head(
-    rows: DataFrame, identity: list[str], newest: list[Column], n: int
-) -> DataFrame | None:
-    """The first rows by ``newest`` if they are sure to hold the first ``n`` identities."""
-    size = n * _HEAD
-    if size > _HEAD_MAX:
-        return None
-    head = measured(rows.orderBy(*newest).limit(size))
-    whole = head.count() < size
-    return head if whole or head.select(*identity).distinct().count() >= n else None
-
-
 def merge_feed(seen: DataFrame, page: DataFrame, key: str | None, time: str, n: int) -> DataFrame:
     """Append a page to a feed, skip rows already in it, keep the newest ``n``.
 
-    ``key`` identifies a row; None compares whole rows. Equal times are ordered by key.
+    ``key`` identifies a row, null being a key like others; None compares whole rows.
+    Equal times are ordered by key, or else by the remaining columns, largest first.
 
-    The newest rows, copies included, are taken first: that needs no shuffle. When
-    they hold ``n`` different keys, or every row there is, no other row can belong to
-    the result. Otherwise copies crowd the front (or ``n`` is large), and the keys are
-    found by an aggregate over all rows.
+    One plan for every ``n``: the newest time of each key is an aggregate of two columns;
+    only rows that hold the newest time of one of the first ``n`` keys go further.
     """
     both = seen.unionByName(page)
     identity = [key] if key else both.columns
     newest = [F.col(c).desc_nulls_last() for c in [time, *(c for c in identity if c != time)]]
-    pool = _complete_head(both, identity, newest, n)
-    if pool is None and key:
-        keys = both.groupBy(key).agg(F.max(time).alias(time)).orderBy(*newest).limit(n)
-        pool = both.join(keys.select(key), key, "left_semi")
-    elif pool is None:
-        pool = both
-    single = newest_per_key(pool, [key], [time]) if key else pool.dropDuplicates()
-    return single.orderBy(*newest).limit(n)
+    if key is None:
+        return both.dropDuplicates().orderBy(*newest).limit(n)
+    tops = both.groupBy(key).agg(F.max(time).alias(time)).orderBy(*newest).limit(n)
+    tops = tops.select(F.col(key).alias("_key"), F.col(time).alias("_time"))
+    same = F.col(key).eqNullSafe(F.col("_key")) & F.col(time).eqNullSafe(F.col("_time"))
+    pool = both.join(tops, same).drop("_key", "_time")
+    return newest_per_key(pool, [key], [time]).orderBy(*newest).limit(n)
 
 
 def drop_unchanged(
-    samples: DataFrame, key: list[str], order: list[str], values: list[str]
+    samples: DataFrame, key: list[str], order: list[str], values: list[str], bucket: Column
 ) -> DataFrame:
-    """Drop a sample whose ``values`` equal those of the sample before it."""
-    compared = previous(samples, key, order, values, "_before")
+    """Drop a sample whose ``values`` equal those of the sample before it.
+
+    ``bucket`` splits a key's samples, as ``ordering.previous`` says.
+    """
+    compared = previous(samples, key, order, values, "_before", bucket)
     now = F.struct(*values)
     return compared.where(~F.col("_before").eqNullSafe(now)).drop("_before")

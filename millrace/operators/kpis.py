@@ -4,8 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from ..functions.numbers import exact_mean, round_half_up
-from .ordering import row_index
+from ..functions.numbers import exact_mean, mean_of_parts, mean_parts, round_half_up
+from .ordering import row_index, time_bucket
 
 WARNING = "WARNING"
 
@@ -51,22 +51,57 @@ def device_summary(readings: DataFrame, time: str = "event_time") -> DataFrame:
     )
 
 
+#: Columns of a partial KPI. Partials of any split of the readings merge to the same KPI.
+PARTIAL = ["window_start", "window_end", "total_events", "temp_whole", "temp_parts", "anomaly_count"]
+
+
+def partial_kpis(readings: DataFrame, time: str = "event_time") -> DataFrame:
+    """Sums and bounds per hour that later partials can be added to."""
+    whole, parts = mean_parts(F.col("temperature"))
+    return readings.groupBy(F.date_trunc("HOUR", F.col(time)).cast("timestamp_ntz").alias("hour_start")).agg(
+        F.min(time).alias("window_start"),
+        F.max(time).alias("window_end"),
+        F.count(F.lit(1)).alias("total_events"),
+        F.sum(whole).alias("temp_whole"),
+        F.sum(parts).alias("temp_parts"),
+        F.count_if(F.col("status") == WARNING).alias("anomaly_count"),
+    )
+
+
+def merged_kpis(partials: DataFrame, by: list[str], *more: Column) -> DataFrame:
+    """KPI rows from partials, one per value of ``by``."""
+    merged = partials.groupBy(*by).agg(
+        F.min("window_start").alias("window_start"),
+        F.max("window_end").alias("window_end"),
+        F.sum("total_events").alias("total_events"),
+        F.sum("temp_whole").alias("_whole"),
+        F.sum("temp_parts").alias("_parts"),
+        F.sum("anomaly_count").alias("anomaly_count"),
+        *more,
+    )
+    mean = mean_of_parts(F.col("_whole"), F.col("_parts"), F.col("total_events"))
+    return merged.withColumn("avg_temp", round_half_up(mean, 2)).drop("_whole", "_parts")
+
+
 def label_windows(kpis: DataFrame, order: list[str]) -> DataFrame:
     """Name KPI rows W1, W2, ... in time order."""
-    return row_index(kpis, [], order, "_n").select(
+    month = time_bucket(order[0], 30 * 86_400)
+    return row_index(kpis, [], order, "_n", month).select(
         F.concat(F.lit("W"), (F.col("_n") + 1).cast("string")).alias("label"), *kpis.columns
     )
 
 
-def device_series(readings: DataFrame, devices: list[str], order: list[str]) -> DataFrame:
+def device_series(
+    readings: DataFrame, devices: list[str], order: list[str], seconds: int = 86_400
+) -> DataFrame:
     """Temperatures side by side: row i holds the i-th reading of every device.
 
     The device list is known, so one conditional aggregate does; a pivot would
-    shuffle the rows twice.
+    shuffle the rows twice. The first column of ``order`` is a time; readings are
+    numbered in spans of ``seconds``.
     """
-    numbered = row_index(
-        readings.select("device_id", "temperature", *order), ["device_id"], order, "idx"
-    )
+    rows = readings.select("device_id", "temperature", *order)
+    numbered = row_index(rows, ["device_id"], order, "idx", time_bucket(order[0], seconds))
     return numbered.groupBy("idx").agg(
         *[F.max(F.when(F.col("device_id") == d, F.col("temperature"))).alias(d) for d in devices]
     )

@@ -1,13 +1,14 @@
 """Log monitoring: totals, backlog, delay, recent and unprocessed messages.
 
-``offsets`` is the table a broker reports (partition, begin_offset, end_offset,
-committed_offset), one row per log partition. For a log kept in files,
-``log_offsets`` derives it.
+``manifest`` and ``rows`` are those of ``sources.logs.LogStore``: what a question asks of
+the log as a whole comes from the manifest, and messages are read from the blocks that
+hold them. ``offsets`` is the table a broker reports (partition, begin_offset, end_offset,
+committed_offset), one row per log partition; ``log_offsets`` derives it.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from ..functions.labels import metric_label
 from ..functions.numbers import round_half_up
@@ -15,16 +16,31 @@ from ..functions.times import micros_between
 from .sizing import measured
 
 
-def log_offsets(log: DataFrame, committed: DataFrame | None = None) -> DataFrame:
+def log_offsets(manifest: DataFrame, committed: DataFrame | None = None) -> DataFrame:
     """Begin and end offset per partition of a log, with what was committed."""
-    ends = log.groupBy("partition").agg(
-        F.min("offset").alias("begin_offset"), (F.max("offset") + 1).alias("end_offset")
+    ends = manifest.groupBy("partition").agg(
+        F.min("first_offset").alias("begin_offset"),
+        (F.max("last_offset") + 1).alias("end_offset"),
     )
     if committed is None:
         return ends.withColumn("committed_offset", F.lit(None).cast("bigint"))
     return ends.join(committed.select("partition", "committed_offset"), "partition", "left")
 
 
+def _seek(rows: DataFrame, blocks: DataFrame) -> DataFrame:
+    """Messages of some blocks from an offset on. blocks: partition, block, _from."""
+    return (
+        rows.join(blocks, ["partition", "block"])
+        .where(F.col("offset") >= F.col("_from"))
+        .drop("block", "_from")
+    )
+
+
+def _blocks_from(manifest: DataFrame, starts: DataFrame) -> DataFrame:
+    """Blocks that hold messages at or after each partition's ``_from``."""
+    return manifest.join(starts, "partition").where(F.col("last_offset") >= F.col("_from"))
+
+
 def topic_totals(offsets: DataFrame) -> DataFrame:
     return offsets.agg(
         F.coalesce(F.sum(F.col("end_offset") - F.col("begin_offset")), F.lit(0))
@@ -39,34 +55,34 @@ def _next_offset() -> Column:
     return F.coalesce("committed_offset", "begin_offset")
 
 
-def partition_lag(log: DataFrame, offsets: DataFrame) -> DataFrame:
+def partition_lag(rows: DataFrame, manifest: DataFrame, offsets: DataFrame) -> DataFrame:
     """Backlog per partition and the time of its first unprocessed message.
 
-    One pass over the log, combined before the shuffle. The first message at or
-    after the committed offset is taken, so a compacted log works too.
+    The first message at or after the committed offset is taken, so a compacted log works
+    too. Of each partition one block is read.
     """
     side = offsets.withColumn("_next", _next_offset())
-    waiting = F.col("offset") >= F.col("_next")
-    seen = (
-        log.select("partition", "offset", "timestamp")
-        .join(side.select("partition", "_next"), "partition")
+    starts = side.select("partition", F.col("_next").alias("_from"))
+    first = _blocks_from(manifest, starts).groupBy("partition", "_from").agg(F.min("block").alias("block"))
+    waiting = (
+        _seek(rows, measured(first.where("block >= 0")))
         .groupBy("partition")
-        .agg(
-            F.min_by(F.when(waiting, F.col("timestamp")), F.when(waiting, F.col("offset"))).alias(
-                "oldest_unprocessed"
-            ),
-            F.max("timestamp").alias("latest_message"),
-        )
+        .agg(F.min_by("timestamp", "offset").alias("oldest_unprocessed"))
     )
-    return side.join(seen, "partition", "left").select(
-        "partition",
-        "begin_offset",
-        "end_offset",
-        "committed_offset",
-        F.col("_next").alias("next_offset"),
-        F.greatest(F.lit(0), F.col("end_offset") - F.col("_next")).cast("bigint").alias("lag"),
-        "oldest_unprocessed",
-        "latest_message",
+    latest = manifest.groupBy("partition").agg(F.max("latest").alias("latest_message"))
+    return (
+        side.join(waiting, "partition", "left")
+        .join(latest, "partition", "left")
+        .select(
+            "partition",
+            "begin_offset",
+            "end_offset",
+            "committed_offset",
+            F.col("_next").alias("next_offset"),
+            F.greatest(F.lit(0), F.col("end_offset") - F.col("_next")).cast("bigint").alias("lag"),
+            "oldest_unprocessed",
+            "latest_message",
+        )
     )
 
 
@@ -133,32 +149,54 @@ def metric_rows(metrics: DataFrame, key: list[str]) -> DataFrame:
     )
 
 
-def recent_messages(log: DataFrame, offsets: DataFrame, limit: int = 50) -> DataFrame:
+def recent_messages(
+    rows: DataFrame, manifest: DataFrame, offsets: DataFrame, limit: int = 50
+) -> DataFrame:
     """Tail of every partition, newest first, without touching progress.
 
     Each partition gives an equal share of ``limit`` (at least one). The tail is an
-    offset range, as a seek would read, so nothing is sorted but the result.
+    offset range, as a seek would read: only its blocks are read.
     """
     side = measured(offsets.select("partition", "end_offset"))
     share = max(1, limit // max(1, side.count()))
     tails = side.select("partition", (F.col("end_offset") - share).alias("_from"))
-    return (
-        log.join(tails, "partition")
-        .where(F.col("offset") >= F.col("_from"))
-        .drop("_from")
-        .orderBy(F.col("timestamp").desc_nulls_last(), "partition", "offset")
-        .limit(limit)
-    )
+    blocks = _blocks_from(manifest, tails).select("partition", "block", "_from")
+    found = _seek(rows, measured(blocks).where("block >= 0"))
+    return found.orderBy(F.col("timestamp").desc_nulls_last(), "partition", "offset").limit(limit)
+
 
+def unprocessed_messages(
+    rows: DataFrame, manifest: DataFrame, offsets: DataFrame, limit: int | None = 50
+) -> DataFrame:
+    """Messages at or after the committed offset, in log order.
 
-def unprocessed_messages(log: DataFrame, offsets: DataFrame, limit: int | None = 50) -> DataFrame:
-    """Messages at or after the committed offset, in log order."""
-    side = offsets.select("partition", _next_offset().alias("_next"))
-    waiting = log.join(side, "partition").where(F.col("offset") >= F.col("_next")).drop("_next")
-    ordered = waiting.orderBy("partition", "offset")
+    With a limit, only the blocks that can hold the first messages are read: a block is
+    left out when the whole blocks before it hold enough. The block in which the backlog
+    begins counts for nothing there, as part of it is processed.
+    """
+    starts = offsets.select("partition", _next_offset().alias("_from"))
+    blocks = _blocks_from(manifest, starts)
+    if limit:
+        # The manifest is small: a row per block. Partitions are numbered, so they are summed first.
+        own = F.when(F.col("first_offset") >= F.col("_from"), F.col("n")).otherwise(0)
+        blocks = blocks.withColumn("_own", own)
+        totals = blocks.groupBy("partition").agg(F.sum("_own").alias("_all"))
+        earlier = Window.orderBy("partition").rowsBetween(Window.unboundedPreceding, -1)
+        totals = totals.select("partition", F.coalesce(F.sum("_all").over(earlier), F.lit(0)).alias("_start"))
+        inside = Window.partitionBy("partition").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
+        blocks = (
+            blocks.withColumn("_before", F.coalesce(F.sum("_own").over(inside), F.lit(0)))
+            .join(totals, "partition")
+            .where(F.col("_start") + F.col("_before") < limit)
+        )
+    ordered = _seek(
+        rows, measured(blocks.select("partition", "block", "_from")).where("block >= 0")
+    ).orderBy("partition", "offset")
     return ordered.limit(limit) if limit else ordered
 
 
-def recent_message(log: DataFrame) -> DataFrame:
+def recent_message(rows: DataFrame, manifest: DataFrame) -> DataFrame:
     """Last message of the partition with the highest end offset; ties go to the lowest."""
-    return log.orderBy(F.col("offset").desc(), F.col("partition")).limit(1)
+    last = manifest.orderBy(F.col("last_offset").desc(), "partition").limit(1)
+    last = last.select("partition", "block", F.col("last_offset").alias("_from"))
+    return _seek(rows, measured(last).where("block >= 0"))

@@ -1,119 +1,90 @@
 """Numbering and look-back inside groups too large for one task.
 
-A plain window sorts each group in one task, so a device with a third of all rows
-would be one third of the data in one place. Both ways below split such a group.
+A plain window sorts each group in one task, so a device with a third of all rows would
+be one third of the data in one place. Here a group is dealt out by ``bucket``, an
+expression that never falls while the order rises, such as the hour of a time. Rows meet
+in their bucket only; one row per bucket tells what lies before it. The width of buckets
+changes how the work is split, never the result. One shuffle moves the rows.
 """
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from ..session import scratch_path
-from .sizing import measured
+_ROWS = 100_000
 
-_BLOCK = 1_000_000
-_SLICE_SHIFT = 33  # monotonically_increasing_id: task number above, row number below
 
+def time_bucket(time: str, seconds: int) -> Column:
+    """Number of the span of this many seconds that a zone-less time falls into."""
+    epoch = F.lit("1970-01-01 00:00:00").cast("timestamp_ntz")
+    return F.floor(F.timestamp_diff("SECOND", epoch, F.col(time)) / F.lit(seconds))
 
-def number_by_id(
-    df: DataFrame, group: list[str], key: str, name: str, block: int = _BLOCK
-) -> DataFrame:
-    """Add a dense 0-based number per group in order of ``key``.
 
-    ``key`` must be an integer unique within its group; then no block of the key
-    range holds more than ``block`` rows. Rows are numbered inside their block,
-    and the block's start is the running total of the blocks before it. One
-    shuffle of the rows serves the window and the join.
-    """
-    blocked = df.withColumn("_block", F.col(key) - F.pmod(F.col(key), F.lit(block)))
-    before = Window.partitionBy(*group).orderBy("_block").rowsBetween(
-        Window.unboundedPreceding, -1
+def _dealt(df: DataFrame, group: list[str], bucket: Column) -> DataFrame:
+    """Adds the group as one value that is never null, and the bucket likewise."""
+    return df.withColumn("_g", F.struct(F.lit(0).alias("_0"), *group)).withColumn(
+        "_b", F.struct(bucket.alias("_1"))
     )
-    starts = (
-        blocked.groupBy(*group, "_block")
-        .agg(F.count(F.lit(1)).alias("_rows"))
-        .select(*group, "_block", F.coalesce(F.sum("_rows").over(before), F.lit(0)).alias("_start"))
-    )
-    inside = Window.partitionBy(*group, "_block").orderBy(key)
-    return (
-        blocked.withColumn("_inside", F.row_number().over(inside) - 1)
-        .join(starts, [*group, "_block"])
-        .withColumn(name, (F.col("_start") + F.col("_inside")).cast("bigint"))
-        .drop("_block", "_inside", "_start")
-    )
-
-
-def sorted_copy(df: DataFrame, group: list[str], order: list[Column | str]) -> DataFrame:
-    """Write the rows in global (group, order) order, each with its position.
-
-    ``order`` must be total within a group. The range shuffle balances tasks by
-    the whole sort key, so a hot group is spread over many. The copy is a table in
-    the shared scratch folder: positions stay fixed when executors are lost, and
-    later passes read only the columns they need. ``_slice`` is the writing task.
-    """
-    placed = df.orderBy(*group, *order).withColumn("_at", F.monotonically_increasing_id())
-    spark = df.sparkSession
-    path = scratch_path(spark, "sorted")
-    placed.write.parquet(path)
-    return (
-        spark.read.schema(placed.schema)
-        .parquet(path)
-        .withColumn("_slice", F.shiftright("_at", _SLICE_SHIFT))
-    )
-
-
-def _join_runs(rows: DataFrame, runs: DataFrame, keys: list[str]) -> DataFrame:
-    rest = [c for c in runs.columns if c not in keys]
-    renamed = runs.select(*[F.col(k).alias(f"_r_{k}") for k in keys], *rest)
-    same = reduce(lambda a, b: a & b, [F.col(k).eqNullSafe(F.col(f"_r_{k}")) for k in keys])
-    return rows.join(renamed, same).drop(*[f"_r_{k}" for k in keys])
 
 
 def row_index(
-    df: DataFrame, group: list[str], order: list[Column | str], name: str
+    df: DataFrame, group: list[str], order: list[Column | str], name: str, bucket: Column
 ) -> DataFrame:
-    """Add the 0-based position of each row within its group."""
-    rows = sorted_copy(df, group, order)
-    keys = [*group, "_slice"]
-    before = Window.partitionBy(*group).orderBy("_slice").rowsBetween(
-        Window.unboundedPreceding, -1
-    )
-    runs = (
-        rows.groupBy(*keys)
-        .agg(F.min("_at").alias("_first"), F.count(F.lit(1)).alias("_rows"))
-        .withColumn("_start", F.coalesce(F.sum("_rows").over(before), F.lit(0)))
-        .drop("_rows")
+    """Add the 0-based position of each row within its group. ``order`` is total in a group."""
+    rows = _dealt(df, group, bucket)
+    before = Window.partitionBy("_g").orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
+    starts = (
+        rows.groupBy("_g", "_b")
+        .agg(F.count(F.lit(1)).alias("_rows"))
+        .select("_g", "_b", F.coalesce(F.sum("_rows").over(before), F.lit(0)).alias("_start"))
     )
+    inside = Window.partitionBy("_g", "_b").orderBy(*order)
     return (
-        _join_runs(rows, measured(runs), keys)
-        .withColumn(name, (F.col("_start") + F.col("_at") - F.col("_first")).cast("bigint"))
-        .drop("_at", "_slice", "_first", "_start")
+        rows.withColumn("_inside", F.row_number().over(inside) - 1)
+        .join(starts, ["_g", "_b"])
+        .withColumn(name, (F.col("_start") + F.col("_inside")).cast("bigint"))
+        .drop("_g", "_b", "_inside", "_start")
     )
 
 
 def previous(
-    df: DataFrame, group: list[str], order: list[Column | str], values: list[str], name: str
+    df: DataFrame,
+    group: list[str],
+    order: list[Column | str],
+    values: list[str],
+    name: str,
+    bucket: Column,
 ) -> DataFrame:
     """Add the ``values`` of the row before, as a struct; null on a group's first row.
 
-    Inside a slice this is an ordinary lag; a slice's first row takes the last
-    values of the group's slice before it.
+    Inside a bucket this is an ordinary lag; a bucket's first row takes the last values
+    of the group's bucket before it.
     """
-    rows = sorted_copy(df, group, order).withColumn("_now", F.struct(*values))
-    keys = [*group, "_slice"]
+    rows = _dealt(df, group, bucket).withColumn("_now", F.struct(*values))
     carried = (
-        rows.groupBy(*keys)
-        .agg(F.max_by("_now", "_at").alias("_last"))
-        .withColumn("_carry", F.lag("_last").over(Window.partitionBy(*group).orderBy("_slice")))
-        .drop("_last")
-    )
-    inside = rows.withColumn(
-        "_back", F.lag("_now").over(Window.partitionBy(*keys).orderBy("_at"))
+        rows.groupBy("_g", "_b")
+        .agg(F.max_by("_now", F.struct(*order)).alias("_last"))
+        .select("_g", "_b", F.lag("_last").over(Window.partitionBy("_g").orderBy("_b")).alias("_carry"))
     )
+    back = F.lag("_now").over(Window.partitionBy("_g", "_b").orderBy(*order))
     return (
-        _join_runs(inside, measured(carried), keys)
+        rows.withColumn("_back", back)
+        .join(carried, ["_g", "_b"])
         .withColumn(name, F.coalesce("_back", "_carry"))
-        .drop("_at", "_slice", "_now", "_back", "_carry")
+        .drop("_g", "_b", "_now", "_back", "_carry")
     )
+
+
+def number_by_id(
+    df: DataFrame, group: list[str], key: str, name: str, rows_per_bucket: int = _ROWS
+) -> DataFrame:
+    """Add a dense 0-based number per group in order of ``key``, an integer unique in it.
+
+    Used once, when a log is appended. The key's range is cut so that buckets hold
+    ``rows_per_bucket`` rows on average, however sparse the keys are; that takes a look
+    at the key column first.
+    """
+    seen = df.agg(F.min(key).alias("low"), F.max(key).alias("high"), F.count(key).alias("n")).first()
+    buckets = max(1, -(-seen.n // rows_per_bucket))
+    width = max(1, -(-(seen.high - seen.low + 1) // buckets)) if seen.n else 1
+    return row_index(df, group, [key], name, F.floor((F.col(key) - F.lit(seen.low or 0)) / F.lit(width)))

@@ -10,8 +10,9 @@ from ..functions.numbers import parse_number
 from ..functions.times import parse_iso
 from ..schemas import PAYLOAD_TEXT
 
-# Required keys of a message and the accepted readings.
-REQUIRED_KEYS = ["event_id", "device_id", "timestamp", "temperature", "vibration", "status"]
+REQUIRED_KEYS = PAYLOAD_TEXT.names
+
+# The accepted readings.
 MIN_TEMPERATURE = 20.0
 MAX_TEMPERATURE = 95.0
 MAX_VIBRATION = 4.95
@@ -19,6 +20,8 @@ MAX_VIBRATION = 4.95
 _REPLACEMENT = "\ufffd"
 _ASIDE = "\ufdd0"  # a noncharacter, which no text contains
 _STRING = r'"[^"\\]*+(?:\\.[^"\\]*+)*+"'
+_CONTROL = r"[\x00-\x1f]"
+_CLEAN_STRING = r'"[^"\\\x00-\x1f]*+(?:\\.[^"\\\x00-\x1f]*+)*+"'
 
 
 def decode_value(raw: Column) -> Column:
@@ -92,12 +95,15 @@ def _one_object(value: Column) -> Column:
 
 
 def _strict_quotes(value: Column) -> Column:
-    """False for JSON in single quotes, which the parser would let pass.
+    """False for what the parser would let pass in quotes, and JSON does not.
 
-    With all double-quoted strings removed, no apostrophe may be left.
+    With all double-quoted strings removed, no apostrophe may be left; with all those
+    removed that hold no control character, no quote.
     """
     outside = F.regexp_replace(value, _STRING, "")
-    return F.when(value.contains("'"), ~outside.contains("'")).otherwise(True)
+    unclean = F.regexp_replace(value, _CLEAN_STRING, "")
+    single = F.when(value.contains("'"), ~outside.contains("'")).otherwise(True)
+    return single & F.when(value.rlike(_CONTROL), ~unclean.contains('"')).otherwise(True)
 
 
 def _typed_fields(log: DataFrame) -> DataFrame:
@@ -111,8 +117,12 @@ def _typed_fields(log: DataFrame) -> DataFrame:
         F.json_tuple("value", *texts).alias(*[f"_{t}" for t in texts]),
     )
     some_null = reduce(lambda a, b: a | b, [F.col(f"_{t}").isNull() for t in texts])
+    all_null = reduce(lambda a, b: a & b, [F.col(f"_{t}").isNull() for t in texts])
     value = F.col("value")
     keys = F.when(some_null, F.json_object_keys("value"))
+    # Text that no string can hold, such as half a surrogate pair, empties every field.
+    said_null = value.rlike(rf'"{texts[0]}"\s*:\s*null')
+    unreadable = all_null & F.array_contains(keys, texts[0]) & ~said_null
     return parsed.select(
         *log.columns,
         F.col("_event_id").alias("event_id"),
@@ -124,7 +134,7 @@ def _typed_fields(log: DataFrame) -> DataFrame:
         keys.alias("_keys"),
         some_null.alias("_some_null"),
         F.coalesce(
-            _one_object(value) & _strict_quotes(value) & (~some_null | keys.isNotNull()),
+            _one_object(value) & _strict_quotes(value) & (~some_null | keys.isNotNull()) & ~F.coalesce(unreadable, F.lit(False)),
             F.lit(False),
         ).alias("_object"),
     )

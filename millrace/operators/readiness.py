@@ -37,7 +37,7 @@ def reconcile(expected: DataFrame, inventory: DataFrame) -> DataFrame:
 
 
 def layer_readiness(reconciled: DataFrame) -> DataFrame:
-    """A layer is ready when all its pieces are present."""
+    """A layer is ready when all its pieces are present; ``reconcile`` has the pieces."""
     return reconciled.groupBy("layer").agg(
         F.when(F.every("present"), "ready").otherwise("missing").alias("status"),
         F.count(F.lit(1)).alias("expected"),
@@ -45,6 +45,21 @@ def layer_readiness(reconciled: DataFrame) -> DataFrame:
     )
 
 
+def readiness_details(reconciled: DataFrame) -> DataFrame:
+    """Each expected piece with its own status and that of its layer.
+
+    Rows rather than a list per layer: a layer may expect any number of pieces.
+    """
+    layers = layer_readiness(reconciled).select("layer", F.col("status").alias("layer_status"))
+    return reconciled.join(layers, "layer").select(
+        "layer",
+        "layer_status",
+        "kind",
+        "name",
+        F.when(F.col("present"), "ready").otherwise("missing").alias("status"),
+    )
+
+
 def expected_only(inventory: DataFrame, expected: DataFrame) -> DataFrame:
     """Inventory rows some expectation asks for, by the same match rule."""
     accepted = (

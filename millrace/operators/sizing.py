@@ -2,18 +2,16 @@
 
 from __future__ import annotations
 
-from pyspark import StorageLevel
 from pyspark.sql import DataFrame
 
+from ..session import saved
+
 
 def measured(side: DataFrame) -> DataFrame:
-    """Materialise a join side that is expected to be small.
+    """A written copy of a join side that is expected to be small.
 
-    The planner only guesses the size of an aggregate. Of a cached frame it knows
-    the bytes, and broadcasts it when they are below
-    ``spark.sql.autoBroadcastJoinThreshold``; a larger one is joined by shuffle.
-    No hint is given, so nothing is broadcast unchecked.
+    The planner only guesses the size of an aggregate. Of a stored table it knows the
+    bytes, and broadcasts it when they are below ``spark.sql.autoBroadcastJoinThreshold``;
+    a larger one is joined by shuffle. No hint is given, so nothing is broadcast unchecked.
     """
-    side = side.persist(StorageLevel.MEMORY_AND_DISK)
-    side.count()
-    return side
+    return saved(side, "measured")

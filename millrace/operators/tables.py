@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types as T
 
-from ..schemas import stored
+from ..schemas import GOLD, SILVER, stored
 from .feeds import latest
 
 
@@ -51,11 +52,26 @@ def write_batch(df: DataFrame, path: str, contract: T.StructType, batch_id: int)
     )
 
 
+def read_table(spark: SparkSession, path: str, schema: T.StructType) -> DataFrame:
+    """A stored table; one that nothing was written to yet reads as empty."""
+    try:
+        return spark.read.schema(schema).parquet(path)
+    except AnalysisException as error:
+        if error.getCondition() != "PATH_NOT_FOUND":
+            raise
+        return spark.createDataFrame([], schema)
+
+
+#: Columns that settle the order of equal times.
+_TIES = {tuple(SILVER.names): ["event_id"], tuple(GOLD.names): ["window_end", "batch_id"]}
+
+
 def scan_latest(
     spark: SparkSession, path: str, contract: T.StructType, limit: int | None = 500
 ) -> DataFrame:
-    """Rows of a stored table, newest first."""
-    return latest(spark.read.schema(stored(contract)).parquet(path), limit)
+    """Rows of a stored table, newest first; equal times in the order of the contract's key."""
+    rows = read_table(spark, path, stored(contract))
+    return latest(rows, limit, _TIES.get(tuple(contract.names), contract.names))
 
 
 def table_metrics(table: DataFrame) -> DataFrame:

@@ -5,11 +5,13 @@ from __future__ import annotations
 # Shared table expressions. t: typed readings; v: valid ones; l: the log with
 # dense offsets; o: offsets per partition; h: hourly KPIs; m: irregular messages.
 
-_T = """
+# The plant's devices, in the order of user_id modulo five.
+_DEVICES = ["CNC-001", "CNC-002", "ROBOT-A", "ROBOT-B", "PRESS-04"]
+
+_T = f"""
 t AS (
   SELECT cast(event_id AS VARCHAR) AS event_id, event_id AS event_number,
-         CASE user_id % 5 WHEN 0 THEN 'CNC-001' WHEN 1 THEN 'CNC-002' WHEN 2 THEN 'ROBOT-A'
-              WHEN 3 THEN 'ROBOT-B' ELSE 'PRESS-04' END AS device_id,
+         {_DEVICES}[user_id % 5 + 1] AS device_id,
          ts AS event_time, value AS temperature,
          cast(json_extract_string(props, '$.k') AS INT) AS k,
          cast(json_extract_string(props, '$.k') AS INT) * cast(0.0505 AS DOUBLE) AS vibration,
@@ -173,10 +175,13 @@ _ISO = (
 )
 _FEED = """
 f AS (SELECT event_id, device_id, event_time, temperature, event_number FROM v)"""
-_DEVICES = ["CNC-001", "CNC-002", "ROBOT-A", "ROBOT-B", "PRESS-04"]
 _SERIES = ", ".join(
     f"max(temperature) FILTER (WHERE device_id = '{d}') AS \"{d}\"" for d in _DEVICES
 )
+#: Bytes of a document's line in the store: its JSON text and a line break.
+_LINE_BYTES = (
+    "cast(sum(strlen('{\"doc_id\":' || doc_id || ',\"n_chars\":' || n_chars || '}') + 1) AS BIGINT)"
+)
 _FLOAT = "cast(cast({0} AS FLOAT) AS DOUBLE) AS {0}"
 _NARROW = f"{_FLOAT.format('temperature')}, {_FLOAT.format('vibration')}"
 
@@ -309,7 +314,10 @@ ORACLES: dict[str, str] = {
                cast(sum(strlen(html)) AS BIGINT) AS total_bytes
         FROM pages GROUP BY 1""",
     "object_texts": "SELECT cast(event_id AS VARCHAR) AS event_id FROM events",
-    "csv_objects": "SELECT doc_id, lang, source, n_chars FROM documents",
+    "csv_objects": "SELECT doc_id, text, lang, source, n_chars FROM documents",
+    "object_inventory": f"SELECT lang, {_LINE_BYTES} AS length FROM documents GROUP BY lang",
+    "store_totals": f"""
+        SELECT count(DISTINCT lang) AS object_count, {_LINE_BYTES} AS total_bytes FROM documents""",
     # feeds
     "metric_changes": f"""WITH {_T},
         b AS (SELECT device_id, event_time, event_number, status,
@@ -317,6 +325,15 @@ ORACLES: dict[str, str] = {
                                        ORDER BY event_time, event_number) AS before FROM t)
         SELECT device_id, event_time, event_number, status FROM b
         WHERE before IS DISTINCT FROM status""",
+    "metric_sample_changes": f"""WITH {_T},
+        c AS (SELECT device_id, event_time, event_number,
+                     cast(floor(vibration / 2) AS BIGINT) + cast(temperature > 60 AS BIGINT) AS ingested,
+                     cast(floor(vibration / 2) AS BIGINT) AS processed,
+                     cast(temperature > 60 AS BIGINT) AS waiting FROM t),
+        b AS (SELECT *, lag({{'i': ingested, 'p': processed, 'w': waiting}}) OVER (
+                PARTITION BY device_id ORDER BY event_time, event_number) AS before FROM c)
+        SELECT device_id, event_time, event_number, ingested, processed, waiting FROM b
+        WHERE before IS DISTINCT FROM {{'i': ingested, 'p': processed, 'w': waiting}}""",
     "last_n_per_key": f"""WITH {_V},
         b AS (SELECT device_id, event_time, event_number, temperature, row_number() OVER (
                 PARTITION BY device_id ORDER BY event_time DESC, event_number DESC) AS rn FROM v)
@@ -335,6 +352,10 @@ ORACLES: dict[str, str] = {
         SELECT service_name, status, message, checked_at, probe_id FROM b WHERE rn = 1""",
     # readiness
     "layer_readiness": f"WITH {_V}, {_READY} SELECT * FROM y",
+    "readiness_details": f"""WITH {_V}, {_READY}
+        SELECT c.layer, y.status AS layer_status, kind, name,
+               CASE WHEN c.present THEN 'ready' ELSE 'missing' END AS status
+        FROM c JOIN y USING (layer)""",
     "expected_resources": f"""WITH {_V},
         {_pieces('e', "v WHERE status = 'WARNING'", 'true')},
         {_pieces('i', 'v', _ROBOTS)}
@@ -352,13 +373,16 @@ ORACLES: dict[str, str] = {
     "context_fields": f"""WITH {_L}, {_V.replace(_T, '').lstrip(',')}, {_H.replace(_V, '').lstrip(',')},
         {_READY.lstrip()},
         a AS (SELECT event_id, row_number() OVER (ORDER BY event_time DESC, event_id DESC) AS n FROM v),
-        q AS (SELECT total_events, row_number() OVER (ORDER BY window_start DESC) AS n FROM h)
-        SELECT (SELECT count(*) FROM (SELECT DISTINCT kind, name FROM i) WHERE kind = 'topic') AS topics,
-               (SELECT count(*) FROM (SELECT DISTINCT kind, name FROM i) WHERE kind = 'table') AS tables,
-               (SELECT count(*) FROM (SELECT DISTINCT kind, name FROM i) WHERE kind = 'bucket') AS buckets,
+        q AS (SELECT total_events, row_number() OVER (ORDER BY window_start DESC) AS n FROM h),
+        k AS (SELECT DISTINCT kind, name FROM i WHERE EXISTS (SELECT 1 FROM e WHERE {_MATCH}))
+        SELECT (SELECT count(*) FROM k WHERE kind = 'topic') AS topics,
+               (SELECT count(*) FROM k WHERE kind = 'table') AS tables,
+               (SELECT count(*) FROM k WHERE kind = 'bucket') AS buckets,
                x.total_messages, x.lag_seconds,
                (SELECT '["' || string_agg(event_id, '","' ORDER BY n) || '"]' FROM a WHERE n <= 5) AS silver_ids,
                (SELECT '[' || string_agg(total_events, ',' ORDER BY n) || ']' FROM q WHERE n <= 5) AS gold_totals,
+               (SELECT count(*) FROM y) AS layers,
+               (SELECT count(*) FROM c WHERE NOT present) AS missing_pieces,
                (SELECT count(*) FROM y WHERE status = 'ready') AS ready_layers
         FROM x""",
     # incremental job
@@ -376,6 +400,5 @@ ORACLES: dict[str, str] = {
                count(*) FILTER (WHERE reasons <> '') AS invalidated,
                cast(1 AS BIGINT) AS kpis FROM m""",
     "hourly_stream_kpis": f"""WITH {_H}
-        SELECT * FROM h WHERE hour_start + INTERVAL 1 HOUR
-            <= (SELECT max(event_time) FROM v) - INTERVAL 1 HOUR""",
+        SELECT * REPLACE (cast(total_events AS BIGINT) AS total_events) FROM h""",
 }

@@ -11,11 +11,11 @@ from ..functions.numbers import kilobytes, parse_number, round_half_up
 from ..functions.times import from_epoch_millis, iso_text, parse_iso
 from ..operators import feeds, kpis, monitor, quality, readiness, tables
 from ..operators.context import context_document
-from ..operators.sizing import measured
+from ..operators.ordering import time_bucket
 from ..schemas import ENVELOPE, PAYLOAD_TEXT, SILVER
-from ..session import scratch_path
+from ..session import saved, scratch_folder, scratch_path
 from ..sources import logs, objects, telemetry
-from ..streaming.medallion import Medallion, RunCounters, hourly_stream, run_available
+from ..streaming.medallion import Medallion, RunCounters, run_available
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -37,20 +37,28 @@ def _valid(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.valid_readings(_readings(spark, sf_dir))
 
 
-def _log(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return telemetry.bronze_log(_readings(spark, sf_dir))
+class _Log:
+    """The stored log of a table folder: appended once per application, then read."""
 
+    stores: dict[tuple[str, str], logs.LogStore] = {}
 
-def _positions(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return telemetry.log_positions(_readings(spark, sf_dir))
+    def __init__(self, spark: SparkSession, sf_dir: str):
+        key = (scratch_folder(spark), sf_dir)
+        if key not in self.stores:
+            store = logs.LogStore(scratch_path(spark, "log"))
+            store.append(telemetry.bronze_log(_readings(spark, sf_dir)))
+            self.stores[key] = store
+        self.rows = self.stores[key].rows(spark)
+        self.manifest = self.stores[key].manifest(spark)
+        self.offsets = telemetry.committed_offsets(monitor.log_offsets(self.manifest))
 
+    def lags(self) -> DataFrame:
+        return monitor.partition_lag(self.rows, self.manifest, self.offsets)
 
-def _offsets(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return measured(telemetry.consumer_offsets(_readings(spark, sf_dir)))
 
-
-def _lags(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return monitor.partition_lag(_log(spark, sf_dir), _offsets(spark, sf_dir))
+def build_fixtures(spark: SparkSession, sf_dir: str) -> None:
+    """Append the log that the monitoring queries read, ahead of them."""
+    _Log(spark, sf_dir)
 
 
 def _hourly(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -177,21 +185,21 @@ def silver_append(spark, sf_dir):
 
 
 def topic_totals(spark, sf_dir):
-    return monitor.topic_totals(monitor.log_offsets(_log(spark, sf_dir)))
+    return monitor.topic_totals(_Log(spark, sf_dir).offsets)
 
 
 def partition_lag(spark, sf_dir):
-    return _lags(spark, sf_dir).drop("committed_offset")
+    return _Log(spark, sf_dir).lags().drop("committed_offset")
 
 
 def topic_lag(spark, sf_dir):
-    return monitor.topic_lag(_lags(spark, sf_dir), _ntz(AS_OF)).select(
+    return monitor.topic_lag(_Log(spark, sf_dir).lags(), _ntz(AS_OF)).select(
         "in_queue", "oldest_unprocessed", "delay_seconds"
     )
 
 
 def _metrics(spark, sf_dir):
-    lag = monitor.topic_lag(_lags(spark, sf_dir), _ntz(AS_OF))
+    lag = monitor.topic_lag(_Log(spark, sf_dir).lags(), _ntz(AS_OF))
     invalid = (
         quality.rejected_rows(quality.check_readings(_readings(spark, sf_dir)))
         .agg(F.count(F.lit(1)))
@@ -218,15 +226,18 @@ def metrics_long(spark, sf_dir):
 
 
 def recent_messages(spark, sf_dir):
-    return monitor.recent_messages(_positions(spark, sf_dir), _offsets(spark, sf_dir), 50)
+    log = _Log(spark, sf_dir)
+    return _message_fields(monitor.recent_messages(log.rows, log.manifest, log.offsets, 50))
 
 
 def unprocessed_messages(spark, sf_dir):
-    return monitor.unprocessed_messages(_positions(spark, sf_dir), _offsets(spark, sf_dir), 50)
+    log = _Log(spark, sf_dir)
+    return _message_fields(monitor.unprocessed_messages(log.rows, log.manifest, log.offsets, 50))
 
 
 def recent_message(spark, sf_dir):
-    return monitor.recent_message(_positions(spark, sf_dir))
+    log = _Log(spark, sf_dir)
+    return _message_fields(monitor.recent_message(log.rows, log.manifest))
 
 
 def published_messages(spark, sf_dir):
@@ -357,12 +368,23 @@ def metric_names(spark, sf_dir):
 # objects
 
 
+def _published_documents(spark, sf_dir):
+    """Documents published to a store, one folder and one object per language."""
+    path = scratch_path(spark, "documents")
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    line = F.to_json(F.struct("doc_id", "n_chars")).alias("value")
+    lines = docs.select("lang", line).repartition("lang")
+    lines.write.partitionBy("lang").text(path)
+    return objects.list_objects(spark, path).where(F.col("path").rlike("/part-[^/]*$"))
+
+
 def object_inventory(spark, sf_dir):
-    return objects.list_objects(spark, sf_dir)
+    folder = F.regexp_extract("path", "lang=([^/]*)/", 1).alias("lang")
+    return _published_documents(spark, sf_dir).select(folder, "length")
 
 
 def store_totals(spark, sf_dir):
-    return objects.store_totals(objects.list_objects(spark, sf_dir))
+    return objects.store_totals(_published_documents(spark, sf_dir))
 
 
 def bucket_metrics(spark, sf_dir):
@@ -376,7 +398,8 @@ def bucket_metrics(spark, sf_dir):
 
 def object_texts(spark, sf_dir):
     path = scratch_path(spark, "texts")
-    logs.publish(_readings(spark, sf_dir).select("event_id", "device_id"), path)
+    readings = _readings(spark, sf_dir).select("event_id", "device_id")
+    logs.publish(readings, path, per_object=5000)
     lines = objects.read_objects(spark, path).select(F.explode(F.split("content", "\n")).alias("line"))
     return lines.where("line != ''").select(
         F.get_json_object("line", "$.event_id").alias("event_id")
@@ -385,9 +408,9 @@ def object_texts(spark, sf_dir):
 
 def csv_objects(spark, sf_dir):
     path = scratch_path(spark, "csv")
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "lang", "source", "n_chars")
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text", "lang", "source", "n_chars")
     objects.write_csv(docs, path)
-    return spark.read.schema(docs.schema).option("header", True).option("escape", '"').csv(path)
+    return objects.read_csv(spark, path, docs.schema)
 
 
 # feeds
@@ -395,8 +418,28 @@ def csv_objects(spark, sf_dir):
 
 def metric_changes(spark, sf_dir):
     samples = _readings(spark, sf_dir).select("device_id", "event_time", "event_number", "status")
+    day = time_bucket("event_time", 86_400)
+    return feeds.drop_unchanged(samples, ["device_id"], ["event_time", "event_number"], ["status"], day)
+
+
+def metric_sample_changes(spark, sf_dir):
+    """Three counters of a device as a dashboard samples them: in, processed, waiting."""
+    vibration = F.floor(F.col("vibration") / 2).cast("bigint")
+    warm = (F.col("temperature") > 60).cast("bigint")
+    samples = _readings(spark, sf_dir).select(
+        "device_id",
+        "event_time",
+        "event_number",
+        (vibration + warm).alias("ingested"),
+        vibration.alias("processed"),
+        warm.alias("waiting"),
+    )
     return feeds.drop_unchanged(
-        samples, ["device_id"], ["event_time", "event_number"], ["status"]
+        samples,
+        ["device_id"],
+        ["event_time", "event_number"],
+        ["ingested", "processed", "waiting"],
+        time_bucket("event_time", 86_400),
     )
 
 
@@ -470,10 +513,16 @@ def _inventory(spark, sf_dir):
     return _pieces(_valid(spark, sf_dir), named_in_full).select("kind", "name")
 
 
+def _reconciled(spark, sf_dir):
+    return readiness.reconcile(_expected(spark, sf_dir), _inventory(spark, sf_dir))
+
+
 def layer_readiness(spark, sf_dir):
-    return readiness.layer_readiness(
-        readiness.reconcile(_expected(spark, sf_dir), _inventory(spark, sf_dir))
-    )
+    return readiness.layer_readiness(_reconciled(spark, sf_dir))
+
+
+def readiness_details(spark, sf_dir):
+    return readiness.readiness_details(_reconciled(spark, sf_dir))
 
 
 def expected_resources(spark, sf_dir):
@@ -497,28 +546,41 @@ def readiness_score(spark, sf_dir):
 
 
 def context_fields(spark, sf_dir):
-    """The context document, read back field by field."""
+    """The context document, read back field by field.
+
+    Readings, pieces and inventory are written once, as the job writes them, and shared by
+    the document's parts.
+    """
+    readings = saved(_readings(spark, sf_dir), "readings")
+    valid = quality.valid_readings(readings)
+    expected = _pieces(readings, F.lit(True))
+    inventory = saved(_pieces(valid, ~F.col("device_id").startswith("ROBOT")).select("kind", "name"), "inventory")
+    pieces = saved(readiness.reconcile(expected, inventory), "pieces")
+    silver = valid.withColumnRenamed("event_time", "timestamp").select(*SILVER.names)
     document = context_document(
-        _inventory(spark, sf_dir),
-        layer_readiness(spark, sf_dir),
+        readiness.expected_only(inventory.distinct(), pieces),
+        readiness.readiness_details(pieces),
+        readiness.layer_readiness(pieces),
         _metrics(spark, sf_dir),
-        _silver(spark, sf_dir),
-        _hourly(spark, sf_dir),
+        silver,
+        kpis.hourly_kpis(valid),
     )
-    fields = {
+    summary = {
         "topics": ("$.dashboard.topics", "bigint"),
         "tables": ("$.dashboard.tables", "bigint"),
         "buckets": ("$.dashboard.buckets", "bigint"),
-        "total_messages": ("$.bronze_layer.total_messages", "bigint"),
-        "lag_seconds": ("$.bronze_layer.lag_seconds", "double"),
+        "ready_layers": ("$.dashboard.readiness.ready", "bigint"),
         "silver_ids": ("$.silver_layer.last_5_records[*].event_id", "string"),
         "gold_totals": ("$.gold_layer.last_5_records[*].total_events", "string"),
     }
-    layers = F.from_json(F.get_json_object("context", "$.dashboard.readiness"), "map<string,string>")
-    ready = F.filter(F.map_values(layers), lambda s: s == "ready")
-    return document.select(
-        *[F.get_json_object("context", p).cast(t).alias(n) for n, (p, t) in fields.items()],
-        F.size(ready).cast("bigint").alias("ready_layers"),
+    topic = {"total_messages": ("$.total_messages", "bigint"), "lag_seconds": ("$.lag_seconds", "double")}
+    part = lambda p, of: F.max(F.when(F.col("part") == of, F.get_json_object("context", p)))
+    missing = (F.col("part") == "piece") & (F.get_json_object("context", "$.status") == "missing")
+    return document.agg(
+        *[part(p, "summary").cast(t).alias(n) for n, (p, t) in summary.items()],
+        *[part(p, "topic").cast(t).alias(n) for n, (p, t) in topic.items()],
+        F.count_if(F.col("part") == "layer").alias("layers"),
+        F.count_if(missing).alias("missing_pieces"),
     )
 
 
@@ -564,20 +626,12 @@ def run_counters(spark, sf_dir):
 
 
 def hourly_stream_kpis(spark, sf_dir):
-    out, checkpoint = scratch_path(spark, "hours"), scratch_path(spark, "progress")
+    """Hours as the incremental job stores them, merged when read."""
+    tables_ = Medallion(scratch_path(spark, "medallion"))
     events = telemetry.stream_events(spark, sf_dir)
     messages = telemetry.unnumbered_log(telemetry.telemetry_from_events(events))
-    hours = hourly_stream(messages)
-    query = (
-        hours.writeStream.format("parquet")
-        .option("path", out)
-        .option("checkpointLocation", checkpoint)
-        .outputMode("append")
-        .trigger(availableNow=True)
-        .start()
-    )
-    query.awaitTermination()
-    return spark.read.schema(hours.schema).parquet(out)
+    run_available(messages, tables_, scratch_path(spark, "progress"))
+    return tables_.read_hourly(spark)
 
 
 _QUERIES: list[Query] = [
@@ -622,11 +676,13 @@ _QUERIES: list[Query] = [
     object_texts,
     csv_objects,
     metric_changes,
+    metric_sample_changes,
     last_n_per_key,
     merged_feed,
     merged_gold_feed,
     latest_state,
     layer_readiness,
+    readiness_details,
     expected_resources,
     probe_status,
     readiness_score,

@@ -48,6 +48,20 @@ GOLD = T.StructType(
     ]
 )
 
+# What the job stores for its KPIs: per run, batch and hour, sums that merge to a GOLD row.
+GOLD_PARTIAL = T.StructType(
+    [
+        T.StructField("run", T.LongType(), _REQ),
+        T.StructField("hour_start", T.TimestampNTZType(), _REQ),
+        T.StructField("window_start", T.TimestampNTZType(), _REQ),
+        T.StructField("window_end", T.TimestampNTZType(), _REQ),
+        T.StructField("total_events", T.LongType(), _REQ),
+        T.StructField("temp_whole", T.LongType(), _REQ),
+        T.StructField("temp_parts", T.LongType(), _REQ),
+        T.StructField("anomaly_count", T.LongType(), _REQ),
+    ]
+)
+
 QUARANTINE = T.StructType(
     [
         T.StructField("partition", T.IntegerType()),

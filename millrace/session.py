@@ -2,16 +2,17 @@
 
 from __future__ import annotations
 
-import tempfile
+import re
 import uuid
-from functools import cache
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 
-def local_session(cpus: int | str = "*", shuffle_partitions: int = 8) -> SparkSession:
-    """Session for tests and benchmarks on one machine."""
-    spark = (
+def local_session(
+    cpus: int | str = "*", shuffle_partitions: int = 8, shared: str | None = None
+) -> SparkSession:
+    """Session for tests and benchmarks on one machine; ``shared`` is its checkpoint folder."""
+    builder = (
         SparkSession.builder.master(f"local[{cpus}]")
         .appName("millrace")
         .config("spark.ui.enabled", "false")
@@ -19,15 +20,27 @@ def local_session(cpus: int | str = "*", shuffle_partitions: int = 8) -> SparkSe
         .config("spark.sql.session.timeZone", "UTC")
         .config("spark.sql.shuffle.partitions", str(shuffle_partitions))
         .config("spark.sql.adaptive.enabled", "true")
-        .getOrCreate()
     )
+    if shared:
+        builder = builder.config("spark.checkpoint.dir", shared)
+    spark = builder.getOrCreate()
     spark.sparkContext.setLogLevel("ERROR")
     return spark
 
 
 def scratch_path(spark: SparkSession, label: str) -> str:
     """A new folder name for an intermediate table that every executor can reach."""
-    return f"{_own_folder(spark)}/{label}-{uuid.uuid4().hex}"
+    return f"{scratch_folder(spark)}/{label}-{uuid.uuid4().hex}"
+
+
+def saved(df: DataFrame, label: str) -> DataFrame:
+    """Write df to the shared scratch folder and read it back.
+
+    The copy cuts the lineage, outlives a lost executor and tells the planner its size.
+    """
+    path = scratch_path(df.sparkSession, label)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
 def clear_scratch(spark: SparkSession) -> None:
@@ -35,24 +48,16 @@ def clear_scratch(spark: SparkSession) -> None:
 
     Results built on them can no longer be read afterwards.
     """
-    folder = spark._jvm.org.apache.hadoop.fs.Path(_own_folder(spark))
+    folder = spark._jvm.org.apache.hadoop.fs.Path(scratch_folder(spark))
     folder.getFileSystem(spark._jsc.hadoopConfiguration()).delete(folder, True)
 
 
-@cache
-def _local_base(application: str) -> str:
-    return tempfile.mkdtemp(prefix="millrace-")
-
-
-def _own_folder(spark: SparkSession) -> str:
-    """This application's folder below the session's ``spark.checkpoint.dir``.
+def scratch_folder(spark: SparkSession) -> str:
+    """This application's folder below ``spark.checkpoint.dir``.
 
-    Only a local session may go without that setting: it gets a temporary folder.
+    Where that is unset, below the warehouse folder, which is shared as well.
     """
-    application = spark.sparkContext.applicationId
     base = spark.conf.get("spark.checkpoint.dir", None)
-    if not base:
-        if not spark.sparkContext.master.startswith("local"):
-            raise ValueError("set spark.checkpoint.dir to a folder shared by all executors")
-        base = _local_base(application)
-    return f"{base.rstrip('/')}/millrace/{application}"
+    base = base or f"{spark.conf.get('spark.sql.warehouse.dir')}/_scratch"
+    base = re.sub("^file:/+", "file:///", base.rstrip("/"))
+    return f"{base}/millrace/{spark.sparkContext.applicationId}"

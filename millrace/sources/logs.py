@@ -3,19 +3,41 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from dataclasses import dataclass
 
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 
 from ..operators.quality import decode_value
+from ..operators.tables import read_table
 from ..schemas import ENVELOPE
+from ..session import saved
 
 FILES_PER_BATCH = 1000
 
-def publish(rows: DataFrame, path: str, limit: int | None = None) -> None:
-    """Append rows to a log as JSON lines; no limit publishes all."""
+MANIFEST = T.StructType(
+    [
+        T.StructField("partition", T.IntegerType()),
+        T.StructField("block", T.LongType()),
+        T.StructField("first_offset", T.LongType()),
+        T.StructField("last_offset", T.LongType()),
+        T.StructField("n", T.LongType()),
+        T.StructField("latest", T.TimestampNTZType()),
+    ]
+)
+BLOCKED = T.StructType([*ENVELOPE.fields, T.StructField("block", T.LongType())])
+
+
+def publish(
+    rows: DataFrame, path: str, limit: int | None = None, per_object: int = 100_000
+) -> None:
+    """Append rows to a log as JSON lines; no limit publishes all.
+
+    An object holds ``per_object`` lines at most, so that it can be read as one text.
+    """
     if limit:
         rows = rows.limit(limit)
-    rows.select(F.to_json(F.struct("*")).alias("value")).write.mode("append").text(path)
+    lines = rows.select(F.to_json(F.struct("*")).alias("value"))
+    lines.write.mode("append").option("maxRecordsPerFile", per_object).text(path)
 
 
 def publish_kafka(rows: DataFrame, servers: str, topic: str, limit: int | None = None) -> None:
@@ -32,23 +54,59 @@ def read_published(spark: SparkSession, path: str) -> DataFrame:
 
 
 def write_log(log: DataFrame, path: str) -> None:
-    """Append envelopes, in offset order inside each file.
-
-    Row groups then cover narrow offset ranges, so a read from an offset skips the rest.
-    """
-    log.select(*ENVELOPE.names).sortWithinPartitions("partition", "offset").write.mode(
-        "append"
-    ).parquet(path)
+    """Append envelopes to a log that is read as a stream."""
+    log.select(*ENVELOPE.names).write.mode("append").parquet(path)
 
 
 def read_log(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.schema(ENVELOPE).parquet(path)
 
 
+@dataclass(frozen=True)
+class LogStore:
+    """A log for browsing: envelopes by partition and block of offsets, and a manifest.
+
+    The manifest has a row per appended block: its bounds, count and newest time. Totals,
+    ends and times come from it; rows are read by block, so that files of other blocks are
+    skipped.
+    """
+
+    path: str
+    block: int = 100_000
+
+    def append(self, log: DataFrame) -> None:
+        """Append envelopes; offsets are given, or assigned before by ``number_by_id``."""
+        blocked = log.select(*ENVELOPE.names, F.floor(F.col("offset") / self.block).alias("block"))
+        rows = saved(blocked, "append")
+        rows.repartition("partition", "block").sortWithinPartitions("partition", "block", "offset").write.mode(
+            "append"
+        ).partitionBy("partition", "block").parquet(f"{self.path}/rows")
+        rows.groupBy("partition", "block").agg(
+            F.min("offset").alias("first_offset"),
+            F.max("offset").alias("last_offset"),
+            F.count(F.lit(1)).alias("n"),
+            F.max("timestamp").alias("latest"),
+        ).select(*MANIFEST.names).write.mode("append").parquet(f"{self.path}/manifest")
+
+    def rows(self, spark: SparkSession) -> DataFrame:
+        return read_table(spark, f"{self.path}/rows", BLOCKED).select(*ENVELOPE.names, "block")
+
+    def manifest(self, spark: SparkSession) -> DataFrame:
+        """One row per block, appends merged."""
+        parts = read_table(spark, f"{self.path}/manifest", MANIFEST)
+        return parts.groupBy("partition", "block").agg(
+            F.min("first_offset").alias("first_offset"),
+            F.max("last_offset").alias("last_offset"),
+            F.sum("n").alias("n"),
+            F.max("latest").alias("latest"),
+        )
+
+
 def stream_log(spark: SparkSession, path: str, files_per_batch: int = FILES_PER_BATCH) -> DataFrame:
     """The log as a stream; progress lives in the query's checkpoint.
 
-    A first run over a long log goes through it in batches of this many files.
+    A first run over a long log goes through it in batches of this many files. Files are
+    read whole: a bound on messages, as ``stream_kafka`` has it, does not apply here.
     """
     reader = spark.readStream.schema(ENVELOPE).option("maxFilesPerTrigger", files_per_batch)
     return reader.parquet(path)

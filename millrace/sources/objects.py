@@ -2,21 +2,53 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession, functions as F
+import re
+from collections.abc import Iterator
+
+import pyarrow as pa
+from pyarrow.fs import FileSelector, FileSystem, FileType
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types as T
+
+from ..session import saved
+
+
+_LISTED = "path string, length bigint, modificationTime timestamp"
+
+
+def _listing(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Entries of each folder, itself only."""
+    for batch in batches:
+        for folder in batch.column(0).to_pylist():
+            store, top = FileSystem.from_uri(folder)
+            root = folder.rstrip("/").removesuffix(top.rstrip("/"))
+            entries = store.get_file_info(FileSelector(top))
+            yield pa.RecordBatch.from_arrays(
+                [
+                    pa.array([root + e.path for e in entries], pa.string()),
+                    pa.array([e.size for e in entries], pa.int64()),
+                    pa.array([e.mtime for e in entries], pa.timestamp("us", "UTC")),
+                    pa.array([e.type == FileType.Directory for e in entries], pa.bool_()),
+                ],
+                names=["path", "length", "modificationTime", "folder"],
+            )
 
 
 def list_objects(spark: SparkSession, folder: str) -> DataFrame:
-    """Path, size and time of the objects below a folder; contents are not read.
+    """Path, size and time of every object below a folder; contents are not read.
 
-    Like every Spark file source this passes over empty objects and names that
-    begin with ``_`` or ``.``; byte totals are complete all the same.
+    Folders are listed level by level, each in a task. Spark's own file sources would pass
+    over empty objects and names that begin with ``_`` or ``.``; these are listed too.
     """
-    return (
-        spark.read.format("binaryFile")
-        .option("recursiveFileLookup", True)
-        .load(folder)
-        .select("path", "length", "modificationTime")
-    )
+    level = spark.createDataFrame([(re.sub("^file:/+", "file:///", folder),)], "path string")
+    found = None
+    while True:
+        spread = level.repartition(spark.sparkContext.defaultParallelism)
+        entries = saved(spread.mapInArrow(_listing, f"{_LISTED}, folder boolean"), "listing")
+        objects = entries.where("NOT folder").drop("folder")
+        found = objects if found is None else found.unionAll(objects)
+        level = entries.where("folder").select("path")
+        if level.isEmpty():
+            return found
 
 
 def read_objects(spark: SparkSession, folder: str) -> DataFrame:
@@ -28,9 +60,27 @@ def read_objects(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
+_CSV = {
+    "header": True,
+    "escape": '"',
+    "ignoreLeadingWhiteSpace": False,
+    "ignoreTrailingWhiteSpace": False,
+}
+
+
 def write_csv(df: DataFrame, folder: str) -> None:
     """CSV objects with a header; quotes are doubled, as other readers expect."""
-    df.write.option("header", True).option("escape", '"').csv(folder)
+    df.write.options(**_CSV).csv(folder)
+
+
+def read_csv(spark: SparkSession, folder: str, schema: T.StructType) -> DataFrame:
+    """What ``write_csv`` wrote: text keeps its line breaks, quotes and outer spaces.
+
+    A bare empty field is null, a quoted one an empty text: the parser tells them apart
+    only if null has a name of its own, for which a noncharacter stands.
+    """
+    options = {**_CSV, "multiLine": True, "nullValue": "\ufdd0"}
+    return spark.read.schema(schema).options(**options).csv(folder)
 
 
 def folder_of(path: Column) -> Column:

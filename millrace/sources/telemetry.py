@@ -89,13 +89,6 @@ def bronze_log(readings: DataFrame) -> DataFrame:
     )
 
 
-def log_positions(readings: DataFrame) -> DataFrame:
-    """The same log with only the event id for a payload."""
-    return _numbered(readings).select(
-        "partition", "offset", F.col("event_time").alias("timestamp"), "event_id"
-    )
-
-
 def unnumbered_log(readings: DataFrame) -> DataFrame:
     """Envelopes for a stream, whose offsets ascend but have gaps."""
     return readings.select(
@@ -106,23 +99,14 @@ def unnumbered_log(readings: DataFrame) -> DataFrame:
     )
 
 
-def consumer_offsets(readings: DataFrame) -> DataFrame:
+def committed_offsets(ends: DataFrame) -> DataFrame:
     """Begin, end and committed offset per log partition, as a broker reports them.
 
     Partitions 0-2 have nine tenths processed; partition 3 was never committed.
     """
-    return (
-        readings.groupBy("partition")
-        .agg(F.count(F.lit(1)).alias("end_offset"))
-        .select(
-            "partition",
-            F.lit(0).cast("bigint").alias("begin_offset"),
-            "end_offset",
-            F.when(
-                F.col("partition") < LOG_PARTITIONS - 1,
-                F.floor(F.col("end_offset") * F.lit(0.9).cast("double")).cast("bigint"),
-            ).alias("committed_offset"),
-        )
+    done = F.floor(F.col("end_offset") * F.lit(0.9).cast("double")).cast("bigint")
+    return ends.withColumn(
+        "committed_offset", F.when(F.col("partition") < LOG_PARTITIONS - 1, done)
     )
 
 

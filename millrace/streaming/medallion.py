@@ -7,10 +7,10 @@ from dataclasses import dataclass, field
 from pyspark import StorageLevel
 from pyspark.sql import DataFrame, Observation, SparkSession, functions as F
 
-from ..operators.kpis import batch_kpis, kpi_measures
+from ..operators.kpis import merged_kpis, partial_kpis
 from ..operators.quality import check_messages, quarantine_rows, valid_rows
-from ..operators.tables import write_batch
-from ..schemas import GOLD, QUARANTINE, SILVER, stored
+from ..operators.tables import read_table, write_batch
+from ..schemas import GOLD, GOLD_PARTIAL, QUARANTINE, SILVER, stored
 from ..sources.logs import consume
 
 
@@ -38,13 +38,24 @@ class Medallion:
         return f"{self.root}/quarantine"
 
     def read_silver(self, spark: SparkSession) -> DataFrame:
-        return spark.read.schema(stored(SILVER)).parquet(self.silver)
+        return read_table(spark, self.silver, stored(SILVER))
+
+    def read_quarantine(self, spark: SparkSession) -> DataFrame:
+        return read_table(spark, self.quarantine, stored(QUARANTINE))
+
+    def _partials(self, spark: SparkSession) -> DataFrame:
+        return read_table(spark, self.gold, stored(GOLD_PARTIAL))
 
     def read_gold(self, spark: SparkSession) -> DataFrame:
-        return spark.read.schema(stored(GOLD)).parquet(self.gold)
+        """One KPI row per run, whatever number of batches it took; ``batch_id`` is its first."""
+        when = F.max("ingested_at").alias("ingested_at")
+        runs = merged_kpis(self._partials(spark), ["run"], when).withColumnRenamed("run", "batch_id")
+        return runs.select(*[F.col(f.name).cast(f.dataType).alias(f.name) for f in stored(GOLD)])
 
-    def read_quarantine(self, spark: SparkSession) -> DataFrame:
-        return spark.read.schema(stored(QUARANTINE)).parquet(self.quarantine)
+    def read_hourly(self, spark: SparkSession) -> DataFrame:
+        """KPIs per hour of all runs; late readings count in the hour they belong to."""
+        hours = merged_kpis(self._partials(spark), ["hour_start"])
+        return hours.select("hour_start", *GOLD.names)
 
 
 @dataclass
@@ -64,7 +75,9 @@ def process_batch(
     """Validate one batch and write its three partitions.
 
     Each write replaces the partition of this batch, so a replay after a failure
-    leaves no duplicates. Counters are observed during the first write.
+    leaves no duplicates. Counters are observed during the first write. KPIs are stored
+    as hourly sums, which the readers merge: how a run was cut into batches, and how late
+    a reading came, makes no difference.
     """
     number = tables.first_batch + batch_id
     checked = check_messages(messages)
@@ -84,12 +97,14 @@ def process_batch(
         write_batch(silver, tables.silver, SILVER, number)
         write_batch(quarantine_rows(checked), tables.quarantine, QUARANTINE, number)
         # KPIs come from the doubles, before the table narrows them to float
-        write_batch(batch_kpis(valid_rows(checked)), tables.gold, GOLD, number)
+        run = min([number, *counters.batches])
+        partials = partial_kpis(valid_rows(checked)).withColumn("run", F.lit(run))
+        write_batch(partials, tables.gold, GOLD_PARTIAL, number)
         counts = seen.get
         counters.ingested += counts["ingested"]
         counters.processed += counts["processed"]
         counters.invalidated += counts["ingested"] - counts["processed"]
-        counters.kpis += 1 if counts["processed"] else 0
+        counters.kpis = 1 if counters.processed else 0
         counters.batches.append(number)
     finally:
         checked.unpersist()
@@ -104,26 +119,3 @@ def run_available(messages: DataFrame, tables: Medallion, checkpoint: str) -> Ru
 
     consume(messages, checkpoint, handle)
     return counters
-
-
-def hourly_stream(messages: DataFrame, lateness: str = "1 hour") -> DataFrame:
-    """Streaming hourly KPIs; an hour is final once the watermark has passed it.
-
-    Extension: the batch KPI has no event-time windows.
-    """
-    valid = valid_rows(check_messages(messages)).withColumn(
-        "event_instant", F.col("event_time").cast("timestamp")
-    )
-    return (
-        valid.withWatermark("event_instant", lateness)
-        .groupBy(F.window("event_instant", "1 hour").alias("hour"))
-        .agg(*kpi_measures("event_time"))
-        .select(
-            F.col("hour.start").cast("timestamp_ntz").alias("hour_start"),
-            "window_start",
-            "window_end",
-            "total_events",
-            "avg_temp",
-            "anomaly_count",
-        )
-    )

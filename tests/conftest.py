@@ -12,8 +12,8 @@ SF = "/root/testdata/sf0.01"
 
 
 @pytest.fixture(scope="session")
-def spark():
-    session = local_session(8)
+def spark(tmp_path_factory):
+    session = local_session(8, shared=f"file://{tmp_path_factory.mktemp('shared')}")
     yield session
     session.stop()
 

@@ -74,6 +74,19 @@ CASES = [
     (message(status="it's } fine"), ""),
     (message(device_id='say "it\'s"'), ""),
     (message()[:-1] + ', "temperature": 10}', "temperature_range"),  # the last one counts
+    (message()[:-1] + ', "status": null}', ""),  # the last one that is not null
+    (message(timestamp="2024-01-01T00:00:00Z\n"), "timestamp_invalid"),
+    (message(timestamp="2024-01-01\n"), "timestamp_invalid"),
+    (message(timestamp="2024-01-01T00:00:00+19:00"), ""),
+    (message(timestamp="2024-01-01T00:00:00-23:59"), ""),
+    (message(timestamp="2024-01-01T00:00:00+05:60"), ""),
+    (message(timestamp="2024-01-01T00:00:00+24:00"), "timestamp_invalid"),
+    (message(timestamp="2024-01-01T00:00:00+23:60"), "timestamp_invalid"),
+    (message(device_id="x").replace('"x"', '"\\ud83d"'), "malformed"),
+    (message(device_id="x").replace('"x"', '"a\x01b"'), "malformed"),
+    (message(device_id="x").replace('"x"', '"a\nb"'), "malformed"),
+    (message().replace(", ", ",\n\t"), ""),
+    (message(event_id=None, device_id=None), "null_required"),
 ]
 
 

@@ -39,30 +39,34 @@ def by_group(rows, order):
     return groups
 
 
-@pytest.mark.parametrize("block", [1, 7, 100, 10**6])
-def test_number_by_id(df, rows, block):
-    got = number_by_id(df, ["g"], "id", "n", block=block).collect()
+@pytest.mark.parametrize("size", [1, 7, 100, 10**6])
+def test_number_by_id(df, rows, size):
+    got = number_by_id(df, ["g"], "id", "n", rows_per_bucket=size).collect()
     want = {
         r: i for group in by_group(rows, lambda r: r[2]).values() for i, r in enumerate(group)
     }
     assert {(r.g, r.t, r.id, r.s): r.n for r in got} == want and len(got) == N
 
 
-def test_number_by_id_below_zero(spark):
-    df = spark.createDataFrame([("a", i) for i in range(-25, 25)], "g string, id bigint")
-    got = {r.id: r.n for r in number_by_id(df, ["g"], "id", "n", block=10).collect()}
-    assert got == {i: i + 25 for i in range(-25, 25)}
+def test_number_by_sparse_and_negative_ids(spark):
+    ids = [*range(-25, 25), 10**15, -(10**15), 10**6]
+    df = spark.createDataFrame([("a", i) for i in ids], "g string, id bigint")
+    want = {i: n for n, i in enumerate(sorted(ids))}
+    for size in (1, 10, 10**6):
+        assert {r.id: r.n for r in number_by_id(df, ["g"], "id", "n", size).collect()} == want
+    assert number_by_id(df.where("1 = 0"), ["g"], "id", "n").count() == 0
 
 
-@pytest.mark.parametrize("parts", [1, 8, 40])
-def test_row_index(spark, df, rows, parts):
-    spark.conf.set("spark.sql.shuffle.partitions", str(parts))
-    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
-    try:
-        got = row_index(df, ["g"], ["t", "id"], "n").collect()
-    finally:
-        spark.conf.set("spark.sql.shuffle.partitions", "8")
-        spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "true")
+WIDTHS = [1, 10, 333, 10**6]
+
+
+def bucket(width):
+    return F.floor(F.col("t") / width)
+
+
+@pytest.mark.parametrize("width", WIDTHS)
+def test_row_index(df, rows, width):
+    got = row_index(df, ["g"], ["t", "id"], "n", bucket(width)).collect()
     want = {
         r: i
         for group in by_group(rows, lambda r: (r[1], r[2])).values()
@@ -72,22 +76,19 @@ def test_row_index(spark, df, rows, parts):
 
 
 def test_row_index_without_group_and_with_null_group(spark, df):
-    whole = row_index(df, [], ["id"], "n")
+    whole = row_index(df, [], ["id"], "n", F.floor(F.col("id") / 100))
     assert whole.where("n != id").count() == 0 and whole.count() == N
     holed = df.withColumn("g", F.when(F.col("g") != "a", F.col("g")))
-    assert row_index(holed, ["g"], ["id"], "n").count() == N
+    numbered = row_index(holed, ["g"], ["t", "id"], "n", bucket(50))
+    assert numbered.count() == N
+    nulls = numbered.where("g IS NULL")
+    assert nulls.select("n").distinct().count() == nulls.count() == nulls.agg(F.max("n")).first()[0] + 1
 
 
-@pytest.mark.parametrize("parts", [1, 8, 40])
-def test_previous_and_changes(spark, df, rows, parts):
-    spark.conf.set("spark.sql.shuffle.partitions", str(parts))
-    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
-    try:
-        back = previous(df, ["g"], ["t", "id"], ["s"], "p").collect()
-        kept = drop_unchanged(df, ["g"], ["t", "id"], ["s"]).collect()
-    finally:
-        spark.conf.set("spark.sql.shuffle.partitions", "8")
-        spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "true")
+@pytest.mark.parametrize("width", WIDTHS)
+def test_previous_and_changes(df, rows, width):
+    back = previous(df, ["g"], ["t", "id"], ["s"], "p", bucket(width)).collect()
+    kept = drop_unchanged(df, ["g"], ["t", "id"], ["s"], bucket(width)).collect()
     want, changed = {}, set()
     for group in by_group(rows, lambda r: (r[1], r[2])).values():
         for before, now in zip([None, *group], group):
@@ -98,10 +99,18 @@ def test_previous_and_changes(spark, df, rows, parts):
     assert {tuple(r) for r in kept} == changed and len(kept) == len(changed)
 
 
+def test_full_rows_are_shuffled_once(spark, df):
+    kept = drop_unchanged(df, ["g"], ["t", "id"], ["s"], bucket(10))
+    kept.collect()
+    text = plan_text(kept).split("Initial Plan")[0]
+    assert sum("Exchange hashpartitioning" in line for line in text.splitlines()) <= 3
+    assert "rangepartitioning" not in text
+
+
 def test_null_values_are_values(spark):
     rows = [("a", 1, None), ("a", 2, None), ("a", 3, "x"), ("a", 4, None)]
     df = spark.createDataFrame(rows, "g string, t int, s string")
-    assert [r.t for r in drop_unchanged(df, ["g"], ["t"], ["s"]).orderBy("t").collect()] == [1, 3, 4]
+    assert [r.t for r in drop_unchanged(df, ["g"], ["t"], ["s"], F.col("t")).orderBy("t").collect()] == [1, 3, 4]
 
 
 def test_last_n(df, rows):
@@ -140,6 +149,26 @@ def test_merge_feed_keeps_the_newest_version(spark):
     assert got == {(2, 1000, "new"), (1, 1000, "new"), (0, 1000, "new"), (99, 99, "old"), (98, 98, "old")}
 
 
+def test_merge_feed_with_a_null_key(spark):
+    seen = spark.createDataFrame([(i, i, "v") for i in range(1, 8001)], "id bigint, t int, v string")
+    page = spark.createDataFrame([(None, 9000, "v"), (None, 8999, "old"), (8000, 8000, "v")], seen.schema)
+    for n in (1, 10, 5000, 6000, 8001, 9000):
+        got = [tuple(r) for r in merge_feed(seen, page, "id", "t", n).collect()]
+        assert len(got) == len(set(got)) == min(n, 8001) and got[0] == (None, 9000, "v")
+
+
+def test_equal_times_have_one_answer(spark):
+    rows = [("k", 5, i % 4, f"v{i}") for i in range(8)]
+    rng = random.Random(1)
+    answers = set()
+    for _ in range(6):
+        rng.shuffle(rows)
+        df = spark.createDataFrame(rows, "k string, t int, a int, b string").repartition(4)
+        answers |= {tuple(r) for r in newest_per_key(df, ["k"], ["t"]).collect()}
+        answers |= {tuple(r) for r in merge_feed(df, df, "k", "t", 3).collect()}
+    assert answers == {("k", 5, 3, "v7")}
+
+
 def test_broadcast_follows_measured_size(spark, df):
     small = measured(df.groupBy("g").agg(F.count("*").alias("n")))
     joined = df.join(small, "g")
@@ -153,4 +182,3 @@ def test_broadcast_follows_measured_size(spark, df):
         assert "Broadcast" not in plan_text(joined)
     finally:
         spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
-        small.unpersist()

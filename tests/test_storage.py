@@ -66,8 +66,14 @@ def test_scan_is_newest_first(spark, tmp_path):
     assert ids == ["e8", "e7", "e6"]
     assert tables.scan_latest(spark, path, SILVER, None).count() == 9
     assert tables.scan_latest(spark, path, SILVER, 0).count() == 9
-    with pytest.raises(Exception, match="PATH_NOT_FOUND"):
-        tables.scan_latest(spark, path + "x", SILVER)
+    assert tables.scan_latest(spark, path + "x", SILVER).count() == 0
+
+
+def test_equal_times_are_scanned_in_key_order(spark, tmp_path):
+    path = str(tmp_path / "t")
+    rows = [(f"e{i}", "d", datetime(2024, 1, 1), 50.0, 1.0, "OK") for i in (5, 1, 4, 2, 3)]
+    tables.write_batch(silver(spark, *rows).repartition(3), path, SILVER, 0)
+    assert [r.event_id for r in tables.scan_latest(spark, path, SILVER, 3).collect()] == ["e1", "e2", "e3"]
 
 
 def test_anomaly_count_that_does_not_fit_fails_the_write(spark, tmp_path):
@@ -106,26 +112,35 @@ def test_objects(spark, tmp_path):
     texts = {"a/one.txt": "line 1\nline 2\n", "a/b/two.txt": "é", "three.txt": "x"}
     for name, text in texts.items():
         (tmp_path / name).write_text(text)
-    (tmp_path / "empty.txt").write_text("")  # passed over, as documented
     listed = objects.list_objects(spark, str(tmp_path))
     sizes = {name: len(text.encode()) for name, text in texts.items()}
-    root = f"file:{tmp_path}/"
+    root = f"{tmp_path}/"
     assert {r.path.removeprefix(root): r.length for r in listed.collect()} == sizes
-    assert "content" not in listed._jdf.queryExecution().executedPlan().toString()
+    with_scheme = objects.list_objects(spark, f"file://{tmp_path}")
+    assert {r.path.removeprefix(f"file://{root}") for r in with_scheme.collect()} == set(sizes)
     read = {r.path.rsplit("/", 1)[1]: r.content for r in objects.read_objects(spark, str(tmp_path)).collect()}
     assert read["one.txt"] == "line 1\nline 2\n" and read["two.txt"] == "é"
     total = objects.store_totals(listed).first()
     assert (total.object_count, total.total_bytes) == (3, sum(sizes.values()))
+    (tmp_path / "a" / "empty.txt").write_text("")
+    (tmp_path / "a" / "_hidden").write_text("ab")
+    (tmp_path / "a" / ".dot").mkdir()
+    (tmp_path / "a" / ".dot" / "x").write_text("abc")
+    more = {r.path.removeprefix(root): r.length for r in objects.list_objects(spark, str(tmp_path)).collect()}
+    assert more == sizes | {"a/empty.txt": 0, "a/_hidden": 2, "a/.dot/x": 3}
+    (tmp_path / "nothing").mkdir()
+    assert objects.list_objects(spark, str(tmp_path / "nothing")).count() == 0
     folders = {r.folder.removeprefix(root): r.object_count for r in objects.bucket_metrics(listed).collect()}
     assert folders["a"] == 1 and folders["a/b"] == 1
     assert tuple(objects.store_totals(listed.where("1 = 0")).first()) == (0, 0)
 
 
 def test_csv_quotes_survive(spark, tmp_path):
-    df = spark.createDataFrame([('say "hi", ok', 1), ("", 2)], "t string, n int")
+    texts = ['say "hi", ok', "", None, "two\nlines", "a\r\nb\rc", '"', ' "x" ', "  outer  ", "\n", "a,b\\", "\\\"", "é\t"]
+    df = spark.createDataFrame([(t, i) for i, t in enumerate(texts)], "t string, n int")
     objects.write_csv(df, str(tmp_path / "c"))
-    again = spark.read.schema(df.schema).option("header", True).option("escape", '"').csv(str(tmp_path / "c"))
-    assert again.where("n = 1").first().t == 'say "hi", ok'
+    again = objects.read_csv(spark, str(tmp_path / "c"), df.schema)
+    assert [r.t for r in again.orderBy("n").collect()] == texts
 
 
 def test_scratch_is_cleared(spark):

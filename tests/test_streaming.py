@@ -3,7 +3,10 @@ from datetime import datetime
 import pytest
 from pyspark.sql import functions as F
 
+from millrace.operators.feeds import latest
+from millrace.operators.kpis import batch_kpis, hourly_kpis
 from millrace.operators.quality import check_messages, valid_rows
+from millrace.operators.tables import table_metrics
 from millrace.schemas import ENVELOPE
 from millrace.sources import logs, telemetry
 from millrace.streaming import medallion as m
@@ -54,18 +57,18 @@ def test_resume_and_rerun(spark, messages, job):
 def test_failed_batch_replays_once(spark, messages, job, monkeypatch):
     source, tables, run = job
     feed(messages, source, 0, 1000)
-    real = m.batch_kpis
+    real = m.partial_kpis
 
     def broken(*_):
         raise RuntimeError("lost")
 
     # silver and quarantine are written, then the batch fails
-    monkeypatch.setattr(m, "batch_kpis", broken)
+    monkeypatch.setattr(m, "partial_kpis", broken)
     with pytest.raises(Exception, match="lost"):
         run()
     written = tables.read_silver(spark).count()
     assert written > 0
-    monkeypatch.setattr(m, "batch_kpis", real)
+    monkeypatch.setattr(m, "partial_kpis", real)
     assert run().ingested == 1000
     assert tables.read_silver(spark).count() == written
     assert tables.read_silver(spark).count() + tables.read_quarantine(spark).count() == 1000
@@ -100,7 +103,39 @@ def test_files_per_batch(spark, messages, tmp_path):
     tables = m.Medallion(str(tmp_path / "tables"))
     counted = m.run_available(
         logs.stream_log(spark, source, files_per_batch=1), tables, str(tmp_path / "progress"))
-    assert (counted.ingested, len(counted.batches)) == (300, 3)
+    assert (counted.ingested, len(counted.batches), counted.kpis) == (300, 3, 1)
+
+
+def kpi(rows):
+    return sorted(tuple(v for k, v in r.asDict().items() if k != "ingested_at") for r in rows)
+
+
+@pytest.mark.parametrize("files", [1, 4, 1000])
+def test_kpis_do_not_depend_on_batches(spark, messages, tmp_path, files):
+    source = str(tmp_path / "log")
+    logs.write_log(messages.repartition(12), source)
+    tables = m.Medallion(str(tmp_path / "tables"))
+    counted = m.run_available(logs.stream_log(spark, source, files), tables, str(tmp_path / "progress"))
+    assert counted.kpis == 1 and len(counted.batches) == -(-12 // files)
+    valid = valid_rows(check_messages(messages))
+    want = batch_kpis(valid).first()
+    got = tables.read_gold(spark).collect()
+    assert len(got) == 1 and (got[0].total_events, got[0].anomaly_count) == (want.total_events, want.anomaly_count)
+    assert (got[0].window_start, got[0].window_end) == (want.window_start, want.window_end)
+    assert got[0].avg_temp == pytest.approx(want.avg_temp, rel=1e-6)
+    assert kpi(tables.read_hourly(spark).collect()) == kpi(hourly_kpis(valid).collect())
+
+
+def test_nothing_written_reads_as_empty(spark, tmp_path):
+    source = str(tmp_path / "log")
+    logs.write_log(spark.createDataFrame([], ENVELOPE), source)
+    tables = m.Medallion(str(tmp_path / "tables"))
+    counted = m.run_available(logs.stream_log(spark, source), tables, str(tmp_path / "progress"))
+    assert (counted.ingested, counted.kpis) == (0, 0)
+    for read in (tables.read_silver, tables.read_quarantine, tables.read_gold, tables.read_hourly):
+        assert read(spark).count() == 0
+    assert table_metrics(tables.read_silver(spark)).first().record_count == 0
+    assert latest(tables.read_gold(spark), 5).count() == 0
 
 
 def test_latest_state_on_a_stream(spark, messages, tmp_path):
