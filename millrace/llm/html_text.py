@@ -3,8 +3,8 @@
 A page falls into blocks of text between block-level tags. In the first pass a block is
 good if it is long and rich in stop words; bad if it mostly consists of links or stands in
 a menu, header, footer, sidebar, notice, advert, form or comment; else it is undecided. In
-the second pass an undecided block takes the label of the nearest decided neighbour, the
-earlier one on a tie. Neighbours inside an article or main element are looked for there
+the second pass an undecided block takes the label of the nearest decided neighbour; on a
+tie a heading follows the later one, other blocks the earlier. Neighbours inside an article or main element are looked for there
 first; what such an element holds is good if nothing in it is decided.
 
 Character references are decoded, white space in a block becomes one space, and good
@@ -48,6 +48,7 @@ BLOCKS = frozenset(
     "form h1 h2 h3 h4 h5 h6 head header hgroup hr html legend li main menu nav ol optgroup option p pre search section select "
     "summary table tbody td tfoot th thead tr ul button".split()
 )
+HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
 MAIN = frozenset("article main".split())
 ASIDE = frozenset("nav footer aside form menu dialog select button search head fieldset".split())
 ASIDE_ROLES = frozenset("navigation banner contentinfo complementary search form alert alertdialog dialog menu menubar".split())
@@ -64,19 +65,20 @@ SAME_ENDS = {
 }
 
 _TAG = re.compile(
-    r"""<!--(?:.*?--!?>|.*\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([A-Za-z][^\s/>]*)((?:"[^"]*"|'[^']*'|[^'">])*)(?:>|\Z)""", re.S
+    r"""<!--(?:.*?--!?>|.*\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([A-Za-z][^\s/>]*)((?:"[^"]*"|'[^']*'|[^'">])*)(?:>|\Z)"""
+    r"""|<(/?)([A-Za-z][^\s/>]*)([^>]*)(?:>|\Z)""",  # a quote that never ends
+    re.S,
 )
-_LOOSE = re.compile(r"<(/?)([A-Za-z][^\s/>]*)([^>]*)(?:>|\Z)", re.S)
 _NAMED = re.compile(r"""\b(class|id|role|hidden|aria-hidden)\s*(?:=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+)))?""", re.I)
 _PARTS = re.compile(r"[a-z]+")
 _WORD = re.compile(r"\w+")
 
 
 class Block:
-    __slots__ = ("text", "links", "aside", "main", "good")
+    __slots__ = ("text", "links", "aside", "main", "heading", "good")
 
-    def __init__(self, text: str, links: int, aside: bool, main: int):
-        self.text, self.links, self.aside, self.main = text, links, aside, main
+    def __init__(self, text: str, links: int, aside: bool, main: int, heading: bool):
+        self.text, self.links, self.aside, self.main, self.heading = text, links, aside, main, heading
         self.good: bool | None = None
 
 
@@ -111,7 +113,8 @@ def blocks(page: str) -> list[Block]:
             text = " ".join("".join(held).split())
             held.clear()
             if text:
-                out.append(Block(text, linked, stack[-1][1], stack[-1][2]))
+                heading = any(name in HEADINGS for name, _, _ in stack[-3:])
+                out.append(Block(text, linked, stack[-1][1], stack[-1][2], heading))
         linked = 0
 
     def add(piece: str) -> None:
@@ -129,14 +132,12 @@ def blocks(page: str) -> list[Block]:
         del stack[k:]
 
     while m := _TAG.search(page, at):
-        if m.end() == len(page) and m[2] and page[-1] != ">" and (loose := _LOOSE.match(page, m.start())):
-            m = loose  # a quote that never ends
         add(page[at : m.start()])
         at = m.end()
-        name = (m[2] or "").lower()
+        closing, name, attributes = m[1] or m[4], (m[2] or m[5] or "").lower(), m[3] or m[6] or ""
         if not name:
             continue
-        if m[1]:
+        if closing:
             k = next((k for k in range(len(stack) - 1, 0, -1) if stack[k][0] == name), 0)
             if name in BLOCKS:
                 end_block()
@@ -162,14 +163,14 @@ def blocks(page: str) -> list[Block]:
                     break
                 if stack[k][0] in SAME_ENDS[name]:
                     break
-        if name in VOID or m[3].endswith("/"):
+        if name in VOID or attributes.endswith("/"):
             continue
         _, aside, main = stack[-1]
         if name in MAIN and not aside:
             mains += 1
             main = main or mains
         depth += name == "a"
-        stack.append((name, aside or _is_aside(name, m[3], bool(main)), main))
+        stack.append((name, aside or _is_aside(name, attributes, bool(main)), main))
     add(page[at:])
     end_block()
     return out
@@ -209,7 +210,8 @@ def _inherit(found: list[Block]) -> None:
         for i in free:
             b, a = before[i], after[i]
             if b is not None or a is not None:
-                taken[i] = found[a if b is None or (a is not None and a - i < i - b) else b].good
+                later = b is None or (a is not None and a - i < i - b + found[i].heading)
+                taken[i] = found[a if later else b].good
         for i, good in taken.items():
             found[i].good = good
 

@@ -48,22 +48,29 @@ class Network:
             "top": np.array([bias], np.float32),
         }
 
-    def _filtered(self, data: np.ndarray) -> np.ndarray:
-        """Answers of the filters at each step; data: bytes, a multiple of the segment."""
+    def _filtered(self, data: np.ndarray, ends: np.ndarray) -> np.ndarray:
+        """Answers of the filters at each step; data: bytes, a multiple of the segment.
+
+        The last step of a text, whose window reaches into the next text, answers like the
+        one before it: both start in the padding. ``ends`` are these steps.
+        """
         p = self.p
         groups = p["embed"][data].reshape(-1, STEP * DEPTH)
         answers = groups @ p["near"] + p["bias"]
         answers[:-1] += (groups @ p["far"])[1:]
+        answers[ends] = answers[ends - 1]
         return answers
 
     def features(self, data: np.ndarray, segments: np.ndarray) -> np.ndarray:
         """Mean and maximum over the chunks of each text, whose segments follow each other."""
-        tops = []
+        tops, ends = [], np.cumsum(segments) * SEGMENT - 1
         for lo in range(0, len(data), BLOCK_BYTES):
             # One segment more, so that the block's last window sees what follows.
             part = data[lo : lo + BLOCK_BYTES + _SEGMENT_BYTES]
             n = min(BLOCK_BYTES, len(data) - lo) // _SEGMENT_BYTES
-            tops.append(self._filtered(part).reshape(-1, SEGMENT, FILTERS)[:n].max(axis=1))
+            inside = ends[np.searchsorted(ends, lo // STEP) : np.searchsorted(ends, (lo + len(part)) // STEP)]
+            answers = self._filtered(part, inside - lo // STEP)
+            tops.append(answers.reshape(-1, SEGMENT, FILTERS)[:n].max(axis=1))
         top = np.maximum(np.concatenate(tops), 0)
         first, starts = _chunks(segments)
         last = np.repeat(np.cumsum(segments), np.diff(np.append(starts, len(first))))
@@ -87,7 +94,7 @@ class Network:
         """Of the mean log loss. Only the windows that the maxima come from take part."""
         p = self.p
         data, segments = padded(batch)
-        answers = self._filtered(data).reshape(-1, SEGMENT, FILTERS)
+        answers = self._filtered(data, np.cumsum(segments) * SEGMENT - 1).reshape(-1, SEGMENT, FILTERS)
         where = answers.argmax(axis=1) + np.arange(len(answers))[:, None] * SEGMENT
         top = answers.max(axis=1)
         first, starts = _chunks(segments)
@@ -125,8 +132,8 @@ class Network:
 
 
 def padded(batch: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-    """Texts one after another, each filled up with zeros, and the segments of each."""
-    segments = np.array([(len(t) + STEP) // _SEGMENT_BYTES + 1 for t in batch], dtype=np.int64)
+    """Texts one after another, each filled up with two steps of zeros at least, and the segments of each."""
+    segments = np.array([(len(t) + 2 * STEP - 1) // _SEGMENT_BYTES + 1 for t in batch], dtype=np.int64)
     data = b"".join(t.ljust(n * _SEGMENT_BYTES, b"\0") for t, n in zip(batch, segments.tolist(), strict=True))
     return np.frombuffer(data, dtype=np.uint8), segments
 

@@ -9,7 +9,11 @@ from millrace.llm import quality_model, toxicity
 from millrace.llm.queries import QUERIES
 
 LARGER = "/root/testdata/sf0.1"
-CASES = [("op2_toxicity", "toxic", 4, 2, 0.3), ("op10_quality_model", "quality", 3, 1, 0.5)]
+#: Query, label, fold, threshold, and what to expect of some 3000 labelled rows.
+CASES = [
+    ("op2_toxicity", "toxic", 4, 2, 0.3, 0.96, 0.94),
+    ("op10_quality_model", "quality", 3, 1, 0.5, 0.98, 0.97),
+]
 
 
 def auc(scores, labels):
@@ -20,8 +24,8 @@ def auc(scores, labels):
     return (rank[labels == 1].sum() - ones * (ones - 1) / 2) / (ones * (len(labels) - ones))
 
 
-@pytest.mark.parametrize("name,label,of,which,threshold", CASES)
-def test_held_out_rows(spark, name, label, of, which, threshold):
+@pytest.mark.parametrize("name,label,of,which,threshold,area,right", CASES)
+def test_held_out_rows(spark, name, label, of, which, threshold, area, right):
     rows = QUERIES[name](spark, LARGER).collect()
     docs = spark.read.parquet(f"{LARGER}/documents.parquet")
     assert sorted(r.doc_id for r in rows) == sorted(r.doc_id for r in docs.select("doc_id").collect())
@@ -30,8 +34,8 @@ def test_held_out_rows(spark, name, label, of, which, threshold):
     truth = {r.doc_id: r[label] for r in spark.read.parquet(f"{LARGER}/labels.parquet").collect()}
     held = [r for r in rows if r.held_out and r.doc_id in truth]
     labels = np.array([truth[r.doc_id] for r in held])
-    assert auc(np.array([r.score for r in held]), labels) > 0.98
-    assert (np.array([r.predicted for r in held]) == labels).mean() > 0.97
+    assert auc(np.array([r.score for r in held]), labels) > area
+    assert (np.array([r.predicted for r in held]) == labels).mean() > right
 
 
 @pytest.mark.parametrize("module,label", [(toxicity, "toxic"), (quality_model, "quality")])
