@@ -3,9 +3,9 @@
 Two documents link when the Jaccard similarity of their shingle sets reaches the threshold.
 A set of n shingles can link only with sets that hold T = ceil(threshold * n) of them, so
 two linked sets meet in the inverted lists of their n - T + 1 rarest shingles, rarity being
-any order that all sets share. It comes from word frequencies: a list is no longer than the
-document count of the shingle's rarest word. It only decides how short the lists are, never
-the result.
+any order that all sets share. It comes from a table of fixed size that counts the shingles
+of all documents by ranges of their hashes, so shingles that only one text has come first.
+It only decides how short the lists are, never the result.
 
 Equal sets are one node. Short lists give all their pairs; a long list proposes one of its
 nodes as a query for the others, so there are no more pairs than a constant times the list
@@ -34,8 +34,9 @@ from pyspark.sql import types as T
 from millrace.llm.common import Words, add_columns, grams, mixed, saved, slices, spaced_words, utf8
 
 SHINGLE, PERCENT = 3, 90
-#: Words whose frequency is told to the tasks, the most frequent first; it orders lists only.
-TOLD_WORDS = 100_000
+#: Size of the table of list lengths, and of a part of it. It orders shingles only.
+SLOTS, PART_SLOTS = 1 << 20, 1 << 12
+_SLOT_SHIFT = np.uint64(44)
 #: Entries of a short list, of which all pairs are candidates at once.
 SHORT = 32
 #: Candidates indexed at once, and candidates of a query in one task.
@@ -44,11 +45,8 @@ BLOCK, TASK = 256, 4096
 SLICE_BYTES = 2 << 20
 
 
-def shingles(words: Words, n: int = SHINGLE) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Hash, first word and number of words of each shingle, and where each text's begin.
-
-    A text of fewer words is one shingle as a whole.
-    """
+def shingles(words: Words, n: int = SHINGLE) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes of the shingles, and where each text's begin. A text of fewer words is one shingle."""
     counts = np.diff(words.starts)
     found, starts = grams(words, n)
     made = np.diff(starts)
@@ -60,54 +58,49 @@ def shingles(words: Words, n: int = SHINGLE) -> tuple[np.ndarray, np.ndarray, np
         for w in words.hashes[words.starts[i] : words.starts[i + 1]]:
             h = mixed(np.array([h ^ w], np.uint64))[0]
         values[k] = h
-    at = starts[short]
-    out = np.insert(found, at, values)
-    first = np.repeat(words.starts[:-1], made) + (np.arange(len(found)) - np.repeat(starts[:-1], made))
-    first = np.insert(first, at, words.starts[short])
+    out = np.insert(found, starts[short], values)
     made = made.copy()
     made[short] = 1
-    return out, first, np.concatenate([[0], np.cumsum(made)])
+    return out, np.concatenate([[0], np.cumsum(made)])
 
 
-def word_counts(docs: DataFrame) -> DataFrame:
-    """Documents by word, over all documents."""
+def list_levels(docs: DataFrame, n_words: int = SHINGLE) -> np.ndarray:
+    """How long inverted lists are, for each of ``SLOTS`` ranges of shingle hashes.
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    A count of all shingles of all documents in a table of fixed size. Tables of the tasks
+    are added up in parts. Level 0 is the mean; each level above is a quarter of a doubling.
+    """
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        table = np.zeros(SLOTS, dtype=np.int64)
         for batch in batches:
             held = utf8(batch.column(0))
-            for lo, hi in slices(held, 4 * SLICE_BYTES):
-                words = spaced_words(held[lo:hi])
-                doc = np.repeat(np.arange(hi - lo, dtype=np.int64), np.diff(words.starts))
-                order = np.lexsort((doc, words.hashes))
-                h, d = words.hashes[order], doc[order]
-                new = np.ones(len(h), dtype=bool)
-                new[1:] = (h[1:] != h[:-1]) | (d[1:] != d[:-1])
-                word, times = np.unique(h[new], return_counts=True)
-                yield pa.RecordBatch.from_arrays([pa.array(word.view(np.int64)), pa.array(times)], names=["word", "n"])
-
-    found = docs.select("text").mapInArrow(run, "word long, n long")
-    return found.groupBy("word").agg(F.sum("n").alias("n"))
-
-
-class WordRanks:
-    """Commonness of words: the logarithm of their document count, 0 where it is not told."""
-
-    def __init__(self, words: np.ndarray, counts: np.ndarray):
-        order = np.argsort(words)
-        self.words = words[order]
-        self.levels = np.round(4 * np.log2(counts[order])).astype(np.int64)
-
-    def of(self, words: np.ndarray) -> np.ndarray:
-        if not len(self.words):
-            return np.zeros(len(words), dtype=np.int64)
-        at = np.minimum(np.searchsorted(self.words, words), len(self.words) - 1)
-        return np.where(self.words[at] == words, self.levels[at], 0)
-
-
-def told_ranks(docs: DataFrame) -> WordRanks:
-    rows = word_counts(docs).where("n > 1").orderBy(F.desc("n"), "word").limit(TOLD_WORDS).toArrow()
-    words = rows.column("word").to_numpy().view(np.uint64)
-    return WordRanks(words.copy(), rows.column("n").to_numpy())
+            for lo, hi in slices(held, SLICE_BYTES):
+                found, _ = shingles(spaced_words(held[lo:hi]), n_words)
+                table += np.bincount((found >> _SLOT_SHIFT).astype(np.int64), minlength=SLOTS)
+        rows = table.reshape(-1, PART_SLOTS).astype("<u4")
+        used = np.flatnonzero(rows.any(axis=1))
+        yield pa.RecordBatch.from_arrays(
+            [pa.array(used, pa.int64()), pa.array([rows[i].tobytes() for i in used], pa.binary())], names=["part", "counts"]
+        )
+
+    def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sums: dict[int, np.ndarray] = {}
+        for batch in batches:
+            for part, counts in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                sums.setdefault(part, np.zeros(PART_SLOTS, dtype=np.int64))
+                sums[part] += np.frombuffer(counts, dtype="<u4")
+        yield pa.RecordBatch.from_arrays(
+            [pa.array(list(sums), pa.int64()), pa.array([v.tobytes() for v in sums.values()], pa.binary())], names=["part", "counts"]
+        )
+
+    schema = "part long, counts binary"
+    added = docs.select("text").mapInArrow(count, schema).repartition("part").mapInArrow(add, schema)
+    total = np.zeros((SLOTS // PART_SLOTS, PART_SLOTS))
+    for row in added.collect():  # at most SLOTS / PART_SLOTS rows
+        total[row.part] = np.frombuffer(row.counts, dtype=np.int64)
+    levels = np.round(4 * np.log2((total.ravel() + 1) / (total.mean() + 1)))
+    return np.clip(levels, 0, 127).astype(np.int8)
 
 
 def least_overlap(n: int, percent: int) -> int:
@@ -115,7 +108,7 @@ def least_overlap(n: int, percent: int) -> int:
     return -(-percent * n // 100)
 
 
-def with_sets(docs: DataFrame, ranks: WordRanks, percent: int, n_words: int = SHINGLE) -> DataFrame:
+def with_sets(docs: DataFrame, levels: np.ndarray, percent: int, n_words: int = SHINGLE) -> DataFrame:
     """doc_id, size and digest of the set, and its rarest shingles: enough to meet any link."""
 
     def compute():
@@ -123,17 +116,11 @@ def with_sets(docs: DataFrame, ranks: WordRanks, percent: int, n_words: int = SH
             held = utf8(column)
             sizes, digests, rare = [], [], []
             for lo, hi in slices(held, SLICE_BYTES):
-                words = spaced_words(held[lo:hi])
-                found, first, starts = shingles(words, n_words)
-                levels = np.append(ranks.of(words.hashes), np.zeros(n_words, dtype=np.int64))
-                common = sum(levels[first + k] for k in range(n_words))
-                # A whole short text may reach into the next one's words: its order must be its own.
-                ends = np.repeat(words.starts[1:], np.diff(starts))
-                common = np.where(first + n_words <= ends, common, 0)
+                found, starts = shingles(spaced_words(held[lo:hi]), n_words)
                 for a, b in zip(starts[:-1], starts[1:], strict=True):
-                    own, at = np.unique(found[a:b], return_index=True)
+                    own = np.unique(found[a:b])
                     n = len(own)
-                    order = np.lexsort((own, common[a:b][at]))
+                    order = np.lexsort((own, levels[(own >> _SLOT_SHIFT).astype(np.int64)]))
                     sizes.append(n)
                     digests.append(hashlib.blake2b(own.tobytes(), digest_size=16).digest())
                     rare.append(own[order[: n - least_overlap(n, percent) + 1]].view(np.int64) if n else [])
@@ -157,7 +144,7 @@ def whole_sets(docs: DataFrame, n_words: int = SHINGLE) -> DataFrame:
             held = utf8(column)
             digests, sets = [], []
             for lo, hi in slices(held, SLICE_BYTES):
-                found, _, starts = shingles(spaced_words(held[lo:hi]), n_words)
+                found, starts = shingles(spaced_words(held[lo:hi]), n_words)
                 for a, b in zip(starts[:-1], starts[1:], strict=True):
                     own = np.unique(found[a:b])
                     digests.append(hashlib.blake2b(own.tobytes(), digest_size=16).digest())
@@ -366,7 +353,7 @@ def _near(a: Column, b: Column, percent: int) -> Column:
 def joined(docs: DataFrame, percent: int = PERCENT, n_words: int = SHINGLE) -> DataFrame:
     """Per document: doc_id, size of its shingle set, smallest doc_id that links lead to."""
     docs = docs.select("doc_id", "text")
-    found = saved(with_sets(docs, told_ranks(docs), percent, n_words), "sets")
+    found = saved(with_sets(docs, list_levels(docs, n_words), percent, n_words), "sets")
     usable = found.where(F.col("doc_id").isNotNull() & (F.col("n") > 0))
     same = saved(usable.groupBy("digest").agg(F.min("doc_id").alias("node")), "nodes")
     # A node is a set, numbered by its digest: rows of equal id may have different ones.
