@@ -115,7 +115,63 @@ SELECT page_id, payload_bytes, payload_digest,
 FROM h JOIN firsts USING (hex) JOIN digests USING (page_id)
 """
 
+_SLACK = " ".join(f"WHEN '{k}' THEN {v}" for k, v in quality_rules.SLACK.items())
+_RATES = ", ".join(f"{{'rate': '{k}', 'v': {k}}}" for k in quality_rules.SLACK)
+_OUTSIDE = " OR ".join(f"(k.rate = '{k}' AND f.{k} NOT BETWEEN k.lo AND k.hi)" for k in quality_rules.SLACK)
+_GROUP = "PARTITION BY level, lang, source, rate"
+_OP7 = rf"""
+WITH w AS (
+  SELECT doc_id, lang, source, coalesce(text, '') AS t,
+         regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w,
+         list_filter(string_split(coalesce(text, ''), chr(10)), lambda x: regexp_matches(x, '[^\x20\x09-\x0D]')) AS l
+  FROM documents),
+g AS (SELECT doc_id, p, array_to_string(w[p:p + 4], ' ') AS s FROM w, unnest(range(1, len(w) - 3)) AS t(p)),
+again AS (SELECT doc_id, p FROM g QUALIFY count(*) OVER (PARTITION BY doc_id, s) > 1),
+r AS (SELECT doc_id, count(DISTINCT p + k) AS n FROM again, unnest(range(0, 5)) AS u(k) GROUP BY doc_id),
+c AS (
+  SELECT doc_id, lang, source, len(w) AS n_words, coalesce(list_sum(list_transform(w, lambda x: length(x))), 0) AS word_chars,
+         length(t) - length(regexp_replace(t, '[#*$%&|<>]', '', 'g')) AS n_symbols, len(l) AS n_lines,
+         len(l) - len(list_distinct(l)) AS n_dup_lines, coalesce(n, 0) AS n_repeat_words
+  FROM w LEFT JOIN r USING (doc_id)),
+f AS (
+  SELECT *, n_words < 10 OR 100 * n_repeat_words > 20 * n_words AS base_failed,
+         1000 * n_symbols // greatest(n_words, 1) AS symbol_rate, 100 * word_chars // greatest(n_words, 1) AS word_length,
+         1000 * n_dup_lines // greatest(n_lines, 1) AS line_rate FROM c),
+s AS (
+  SELECT lang, source, u.rate AS rate, cast(u.v AS BIGINT) AS v
+  FROM (SELECT lang, source, unnest([{_RATES}]) AS u FROM f WHERE NOT base_failed)),
+b AS (
+  SELECT lang, source, rate, e * 32 + (v >> e) AS bucket, count(*) AS n
+  FROM (SELECT *, cast(greatest(0, length(bin(v)) - 6) AS BIGINT) AS e FROM s) GROUP BY ALL),
+m AS (
+  SELECT 2 * grouping(lang) + grouping(source) AS level, lang, source, rate, bucket, sum(n) AS n FROM b
+  GROUP BY GROUPING SETS ((lang, source, rate, bucket), (lang, rate, bucket), (rate, bucket))),
+u AS (
+  SELECT *, sum(n) OVER ({_GROUP} ORDER BY bucket) AS upto, sum(n) OVER ({_GROUP}) AS total,
+         CASE WHEN bucket < 64 THEN bucket ELSE (bucket - (bucket // 32 - 1) * 32) << (bucket // 32 - 1) END AS v FROM m),
+q AS (
+  SELECT level, lang, source, rate, max(total) AS total, min(v) FILTER (upto * 4 >= total) AS q1,
+         min(v) FILTER (upto * 4 >= total * 3) AS q3 FROM u GROUP BY level, lang, source, rate),
+x AS (
+  SELECT *, q1 - {quality_rules.REACH} * (q3 - q1) - (CASE rate {_SLACK} END) AS lo,
+         q3 + {quality_rules.REACH} * (q3 - q1) + (CASE rate {_SLACK} END) AS hi FROM q),
+k AS (
+  SELECT o.lang, o.source, o.rate,
+         CASE WHEN o.total >= {quality_rules.MIN_DOCS} THEN o.lo WHEN l.total >= {quality_rules.MIN_DOCS} THEN l.lo ELSE a.lo END AS lo,
+         CASE WHEN o.total >= {quality_rules.MIN_DOCS} THEN o.hi WHEN l.total >= {quality_rules.MIN_DOCS} THEN l.hi ELSE a.hi END AS hi
+  FROM x o JOIN x l ON l.level = 1 AND l.rate = o.rate AND l.lang IS NOT DISTINCT FROM o.lang
+  JOIN x a ON a.level = 3 AND a.rate = o.rate WHERE o.level = 0)
+SELECT doc_id, cast(n_words AS BIGINT) AS n_words, cast(word_chars AS BIGINT) AS word_chars,
+       cast(n_symbols AS BIGINT) AS n_symbols, cast(n_dup_lines AS BIGINT) AS n_dup_lines,
+       cast(n_repeat_words AS BIGINT) AS n_repeat_words, base_failed,
+       NOT base_failed AND NOT EXISTS (
+         SELECT 1 FROM k WHERE k.lang IS NOT DISTINCT FROM f.lang AND k.source IS NOT DISTINCT FROM f.source
+           AND ({_OUTSIDE})) AS kept
+FROM f
+"""
+
 ORACLES: dict[str, str] = {
     "op4_decontaminate": _OP4,
     "op5_warc": _OP5,
+    "op7_quality_rules": _OP7,
 }
