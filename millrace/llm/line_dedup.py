@@ -163,23 +163,23 @@ def without_repeats(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
     A document of which no line with a word is left has an empty text.
     """
     names = [c for c in docs.columns if c.lower() != "n_lines_removed"]
-    gone = saved(repeated_places(docs, min_words), "gone").withColumnsRenamed({"doc_id": "_id", "of": "_of"})
+    gone = saved(repeated_places(docs, min_words), "gone").withColumnsRenamed({"doc_id": "__id", "of": "__of", "gone": "__gone"})
     held = without(docs, ["n_lines_removed"])
-    same = (F.col("doc_id") == F.col("_id")) & (F.xxhash64("text") == F.col("_of"))
+    same = (F.col("doc_id") == F.col("__id")) & (F.xxhash64("text") == F.col("__of"))
     lines = r"split(text, '\n', -1)"
     text = F.expr(
-        "CASE WHEN gone IS NULL THEN text ELSE transform(array(" + lines + "), v -> "
-        r"array_join(transform(array_except(sequence(0, size(v) - 1), gone), i -> v[i]), '\n'))[0] END"
+        "CASE WHEN __gone IS NULL THEN text ELSE transform(array(" + lines + "), v -> "
+        r"array_join(transform(array_except(sequence(0, size(v) - 1), __gone), i -> v[i]), '\n'))[0] END"
     )
-    text = F.when(F.col("gone").isNull(), F.col("text")).otherwise(
+    text = F.when(F.col("__gone").isNull(), F.col("text")).otherwise(
         F.when(F.trim(F.regexp_replace(text, r"[\n\t\r\x0B\f]", " ")) == "", F.lit("")).otherwise(text)
     )
     return (
         # Both sides grow with the input: the same join at every size.
         held.join(gone.hint("merge"), same, "left")
-        .withColumn("_text", text)
+        .withColumn("__text", text)
         .select(
-            *[F.col("_text").alias(c) if c == "text" else F.col(f"`{c}`") for c in names],
-            F.when(F.col("gone").isNull(), 0).otherwise(F.size("gone")).cast("long").alias("n_lines_removed"),
+            *[F.col("__text").alias(c) if c == "text" else F.col(f"`{c}`") for c in names],
+            F.when(F.col("__gone").isNull(), 0).otherwise(F.size("__gone")).cast("long").alias("n_lines_removed"),
         )
     )
