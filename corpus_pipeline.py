@@ -23,7 +23,7 @@ def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
     ``n_chars`` follows the text where it has changed.
     """
-    found = line_dedup.without_repeats(docs)
+    found = line_dedup.without_repeats(docs, by_runs=True)
     found = found.where((F.col("n_lines_removed") == 0) | (F.col("text") != ""))
     if "n_chars" in docs.columns:
         changed = F.col("n_lines_removed") > 0

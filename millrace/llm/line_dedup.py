@@ -1,9 +1,11 @@
 """Repeated blocks of lines, by aligning pairs of overlapping documents.
 
-Documents that share lines meet through line hashes: each later document is paired with
-the first document that has the line, so a line in n documents makes n - 1 pairs at most,
-however frequent it is. A pair counts if the lines that lead to it hold ``MIN_WORDS``
-words, one of them ``RARE_WORDS``; shorter lines are too common to lead to a document. A
+Documents that share blocks meet through hashes of runs, the shortest ranges of consecutive
+lines with ``MIN_WORDS`` words: each later document is paired with the first document that
+has the run (``sharing_runs``), so a run in n documents makes n - 1 pairs at most, however
+frequent it is. Pairing by single lines (``overlapping``) is offered too: it takes the first
+document of each line if those lines hold ``MIN_WORDS`` words, one of them ``RARE_WORDS``,
+and misses blocks whose lines lead to other documents. A
 patience diff aligns the pair: lines that are unique on both sides are anchors, their
 longest ordered chain splits the texts, and the parts between are aligned likewise. Aligned
 blocks of consecutive lines with ``MIN_WORDS`` words or more are deleted from the later
@@ -19,8 +21,11 @@ shuffled for the search.
 
 from __future__ import annotations
 
+import hashlib
+from array import array
 from bisect import bisect_left
 from collections import Counter
+from collections.abc import Iterator
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
@@ -70,6 +75,58 @@ def overlapping(shared: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
     )
 
 
+def runs(words: list[int], numbers: list[int], min_words: int = MIN_WORDS) -> Iterator[tuple[int, int]]:
+    """Ranges of consecutive lines with ``min_words`` words: the shortest from and to each line.
+
+    Every line of a block that is long enough lies in such a range inside the block.
+    """
+    end = total = 0
+    for start in range(len(words)):
+        if end < start or (end > start and numbers[end - 1] != numbers[start] + end - 1 - start):
+            end, total = start, 0
+        while total < min_words and end < len(words) and numbers[end] == numbers[start] + end - start:
+            total, end = total + words[end], end + 1
+        if total >= min_words:
+            yield start, end
+        total -= words[start] if end > start else 0
+    start = total = 0
+    for end in range(1, len(words) + 1):
+        if end > 1 and numbers[end - 1] != numbers[end - 2] + 1:
+            start, total = end - 1, 0
+        total += words[end - 1]
+        while total - words[start] >= min_words:
+            total, start = total - words[start], start + 1
+        if total >= min_words:
+            yield start, end
+
+
+def sharing_runs(sequences: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
+    """Pairs of a later document and the first document of one of its runs of lines.
+
+    A run in n documents makes n - 1 pairs at most. Each line of a block that any earlier
+    document has lies in a run of that block, whose first document is an earlier one too.
+    """
+
+    def compute():
+        def made(column: pa.Array) -> list:
+            out = []
+            for lines in column.to_pylist():
+                raw = array("q", [x["h"] for x in lines]).tobytes()
+                found = runs([x["words"] for x in lines], [x["number"] for x in lines], min_words)
+                digests = {hashlib.blake2b(raw[8 * i : 8 * k], digest_size=8).digest() for i, k in found}
+                out.append([int.from_bytes(d, "little", signed=True) for d in digests])
+            return [out]
+
+        return made
+
+    field = T.StructField("runs", T.ArrayType(T.LongType(), False))
+    found = add_columns(sequences, ["lines"], [field], compute).select("doc_id", "of", F.explode("runs").alias("run"))
+    found = saved(found, "runs")
+    first = found.groupBy("run").agg(F.min(F.struct("doc_id", "of")).alias("first"), F.max("doc_id").alias("last"))
+    pairs = found.join(first.where("first.doc_id < last").drop("last"), "run").where("first.doc_id < doc_id")
+    return pairs.select("doc_id", "of", F.col("first.doc_id").alias("first_id"), F.col("first.of").alias("first_of")).distinct()
+
+
 def patience(a: list[int], b: list[int]) -> list[tuple[int, int]]:
     """Places of lines of a aligned with equal lines of b, in order."""
     out, todo = [], [(0, len(a), 0, len(b))]
@@ -136,13 +193,14 @@ def repeated(later: list[dict], earlier: list[dict], min_words: int = MIN_WORDS)
     return out
 
 
-def repeated_places(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
+def repeated_places(docs: DataFrame, min_words: int = MIN_WORDS, by_runs: bool = False) -> DataFrame:
     """Per document with repeated blocks: doc_id, digest of the text, places of the lines."""
     shared = shared_lines(docs)
     line = F.struct("number", "place", "h", "words")
     sequences = saved(shared.groupBy("doc_id", "of").agg(F.sort_array(F.collect_set(line)).alias("lines")), "sequences")
     firsts = sequences.select(F.col("doc_id").alias("first_id"), F.col("of").alias("first_of"), F.col("lines").alias("earlier"))
-    pairs = overlapping(shared, min_words).join(sequences, ["doc_id", "of"]).join(firsts, ["first_id", "first_of"])
+    pairs = sharing_runs(sequences, min_words) if by_runs else overlapping(shared, min_words)
+    pairs = pairs.join(sequences, ["doc_id", "of"]).join(firsts, ["first_id", "first_of"])
 
     def compute():
         def made(later: pa.Array, earlier: pa.Array) -> list:
@@ -157,13 +215,15 @@ def repeated_places(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
     return found.agg(F.array_distinct(F.flatten(F.collect_list("gone"))).alias("gone"))
 
 
-def without_repeats(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
+def without_repeats(docs: DataFrame, min_words: int = MIN_WORDS, by_runs: bool = False) -> DataFrame:
     """docs with their repeated blocks deleted from ``text``, and ``n_lines_removed``.
 
+    ``by_runs`` pairs documents by runs of lines, so that no repeated block is missed;
+    otherwise by single lines, which misses blocks whose lines lead elsewhere.
     A document of which no line with a word is left has an empty text.
     """
     names = [c for c in docs.columns if c.lower() != "n_lines_removed"]
-    gone = saved(repeated_places(docs, min_words), "gone").withColumnsRenamed({"doc_id": "__id", "of": "__of", "gone": "__gone"})
+    gone = saved(repeated_places(docs, min_words, by_runs), "gone").withColumnsRenamed({"doc_id": "__id", "of": "__of", "gone": "__gone"})
     held = without(docs, ["n_lines_removed"])
     same = (F.col("doc_id") == F.col("__id")) & (F.xxhash64("text") == F.col("__of"))
     lines = r"split(text, '\n', -1)"

@@ -13,7 +13,7 @@ from millrace.llm.common import table
 
 def op1_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    return line_dedup.without_repeats(docs)
+    return line_dedup.without_repeats(docs, by_runs=True)
 
 
 def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
