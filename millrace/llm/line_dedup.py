@@ -7,9 +7,12 @@ frequent it is. Pairing by single lines (``overlapping``) is offered too: it tak
 document of each line if those lines hold ``MIN_WORDS`` words, one of them ``RARE_WORDS``,
 and misses blocks whose lines lead to other documents. A
 patience diff aligns the pair: lines that are unique on both sides are anchors, their
-longest ordered chain splits the texts, and the parts between are aligned likewise. Aligned
+longest ordered chain splits the texts, and the parts between are aligned likewise. Where
+no line is unique on both sides, and for further copies in the later document, runs are
+anchors in its place. Aligned
 blocks of consecutive lines with ``MIN_WORDS`` words or more are deleted from the later
-document, the one with the larger doc_id. The first copy of a line always stays.
+document, the one with the larger doc_id. The first document of a block keeps it, as often
+as it holds it.
 
 Lines are compared without the white space at their ends; blank lines neither count nor
 part a block, and stay. Null and empty texts have no lines and are left alone, as are rows
@@ -175,22 +178,38 @@ def _longest_chain(pairs: list[tuple[int, int]]) -> list[tuple[int, int]]:
     return out[::-1]
 
 
+def _keyed_runs(lines: list[dict], min_words: int) -> Iterator[tuple[tuple, range]]:
+    """The hashes of each run of lines, and the run."""
+    hashes = [x["h"] for x in lines]
+    for start, end in runs([x["words"] for x in lines], [x["number"] for x in lines], min_words):
+        yield tuple(hashes[start:end]), range(start, end)
+
+
 def repeated(later: list[dict], earlier: list[dict], min_words: int = MIN_WORDS) -> list[int]:
-    """Places of the later document's lines in aligned blocks that are long enough."""
+    """Places of the later document's lines in aligned blocks that are long enough.
+
+    An alignment is one to one and stops where no line is unique. What it leaves of the
+    later document is aligned again, run by run, until no block is left.
+    """
     pairs = patience([x["h"] for x in earlier], [x["h"] for x in later])
-    out: list[int] = []
-    block: list[dict] = []
+    gone: set[int] = set()
+    block: list[int] = []
     last = None
     for i, j in [*pairs, (None, None)]:
         here = None if i is None else (earlier[i]["number"], later[j]["number"])
         if last is None or here is None or here != (last[0] + 1, last[1] + 1):
-            if sum(x["words"] for x in block) >= min_words:
-                out += [x["place"] for x in block]
+            if sum(later[k]["words"] for k in block) >= min_words:
+                gone.update(block)
             block = []
         if here is not None:
-            block.append(later[j])
+            block.append(j)
         last = here
-    return out
+    if len(gone) < len(later):
+        known = {key for key, _ in _keyed_runs(earlier, min_words)}
+        for key, places in _keyed_runs(later, min_words) if known else ():
+            if key in known:
+                gone.update(places)
+    return [later[k]["place"] for k in sorted(gone)]
 
 
 def repeated_places(docs: DataFrame, min_words: int = MIN_WORDS, by_runs: bool = False) -> DataFrame:

@@ -72,3 +72,21 @@ def test_end_of_a_longer_block(spark):
     a, b, c = line("a", 20), line("b", 15), line("c", 5)
     rows = [(1, f"{a}\n{b}\nx"), (2, f"y\n{a}\n{b}\n{c}"), (3, f"{a}\n{b}\n{c}\nz")]
     assert removed(spark, rows) == {1: 0, 2: 2, 3: 3}
+
+
+def test_passages_without_unique_lines(spark):
+    p = "\n".join(line(k, 18) for k in "abc")
+    h, t = line("h", 9), line("t", 9)
+    rows = [
+        (1, f"{h}\n{t}"), (2, f"{line('x', 9)}\n{p}\n{p}\n{line('y', 9)}"), (3, f"{h}\n{p}\n{t}"), (4, f"{t}\n{p}\n{h}"),
+        (5, f"{h}\n{p}\nbetween\n{p}\n{t}"), (6, f"{line('z', 9)}\n{p}\n{t}\n{p}\n{p}"),
+    ]
+    assert removed(spark, rows) == {1: 0, 2: 0, 3: 3, 4: 3, 5: 8, 6: 10}
+
+
+def test_random_documents_against_all_earlier_ones(spark):
+    r = random.Random(9)
+    pool = [line(f"p{k}x", r.randint(1, 25)) for k in range(25)]
+    ids = r.sample(range(200), 60)
+    rows = [(i, "\n".join(r.choice(pool) for _ in range(r.randint(1, 30)))) for i in ids]
+    removed(spark, rows)
