@@ -14,7 +14,8 @@ blocks of consecutive lines with ``MIN_WORDS`` words or more are deleted from th
 document, the one with the larger doc_id. The first document of a block keeps it, as often
 as it holds it.
 
-Lines are compared without the white space at their ends; blank lines neither count nor
+Words stand between white space; in scripts without spaces each character but a mark counts
+as one. Lines are compared without the white space at their ends; blank lines neither count nor
 part a block, and stay. Null and empty texts have no lines and are left alone, as are rows
 without id. Rows that repeat id and text get equal results; rows of equal id but other
 text are not compared with each other; which of them is a line's first is settled by a
@@ -40,6 +41,11 @@ from millrace.llm.common import add_columns, saved, without
 #: Words of a block that is deleted, at least; words of a line that can lead to a document.
 MIN_WORDS, RARE_WORDS = 30, 8
 
+#: Scripts written without spaces: each of their characters but marks counts as a word.
+_UNSPACED = "".join(rf"\\p{{Is{s}}}" for s in ("Han", "Hiragana", "Katakana", "Thai", "Lao", "Khmer", "Myanmar", "Tibetan"))
+_WORD = rf"[{_UNSPACED}&&[^\\p{{M}}]]|[^ \\t\\r\\x0B\\f{_UNSPACED}]+"
+#: Where those scripts lie, with others: lines without such characters are counted faster.
+_HIGH = r"[\\u0E00-\\u109F\\u1780-\\u17FF\\u19E0-\\u19FF\\u2E80-\\x{10FFFF}]"
 _BLANK = r"' \t\r\u000b\u000c'"
 
 
@@ -48,7 +54,8 @@ def _lines() -> Column:
     split = r"transform(split(coalesce(text, ''), '\n', -1), (l, i) -> struct(i AS place, trim(BOTH " + _BLANK + " FROM l) AS l))"
     return F.expr(
         f"transform(filter({split}, x -> x.l <> ''), (x, k) -> struct(k AS number, x.place AS place, xxhash64(x.l) AS h, "
-        r"regexp_count(x.l, '[^ \\t\\r\\x0B\\f]+') AS words))"
+        f"CASE WHEN octet_length(x.l) > length(x.l) AND x.l RLIKE '{_HIGH}' THEN regexp_count(x.l, '{_WORD}') "
+        r"ELSE regexp_count(x.l, '[^ \\t\\r\\x0B\\f]+') END AS words))"
     )
 
 

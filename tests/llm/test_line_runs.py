@@ -90,3 +90,16 @@ def test_random_documents_against_all_earlier_ones(spark):
     ids = r.sample(range(200), 60)
     rows = [(i, "\n".join(r.choice(pool) for _ in range(r.randint(1, 30)))) for i in ids]
     removed(spark, rows)
+
+
+def test_short_lines_and_scripts_without_spaces(spark):
+    verse = "\n".join(line(f"v{k}x", 4) for k in range(12))
+    chinese = "".join(chr(0x4E00 + 7 * k) for k in range(40))
+    thai = "\u0e01\u0e34" * 29
+    rows = [
+        (1, f"one\n{verse}\n{chinese}\n{thai}"), (2, f"two\n{verse}\nend"), (3, f"{chinese}\n\u7532"),
+        (4, f"\u4e59\n{chinese[:20]}\n{chinese[20:]}"), (5, f"\u4e19\n{chinese[:20]}\n{chinese[20:]}"), (6, thai), (7, f"six\n{thai}\u0e02"), (8, f"{thai}\u0e02"),
+    ]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    got = without_repeats(df, by_runs=True).collect()
+    assert {r.doc_id: r.n_lines_removed for r in got} == {1: 0, 2: 12, 3: 1, 4: 0, 5: 2, 6: 0, 7: 0, 8: 1}
