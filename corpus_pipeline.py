@@ -33,8 +33,11 @@ def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of similar ones, that of the smallest doc_id."""
-    return ngram_join.one_of_each(docs)
+    """One document of each group of similar ones, that of the smallest doc_id.
+
+    Texts are similar from 0.8 on by their shingles of five words.
+    """
+    return ngram_join.one_of_each(docs, percent=80, n_words=5)
 
 
 def benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
