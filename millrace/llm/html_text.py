@@ -7,6 +7,10 @@ the second pass an undecided block takes the label of the nearest decided neighb
 tie a heading follows the later one, other blocks the earlier. Neighbours inside an article or main element are looked for there
 first; what such an element holds is good if nothing in it is decided.
 
+Menus and the like are known by element, role, hidden attribute, and class or id; names that
+tell a state (has-sidebar) do not count. If all article and main elements of a page stand in
+parts that only a class or id sets aside, they count nevertheless.
+
 Character references are decoded, white space in a block becomes one space, and good
 blocks are joined by line breaks in page order. Null pages and pages without text give an
 empty text. Unclosed tags and comments end with the page. Repeated rows get equal texts.
@@ -41,7 +45,7 @@ STOP_WORDS = frozenset(
     "al algo como con cuando de del desde donde el ella ellos en entre era es esta está este esto ha hay la las le lo "
     "los más me mi muy no nos o para pero por que se ser si sin sobre su sus también te todo un una uno y ya".split()
 )
-RAW = frozenset("script style noscript template textarea iframe noframes xmp svg math object canvas title".split())
+RAW = frozenset("script style noscript template textarea iframe noframes xmp svg canvas title".split())
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 BLOCKS = frozenset(
     "address article aside blockquote body caption center dd details dialog dir div dl dt fieldset figcaption figure footer "
@@ -58,6 +62,8 @@ ASIDE_NAMES = frozenset(
     "notification pagination pager popup promo promotion related replies respond share sharing sidebar signup social "
     "sponsor sponsored subscribe subscription teaser toolbar widget".split()
 )
+#: Parts of class names that tell a state of a page rather than what an element is.
+STATES = frozenset("has have with without no not is open opened closed close enabled disabled active on off layout".split())
 #: Elements that end where one of their own kind begins.
 SAME_ENDS = {
     "li": {"ul", "ol", "menu"}, "dt": {"dl"}, "dd": {"dl"}, "tr": {"table"}, "td": {"tr", "table"}, "th": {"tr", "table"},
@@ -69,43 +75,51 @@ _TAG = re.compile(
     r"""|<(/?)([A-Za-z][^\s/>]*)([^>]*)(?:>|\Z)""",  # a quote that never ends
     re.S,
 )
-_NAMED = re.compile(r"""\b(class|id|role|hidden|aria-hidden)\s*(?:=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+)))?""", re.I)
+_ATTRIBUTE = re.compile(r"""([^\s=/"'>]+)\s*(?:=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+)))?""")
 _PARTS = re.compile(r"[a-z]+")
 _WORD = re.compile(r"\w+")
 
 
 class Block:
-    __slots__ = ("text", "links", "aside", "main", "heading", "good")
+    __slots__ = ("text", "links", "aside", "main", "inner", "heading", "good")
 
-    def __init__(self, text: str, links: int, aside: bool, main: int, heading: bool):
-        self.text, self.links, self.aside, self.main, self.heading = text, links, aside, main, heading
+    def __init__(self, text: str, links: int, aside: bool, main: int, inner: int, heading: bool):
+        self.text, self.links, self.aside, self.main, self.inner, self.heading = text, links, aside, main, inner, heading
         self.good: bool | None = None
 
 
-def _is_aside(name: str, attributes: str, in_main: bool) -> bool:
-    """Does this element hold something beside the main text?"""
-    if name in ASIDE or (name == "header" and not in_main):
-        return True
-    if not attributes:
-        return False
-    for m in _NAMED.finditer(attributes):
-        key, value = m[1].lower(), (m[2] or m[3] or m[4] or "").lower()
-        if key == "hidden" or (key == "aria-hidden" and value == "true"):
-            return True
-        if key == "role" and value in ASIDE_ROLES:
+def _attributes(text: str) -> dict[str, str]:
+    found: dict[str, str] = {}
+    for m in _ATTRIBUTE.finditer(text):
+        found.setdefault(m[1].lower(), (m[2] or m[3] or m[4] or "").lower())
+    return found
+
+
+def _named_aside(found: dict[str, str]) -> bool:
+    """Does a class or the id name such a part? Tokens that tell a state do not."""
+    for token in found.get("class", "").split() + found.get("id", "").split():
+        parts = _PARTS.findall(token)
+        if STATES.isdisjoint(parts) and not ASIDE_NAMES.isdisjoint(parts):
             return True
-        if key in ("class", "id") and name not in ("body", "html", "article", "main"):
-            if not ASIDE_NAMES.isdisjoint(_PARTS.findall(value)):
-                return True
     return False
 
 
+def _aside(name: str, found: dict[str, str], in_main: bool) -> int:
+    """Does this element hold something beside the main text? 1: by its name only, 2: surely."""
+    if name in ASIDE or (name == "header" and not in_main):
+        return 2
+    if "hidden" in found or found.get("aria-hidden") == "true" or not ASIDE_ROLES.isdisjoint(found.get("role", "").split()):
+        return 2
+    return int(name not in ("body", "html", "article", "main") and _named_aside(found))
+
+
 def blocks(page: str) -> list[Block]:
     """Blocks of a page that hold text, with what is known of their place."""
     out: list[Block] = []
-    stack: list[tuple[str, bool, int]] = [("", False, 0)]  # name, aside, number of the main element
+    # Name, aside, number of the main element, and of one inside a part that only its name sets aside.
+    stack: list[tuple[str, int, int, int]] = [("", 0, 0, 0)]
     held: list[str] = []
-    linked = depth = mains = at = 0
+    linked = depth = mains = inners = at = 0
 
     def end_block() -> None:
         nonlocal linked
@@ -113,8 +127,9 @@ def blocks(page: str) -> list[Block]:
             text = " ".join("".join(held).split())
             held.clear()
             if text:
-                heading = any(name in HEADINGS for name, _, _ in stack[-3:])
-                out.append(Block(text, linked, stack[-1][1], stack[-1][2], heading))
+                heading = any(x[0] in HEADINGS for x in stack[-3:])
+                _, aside, main, inner = stack[-1]
+                out.append(Block(text, linked, aside > 0, main, inner, heading))
         linked = 0
 
     def add(piece: str) -> None:
@@ -127,7 +142,7 @@ def blocks(page: str) -> list[Block]:
 
     def pop_to(k: int) -> None:
         nonlocal depth
-        for name, _, _ in stack[k:]:
+        for name, *_ in stack[k:]:
             depth -= name == "a"
         del stack[k:]
 
@@ -142,7 +157,7 @@ def blocks(page: str) -> list[Block]:
             if name in BLOCKS:
                 end_block()
             if k:
-                if any(n in BLOCKS for n, _, _ in stack[k:]):
+                if any(x[0] in BLOCKS for x in stack[k:]):
                     end_block()
                 pop_to(k)
             continue
@@ -165,14 +180,24 @@ def blocks(page: str) -> list[Block]:
                     break
         if name in VOID or attributes.endswith("/"):
             continue
-        _, aside, main = stack[-1]
+        _, aside, main, inner = stack[-1]
+        found = _attributes(attributes) if attributes else {}
         if name in MAIN and not aside:
             mains += 1
             main = main or mains
+        elif name in MAIN and aside == 1 and not inner and not main and not _named_aside(found):
+            inners += 1
+            inner = inners
+        kind = _aside(name, found, bool(main or inner))
+        aside = 2 if kind and inner else max(aside, kind)
         depth += name == "a"
-        stack.append((name, aside or _is_aside(name, attributes, bool(main)), main))
+        stack.append((name, aside, main, 0 if aside == 2 else inner))
     add(page[at:])
     end_block()
+    if not mains:  # the main elements of the page stand in wrappers with such a name
+        for block in out:
+            if block.inner:
+                block.aside, block.main = False, block.inner
     return out
 
 
