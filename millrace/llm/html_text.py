@@ -2,7 +2,9 @@
 
 A page falls into blocks of text between block-level tags. In the first pass a block is
 good if it is long and rich in stop words; bad if it mostly consists of links or stands in
-a menu, header, footer, sidebar, notice, advert, form or comment; else it is undecided. In
+a menu, header, footer, sidebar, notice, advert, form or comment; else it is undecided. Stop
+words are those of four languages. Where a page has no main element and most of its long text
+has few of them, long blocks with few links are good whatever their words. In
 the second pass an undecided block takes the label of the nearest decided neighbour; on a
 tie a heading follows the later one, other blocks the earlier. Neighbours inside an article or main element are looked for there
 first; what such an element holds is good if nothing in it is decided.
@@ -31,6 +33,8 @@ from millrace.llm.common import add_columns, texts
 #: Characters from which a block counts as long, and the least share of stop words in a
 #: good block; the least share of link text in a bad block.
 LONG, STOP_SHARE, LINK_SHARE = 70, 0.25, 0.5
+#: The most link text in a long block that is good by its length, in text of other languages.
+FEW_LINKS = 0.2
 
 # Common words of four languages, and names of HTML.
 STOP_WORDS = frozenset(
@@ -76,6 +80,8 @@ _TAG = re.compile(
     re.S,
 )
 _ATTRIBUTE = re.compile(r"""([^\s=/"'>]+)\s*(?:=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+)))?""")
+#: Characters of scripts in which one says about as much as two letters.
+_WIDE = re.compile("[\u2E80-\uD7FF\uF900-\uFAFF\U00020000-\U0003FFFF]")
 _PARTS = re.compile(r"[a-z]+")
 _WORD = re.compile(r"\w+")
 
@@ -201,16 +207,43 @@ def blocks(page: str) -> list[Block]:
     return out
 
 
-def _decide(block: Block) -> bool | None:
-    """First pass: good, bad or undecided."""
-    n = len(block.text)
-    if block.aside or block.links >= LINK_SHARE * n:
-        return False
-    if n < LONG:
-        return None
-    words = _WORD.findall(block.text.lower())
-    rich = bool(words) and sum(w in STOP_WORDS for w in words) >= STOP_SHARE * len(words)
-    return True if rich else None if block.main else False
+def _rich(text: str) -> bool:
+    words = _WORD.findall(text.lower())
+    return bool(words) and sum(w in STOP_WORDS for w in words) >= STOP_SHARE * len(words)
+
+
+def _decide(found: list[Block]) -> None:
+    """First pass: good, bad or undecided.
+
+    Long blocks with few stop words are bad outside main elements, unless they hold most of
+    the long text of a page without main elements: its language is not one of the list then,
+    and those with few links are good.
+    """
+    rich = few = 0
+    poor: list[tuple[Block, int]] = []
+    mains = False
+    for block in found:
+        n = len(block.text)
+        mains = mains or (block.main > 0 and not block.aside)
+        if block.aside or block.links >= LINK_SHARE * n:
+            block.good = False
+            continue
+        size = n if block.text.isascii() else n + len(_WIDE.findall(block.text))
+        if size < LONG:
+            continue
+        if n >= LONG and _rich(block.text):
+            block.good = True
+            rich += size
+            continue
+        if block.links < FEW_LINKS * n:
+            few += size
+        poor.append((block, n))
+    other = not mains and few > rich
+    for block, n in poor:
+        if other:
+            block.good = True if block.links < FEW_LINKS * n else None
+        elif n >= LONG and not block.main:
+            block.good = False
 
 
 def _inherit(found: list[Block]) -> None:
@@ -252,8 +285,7 @@ def _inherit(found: list[Block]) -> None:
 
 def main_text(page: str) -> str:
     found = blocks(page)
-    for block in found:
-        block.good = _decide(block)
+    _decide(found)
     _inherit(found)
     return "\n".join(b.text for b in found if b.good)
 
