@@ -27,20 +27,44 @@ def log_offsets(manifest: DataFrame, committed: DataFrame | None = None) -> Data
     return ends.join(committed.select("partition", "committed_offset"), "partition", "left")
 
 
-def _seek(rows: DataFrame, blocks: DataFrame) -> DataFrame:
-    """Messages of some blocks from an offset on. blocks: partition, block, _from."""
-    return (
-        rows.join(blocks, ["partition", "block"])
-        .where(F.col("offset") >= F.col("_from"))
-        .drop("block", "_from")
-    )
+#: What a block of an append is known by, in the rows and in the manifest.
+BLOCK = ["append", "partition", "block"]
+
+
+def seek(rows: DataFrame, blocks: DataFrame) -> DataFrame:
+    """Messages of some blocks of the manifest from an offset on, or up to another.
+
+    blocks: ``BLOCK``, _from, and _to if there is an end. They are written first, and the
+    filter on them tells the planner that pruning pays, so that other blocks are skipped.
+    """
+    ends = [c for c in ("_from", "_to") if c in blocks.columns]
+    few = measured(blocks.select(*BLOCK, *ends)).where("block >= 0")
+    found = rows.join(few, BLOCK).where(F.col("offset") >= F.col("_from"))
+    if "_to" in ends:
+        found = found.where(F.col("offset") < F.col("_to"))
+    return found.drop("append", "block", *ends)
 
 
-def _blocks_from(manifest: DataFrame, starts: DataFrame) -> DataFrame:
+def blocks_from(manifest: DataFrame, starts: DataFrame) -> DataFrame:
     """Blocks that hold messages at or after each partition's ``_from``."""
     return manifest.join(starts, "partition").where(F.col("last_offset") >= F.col("_from"))
 
 
+def holding_first(blocks: DataFrame, limit: int, start: DataFrame | None = None) -> DataFrame:
+    """Of blocks with ``_from``, those that can hold the first ``limit`` messages of their partition.
+
+    A block is left out when the whole blocks before it hold enough. The block in which the
+    messages begin counts for nothing there, as part of it may lie before them. ``start``
+    has messages that count before a partition's own: partition, _start.
+    """
+    own = F.when(F.col("first_offset") >= F.col("_from"), F.col("n")).otherwise(0)
+    inside = Window.partitionBy("partition").orderBy("block").rangeBetween(Window.unboundedPreceding, -1)
+    blocks = blocks.withColumn("_before", F.coalesce(F.sum(own).over(inside), F.lit(0)))
+    if start is not None:
+        blocks = blocks.join(start, "partition").withColumn("_before", F.col("_before") + F.col("_start"))
+    return blocks.where(F.col("_before") < limit)
+
+
 def topic_totals(offsets: DataFrame) -> DataFrame:
     return offsets.agg(
         F.coalesce(F.sum(F.col("end_offset") - F.col("begin_offset")), F.lit(0))
@@ -63,9 +87,10 @@ def partition_lag(rows: DataFrame, manifest: DataFrame, offsets: DataFrame) -> D
     """
     side = offsets.withColumn("_next", _next_offset())
     starts = side.select("partition", F.col("_next").alias("_from"))
-    first = _blocks_from(manifest, starts).groupBy("partition", "_from").agg(F.min("block").alias("block"))
+    after = blocks_from(manifest, starts)
+    first = after.groupBy("partition").agg(F.min("block").alias("block"))
     waiting = (
-        _seek(rows, measured(first.where("block >= 0")))
+        seek(rows, after.join(first, ["partition", "block"]))
         .groupBy("partition")
         .agg(F.min_by("timestamp", "offset").alias("oldest_unprocessed"))
     )
@@ -160,8 +185,7 @@ def recent_messages(
     side = measured(offsets.select("partition", "end_offset"))
     share = max(1, limit // max(1, side.count()))
     tails = side.select("partition", (F.col("end_offset") - share).alias("_from"))
-    blocks = _blocks_from(manifest, tails).select("partition", "block", "_from")
-    found = _seek(rows, measured(blocks).where("block >= 0"))
+    found = seek(rows, blocks_from(manifest, tails))
     return found.orderBy(F.col("timestamp").desc_nulls_last(), "partition", "offset").limit(limit)
 
 
@@ -170,33 +194,22 @@ def unprocessed_messages(
 ) -> DataFrame:
     """Messages at or after the committed offset, in log order.
 
-    With a limit, only the blocks that can hold the first messages are read: a block is
-    left out when the whole blocks before it hold enough. The block in which the backlog
-    begins counts for nothing there, as part of it is processed.
+    With a limit, only the blocks that can hold the first messages are read.
     """
     starts = offsets.select("partition", _next_offset().alias("_from"))
-    blocks = _blocks_from(manifest, starts)
+    blocks = blocks_from(manifest, starts)
     if limit:
         # The manifest is small: a row per block. Partitions are numbered, so they are summed first.
         own = F.when(F.col("first_offset") >= F.col("_from"), F.col("n")).otherwise(0)
-        blocks = blocks.withColumn("_own", own)
-        totals = blocks.groupBy("partition").agg(F.sum("_own").alias("_all"))
+        totals = blocks.groupBy("partition").agg(F.sum(own).alias("_all"))
         earlier = Window.orderBy("partition").rowsBetween(Window.unboundedPreceding, -1)
         totals = totals.select("partition", F.coalesce(F.sum("_all").over(earlier), F.lit(0)).alias("_start"))
-        inside = Window.partitionBy("partition").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
-        blocks = (
-            blocks.withColumn("_before", F.coalesce(F.sum("_own").over(inside), F.lit(0)))
-            .join(totals, "partition")
-            .where(F.col("_start") + F.col("_before") < limit)
-        )
-    ordered = _seek(
-        rows, measured(blocks.select("partition", "block", "_from")).where("block >= 0")
-    ).orderBy("partition", "offset")
+        blocks = holding_first(blocks, limit, totals)
+    ordered = seek(rows, blocks).orderBy("partition", "offset")
     return ordered.limit(limit) if limit else ordered
 
 
 def recent_message(rows: DataFrame, manifest: DataFrame) -> DataFrame:
     """Last message of the partition with the highest end offset; ties go to the lowest."""
     last = manifest.orderBy(F.col("last_offset").desc(), "partition").limit(1)
-    last = last.select("partition", "block", F.col("last_offset").alias("_from"))
-    return _seek(rows, measured(last).where("block >= 0"))
+    return seek(rows, last.withColumn("_from", F.col("last_offset")))

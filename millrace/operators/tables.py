@@ -3,10 +3,11 @@
 from __future__ import annotations
 
 from pyspark.errors import AnalysisException
-from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types as T
+from pyspark.sql import Column, DataFrame, Observation, SparkSession, Window, functions as F, types as T
 
-from ..schemas import GOLD, SILVER, stored
+from ..schemas import BOUNDS, GOLD, SILVER, stored
 from .feeds import latest
+from .sizing import measured
 
 
 class ContractError(ValueError):
@@ -39,17 +40,42 @@ def append(df: DataFrame, path: str, contract: T.StructType) -> None:
     enforce(df, contract).write.mode("append").parquet(path)
 
 
-def write_batch(df: DataFrame, path: str, contract: T.StructType, batch_id: int) -> None:
-    """Write one batch as its own partition; writing it again replaces it."""
-    (
-        enforce(df, contract)
-        .withColumn("ingested_at", F.current_timestamp())
-        .withColumn("batch_id", F.lit(batch_id).cast("bigint"))
-        .write.mode("overwrite")
-        .option("partitionOverwriteMode", "dynamic")
-        .partitionBy("batch_id")
-        .parquet(path)
-    )
+#: Writer of batches that no stream numbers.
+DIRECT = "direct"
+
+
+def batch_folder(path: str, batch_id: int, writer: str = DIRECT) -> str:
+    return f"{path}/writer={writer}/batch_id={batch_id}"
+
+
+def write_batch(
+    df: DataFrame, path: str, contract: T.StructType, batch_id: int, writer: str = DIRECT, bounded: bool = True
+) -> None:
+    """Write one batch of a writer as its own partition; writing it again replaces it.
+
+    Batch numbers are the writer's own: batches of different writers never meet. A
+    replacement of no rows leaves none of the old ones. The times the batch spans are
+    stored last, beside the table, if it has a time column and is ``bounded``.
+    """
+    rows = enforce(df, contract).withColumn("ingested_at", F.current_timestamp())
+    time = _time_of(contract) if bounded else None
+    if not time:
+        rows.write.mode("overwrite").parquet(batch_folder(path, batch_id, writer))
+        return
+    seen = Observation()
+    watched = rows.observe(seen, F.min(time).alias("low"), F.max(time).alias("high"), F.count(F.lit(1)).alias("n"))
+    watched.write.mode("overwrite").parquet(batch_folder(path, batch_id, writer))
+    spans = T.StructType(BOUNDS.fields[:3])
+    row = df.sparkSession.createDataFrame([tuple(seen.get[k] for k in spans.names)], spans)
+    row.coalesce(1).write.mode("overwrite").parquet(batch_folder(_bounds(path), batch_id, writer))
+
+
+def _bounds(path: str) -> str:
+    return path.rstrip("/") + ".bounds"
+
+
+def _time_of(contract: T.StructType) -> str | None:
+    return next((c for c in ("timestamp", "window_start") if c in contract.names), None)
 
 
 def read_table(spark: SparkSession, path: str, schema: T.StructType) -> DataFrame:
@@ -63,29 +89,63 @@ def read_table(spark: SparkSession, path: str, schema: T.StructType) -> DataFram
 
 
 #: Columns that settle the order of equal times.
-_TIES = {tuple(SILVER.names): ["event_id"], tuple(GOLD.names): ["window_end", "batch_id"]}
+_TIES = {tuple(SILVER.names): ["event_id"], tuple(GOLD.names): ["window_end", "writer", "batch_id"]}
 
 
 def scan_latest(
     spark: SparkSession, path: str, contract: T.StructType, limit: int | None = 500
 ) -> DataFrame:
-    """Rows of a stored table, newest first; equal times in the order of the contract's key."""
+    """Rows of a stored table, newest first; equal times in the order of the contract's key.
+
+    With a limit, only batches are read that can hold one of the rows asked for.
+    """
     rows = read_table(spark, path, stored(contract))
+    if limit and (time := _time_of(contract)):
+        rows = _newest(rows, read_table(spark, _bounds(path), BOUNDS), time, limit)
     return latest(rows, limit, _TIES.get(tuple(contract.names), contract.names))
 
 
+def _newest(rows: DataFrame, bounds: DataFrame, time: str, limit: int) -> DataFrame:
+    """Rows not older than a time from which on there are surely ``limit`` of them.
+
+    Batches are taken by their earliest row, latest first, until they hold enough: at most
+    ``limit`` batches, as each has a row. Nothing before the last one's earliest row can be
+    among the newest, so batches that end before it are not opened. This looks at the bounds
+    when it is called; a batch without bounds is one whose write has not ended.
+    """
+    newest = [F.col("low").desc(), "writer", "batch_id"]
+    few = bounds.where("n > 0").orderBy(*newest).limit(limit)
+    before = Window.orderBy(*newest).rowsBetween(Window.unboundedPreceding, -1)
+    taken = few.withColumn("_before", F.coalesce(F.sum("n").over(before), F.lit(0)))
+    since = taken.where(F.col("_before") < limit).agg(F.min("low")).first()[0]
+    if since is None:
+        return rows
+    late = F.lit(since).cast("timestamp_ntz")
+    batches = measured(bounds.where(F.col("high") >= late)).where(F.col("high") >= late)
+    return rows.where(F.col(time) >= late).join(batches.select("writer", "batch_id"), ["writer", "batch_id"])
+
+
 def table_metrics(table: DataFrame) -> DataFrame:
     """Rows, snapshots, current snapshot and last change of a table.
 
-    Aggregated per batch first: the distinct count then runs over batches, not rows.
+    Aggregated per batch first: the distinct count then runs over batches, not rows. The
+    current snapshot is the last batch of the writer that wrote last.
     """
+    writer = F.col("writer") if "writer" in table.columns else F.lit(DIRECT)
     return (
-        table.groupBy("batch_id")
+        table.groupBy(writer.alias("writer"), "batch_id")
         .agg(F.count(F.lit(1)).alias("_rows"), F.max("ingested_at").alias("_at"))
+        .groupBy("writer")
+        .agg(
+            F.sum("_rows").alias("_rows"),
+            F.count("batch_id").alias("_batches"),
+            F.max("batch_id").alias("_last"),
+            F.max("_at").alias("_at"),
+        )
         .agg(
             F.coalesce(F.sum("_rows"), F.lit(0)).cast("bigint").alias("record_count"),
-            F.count("batch_id").alias("snapshot_count"),
-            F.max("batch_id").alias("current_snapshot_id"),
+            F.coalesce(F.sum("_batches"), F.lit(0)).cast("bigint").alias("snapshot_count"),
+            F.max_by("_last", F.struct("_at", "writer")).alias("current_snapshot_id"),
             F.max("_at").alias("last_updated"),
         )
     )

@@ -48,7 +48,7 @@ class _Log:
             store = logs.LogStore(scratch_path(spark, "log"))
             store.append(telemetry.bronze_log(_readings(spark, sf_dir)))
             self.stores[key] = store
-        self.rows = self.stores[key].rows(spark)
+        self.rows = self.stores[key].stored(spark)
         self.manifest = self.stores[key].manifest(spark)
         self.offsets = telemetry.committed_offsets(monitor.log_offsets(self.manifest))
 

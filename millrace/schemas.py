@@ -80,12 +80,35 @@ OFFSETS = T.StructType(
     ]
 )
 
-# Stored tables carry the batch that wrote them; a distinct batch_id is a snapshot.
+# What a batch of the job did, and the run it belongs to.
+COUNTERS = T.StructType(
+    [
+        T.StructField("run", T.LongType(), _REQ),
+        T.StructField("ingested", T.LongType(), _REQ),
+        T.StructField("processed", T.LongType(), _REQ),
+        T.StructField("invalidated", T.LongType(), _REQ),
+    ]
+)
+
+# Stored tables carry the batch that wrote them and its writer, whose batch numbers they
+# are; a writer's batch is a snapshot.
 BATCH_COLUMNS = [
     T.StructField("ingested_at", T.TimestampType()),
+    T.StructField("writer", T.StringType()),
     T.StructField("batch_id", T.LongType()),
 ]
 
+# Beside a table: rows and times of each stored batch.
+BOUNDS = T.StructType(
+    [
+        T.StructField("low", T.TimestampNTZType()),
+        T.StructField("high", T.TimestampNTZType()),
+        T.StructField("n", T.LongType()),
+        T.StructField("writer", T.StringType()),
+        T.StructField("batch_id", T.LongType()),
+    ]
+)
+
 
 def stored(contract: T.StructType) -> T.StructType:
     """Schema of a contract as it lies on disk, with its batch columns."""
