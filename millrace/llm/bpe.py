@@ -15,6 +15,7 @@ import functools
 import heapq
 import json
 import unicodedata
+from collections.abc import Callable
 
 import public_tokenizers
 import pyarrow as pa
@@ -27,6 +28,13 @@ from millrace.llm.common import add_columns, texts
 
 #: A public vocabulary; any other file of its kind will do.
 VOCABULARY = public_tokenizers.path("word_bpe_49k.json")
+
+
+def public_vocabulary() -> str:
+    """The same file, where the one who calls has it: each executor its own."""
+    return public_tokenizers.path("word_bpe_49k.json")
+
+
 #: Words up to this many bytes are scanned; both ways give the same parts.
 SCANNED = 128
 #: Words remembered per Python worker; the memory is emptied when full.
@@ -157,6 +165,11 @@ def _vocabulary(path: str) -> WordBpe:
     return WordBpe(path)
 
 
+def vocabulary_of(path: str | Callable[[], str]) -> WordBpe:
+    """The vocabulary of a path, or of a function that finds the path when a task calls it."""
+    return _vocabulary(path() if callable(path) else path)
+
+
 def encode(df: DataFrame, vocabulary: str, text: str = "text", ids: str = "ids") -> DataFrame:
     """df with the token ids of its texts. vocabulary: a path that all executors can open."""
 

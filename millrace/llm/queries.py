@@ -7,7 +7,21 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 import corpus_pipeline
-from millrace.llm import bpe, decontaminate, html_text, line_dedup, ngram_join, pii, quality_model, quality_rules, toxicity, warc
+from millrace.llm import (
+    bpe,
+    decontaminate,
+    html_text,
+    lexical_search,
+    line_dedup,
+    ngram_join,
+    packing,
+    pii,
+    quality_model,
+    quality_rules,
+    toxicity,
+    vector_codes,
+    warc,
+)
 from millrace.llm.common import table
 
 
@@ -52,6 +66,18 @@ def op10_quality_model(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_model.scored(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op11_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return vector_codes.compressed(table(spark, sf_dir, "embeddings"))
+
+
+def op12_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pieces(table(spark, sf_dir, "documents"), bpe.public_vocabulary)
+
+
+def op13_lexical_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lexical_search.ranked(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     return corpus_pipeline.run(spark, sf_dir)
 
@@ -67,6 +93,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_bpe": op8_bpe,
     "op9_ngram_join": op9_ngram_join,
     "op10_quality_model": op10_quality_model,
+    "op11_vector_codes": op11_vector_codes,
+    "op12_packing": op12_packing,
+    "op13_lexical_search": op13_lexical_search,
     "pipeline": pipeline,
 }
 
@@ -170,7 +199,66 @@ SELECT doc_id, cast(n_words AS BIGINT) AS n_words, cast(word_chars AS BIGINT) AS
 FROM f
 """
 
+
+
+def _op11() -> str:
+    """Codes by comparing every part with every entry, round by round."""
+    steps = [
+        """
+v AS (
+  SELECT vec_id, label, list_transform(embedding, lambda x: CAST(floor(256 * CAST(x AS DOUBLE)) AS BIGINT)) AS u FROM embeddings
+  WHERE embedding IS NOT NULL AND list_bool_and(list_transform(embedding, lambda x: coalesce(isfinite(x), false)))),
+parts AS (
+  SELECT vec_id, label, u, p, u[p * (len(u) // 16) + 1:(p + 1) * (len(u) // 16)] AS c FROM v, unnest(range(0, 16)) AS t(p)),
+firsts AS (SELECT vec_id, row_number() OVER (ORDER BY vec_id) - 1 AS e FROM (SELECT vec_id FROM v ORDER BY vec_id LIMIT 64)),
+b0 AS (SELECT p, e, c FROM parts JOIN firsts USING (vec_id))"""
+    ]
+    for k in range(vector_codes.ROUNDS + 1):
+        steps.append(f"""
+n{k} AS (
+  SELECT vec_id, label, a.p AS p, a.c AS c, min(struct_pack(d := CAST(list_sum(list_transform(list_zip(a.c, b.c),
+    lambda z: (z[1] - z[2]) * (z[1] - z[2]))) AS BIGINT), e := e)) AS best
+  FROM parts a JOIN b{k} b ON a.p = b.p GROUP BY ALL)""")
+        if k < vector_codes.ROUNDS:
+            steps.append(f"""
+m{k} AS (
+  SELECT p, e, list(CAST(floor(CAST(s AS DOUBLE) / n) AS BIGINT) ORDER BY i) AS c FROM (
+    SELECT p, best.e AS e, i, sum(c[i]) AS s, count(*) AS n FROM n{k}, unnest(range(1, len(c) + 1)) AS t(i) GROUP BY ALL)
+  GROUP BY p, e),
+b{k + 1} AS (SELECT p, e, coalesce(m{k}.c, b{k}.c) AS c FROM b{k} LEFT JOIN m{k} USING (p, e))""")
+    last = vector_codes.ROUNDS
+    return "WITH" + ",".join(steps) + f""",
+codes AS (
+  SELECT vec_id, label, string_agg(format('{{:02x}}', best.e), '' ORDER BY p) AS code, CAST(sum(best.d) AS BIGINT) AS error
+  FROM n{last} GROUP BY vec_id, label),
+totals AS (SELECT label, CAST(sum(error) AS BIGINT) AS label_error FROM codes GROUP BY label)
+SELECT vec_id, code, error, label_error,
+       (SELECT sha256(string_agg(array_to_string(c, ','), ',' ORDER BY p, e)) FROM b{last}) AS codebooks_sha256
+FROM codes JOIN totals ON codes.label IS NOT DISTINCT FROM totals.label
+"""
+
+
+_TERM = r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
+_OP13 = rf"""
+WITH d AS (SELECT doc_id, unnest(regexp_extract_all({_LOWER}, '{_TERM}')) AS term FROM documents),
+i AS (SELECT DISTINCT item_id, unnest(regexp_extract_all({_LOWER}, '{_TERM}')) AS term FROM benchmark),
+lengths AS (SELECT doc_id, count(*) AS n FROM d GROUP BY doc_id),
+a AS (SELECT count(*) AS docs, CAST(sum(n) AS BIGINT) AS total FROM lengths),
+tf AS (SELECT doc_id, term, count(*) AS tf FROM d WHERE term IN (SELECT term FROM i) GROUP BY doc_id, term),
+w AS (
+  SELECT term, CAST(floor(1000 * ln((2 * docs + 2) / (2 * count(*) + 1))) AS BIGINT) AS w FROM tf, a GROUP BY term, docs),
+s AS (
+  SELECT item_id, doc_id,
+         CAST(sum(w * ((1000000000 * tf) // (1000 * tf + 20 * (100 - 50 + (50 * n * docs) // total)))) AS BIGINT) AS score
+  FROM i JOIN tf USING (term) JOIN w USING (term) JOIN lengths USING (doc_id), a GROUP BY item_id, doc_id)
+SELECT item_id, CAST(row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id) AS INT) AS rank, doc_id, score
+FROM s WHERE score > 0
+QUALIFY row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id) <= 50
+"""
+
 ORACLES: dict[str, str] = {
+    "op11_vector_codes": _op11(),
+    "op13_lexical_search": _OP13,
     "op4_decontaminate": _OP4,
     "op5_warc": _OP5,
     "op7_quality_rules": _OP7,
