@@ -64,19 +64,37 @@ def merge_feed(seen: DataFrame, page: DataFrame, key: str | None, time: str, n:
     ``key`` identifies a row, null being a key like others; None compares whole rows.
     Equal times are ordered by key, or else by the remaining columns, largest first.
 
-    One plan for every ``n``: the newest time of each key is an aggregate of two columns;
-    only rows that hold the newest time of one of the first ``n`` keys go further.
+    Only rows that are not older than the last of the first ``n`` keys go further, and the
+    scans are told so; where that time lies is looked up when this is called.
     """
     both = seen.unionByName(page)
     identity = [key] if key else both.columns
     newest = [F.col(c).desc_nulls_last() for c in [time, *(c for c in identity if c != time)]]
     if key is None:
         return both.dropDuplicates().orderBy(*newest).limit(n)
-    tops = both.groupBy(key).agg(F.max(time).alias(time)).orderBy(*newest).limit(n)
-    tops = tops.select(F.col(key).alias("_key"), F.col(time).alias("_time"))
-    same = F.col(key).eqNullSafe(F.col("_key")) & F.col(time).eqNullSafe(F.col("_time"))
-    pool = both.join(tops, same).drop("_key", "_time")
-    return newest_per_key(pool, [key], [time]).orderBy(*newest).limit(n)
+    since = _time_of_first(both, key, time, n)
+    if since is not None:
+        both = both.where(F.col(time) >= F.lit(str(since)).cast(both.schema[time].dataType))
+    return newest_per_key(both, [key], [time]).orderBy(*newest).limit(n)
+
+
+#: Rows looked at for each key wanted, before all keys are.
+_LOOK = 4
+
+
+def _time_of_first(df: DataFrame, key: str, time: str, n: int) -> object:
+    """A time from which on there are ``n`` keys; None if there are fewer, or without a time.
+
+    The newest few rows mostly have enough keys: each task sends only these. Otherwise the
+    newest time of every key is compared.
+    """
+    rows = df.select(key, time).where(F.col(time).isNotNull())
+    for some in (rows.orderBy(F.col(time).desc()).limit(_LOOK * n), rows):
+        tops = some.groupBy(key).agg(F.max(time).alias(time)).orderBy(F.col(time).desc()).limit(n)
+        held, since = tops.agg(F.count(F.lit(1)), F.min(time)).first()
+        if held >= n:
+            return since
+    return None
 
 
 def drop_unchanged(

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, functions as F
 
 from ..functions.numbers import exact_mean, mean_of_parts, mean_parts, round_half_up
+from .feeds import last_n
 from .ordering import row_index, time_bucket
 
 WARNING = "WARNING"
@@ -51,6 +52,17 @@ def device_summary(readings: DataFrame, time: str = "event_time") -> DataFrame:
     )
 
 
+def recent_series(readings: DataFrame, key: str, order: list[str], values: list[str], n: int) -> DataFrame:
+    """Per key its newest ``n`` readings as one array, oldest first, and how many there are.
+
+    ``order`` is total within a key. Each task sends ``n`` rows of a key at most, so an
+    array is bounded whatever a key's readings are. An entry holds ``order``, then ``values``.
+    """
+    few = last_n(readings.select(key, *order, *values), [key], [F.col(c).desc_nulls_last() for c in order], n)
+    entries = F.array_sort(F.collect_list(F.struct(*order, *values)))
+    return few.groupBy(key).agg(F.count(F.lit(1)).alias("n"), entries.alias("series"))
+
+
 #: Columns of a partial KPI. Partials of any split of the readings merge to the same KPI.
 PARTIAL = ["window_start", "window_end", "total_events", "temp_whole", "temp_parts", "anomaly_count"]
 

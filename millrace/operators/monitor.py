@@ -13,6 +13,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 from ..functions.labels import metric_label
 from ..functions.numbers import round_half_up
 from ..functions.times import micros_between
+from .ordering import previous, running_sums, time_bucket
 from .sizing import measured
 
 
@@ -163,6 +164,40 @@ def topic_metrics(lag: DataFrame, topic: str, invalidated: int | Column = 0) ->
     )
 
 
+def append_history(manifest: DataFrame) -> DataFrame:
+    """How the log grew: per appended block its newest time, its partition and its messages."""
+    return manifest.select(F.col("latest").alias("at"), "partition", "n")
+
+
+def polled_samples(appends: DataFrame, commits: DataFrame, polls: DataFrame, seconds: int = 86_400) -> DataFrame:
+    """What a dashboard sees at each poll: messages in the log, processed, and waiting.
+
+    appends: at, partition, n. commits: at, partition, committed_offset, counted from 0; the
+    last one at or before a poll holds, of equal times the furthest. polls: at. Every commit
+    counts as its step from the one before, so one pass over all three in time order, dealt
+    out by spans of ``seconds``, gives all samples. No history is scanned per poll.
+    """
+    span = time_bucket("at", seconds)
+    done = previous(
+        commits.select("at", "partition", "committed_offset").distinct(),
+        ["partition"], ["at", "committed_offset"], ["committed_offset"], "_last", span,
+    )
+    step = F.col("committed_offset") - F.coalesce(F.col("_last.committed_offset"), F.lit(0))
+    grown = appends.groupBy("at").agg(F.sum("n").alias("ingested"))
+    moved = done.groupBy("at").agg(F.sum(step).alias("processed"))
+    zero = F.lit(0).cast("bigint")
+    marked = polls.select("at", zero.alias("ingested"), zero.alias("processed"), F.lit(True).alias("_poll"))
+    rows = (
+        grown.select("at", "ingested", zero.alias("processed"), F.lit(False).alias("_poll"))
+        .unionByName(moved.select("at", zero.alias("ingested"), "processed", F.lit(False).alias("_poll")))
+        .unionByName(marked)
+    )
+    summed = running_sums(rows, [], ["at", "_poll"], ["ingested", "processed"], span)
+    return summed.where("_poll").select(
+        "at", "ingested", "processed", (F.col("ingested") - F.col("processed")).alias("waiting")
+    )
+
+
 def metric_rows(metrics: DataFrame, key: list[str]) -> DataFrame:
     """One (metric, label, value) row per metric that is set."""
     names = [c for c in metrics.columns if c not in key]

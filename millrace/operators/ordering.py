@@ -75,6 +75,25 @@ def previous(
     )
 
 
+def running_sums(
+    df: DataFrame, group: list[str], order: list[Column | str], values: list[str], bucket: Column
+) -> DataFrame:
+    """Replace each of ``values`` by its sum over the group's rows up to this one."""
+    rows = _dealt(df, group, bucket)
+    before = Window.partitionBy("_g").orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
+    sums = rows.groupBy("_g", "_b").agg(*[F.sum(v).alias(f"_s{i}") for i, v in enumerate(values)])
+    starts = sums.select(
+        "_g", "_b", *[F.coalesce(F.sum(f"_s{i}").over(before), F.lit(0)).alias(f"_s{i}") for i in range(len(values))]
+    )
+    inside = Window.partitionBy("_g", "_b").orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
+    own = rows.withColumns({v: F.coalesce(F.sum(v).over(inside), F.lit(0)) for v in values})
+    return (
+        own.join(starts, ["_g", "_b"])
+        .withColumns({v: F.col(v) + F.col(f"_s{i}") for i, v in enumerate(values)})
+        .drop("_g", "_b", *[f"_s{i}" for i in range(len(values))])
+    )
+
+
 def number_by_id(
     df: DataFrame, group: list[str], key: str, name: str, rows_per_bucket: int = _ROWS
 ) -> DataFrame:

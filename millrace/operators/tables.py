@@ -120,7 +120,7 @@ def _newest(rows: DataFrame, bounds: DataFrame, time: str, limit: int) -> DataFr
     since = taken.where(F.col("_before") < limit).agg(F.min("low")).first()[0]
     if since is None:
         return rows
-    late = F.lit(since).cast("timestamp_ntz")
+    late = F.lit(str(since)).cast("timestamp_ntz")
     batches = measured(bounds.where(F.col("high") >= late)).where(F.col("high") >= late)
     return rows.where(F.col(time) >= late).join(batches.select("writer", "batch_id"), ["writer", "batch_id"])
 

@@ -180,8 +180,21 @@ _SERIES = ", ".join(
 )
 #: Bytes of a document's line in the store: its JSON text and a line break.
 _LINE_BYTES = (
-    "cast(sum(strlen('{\"doc_id\":' || doc_id || ',\"n_chars\":' || n_chars || '}') + 1) AS BIGINT)"
+    "cast(sum(strlen('{\"doc_id\":' || doc_id || coalesce(',\"text\":' || to_json(text), '')"
+    " || ',\"n_chars\":' || n_chars || '}') + 1) AS BIGINT)"
 )
+#: What hourly polls see: messages so far, and per partition the furthest of the last commits.
+_POLLS = """
+polls AS (SELECT TIMESTAMP '2024-01-01' + to_hours(cast(h AS INT)) AS "at" FROM range(0, 744) u(h)),
+commits AS (SELECT timestamp + INTERVAL 5 MINUTE AS "at", partition, "offset" + 1 AS reached FROM l WHERE "offset" % 50 = 49),
+seen AS (SELECT p."at", count(l.partition) AS ingested FROM polls p LEFT JOIN l ON l.timestamp <= p."at" GROUP BY p."at"),
+lasts AS (
+  SELECT p."at", partition, max_by(reached, {'t': c."at", 'r': reached}) AS reached
+  FROM polls p JOIN commits c ON c."at" <= p."at" GROUP BY p."at", partition),
+done AS (SELECT "at", cast(sum(reached) AS BIGINT) AS reached FROM lasts GROUP BY "at"),
+q AS (
+  SELECT "at", ingested, coalesce(reached, 0) AS processed, ingested - coalesce(reached, 0) AS waiting
+  FROM seen LEFT JOIN done USING ("at"))"""
 _FLOAT = "cast(cast({0} AS FLOAT) AS DOUBLE) AS {0}"
 _NARROW = f"{_FLOAT.format('temperature')}, {_FLOAT.format('vibration')}"
 
@@ -398,7 +411,48 @@ ORACLES: dict[str, str] = {
     "run_counters": f"""WITH {_M}
         SELECT count(*) AS ingested, count(*) FILTER (WHERE reasons = '') AS processed,
                count(*) FILTER (WHERE reasons <> '') AS invalidated,
-               cast(1 AS BIGINT) AS kpis FROM m""",
+               cast(count(*) FILTER (WHERE reasons = '') > 0 AS BIGINT) AS kpis FROM m""",
+    "two_writer_silver": f"""WITH {_M}
+        SELECT event_id, device_id, event_time AS timestamp, {_NARROW}, status
+        FROM m WHERE reasons = ''""",
+    "two_writer_gold": f"""WITH {_M},
+        b AS (SELECT {_MEASURES} FROM m WHERE reasons = '' GROUP BY "offset" % 2)
+        SELECT * REPLACE (cast(cast(avg_temp AS FLOAT) AS DOUBLE) AS avg_temp,
+                          cast(anomaly_count AS INT) AS anomaly_count) FROM b""",
+    "stored_run_counters": f"""WITH {_M}
+        SELECT cast(0 AS BIGINT) AS run, count(*) AS ingested, count(*) FILTER (WHERE reasons = '') AS processed,
+               count(*) FILTER (WHERE reasons <> '') AS invalidated,
+               cast(count(*) FILTER (WHERE reasons = '') > 0 AS BIGINT) AS kpis, cast(1 AS BIGINT) AS batches
+        FROM m GROUP BY "offset" % 2""",
+    "latest_stored_silver": f"""WITH {_V}
+        SELECT event_id, device_id, event_time AS timestamp, {_NARROW}, status
+        FROM v ORDER BY event_time DESC, event_id LIMIT 500""",
+    "limited_messages": f"""WITH {_L}
+        SELECT partition, "offset", timestamp, event_id,
+               cast(row_number() OVER (ORDER BY "offset", partition) > 1000 AS BIGINT) AS step FROM l""",
+    "polled_metrics": f"""WITH {_L}, {_POLLS} SELECT * FROM q""",
+    "polled_metric_changes": f"""WITH {_L}, {_POLLS},
+        b AS (SELECT *, lag({{'i': ingested, 'p': processed, 'w': waiting}}) OVER (ORDER BY "at") AS before FROM q)
+        SELECT "at", ingested, processed, waiting FROM b
+        WHERE before IS DISTINCT FROM {{'i': ingested, 'p': processed, 'w': waiting}}""",
+    "online_changes": f"""WITH {_T},
+        b AS (SELECT device_id, event_time, event_number, status,
+                     lag(status) OVER (PARTITION BY device_id
+                                       ORDER BY event_time, event_number) AS before FROM t)
+        SELECT device_id, event_time, event_number, status FROM b
+        WHERE before IS DISTINCT FROM status""",
+    "paged_feed": f"""WITH {_V}, {_FEED}
+        SELECT * FROM f ORDER BY event_time DESC, event_number DESC LIMIT 50""",
+    "device_recent": f"""WITH {_V},
+        b AS (SELECT device_id, event_time, event_number, temperature, row_number() OVER (
+                PARTITION BY device_id ORDER BY event_time DESC, event_number DESC) AS rn FROM v)
+        SELECT device_id, count(*) AS n, string_agg(event_number, ',' ORDER BY rn DESC) AS event_numbers,
+               max(temperature) AS highest
+        FROM b WHERE rn <= 30 GROUP BY device_id""",
+    "stored_state": f"""WITH {_P},
+        b AS (SELECT *, row_number() OVER (PARTITION BY service_name
+                                           ORDER BY checked_at DESC, probe_id DESC) AS rn FROM s)
+        SELECT service_name, status, message, checked_at, probe_id FROM b WHERE rn = 1""",
     "hourly_stream_kpis": f"""WITH {_H}
         SELECT * REPLACE (cast(total_events AS BIGINT) AS total_events) FROM h""",
 }

@@ -15,6 +15,8 @@ from ..operators.ordering import time_bucket
 from ..schemas import ENVELOPE, PAYLOAD_TEXT, SILVER
 from ..session import saved, scratch_folder, scratch_path
 from ..sources import logs, objects, telemetry
+from ..streaming.changes import OnlineChanges
+from ..streaming.keyed import FeedHead, KeyedTable
 from ..streaming.medallion import Medallion, RunCounters, run_available
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -281,6 +283,44 @@ def consumed_messages(spark, sf_dir):
     return _message_fields(read)
 
 
+def limited_messages(spark, sf_dir):
+    """A consumer group that takes 1000 messages first and the rest after that, by step."""
+    store = logs.LogStore(scratch_path(spark, "log"), 1000)
+    store.append(telemetry.bronze_log(_readings(spark, sf_dir)))
+    group, out = logs.ConsumerGroup(store, "limited"), scratch_path(spark, "taken")
+
+    def keep(batch: DataFrame, step: int) -> None:
+        batch.write.mode("overwrite").parquet(f"{out}/step={step}")
+
+    for limit in (1000, None):
+        group.take(spark, keep, limit)
+    event = F.get_json_object("value", "$.event_id").alias("event_id")
+    step = F.col("step").cast("bigint").alias("step")
+    return spark.read.parquet(out).select("partition", "offset", "timestamp", event, step)
+
+
+def _polled(spark, sf_dir):
+    """Hourly polls of the log: every fiftieth message of a partition is committed five minutes later."""
+    log = _Log(spark, sf_dir).rows
+    appends = log.groupBy(F.col("timestamp").alias("at"), "partition").agg(F.count(F.lit(1)).alias("n"))
+    commits = log.where(F.pmod("offset", F.lit(50)) == 49).select(
+        F.timestamp_add("MINUTE", F.lit(5), "timestamp").alias("at"),
+        "partition",
+        (F.col("offset") + 1).alias("committed_offset"),
+    )
+    polls = spark.range(24 * 31).select(F.timestamp_add("HOUR", F.col("id"), _ntz("2024-01-01 00:00:00")).alias("at"))
+    return monitor.polled_samples(appends, commits, polls)
+
+
+def polled_metrics(spark, sf_dir):
+    return _polled(spark, sf_dir)
+
+
+def polled_metric_changes(spark, sf_dir):
+    values = ["ingested", "processed", "waiting"]
+    return feeds.drop_unchanged(_polled(spark, sf_dir), [], ["at"], values, time_bucket("at", 86_400))
+
+
 # scalars
 
 
@@ -372,7 +412,7 @@ def _published_documents(spark, sf_dir):
     """Documents published to a store, one folder and one object per language."""
     path = scratch_path(spark, "documents")
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    line = F.to_json(F.struct("doc_id", "n_chars")).alias("value")
+    line = F.to_json(F.struct("doc_id", "text", "n_chars")).alias("value")
     lines = docs.select("lang", line).repartition("lang")
     lines.write.partitionBy("lang").text(path)
     return objects.list_objects(spark, path).where(F.col("path").rlike("/part-[^/]*$"))
@@ -443,6 +483,50 @@ def metric_sample_changes(spark, sf_dir):
     )
 
 
+def online_changes(spark, sf_dir):
+    """Status changes per device, found in five batches of samples in time order."""
+    samples = _readings(spark, sf_dir).select("device_id", "event_time", "event_number", "status")
+    found = OnlineChanges(
+        scratch_path(spark, "changes"), samples.schema, ["device_id"], ["event_time", "event_number"], ["status"], buckets=8
+    )
+    cuts = ["2024-01-01", "2024-01-03", "2024-01-10", "2024-01-11", "2024-01-20", "2100-01-01"]
+    for i, (low, high) in enumerate(zip(cuts, cuts[1:], strict=False)):
+        part = samples.where((F.col("event_time") >= _ntz(low)) & (F.col("event_time") < _ntz(high)))
+        found.process(part, i)
+    return found.read(spark)
+
+
+def paged_feed(spark, sf_dir):
+    """The newest 50 readings, kept over four pages."""
+    feed = _valid(spark, sf_dir).select("event_id", "device_id", "event_time", "temperature", "event_number")
+    head = FeedHead(scratch_path(spark, "head"), feed.schema, "event_number", "event_time", 50)
+    for i in range(4):
+        head.add(feed.where(F.pmod("event_number", F.lit(4)) == i), i)
+    return head.read(spark)
+
+
+def device_recent(spark, sf_dir):
+    """The newest 30 readings of each device as one series."""
+    found = kpis.recent_series(_valid(spark, sf_dir), "device_id", ["event_time", "event_number"], ["temperature"], 30)
+    ids = F.transform("series", lambda x: x["event_number"].cast("string"))
+    return found.select(
+        "device_id",
+        "n",
+        F.array_join(ids, ",").alias("event_numbers"),
+        F.aggregate("series", F.lit(0).cast("double"), lambda s, x: F.greatest(s, x["temperature"])).alias("highest"),
+    )
+
+
+def stored_state(spark, sf_dir):
+    """Service statuses taken into a table by key in four batches, late ones among them."""
+    statuses = readiness.service_statuses(telemetry.probes_from_events(telemetry.read_events(spark, sf_dir)))
+    rows = statuses.select("service_name", "status", "message", "checked_at", "probe_id")
+    table = KeyedTable(scratch_path(spark, "state"), rows.schema, ["service_name"], ["checked_at", "probe_id"], 4)
+    for i in range(4):
+        table.upsert(rows.where(F.pmod("probe_id", F.lit(4)) == i), i)
+    return table.read(spark)
+
+
 def last_n_per_key(spark, sf_dir):
     readings = _valid(spark, sf_dir).select("device_id", "event_time", "event_number", "temperature")
     newest = [F.col("event_time").desc(), F.col("event_number").desc()]
@@ -625,6 +709,43 @@ def run_counters(spark, sf_dir):
     )
 
 
+def _two_writers(spark: SparkSession, sf_dir: str) -> Medallion:
+    """Two streams with a checkpoint each, into the same tables."""
+    tables_ = Medallion(scratch_path(spark, "medallion"))
+    messages = telemetry.flawed_messages(telemetry.stream_events(spark, sf_dir))
+    for half in (0, 1):
+        part = messages.where(F.pmod("offset", F.lit(2)) == half)
+        run_available(part, tables_, scratch_path(spark, "progress"))
+    return tables_
+
+
+def two_writer_silver(spark, sf_dir):
+    rows = _two_writers(spark, sf_dir).read_silver(spark).select(*SILVER.names)
+    return rows.withColumns({c: F.col(c).cast("double") for c in ("temperature", "vibration")})
+
+
+def two_writer_gold(spark, sf_dir):
+    return _two_writers(spark, sf_dir).read_gold(spark).select(
+        "window_start", "window_end", "total_events", F.col("avg_temp").cast("double").alias("avg_temp"), "anomaly_count"
+    )
+
+
+def stored_run_counters(spark, sf_dir):
+    return _two_writers(spark, sf_dir).run_counters(spark).drop("writer")
+
+
+def latest_stored_silver(spark, sf_dir):
+    """The newest 500 rows of a table stored in four batches; older batches are not opened."""
+    path = scratch_path(spark, "silver")
+    silver = _silver(spark, sf_dir)
+    cuts = ["2024-01-01", "2024-01-08", "2024-01-15", "2024-01-22", "2100-01-01"]
+    for i, (low, high) in enumerate(zip(cuts, cuts[1:], strict=False)):
+        part = silver.where((F.col("timestamp") >= _ntz(low)) & (F.col("timestamp") < _ntz(high)))
+        tables.write_batch(part, path, SILVER, i)
+    rows = tables.scan_latest(spark, path, SILVER, 500).select(*SILVER.names)
+    return rows.withColumns({c: F.col(c).cast("double") for c in ("temperature", "vibration")})
+
+
 def hourly_stream_kpis(spark, sf_dir):
     """Hours as the incremental job stores them, merged when read."""
     tables_ = Medallion(scratch_path(spark, "medallion"))
@@ -692,6 +813,17 @@ _QUERIES: list[Query] = [
     stream_gold,
     run_counters,
     hourly_stream_kpis,
+    two_writer_silver,
+    two_writer_gold,
+    stored_run_counters,
+    latest_stored_silver,
+    limited_messages,
+    polled_metrics,
+    polled_metric_changes,
+    online_changes,
+    paged_feed,
+    device_recent,
+    stored_state,
 ]
 
 QUERIES: dict[str, Query] = {q.__name__: q for q in _QUERIES}

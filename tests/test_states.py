@@ -1,0 +1,173 @@
+"""Tables by key, feeds in pages, changes found online, and samples at poll times."""
+
+import random
+from collections import defaultdict
+
+import pytest
+from pyspark.sql import functions as F
+
+from millrace.operators import monitor
+from millrace.operators.feeds import drop_unchanged
+from millrace.operators.kpis import recent_series
+from millrace.operators.ordering import time_bucket
+from millrace.session import scratch_path
+from millrace.streaming.changes import OnlineChanges
+from millrace.streaming.keyed import FeedHead, KeyedTable, VersionError
+
+STATE = "k string, v int, t int"
+
+
+def keyed(spark, buckets=4):
+    return KeyedTable(scratch_path(spark, "keyed"), spark.createDataFrame([], STATE).schema, ["k"], ["t"], buckets)
+
+
+def rows_of(df):
+    return sorted(map(tuple, df.collect()), key=str)
+
+
+def test_newest_wins_whatever_the_batches(spark):
+    rng = random.Random(3)
+    made = [(rng.choice(["a", "b", "c", None, "d", "e"]), rng.randrange(50), rng.randrange(20)) for _ in range(60)]
+    want = {}
+    for k, v, t in made:
+        want[k] = max(want.get(k, (-1, -1)), (t, v))
+    table = keyed(spark)
+    for i in range(3):
+        table.upsert(spark.createDataFrame(made[20 * i : 20 * i + 20], STATE), i)
+    assert {k: (t, v) for k, v, t in rows_of(table.read(spark))} == want
+
+
+def test_old_updates_empty_batches_and_repeats(spark):
+    table = keyed(spark)
+    assert table.read(spark).count() == 0
+    table.upsert(spark.createDataFrame([("a", 1, 5), ("b", 1, 5), (None, 1, 5)], STATE), 0)
+    table.upsert(spark.createDataFrame([("a", 2, 4), (None, 2, 6)], STATE), 1)  # one late, one newer
+    want = [("a", 1, 5), ("b", 1, 5), (None, 2, 6)]
+    assert rows_of(table.read(spark)) == sorted(want, key=str)
+    table.upsert(spark.createDataFrame([], STATE), 2)
+    assert rows_of(table.read(spark)) == sorted(want, key=str)
+    table.upsert(spark.createDataFrame([("c", 9, 9)], STATE), 3)
+    table.upsert(spark.createDataFrame([("c", 8, 8)], STATE), 3)  # repeated with other rows: replaces
+    assert ("c", 8, 8) in rows_of(table.read(spark)) and table.read(spark).count() == 4
+    assert rows_of(table.read(spark, before=1)) == sorted([("a", 1, 5), ("b", 1, 5), (None, 1, 5)], key=str)
+    with pytest.raises(VersionError):
+        table.upsert(spark.createDataFrame([("a", 0, 0)], STATE), 1)
+    after = rows_of(table.read(spark))
+    table.expire(spark, 4)
+    assert rows_of(table.read(spark)) == after
+
+
+def test_only_touched_buckets_are_written(spark):
+    table = keyed(spark, 16)
+    table.upsert(spark.range(200).select(F.col("id").cast("string").alias("k"), F.lit(1).alias("v"), F.lit(1).alias("t")), 0)
+    table.upsert(spark.createDataFrame([("7", 2, 2)], STATE), 1)
+    written = spark.read.parquet(f"{table.path}/versions").where("version = 1").count()
+    assert written == 1 and table.read(spark).count() == 200
+    assert table.read(spark).where("k = '7'").first().v == 2
+
+
+def test_upsert_that_broke_off_is_not_seen(spark, monkeypatch):
+    table = keyed(spark)
+    table.upsert(spark.createDataFrame([("a", 1, 1)], STATE), 0)
+    # rows of batch 1 are there, its versions are not
+    spark.createDataFrame([("a", 5, 5, 0), ("z", 5, 5, 1)], STATE + ", bucket bigint").write.partitionBy("bucket").parquet(
+        f"{table.path}/rows/version=1"
+    )
+    assert rows_of(table.read(spark)) == [("a", 1, 1)]
+    table.upsert(spark.createDataFrame([("b", 2, 2)], STATE), 1)
+    assert rows_of(table.read(spark)) == [("a", 1, 1), ("b", 2, 2)]
+
+
+SAMPLES = "k string, at timestamp_ntz, n bigint, v int"
+
+
+def samples(spark):
+    rng = random.Random(5)
+    rows = [(rng.choice("aaab") if i % 9 else None, i // 3, i, rng.choice([1, 1, 2, None])) for i in range(240)]
+    df = spark.createDataFrame(rows, "k string, m int, n bigint, v int")
+    at = F.timestamp_add("MINUTE", F.col("m") * 30, F.lit("2024-01-01").cast("timestamp_ntz"))
+    return df.select("k", at.alias("at"), "n", "v").cache()
+
+
+def online(spark, df):
+    return OnlineChanges(scratch_path(spark, "online"), df.schema, ["k"], ["at", "n"], ["v"], 3600, 2)
+
+
+@pytest.mark.parametrize("batches", [1, 4, 20])
+def test_online_changes_equal_those_of_one_batch(spark, batches):
+    df = samples(spark)
+    found = online(spark, df)
+    for i in range(batches):
+        low, high = 240 * i // batches, 240 * (i + 1) // batches
+        found.process(df.where((F.col("n") >= low) & (F.col("n") < high)), i)
+    want = drop_unchanged(df, ["k"], ["at", "n"], ["v"], time_bucket("at", 3600))
+    assert rows_of(found.read(spark)) == rows_of(want.select(*df.columns))
+    assert found.read_late(spark).count() == 0
+
+
+def test_late_samples_are_kept_apart_and_batches_repeat(spark):
+    df = samples(spark)
+    found = online(spark, df)
+    found.process(df.where("n >= 100 AND n < 150"), 0)
+    before = rows_of(found.read(spark))
+    late = df.where("n < 20")
+    for _ in range(2):  # the second time it is repeated
+        found.process(late.unionAll(df.where("n >= 150")), 1)
+    assert rows_of(found.read_late(spark)) == rows_of(late)
+    want = drop_unchanged(df.where("n >= 100"), ["k"], ["at", "n"], ["v"], time_bucket("at", 3600))
+    assert rows_of(found.read(spark)) == rows_of(want.select(*df.columns))
+    assert set(before) <= set(rows_of(found.read(spark)))
+
+
+@pytest.mark.parametrize("n", [1, 5, 40])
+def test_head_of_pages_equals_the_whole_feed(spark, n):
+    rng = random.Random(n)
+    rows = [(rng.choice([*range(60), None]), i, rng.randrange(300)) for i in range(300)]
+    df = spark.createDataFrame(rows, "k int, i int, t int")
+    head = FeedHead(scratch_path(spark, "head"), df.schema, "k", "t", n)
+    assert head.read(spark).count() == 0
+    for page in range(3):
+        head.add(df.where(F.col("i") % 3 == page), page)
+    head.add(df.where(F.col("i") % 3 == 2), 2)
+    newest = {}
+    for k, i, t in rows:
+        newest[k] = max(newest.get(k, (-1, -1)), (t, i))
+    want = sorted(((k, i, t) for k, (t, i) in newest.items()), key=lambda r: (-r[2], r[0] is None, -(r[0] or 0)))[:n]
+    assert sorted(map(tuple, head.read(spark).collect()), key=str) == sorted(want, key=str)
+
+
+def test_polls_see_what_was_there(spark):
+    rng = random.Random(2)
+    appends = [(rng.randrange(100), rng.randrange(3), rng.randrange(1, 5)) for _ in range(80)]
+    commits = [(rng.randrange(100), rng.randrange(3), rng.randrange(40)) for _ in range(40)]
+    polls = sorted({rng.randrange(110) for _ in range(25)})
+    at = lambda df: df.withColumn("at", F.timestamp_add("MINUTE", "at", F.lit("2024-01-01").cast("timestamp_ntz")))
+    frame = lambda rows, schema: at(spark.createDataFrame(rows, schema))
+    got = monitor.polled_samples(
+        frame(appends, "at int, partition int, n bigint"),
+        frame(commits, "at int, partition int, committed_offset bigint"),
+        frame([(p,) for p in polls], "at int"),
+        600,
+    )
+    want = []
+    for p in polls:
+        seen = sum(n for t, _, n in appends if t <= p)
+        last = defaultdict(lambda: (-1, 0))
+        for t, part, offset in commits:
+            if t <= p:
+                last[part] = max(last[part], (t, offset))
+        done = sum(offset for _, offset in last.values())
+        want.append((seen, done, seen - done))
+    assert [(r.ingested, r.processed, r.waiting) for r in got.orderBy("at").collect()] == want
+
+
+@pytest.mark.parametrize("n", [1, 30, 1000])
+def test_recent_series_of_a_hot_device(spark, n):
+    rng = random.Random(9)
+    rows = [("hot" if i % 3 else rng.choice("abc"), rng.randrange(40), i, float(i)) for i in range(1500)]
+    df = spark.createDataFrame(rows, "d string, t int, i int, v double").repartition(7)
+    got = {r.d: [(x.t, x.i, x.v) for x in r.series] for r in recent_series(df, "d", ["t", "i"], ["v"], n).collect()}
+    want = defaultdict(list)
+    for d, t, i, v in sorted(rows, key=lambda r: (r[1], r[2])):
+        want[d].append((t, i, v))
+    assert got == {d: s[-n:] for d, s in want.items()}
