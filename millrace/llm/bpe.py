@@ -15,7 +15,6 @@ import functools
 import heapq
 import json
 import unicodedata
-from collections.abc import Callable
 
 import public_tokenizers
 import pyarrow as pa
@@ -43,7 +42,7 @@ REMEMBERED = 250_000
 _NONE = 1 << 60
 
 
-def _byte_letters() -> dict[int, str]:
+def byte_letters() -> dict[int, str]:
     """The printable letter that stands for each byte in a byte-level vocabulary."""
     plain = [*range(33, 127), *range(161, 173), *range(174, 256)]
     rest = [b for b in range(256) if b not in set(plain)]
@@ -62,7 +61,7 @@ class WordBpe:
         self.ranks: dict[tuple[int, int], int] = {}
         for rank, (a, b) in enumerate(model["merges"]):
             self.ranks.setdefault((vocab[a], vocab[b]), rank)
-        letters = _byte_letters()
+        letters = byte_letters()
         self.inner = [vocab[letters[b]] for b in range(256)]
         self.last = [vocab[letters[b] + end] for b in range(256)]
         self.added = {t["content"]: t["id"] for t in spec["added_tokens"]}
@@ -165,11 +164,6 @@ def _vocabulary(path: str) -> WordBpe:
     return WordBpe(path)
 
 
-def vocabulary_of(path: str | Callable[[], str]) -> WordBpe:
-    """The vocabulary of a path, or of a function that finds the path when a task calls it."""
-    return _vocabulary(path() if callable(path) else path)
-
-
 def encode(df: DataFrame, vocabulary: str, text: str = "text", ids: str = "ids") -> DataFrame:
     """df with the token ids of its texts. vocabulary: a path that all executors can open."""
 

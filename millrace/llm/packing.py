@@ -19,6 +19,8 @@ used twice if the order of the rows is not fixed.
 
 from __future__ import annotations
 
+import functools
+import re
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass, field
 
@@ -29,8 +31,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
+from tokenizers import Tokenizer
 
-from millrace.llm.bpe import vocabulary_of
+from millrace.llm.bpe import byte_letters
 from millrace.llm.common import parts, texts
 
 LENGTH = 2048
@@ -40,6 +43,70 @@ END = 1
 OPEN = 1024
 #: Rows of a result batch.
 ROWS = 2048
+#: Texts between spaces whose ids are remembered in a Python worker; emptied when full.
+REMEMBERED = 400_000
+#: May follow a word; none of these is a letter, a digit or white space.
+_AFTER = ".,;:!?)\"'-"
+#: Letters that have one form only and whose lower case is one letter too.
+_LATIN = re.compile("[A-Za-zÀ-ÖØ-öø-ÿ]+").fullmatch
+#: The letters that stand for bytes in the vocabulary, where they are not those of Latin-1.
+_LETTERS = byte_letters()
+
+
+class WordIds:
+    """Ids of texts by the public library, remembered for each text between spaces.
+
+    No word of such a vocabulary holds white space, so a text's ids are those of its pieces
+    in a row, little-endian 32-bit numbers here.
+    """
+
+    def __init__(self, path: str):
+        self.library = Tokenizer.from_file(path)
+        self.library.no_truncation()
+        self.library.no_padding()
+        self.model = self.library.model
+        self.known: dict[str, bytes] = {"": b""}
+
+    def encode(self, text: str) -> bytes:
+        pieces = text.replace("\n", " ").split(" ")
+        try:
+            return b"".join(map(self.known.__getitem__, pieces))
+        except KeyError:
+            return b"".join([self.known.get(p) or self._piece(p) for p in pieces])
+
+    def _piece(self, piece: str) -> bytes:
+        if not piece:
+            return b""
+        if len(self.known) >= REMEMBERED:
+            self.known = {"": b""}
+        word = piece.rstrip(_AFTER)
+        if _LATIN(word):
+            # What the library makes of such letters and what follows them, without its other steps.
+            low = word.lower()
+            found = self.known.get(low)
+            if found is None:
+                letters = low if low.isascii() else low.encode().decode("latin-1").translate(_LETTERS)
+                found = self.known[low] = _bytes([t.id for t in self.model.tokenize(letters)])
+            if len(word) < len(piece):
+                after = piece[len(word) :]
+                found += self.known.get(after) or self._whole(after)
+            self.known[piece] = found
+            return found
+        return self._whole(piece)
+
+    def _whole(self, piece: str) -> bytes:
+        found = self.known[piece] = _bytes(self.library.encode(piece, add_special_tokens=False).ids)
+        return found
+
+
+def _bytes(ids: list[int]) -> bytes:
+    return np.array(ids, dtype="<u4").tobytes()
+
+
+@functools.lru_cache(maxsize=1)
+def _word_ids(path: str) -> WordIds:
+    """One per Python worker, with its memory of words."""
+    return WordIds(path)
 
 
 @dataclass
@@ -176,12 +243,13 @@ def packed(
     arrow = to_arrow_schema(schema)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bpe = vocabulary_of(vocabulary)
+        words = _word_ids(vocabulary() if callable(vocabulary) else vocabulary)
+        last = _bytes([end])
 
         def documents() -> Iterator[tuple[int | None, np.ndarray]]:
             for batch in (part for whole in batches for part in parts(whole)):
                 for doc, text in zip(batch.column(0).to_pylist(), texts(batch.column(1)), strict=True):
-                    yield doc, np.array([*bpe.encode(text), end], dtype="<u4")
+                    yield doc, np.frombuffer(words.encode(text) + last, dtype="<u4")
 
         number = TaskContext.get().partitionId() << 33
         rows: list[tuple] = []
