@@ -98,6 +98,8 @@ def first_codebooks(kept: DataFrame, n_parts: int = PARTS, entries: int = ENTRIE
     width = len(rows[0].units)
     if not width or width % n_parts:
         raise ValueError(f"vectors of {width} components cannot be cut into {n_parts} equal parts")
+    if any(len(r.units) != width for r in rows):
+        raise ValueError(f"vectors must all have {width} components")
     return np.array([r.units for r in rows], dtype=np.int64).reshape(len(rows), n_parts, -1).swapaxes(0, 1).copy()
 
 
