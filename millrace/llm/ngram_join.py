@@ -7,12 +7,17 @@ any order that all sets share. It comes from a table of fixed size that counts t
 of all documents by ranges of their hashes, so shingles that only one text has come first.
 It only decides how short the lists are, never the result.
 
-Equal sets are one node. Short lists give all their pairs; a long list proposes one of its
-nodes as a query for the others, so there are no more pairs than a constant times the list
-entries. What links is joined into components. Then all pairs of long lists that are not
-yet in one component are searched, which leaves little of large groups of copies. A search is DivideSkip: the longest lists of the query are set aside, the short ones are
-merged on a heap that skips what cannot reach T, the long ones are probed by bisection, and
-what reaches the required overlap is a link.
+Equal sets are one node. Nodes lie in shards: a node's shard is that of its longest list,
+cut where the sets of a list are many, so that nodes alike mostly lie together. A shard
+holds the inverted lists of its nodes' whole sets. Spark moves sets to shards, not pairs: a
+query goes once to each shard that has a node with which it shares a rare shingle. There it
+is searched by DivideSkip: the longest lists of the query are set aside, the short ones are
+merged, the long ones are probed by bisection, and what reaches the required overlap is a
+link. A shard passes on links only that join what it has not joined yet.
+
+Two such searches are made. The first has a few nodes of each shard searched by all of it,
+which joins most of a group of copies into one component. The second has all pairs that
+share a list and are not in one component: of two components the smaller asks the larger.
 
 A null text or one without words has an empty set and links with nothing. Rows of equal id
 are nodes of their own sets. A row without id has no links and no component.
@@ -37,10 +42,14 @@ SHINGLE, PERCENT = 3, 90
 #: Size of the table of list lengths, and of a part of it. It orders shingles only.
 SLOTS, PART_SLOTS = 1 << 20, 1 << 12
 _SLOT_SHIFT = np.uint64(44)
-#: Entries of a short list, of which all pairs are candidates at once.
-SHORT = 32
-#: Candidates indexed at once, and candidates of a query in one task.
-BLOCK, TASK = 256, 4096
+#: Shingles of the sets in one shard, and queries of a shard in one task.
+SHARD, TASK = 1 << 20, 4096
+#: Nodes of a shard that the first search asks for.
+LEADERS = 16
+#: Entries merged on a heap; more are merged by a sort of the lists.
+HEAPED = 256
+#: Long lists probed before the candidates that cannot reach the overlap are dropped.
+PROBED = 96
 #: Bytes of text handled at once.
 SLICE_BYTES = 2 << 20
 
@@ -158,41 +167,70 @@ def whole_sets(docs: DataFrame, n_words: int = SHINGLE) -> DataFrame:
 
 
 class DivideSkip:
-    """Inverted lists over a block of sets, searched for sets that share enough with a query."""
+    """Inverted lists over the sets of a shard, searched for sets that share enough with a query."""
 
     def __init__(self, sets: list[np.ndarray]):
-        self.sizes = [len(s) for s in sets]
+        self.sizes = np.array([len(s) for s in sets], dtype=np.int64)
         items = np.concatenate(sets)
         of = np.repeat(np.arange(len(sets)), self.sizes)
         order = np.lexsort((of, items))
         self.items, self.of = items[order], of[order]
 
-    def search(self, query: np.ndarray, percent: int) -> list[int]:
-        """Numbers of the sets whose similarity to the query reaches the threshold."""
+    def search(self, query: np.ndarray, percent: int, wanted: np.ndarray | None = None) -> list[int]:
+        """Numbers of the sets whose similarity to the query reaches the threshold, of those wanted."""
         # shared >= percent / 100 * union, with union = both sizes less the shared.
-        need = [-(-percent * (len(query) + n) // (100 + percent)) for n in self.sizes]
-        least = min(need)
-        lo = np.searchsorted(self.items, query, "left").tolist()
-        hi = np.searchsorted(self.items, query, "right").tolist()
-        lists = sorted(((b - a, a, b) for a, b in zip(lo, hi, strict=True) if b > a), reverse=True)
-        if len(lists) < least:
+        n = len(query)
+        need = -(-percent * (n + self.sizes) // (100 + percent))
+        usable = need <= np.minimum(n, self.sizes)
+        if wanted is not None:
+            usable &= wanted
+        if not usable.any():
             return []
-        long = min(least - 1, int(least / (0.01 * np.log2(1 + lists[0][0]) + 1)))
-        probed = [self.of[a:b].tolist() for _, a, b in lists[:long]]
-        merged = [self.of[a:b].tolist() for _, a, b in lists[long:]]
-        found = []
-        for number, times in self._merge(merged, least - long):
-            missing = need[number] - times
-            left = len(probed)
-            for ids in probed:
-                if missing <= 0 or missing > left:
-                    break
-                at = bisect_left(ids, number)
-                missing -= at < len(ids) and ids[at] == number
-                left -= 1
-            if missing <= 0:
-                found.append(number)
-        return sorted(found)
+        least = int(need[usable].min())
+        lo = np.searchsorted(self.items, query, "left")
+        hi = np.searchsorted(self.items, query, "right")
+        there = np.flatnonzero(hi > lo)
+        if len(there) < least:
+            return []
+        there = there[np.argsort(lo[there] - hi[there], kind="stable")]
+        lo, hi = lo[there], hi[there]
+        long = min(least - 1, int(least / (0.001 * np.log2(1 + hi[0] - lo[0]) + 1)))
+        found, times = self._merged(lo[long:], hi[long:], least - long)
+        kept = usable[found]
+        found, missing = found[kept], need[found[kept]] - times[kept]
+        # The shorter of the long lists are probed first: they tell sets apart sooner.
+        for first in range(long, 0, -PROBED):
+            part = slice(max(0, first - PROBED), first)
+            open_ = missing > 0
+            if not open_.any():
+                break
+            missing[open_] -= self._probed(lo[part], hi[part], found[open_])
+            kept = missing <= part.start
+            found, missing = found[kept], missing[kept]
+        return found[missing <= 0].tolist()
+
+    def _merged(self, lo: np.ndarray, hi: np.ndarray, least: int) -> tuple[np.ndarray, np.ndarray]:
+        """Sets that stand in least of these lists or more, ascending, and in how many."""
+        if (hi - lo).sum() <= HEAPED:
+            pairs = list(self._merge([self.of[a:b].tolist() for a, b in zip(lo, hi, strict=True)], least))
+            found = np.array(pairs, dtype=np.int64).reshape(-1, 2)
+            return found[:, 0], found[:, 1]
+        entries = np.sort(np.concatenate([self.of[a:b] for a, b in zip(lo, hi, strict=True)]), kind="stable")
+        first = np.flatnonzero(np.append(True, entries[1:] != entries[:-1]))
+        times = np.diff(np.append(first, len(entries)))
+        enough = times >= least
+        return entries[first[enough]], times[enough]
+
+    def _probed(self, lo: np.ndarray, hi: np.ndarray, sets: np.ndarray) -> np.ndarray:
+        """In how many of these lists each of the sets stands, by bisection of all lists at once."""
+        lo = np.repeat(lo, len(sets)).reshape(len(lo), -1)
+        end = hi[:, None]
+        hi = np.repeat(hi, len(sets)).reshape(len(hi), -1)
+        for _ in range(int((end[:, 0] - lo[:, 0]).max()).bit_length()):
+            mid = (lo + hi) >> 1
+            less = (self.of[np.minimum(mid, end - 1)] < sets) & (lo < hi)
+            lo, hi = np.where(less, mid + 1, lo), np.where(less, hi, mid)
+        return ((lo < end) & (self.of[np.minimum(lo, end - 1)] == sets)).sum(axis=0)
 
     @staticmethod
     def _merge(lists: list[list[int]], least: int) -> Iterator[tuple[int, int]]:
@@ -221,133 +259,146 @@ class DivideSkip:
                     heapq.heappush(heap, (lists[k][at], k, at))
 
 
-def links(pairs: DataFrame, docs: DataFrame, leads: DataFrame, percent: int, n_words: int) -> DataFrame:
-    """Pairs (query, other) of nodes whose sets are similar enough.
+def sets_of(docs: DataFrame, nodes: DataFrame, n_words: int) -> DataFrame:
+    """Nodes with their whole sets, each read from its first document."""
+    nodes = nodes.select("node", "shard", "members", "leads", F.col("first").alias("doc_id"))
+    # Both sides grow with the input: the same join at every size.
+    sets = whole_sets(docs.join(nodes.hint("merge"), "doc_id").drop("doc_id"), n_words)
+    return sets.where(F.xxhash64("digest") == F.col("node")).drop("digest")
+
+
+def asked_in_tasks(index: DataFrame, queries: DataFrame) -> DataFrame:
+    """Nodes by shard, task and kind: 0 is asked for, 1 asks. index, queries: shard and node.
 
-    ``leads`` gives a document of each node. The texts of a query and of its candidates are
-    fetched in one join, and their sets meet where the query is searched. The candidates of
-    one query are dealt to several tasks when they are many.
+    A shard with very many queries is searched in several tasks, each of which has all its lists.
+    """
+    tasks = queries.groupBy("shard").agg(F.ceil(F.count("*") / TASK).alias("tasks"))
+    index = index.join(tasks, "shard").withColumn("task", F.explode(F.sequence(F.lit(0), F.col("tasks") - 1)))
+    queries = queries.join(tasks, "shard").withColumn("task", F.pmod(F.xxhash64("node"), F.col("tasks")))
+    return index.select("shard", "task", "node", F.lit(0).alias("kind")).unionAll(
+        queries.select("shard", "task", "node", F.lit(1).alias("kind"))
+    )
+
+
+def searched(rows: DataFrame, percent: int, ordered: bool) -> DataFrame:
+    """Links between components, found in shards: pairs a, b.
+
+    rows: shard, task, kind (0 is asked for, 1 asks), node, component, members and the
+    set. With ``ordered``, a node asks only for those of larger components, or of equally
+    large ones with a greater number.
     """
-    tasks = pairs.groupBy("query").agg(F.ceil(F.count("*") / TASK).alias("tasks"))
-    pairs = pairs.join(tasks, "query").withColumn("task", F.pmod(F.xxhash64("other"), F.col("tasks")))
-    others = pairs.select("query", "task", "other", F.col("other").alias("node"))
-    queries = pairs.select("query", "task").distinct()
-    queries = queries.select("query", "task", F.lit(None).cast("long").alias("other"), F.col("query").alias("node"))
-    asked = saved(others.unionAll(queries).join(leads, "node"), "asked")
-    # Both sides grow with the input: the same join at every size.
-    sets = whole_sets(docs.join(asked.hint("merge"), "doc_id").drop("doc_id"), n_words)
-    sets = sets.where(F.xxhash64("digest") == F.col("node")).select("query", "task", "other", "items")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        key, query, numbers, held = None, None, [], []
-
-        def searched() -> pa.RecordBatch:
-            hits = DivideSkip(held).search(query, percent) if held else []
-            out = pa.RecordBatch.from_arrays(
-                [pa.array([key[0]] * len(hits), pa.int64()), pa.array([numbers[i] for i in hits], pa.int64())],
-                names=["query", "other"],
-            )
-            numbers.clear()
-            held.clear()
-            return out
+        shard, held, lists, top = None, [], None, {}
+
+        def find(c: int) -> int:
+            while top.get(c, c) != c:
+                c = top[c] = top.get(top[c], top[c])
+            return c
 
         for batch in batches:
-            for q, task, other, items in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                if (q, task) != key:
-                    if held:
-                        yield searched()
-                    key, query = (q, task), None
-                if other is None:
-                    query = np.frombuffer(items, dtype=np.uint64)
-                else:
-                    numbers.append(other)
-                    held.append(np.frombuffer(items, dtype=np.uint64))
-                    if len(held) >= BLOCK:
-                        yield searched()
-        if held:
-            yield searched()
-
-    # The query's own row comes first, then its candidates.
-    rows = sets.repartition("query", "task").sortWithinPartitions("query", "task", F.asc_nulls_first("other"))
-    return saved(rows.mapInArrow(run, "query long, other long"), "links")
-
-
-def components(nodes: DataFrame, edges: DataFrame) -> DataFrame:
-    """node and component after merging components along edges (a, b of components).
-
-    Each component follows its neighbour of least random priority, if that is less than its
-    own; edges shrink by a constant factor a round, also along chains.
+            found: list[tuple[int, int]] = []
+            for number, task, kind, component, size, items in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                if (number, task) != shard:
+                    shard, held, lists, top = (number, task), [], None, {}
+                own = np.frombuffer(items, dtype=np.uint64)
+                if kind == 0:
+                    held.append((own, component, size))
+                    continue
+                if not held:
+                    continue
+                if lists is None:
+                    lists = DivideSkip([h[0] for h in held])
+                    of = [h[1] for h in held]
+                    first, sizes = np.array(of, dtype=np.int64), np.array([h[2] for h in held], dtype=np.int64)
+                    places: dict[int, list[int]] = {}
+                    for k, c in enumerate(of):
+                        places.setdefault(c, []).append(k)
+                    now = first.copy()
+                mine = find(component)
+                wanted = now != mine
+                if ordered:
+                    wanted &= (sizes > size) | ((sizes == size) & (first > component))
+                for k in lists.search(own, percent, wanted):
+                    other, mine = find(of[k]), find(component)
+                    if other != mine:
+                        found.append((component, of[k]))
+                        # The one with fewer places is renamed.
+                        if len(places.get(other, ())) > len(places.get(mine, ())):
+                            other, mine = mine, other
+                        top[other] = mine
+                        moved = places.pop(other, [])
+                        now[moved] = mine
+                        places.setdefault(mine, []).extend(moved)
+            if found:
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array([a for a, _ in found], pa.int64()), pa.array([b for _, b in found], pa.int64())], names=["a", "b"]
+                )
+
+    rows = rows.select("shard", "task", "kind", "component", "members", "items", "node")
+    rows = rows.repartition("shard", "task").sortWithinPartitions("shard", "task", "kind", "node").drop("node")
+    return saved(rows.mapInArrow(run, "a long, b long"), "links")
+
+
+def components(edges: DataFrame) -> DataFrame:
+    """component and where it goes, for the components that edges (a, b) join.
+
+    Each follows its neighbour of least random priority, if that is less than its own; edges
+    shrink by a constant factor a round, also along chains.
     """
-    label = nodes
-    edges = saved(edges.where("a <> b").select("a", "b").distinct(), "edges")
+    edges = saved(edges.where("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "edges")
+    label = edges.select(F.explode(F.array("a", "b")).alias("component")).distinct()
+    label = label.select("component", F.col("component").alias("to"))
     step = 0
-    while edges.limit(1).count():
+    while not edges.isEmpty():
         step += 1
         rank = lambda c: F.struct(F.xxhash64(F.col(c), F.lit(step)).alias("p"), F.col(c).alias("c"))
         both = edges.unionAll(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        lead = both.groupBy("a").agg(F.least(rank("a"), F.min(rank("b")))["c"].alias("to"))
-        lead = saved(lead.where("a <> to"), "leads")
-        moved = lambda df, c: df.join(lead.withColumnsRenamed({"a": c, "to": "_to"}), c, "left").withColumn(
-            c, F.coalesce("_to", c)
-        ).drop("_to")
-        label = saved(moved(label, "component"), "components")
+        lead = both.groupBy("a").agg(F.least(rank("a"), F.min(rank("b")))["c"].alias("_to"))
+        lead = saved(lead.where("a <> _to"), "leads")
+        moved = lambda df, c: df.join(lead.withColumnRenamed("a", c), c, "left").withColumn(c, F.coalesce("_to", c)).drop("_to")
+        label = saved(moved(label, "to"), "components")
         edges = saved(moved(moved(edges, "a"), "b").where("a <> b").distinct(), "edges")
     return label
 
 
-def with_sizes(lists: DataFrame) -> DataFrame:
-    """lists with whether a list is long, and how many long and short ones its node is in."""
-    sizes = lists.groupBy("item").agg((F.count("*") > SHORT).alias("long"))
-    sized = saved(lists.join(sizes, "item"), "sized")
-    longs = sized.groupBy("node").agg(F.count_if("long").alias("longs"), F.count_if(~F.col("long")).alias("shorts"))
-    return saved(sized.join(longs, "node"), "lists")
-
-
-def _pairs(a: DataFrame, b: DataFrame, rest: str | None, apart: Column, percent: int) -> DataFrame:
-    """Pairs of list entries that share enough rare shingles.
+def shards(lists: DataFrame) -> DataFrame:
+    """node and shard: that of its longest list, cut by a hash of the node if its sets are many."""
+    sizes = saved(lists.groupBy("item").agg(F.count("*").alias("entries")), "sizes")
+    longest = lists.join(sizes, "item").groupBy("node").agg(
+        F.max("n").alias("n"), F.max(F.struct("entries", "item"))["item"].alias("item")
+    )
+    longest = saved(longest, "longest")
+    cuts = longest.groupBy("item").agg(F.ceil(F.sum("n") / SHARD).alias("cuts"))
+    cut = F.pmod(F.xxhash64("node", F.lit(0)), F.col("cuts"))
+    return longest.join(cuts, "item").select("node", F.xxhash64("item", cut).alias("shard"))
 
-    Of two linked sets one has its rare shingles wholly below the other's last one; those
-    that are not shared are missing from the overlap. So the pair shares at least
-    T - max(T of each) + 1 rare shingles, T being the overlap that it needs. ``rest`` counts
-    a node's lists of the kind that is not joined here: it may share as many more.
-    """
-    a, b = a.alias("a"), b.alias("b")
-    same = (F.col("a.item") == F.col("b.item")) & _near(F.col("a.n"), F.col("b.n"), percent) & apart
-    more = F.least(f"a.{rest}", f"b.{rest}") if rest else F.lit(0)
-    found = a.join(b, same).select(
-        F.col("a.node").alias("query"), F.col("b.node").alias("other"), F.col("a.n").alias("n1"), F.col("b.n").alias("n2"),
-        more.alias("more"),
-    )
-    needed = F.ceil(percent * (F.col("n1") + F.col("n2")) / (100 + percent) - 1e-6)
-    own = F.ceil(percent * F.greatest("n1", "n2") / 100 - 1e-6)
-    shared = found.groupBy("query", "other", "n1", "n2", "more").agg(F.count("*").alias("shared"))
-    return shared.where(F.col("shared") + F.col("more") >= needed - own + 1).select("query", "other")
-
-
-def first_candidates(lists: DataFrame, percent: int) -> DataFrame:
-    """All pairs of short lists, and of each long list one node with the others.
-
-    A short list gives a bounded number of pairs for each of its entries. The heads of long
-    lists see only part of what a pair shares; what they miss comes in the second search.
-    """
-    short, long = lists.where("NOT long"), lists.where("long")
-    pairs = _pairs(short, short, "longs", F.col("a.node") < F.col("b.node"), percent)
-    heads = long.groupBy("item").agg(F.min_by(F.struct("node", "n", "shorts"), F.xxhash64("node")).alias("h"))
-    heads = heads.select("item", "h.*")
-    return pairs.unionAll(_pairs(heads, long, "shorts", F.col("a.node") != F.col("b.node"), percent)).distinct()
 
+def with_components(nodes: DataFrame, merged: DataFrame) -> DataFrame:
+    """node, its component after merging, and how many members that has."""
+    moved = nodes.join(merged, "component", "left").select("node", F.coalesce("to", "component").alias("component"))
+    moved = saved(moved, "components")
+    return moved.join(moved.groupBy("component").agg(F.count("*").alias("members")), "component")
 
-def last_candidates(lists: DataFrame, nodes: DataFrame, percent: int) -> DataFrame:
-    """Pairs of long lists that are not yet in one component."""
-    long = lists.where("long").join(nodes, "node")
-    several = long.groupBy("item").agg(F.min("component").alias("_a"), F.max("component").alias("_b"))
-    long = saved(long.join(several.where("_a <> _b").select("item"), "item"), "open-lists")
-    return _pairs(long, long, "shorts", F.col("a.component") < F.col("b.component"), percent)
 
+def visits(lists: DataFrame, nodes: DataFrame, placed: DataFrame, percent: int) -> tuple[DataFrame, DataFrame]:
+    """Shards and nodes that are asked for, and shards with the nodes that ask there.
 
-def _near(a: Column, b: Column, percent: int) -> Column:
-    """Sizes that allow the similarity."""
-    return F.least(a, b) * 100 >= F.greatest(a, b) * percent
+    A node asks in a shard where one of its lists has a node that may be near in size and
+    belongs to a component that comes later, by members and number.
+    """
+    entries = lists.join(nodes, "node").join(placed, "node").withColumn("rank", F.struct("members", "component"))
+    several = entries.groupBy("item").agg(F.min("component").alias("_a"), F.max("component").alias("_b"))
+    entries = saved(entries.join(several.where("_a <> _b").select("item"), "item"), "open-lists")
+    routes = entries.groupBy("item", "shard").agg(
+        F.max("rank").alias("_rank"), F.min("n").alias("_least"), F.max("n").alias("_most")
+    )
+    routes = routes.withColumnRenamed("shard", "_shard")
+    near = (F.col("n") * 100 >= F.col("_least") * percent) & (F.col("_most") * 100 >= F.col("n") * percent)
+    asking = entries.join(routes, "item").where(near & (F.col("rank") < F.col("_rank")))
+    asking = saved(asking.select(F.col("_shard").alias("shard"), "node").distinct(), "asking")
+    held = entries.select("node", "shard").distinct().join(asking.select("shard").distinct(), "shard", "left_semi")
+    return held, asking
 
 
 def joined(docs: DataFrame, percent: int = PERCENT, n_words: int = SHINGLE) -> DataFrame:
@@ -355,31 +406,38 @@ def joined(docs: DataFrame, percent: int = PERCENT, n_words: int = SHINGLE) -> D
     docs = docs.select("doc_id", "text")
     found = saved(with_sets(docs, list_levels(docs, n_words), percent, n_words), "sets")
     usable = found.where(F.col("doc_id").isNotNull() & (F.col("n") > 0))
-    same = saved(usable.groupBy("digest").agg(F.min("doc_id").alias("node")), "nodes")
     # A node is a set, numbered by its digest: rows of equal id may have different ones.
     number = F.xxhash64("digest")
-    leads = same.select(number.alias("node"), F.col("node").alias("doc_id"))
+    same = saved(usable.groupBy("digest").agg(F.min("doc_id").alias("first")).withColumn("node", number), "nodes")
     entries = usable.select(number.alias("node"), "n", F.explode("rare").alias("item"))
     several = entries.groupBy("item").agg(F.min("node").alias("_a"), F.max("node").alias("_b")).where("_a < _b")
     lists = saved(entries.join(several.select("item"), "item").distinct(), "lists")
-    lists = with_sizes(lists)
-    nodes = saved(lists.select("node", F.col("node").alias("component")).distinct(), "components")
-    for last in (False, True):
-        pairs = last_candidates(lists, nodes, percent) if last else first_candidates(lists, percent)
-        pairs = saved(pairs, "pairs")
-        if pairs.isEmpty():
-            continue
-        edges = links(pairs, docs, leads, percent, n_words)
-        of = lambda c: nodes.withColumnsRenamed({"node": c, "component": f"_{c}"})
-        edges = edges.join(of("query"), "query").join(of("other"), "other")
-        nodes = components(nodes, edges.select(F.col("_query").alias("a"), F.col("_other").alias("b")))
-
-    smallest = same.join(nodes.withColumnRenamed("node", "_n"), number == F.col("_n"))
-    smallest = smallest.select("digest", "node", "component")
-    least = smallest.groupBy("component").agg(F.min("node").alias("least"))
-    moved = smallest.join(least, "component").where("least < node").select("digest", "least")
-    rows = found.select("doc_id", "n", "digest").join(same.select("digest", "node"), "digest", "left").join(saved(moved, "moved"), "digest", "left")
-    component = F.when(F.col("doc_id").isNotNull(), F.when(F.col("n") == 0, F.col("doc_id")).otherwise(F.coalesce("least", "node")))
+    placed = saved(shards(lists), "shards")
+    merged = None
+    if not placed.isEmpty():
+        members = placed.groupBy("shard").agg(F.count("*").alias("members"))
+        leads = F.pmod(F.xxhash64("node", F.lit(1)), F.col("members")) < LEADERS
+        shard = placed.join(members, "shard").select("node", "shard", "members", leads.alias("leads"))
+        sets = saved(sets_of(docs, same.join(shard, "node"), n_words), "node-sets")
+        # The first search: every node of a shard asks a few of them, which also ask each other.
+        kinds = F.explode(F.when(F.col("leads"), F.array(F.lit(0), F.lit(1))).otherwise(F.array(F.lit(1)))).alias("kind")
+        rows = sets.where("members > 1").select(
+            "shard", F.lit(0).alias("task"), kinds, "node", F.col("node").alias("component"), F.lit(1).alias("members"), "items"
+        )
+        nodes = placed.select("node", F.col("node").alias("component"))
+        nodes = saved(with_components(nodes, components(searched(rows, percent, ordered=False))), "first-components")
+        # The second: what shares a list and is not in one component yet.
+        held, asking = visits(lists, nodes, placed, percent)
+        rows = saved(asked_in_tasks(held, asking), "asked").join(nodes, "node").join(sets.select("node", "items"), "node")
+        more = searched(rows, percent, ordered=True)
+        merged = saved(with_components(nodes.select("node", "component"), components(more)), "merged")
+
+    smallest = same.join(merged, "node") if merged is not None else same.withColumn("component", F.col("node")).where("1 = 0")
+    least = smallest.groupBy("component").agg(F.min("first").alias("least"))
+    moved = smallest.join(least, "component").where("least < first").select("digest", "least")
+    firsts = same.select("digest", "first").join(saved(moved, "moved"), "digest", "left")
+    rows = found.select("doc_id", "n", "digest").join(firsts, "digest", "left")
+    component = F.when(F.col("doc_id").isNotNull(), F.when(F.col("n") == 0, F.col("doc_id")).otherwise(F.coalesce("least", "first")))
     return rows.select("doc_id", F.col("n").alias("n_shingles"), component.alias("component_id"))
 
 

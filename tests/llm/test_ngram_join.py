@@ -5,6 +5,9 @@ import re
 
 import numpy as np
 
+import pytest
+
+from millrace.llm import ngram_join
 from millrace.llm.common import spaced_words
 from millrace.llm.ngram_join import DivideSkip, joined, one_of_each, shingles
 from millrace.llm.queries import QUERIES
@@ -53,7 +56,10 @@ def test_shingles_of_every_length():
     assert len(got[3] & got[4]) == 1
 
 
-def test_divide_skip_finds_all():
+@pytest.mark.parametrize(("heaped", "probed"), [(256, 96), (0, 3), (10**9, 1)])
+def test_divide_skip_finds_all(monkeypatch, heaped, probed):
+    monkeypatch.setattr(ngram_join, "HEAPED", heaped)
+    monkeypatch.setattr(ngram_join, "PROBED", probed)
     r = random.Random(4)
     for _ in range(150):
         base = r.sample(range(1000), r.randint(1, 60))
@@ -65,6 +71,8 @@ def test_divide_skip_finds_all():
             if 100 * len(np.intersect1d(s, query)) >= 90 * len(np.union1d(s, query))
         ]
         assert DivideSkip(sets).search(query, 90) == want
+        some = np.array([r.random() < 0.5 for _ in sets])
+        assert DivideSkip(sets).search(query, 90, some) == [i for i in want if some[i]]
 
 
 def near(r, words, changes):
@@ -91,6 +99,22 @@ def test_families_chains_and_odd_texts(spark):
     check(spark, rows)
 
 
+def test_groups_cut_over_many_shards_and_tasks(spark, monkeypatch):
+    """Near copies of which many pairs are close to the threshold, few leaders, small shards."""
+    monkeypatch.setattr(ngram_join, "SHARD", 3000)
+    monkeypatch.setattr(ngram_join, "TASK", 7)
+    monkeypatch.setattr(ngram_join, "LEADERS", 1)
+    r = random.Random(12)
+    rows = []
+    for family in range(3):
+        base = [f"f{family}w{i}" for i in range(120)]
+        rows += [(len(rows), near(r, base, r.choice([1, 2, 3, 4]))) for _ in range(70)]
+    common = [f"passage{i}" for i in range(40)]
+    rows += [(len(rows) + i, " ".join(common + [f"o{i}x{k}" for k in range(i % 9)])) for i in range(60)]
+    r.shuffle(rows)
+    check(spark, rows)
+
+
 def test_same_as_all_pairs_on_the_table(spark, sf_dir):
     rows = [tuple(x) for x in spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text").collect()]
     assert sorted(map(tuple, QUERIES["op9_ngram_join"](spark, sf_dir).collect()), key=str) == expected(rows)
