@@ -184,6 +184,7 @@ def verdicts(docs: DataFrame) -> DataFrame:
 def passing(docs: DataFrame) -> DataFrame:
     """The documents that are kept, as they came."""
     held = docs.select(F.struct("*").alias("doc"), "lang", "source", "text")
-    bounds = saved(fences(sketches(with_counts(docs.select("lang", "source", "text")))), "bounds")
-    found = judged(with_counts(held), bounds).where("kept")
+    # Written once: a filter on the counts would be pushed below them and count each text again.
+    counted = saved(with_counts(held).drop("text"), "counted")
+    found = judged(counted, saved(fences(sketches(counted)), "bounds")).where("kept")
     return found.select(*[F.col(f"doc.`{c}`").alias(c) for c in docs.columns])
