@@ -9,9 +9,14 @@ the second pass an undecided block takes the label of the nearest decided neighb
 tie a heading follows the later one, other blocks the earlier. Neighbours inside an article or main element are looked for there
 first; what such an element holds is good if nothing in it is decided.
 
-Menus and the like are known by element, role, hidden attribute, and class or id; names that
-tell a state (has-sidebar) do not count. If all article and main elements of a page stand in
-parts that only a class or id sets aside, they count nevertheless.
+Menus and the like are known by element, role, hidden attribute or style, and class or id;
+names that tell a state (has-sidebar) do not count. A class or id is sure if the whole name
+or each of its parts says so (comment-list), else it is a guess (elementor-widget-container):
+a guess does not hold for long blocks with few links in a main element, nor on pages that
+have no other long block that is good. If all article and main elements of a page stand in
+parts that only a class or id sets aside, they count nevertheless. A form or fieldset, or a
+dialog in a main element, is a wrapper and no form if it has much text for its controls. Long
+preformatted text follows its neighbours.
 
 Character references are decoded, white space in a block becomes one space, and good
 blocks are joined by line breaks in page order. Null pages and pages without text give an
@@ -22,6 +27,7 @@ from __future__ import annotations
 
 import html
 import re
+from collections import Counter
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -58,7 +64,12 @@ BLOCKS = frozenset(
 )
 HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
 MAIN = frozenset("article main".split())
-ASIDE = frozenset("nav footer aside form menu dialog select button search head fieldset".split())
+ASIDE = frozenset("nav footer aside menu select button search head".split())
+#: Set aside unless they hold much text for their controls.
+FORMS = frozenset("form fieldset dialog".split())
+CONTROLS = frozenset("input select textarea button".split())
+#: Characters of long blocks for each control, from which on a form is a wrapper.
+WRAPPED = 150
 ASIDE_ROLES = frozenset("navigation banner contentinfo complementary search form alert alertdialog dialog menu menubar".split())
 ASIDE_NAMES = frozenset(
     "ad ads advert adverts advertisement advertising adsense banner breadcrumb breadcrumbs comment comments consent cookie "
@@ -66,6 +77,11 @@ ASIDE_NAMES = frozenset(
     "notification pagination pager popup promo promotion related replies respond share sharing sidebar signup social "
     "sponsor sponsored subscribe subscription teaser toolbar widget".split()
 )
+#: Parts of class names that say nothing about what an element is.
+PLAIN = frozenset(
+    "site page main box list item items left right top bottom section area block bar slot unit primary secondary global "
+    "form thread js link links".split()
+)
 #: Parts of class names that tell a state of a page rather than what an element is.
 STATES = frozenset("has have with without no not is open opened closed close enabled disabled active on off layout".split())
 #: Elements that end where one of their own kind begins.
@@ -87,12 +103,21 @@ _WORD = re.compile(r"\w+")
 
 
 class Block:
-    __slots__ = ("text", "links", "aside", "main", "inner", "heading", "good")
+    __slots__ = ("text", "links", "aside", "main", "inner", "heading", "form", "code", "good")
 
-    def __init__(self, text: str, links: int, aside: bool, main: int, inner: int, heading: bool):
+    def __init__(self, text: str, links: int, aside: int, main: int, inner: int, heading: bool, form: int, code: bool):
         self.text, self.links, self.aside, self.main, self.inner, self.heading = text, links, aside, main, inner, heading
+        self.form, self.code = form, code
         self.good: bool | None = None
 
+    def long(self) -> bool:
+        """A long block with few links."""
+        return len(self.text) >= LONG and self.links < FEW_LINKS * len(self.text)
+
+
+#: How an element is set aside: by a name that may mean something else, by its name, surely.
+GUESSED, NAMED, SURE = 1, 2, 3
+
 
 def _attributes(text: str) -> dict[str, str]:
     found: dict[str, str] = {}
@@ -101,29 +126,41 @@ def _attributes(text: str) -> dict[str, str]:
     return found
 
 
-def _named_aside(found: dict[str, str]) -> bool:
+def _named_aside(found: dict[str, str]) -> int:
     """Does a class or the id name such a part? Tokens that tell a state do not."""
+    kind = 0
     for token in found.get("class", "").split() + found.get("id", "").split():
         parts = _PARTS.findall(token)
         if STATES.isdisjoint(parts) and not ASIDE_NAMES.isdisjoint(parts):
-            return True
-    return False
+            if all(p in ASIDE_NAMES or p in PLAIN for p in parts):
+                return NAMED
+            kind = GUESSED
+    return kind
+
+
+def _hidden(found: dict[str, str]) -> bool:
+    style = "".join(found.get("style", "").split())
+    return "hidden" in found or found.get("aria-hidden") == "true" or "display:none" in style or "visibility:hidden" in style
 
 
 def _aside(name: str, found: dict[str, str], in_main: bool) -> int:
-    """Does this element hold something beside the main text? 1: by its name only, 2: surely."""
+    """Does this element hold something beside the main text, and how is that known?"""
     if name in ASIDE or (name == "header" and not in_main):
-        return 2
-    if "hidden" in found or found.get("aria-hidden") == "true" or not ASIDE_ROLES.isdisjoint(found.get("role", "").split()):
-        return 2
-    return int(name not in ("body", "html", "article", "main") and _named_aside(found))
+        return SURE
+    if _hidden(found) or not ASIDE_ROLES.isdisjoint(found.get("role", "").split()):
+        return SURE
+    return 0 if name in ("body", "html", "article", "main") else _named_aside(found)
 
 
 def blocks(page: str) -> list[Block]:
     """Blocks of a page that hold text, with what is known of their place."""
     out: list[Block] = []
-    # Name, aside, number of the main element, and of one inside a part that only its name sets aside.
-    stack: list[tuple[str, int, int, int]] = [("", 0, 0, 0)]
+    # Name, aside, number of the main element, of one inside a part that only its name sets
+    # aside, and of the innermost form.
+    stack: list[tuple[str, int, int, int, int]] = [("", 0, 0, 0, 0)]
+    opened: Counter[str] = Counter()
+    # Of each form: the form around it, its controls, its long text, and whether it is set aside at once.
+    forms: list[list[int]] = [[0, 0, 0, 0]]
     held: list[str] = []
     linked = depth = mains = inners = at = 0
 
@@ -134,8 +171,10 @@ def blocks(page: str) -> list[Block]:
             held.clear()
             if text:
                 heading = any(x[0] in HEADINGS for x in stack[-3:])
-                _, aside, main, inner = stack[-1]
-                out.append(Block(text, linked, aside > 0, main, inner, heading))
+                _, aside, main, inner, form = stack[-1]
+                out.append(Block(text, linked, aside, main, inner, heading, form, opened["pre"] > 0))
+                if out[-1].long():
+                    forms[form][2] += len(text)
         linked = 0
 
     def add(piece: str) -> None:
@@ -150,6 +189,7 @@ def blocks(page: str) -> list[Block]:
         nonlocal depth
         for name, *_ in stack[k:]:
             depth -= name == "a"
+            opened[name] -= 1
         del stack[k:]
 
     while m := _TAG.search(page, at):
@@ -159,7 +199,8 @@ def blocks(page: str) -> list[Block]:
         if not name:
             continue
         if closing:
-            k = next((k for k in range(len(stack) - 1, 0, -1) if stack[k][0] == name), 0)
+            # Only an element that is open is looked for.
+            k = next(k for k in range(len(stack) - 1, 0, -1) if stack[k][0] == name) if opened[name] else 0
             if name in BLOCKS:
                 end_block()
             if k:
@@ -167,6 +208,8 @@ def blocks(page: str) -> list[Block]:
                     end_block()
                 pop_to(k)
             continue
+        if name in CONTROLS and "hidden" not in attributes.lower():
+            forms[stack[-1][4]][1] += 1
         if name in RAW:
             close = re.compile(rf"</{re.escape(name)}(?=[\s/>]|\Z)[^>]*(?:>|\Z)", re.I).search(page, at)
             at = close.end() if close else len(page)
@@ -177,7 +220,7 @@ def blocks(page: str) -> list[Block]:
                 pop_to(len(stack) - 1)
         elif name == "br":
             held.append(" ")
-        if name in SAME_ENDS:
+        if name in SAME_ENDS and opened[name]:
             for k in range(len(stack) - 1, 0, -1):
                 if stack[k][0] == name:
                     pop_to(k)
@@ -186,27 +229,61 @@ def blocks(page: str) -> list[Block]:
                     break
         if name in VOID or attributes.endswith("/"):
             continue
-        _, aside, main, inner = stack[-1]
+        _, aside, main, inner, form = stack[-1]
         found = _attributes(attributes) if attributes else {}
         if name in MAIN and not aside:
             mains += 1
             main = main or mains
-        elif name in MAIN and aside == 1 and not inner and not main and not _named_aside(found):
+        elif name in MAIN and aside < SURE and not inner and not main and not _named_aside(found):
             inners += 1
             inner = inners
         kind = _aside(name, found, bool(main or inner))
-        aside = 2 if kind and inner else max(aside, kind)
+        if name in FORMS:
+            at_once = name == "dialog" and not (main or inner)
+            forms.append([form, 0, 0, at_once])
+            form = len(forms) - 1
+        aside = SURE if kind > GUESSED and inner else max(aside, kind)
         depth += name == "a"
-        stack.append((name, aside, main, 0 if aside == 2 else inner))
+        opened[name] += 1
+        stack.append((name, aside, main, 0 if aside == SURE else inner, form))
     add(page[at:])
     end_block()
+    _close_forms(out, forms)
     if not mains:  # the main elements of the page stand in wrappers with such a name
         for block in out:
-            if block.inner:
-                block.aside, block.main = False, block.inner
+            if block.inner and block.aside < SURE:
+                block.aside, block.main = 0, block.inner
+    _weigh_guesses(out)
     return out
 
 
+def _close_forms(found: list[Block], forms: list[list[int]]) -> None:
+    """Set aside what stands in a form that is no wrapper; what a form holds counts for those around it."""
+    for around, controls, text, _ in reversed(forms[1:]):
+        forms[around][1] += controls
+        forms[around][2] += text
+    # Where a page has a main element, a wrapper stands in it or around it.
+    with_main = {b.form for b in found if b.main and b.aside < SURE}
+    for form in range(len(forms) - 1, 0, -1):
+        if form in with_main:
+            with_main.add(forms[form][0])
+    real = [False]
+    for form, (around, controls, text, at_once) in enumerate(forms[1:], 1):
+        beside = bool(with_main) and form not in with_main
+        real.append(real[around] or bool(at_once) or beside or text < LONG or text <= WRAPPED * controls)
+    for block in found:
+        if real[block.form]:
+            block.aside = SURE
+
+
+def _weigh_guesses(found: list[Block]) -> None:
+    """Drop guesses for long blocks in main elements, and where no other block would be good."""
+    others = any(not b.aside and b.long() and (b.main or _rich(b.text)) for b in found)
+    for block in found:
+        if block.aside == GUESSED and (not others or (block.main and block.long())):
+            block.aside = 0
+
+
 def _rich(text: str) -> bool:
     words = _WORD.findall(text.lower())
     return bool(words) and sum(w in STOP_WORDS for w in words) >= STOP_SHARE * len(words)
@@ -242,7 +319,7 @@ def _decide(found: list[Block]) -> None:
     for block, n in poor:
         if other:
             block.good = True if block.links < FEW_LINKS * n else None
-        elif n >= LONG and not block.main:
+        elif n >= LONG and not block.main and not block.code:
             block.good = False
 
 
