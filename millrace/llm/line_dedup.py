@@ -2,14 +2,11 @@
 
 Documents that share blocks meet through hashes of runs, the shortest ranges of consecutive
 lines with ``MIN_WORDS`` words: each later document is paired with the first document that
-has the run (``sharing_runs``), so a run in n documents makes n - 1 pairs at most, however
-frequent it is. Pairing by single lines (``overlapping``) is offered too: it takes the first
-document of each line if those lines hold ``MIN_WORDS`` words, one of them ``RARE_WORDS``,
-and misses blocks whose lines lead to other documents. A
-patience diff aligns the pair: lines that are unique on both sides are anchors, their
-longest ordered chain splits the texts, and the parts between are aligned likewise. Where
-no line is unique on both sides, and for further copies in the later document, runs are
-anchors in its place. Aligned
+has the run, so a run in n documents makes n - 1 pairs at most, however frequent it is, and
+a pair holds the lines of its common runs only. A patience diff aligns the pair: lines that
+are unique on both sides are anchors, their longest ordered chain splits the texts, and the
+parts between are aligned likewise. What it leaves of the later document is aligned again
+with runs for lines, each by its first place, until no run is left. Aligned
 blocks of consecutive lines with ``MIN_WORDS`` words or more are deleted from the later
 document, the one with the larger doc_id. The first document of a block keeps it, as often
 as it holds it.
@@ -38,8 +35,8 @@ from pyspark.sql import types as T
 
 from millrace.llm.common import add_columns, saved, without
 
-#: Words of a block that is deleted, at least; words of a line that can lead to a document.
-MIN_WORDS, RARE_WORDS = 30, 8
+#: Words of a block that is deleted, at least.
+MIN_WORDS = 30
 
 #: Scripts written without spaces: each of their characters but marks counts as a word.
 _UNSPACED = "".join(rf"\\p{{Is{s}}}" for s in ("Han", "Hiragana", "Katakana", "Thai", "Lao", "Khmer", "Myanmar", "Tibetan"))
@@ -60,29 +57,14 @@ def _lines() -> Column:
 
 
 def shared_lines(docs: DataFrame) -> DataFrame:
-    """Lines that two documents have at least, and the first of those documents."""
+    """Lines that two documents have at least."""
     lines = docs.where(F.col("doc_id").isNotNull()).select(
         "doc_id", F.xxhash64("text").alias("of"), F.explode(_lines()).alias("l")
     )
     lines = saved(lines.select("doc_id", "of", "l.*"), "lines")
-    several = (
-        lines.groupBy("h")
-        .agg(F.min(F.struct("doc_id", "of")).alias("first"), F.max("doc_id").alias("last"))
-        .where("first.doc_id < last")
-        .drop("last")
-    )
-    return saved(lines.join(several, "h"), "shared-lines")
-
-
-def overlapping(shared: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
-    """Pairs of a later and an earlier document."""
-    return (
-        shared.where("first.doc_id < doc_id")
-        .groupBy("doc_id", "of", "first")
-        .agg(F.sum("words").alias("words"), F.max("words").alias("most"))
-        .where((F.col("words") >= min_words) & (F.col("most") >= RARE_WORDS))
-        .select("doc_id", "of", F.col("first.doc_id").alias("first_id"), F.col("first.of").alias("first_of"))
-    )
+    several = lines.groupBy("h").agg(F.min("doc_id").alias("_a"), F.max("doc_id").alias("_b")).where("_a < _b")
+    # Written, so that a line that very many documents have is joined in parts.
+    return saved(lines.join(saved(several.select("h"), "shared-hashes"), "h"), "shared-lines")
 
 
 def runs(words: list[int], numbers: list[int], min_words: int = MIN_WORDS) -> Iterator[tuple[int, int]]:
@@ -111,7 +93,8 @@ def runs(words: list[int], numbers: list[int], min_words: int = MIN_WORDS) -> It
 
 
 def sharing_runs(sequences: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
-    """Pairs of a later document and the first document of one of its runs of lines.
+    """Pairs of a later document and the first document of some of its runs of lines: the lines
+    of these runs as they stand in both.
 
     A run in n documents makes n - 1 pairs at most. Each line of a block that any earlier
     document has lies in a run of that block, whose first document is an earlier one too.
@@ -123,18 +106,27 @@ def sharing_runs(sequences: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
             for lines in column.to_pylist():
                 raw = array("q", [x["h"] for x in lines]).tobytes()
                 found = runs([x["words"] for x in lines], [x["number"] for x in lines], min_words)
-                digests = {hashlib.blake2b(raw[8 * i : 8 * k], digest_size=8).digest() for i, k in found}
-                out.append([int.from_bytes(d, "little", signed=True) for d in digests])
+                digests = {(i, k): hashlib.blake2b(raw[8 * i : 8 * k], digest_size=8).digest() for i, k in found}
+                out.append([(int.from_bytes(d, "little", signed=True), i + 1, k - i) for (i, k), d in digests.items()])
             return [out]
 
         return made
 
-    field = T.StructField("runs", T.ArrayType(T.LongType(), False))
-    found = add_columns(sequences, ["lines"], [field], compute).select("doc_id", "of", F.explode("runs").alias("run"))
-    found = saved(found, "runs")
-    first = found.groupBy("run").agg(F.min(F.struct("doc_id", "of")).alias("first"), F.max("doc_id").alias("last"))
-    pairs = found.join(first.where("first.doc_id < last").drop("last"), "run").where("first.doc_id < doc_id")
-    return pairs.select("doc_id", "of", F.col("first.doc_id").alias("first_id"), F.col("first.of").alias("first_of")).distinct()
+    run = T.StructType([T.StructField("run", T.LongType()), T.StructField("at", T.IntegerType()), T.StructField("size", T.IntegerType())])
+    found = add_columns(sequences, ["lines"], [T.StructField("runs", T.ArrayType(run, False))], compute)
+    # Cut before they are exploded: a row never holds more than a run has.
+    cut = F.transform("runs", lambda r: F.struct(r["run"].alias("run"), F.slice("lines", r["at"], r["size"]).alias("lines")))
+    found = saved(found.select("doc_id", "of", F.explode(cut).alias("r")).select("doc_id", "of", "r.*"), "runs")
+    number = F.col("lines")[0]["number"]
+    first = found.groupBy("run").agg(F.min(F.struct("doc_id", "of", number.alias("number"))).alias("first"), F.max("doc_id").alias("last"))
+    first = saved(first.where("first.doc_id < last").drop("last"), "first-runs")
+    pairs = found.join(first, "run").where("first.doc_id < doc_id")
+    shift = (F.col("first.number") - number).alias("shift")
+    lines = pairs.select("doc_id", "of", F.col("first.doc_id").alias("first_id"), F.col("first.of").alias("first_of"), shift, F.explode("lines").alias("l"))
+    there = F.struct((F.col("l.number") + F.col("shift")).alias("number"), "l.h", "l.words")
+    return lines.groupBy("doc_id", "of", "first_id", "first_of").agg(
+        F.sort_array(F.collect_set("l")).alias("lines"), F.sort_array(F.collect_set(there)).alias("earlier")
+    )
 
 
 def patience(a: list[int], b: list[int]) -> list[tuple[int, int]]:
@@ -195,14 +187,13 @@ def _keyed_runs(lines: list[dict], min_words: int) -> Iterator[tuple[tuple, rang
 def repeated(later: list[dict], earlier: list[dict], min_words: int = MIN_WORDS) -> list[int]:
     """Places of the later document's lines in aligned blocks that are long enough.
 
-    An alignment is one to one and stops where no line is unique. What it leaves of the
-    later document is aligned again, run by run, until no block is left.
+    An alignment is one to one and in order. What it leaves of the later document is aligned
+    again, runs standing for lines, until no run is left that the earlier document has.
     """
-    pairs = patience([x["h"] for x in earlier], [x["h"] for x in later])
     gone: set[int] = set()
     block: list[int] = []
     last = None
-    for i, j in [*pairs, (None, None)]:
+    for i, j in [*patience([x["h"] for x in earlier], [x["h"] for x in later]), (None, None)]:
         here = None if i is None else (earlier[i]["number"], later[j]["number"])
         if last is None or here is None or here != (last[0] + 1, last[1] + 1):
             if sum(later[k]["words"] for k in block) >= min_words:
@@ -211,22 +202,29 @@ def repeated(later: list[dict], earlier: list[dict], min_words: int = MIN_WORDS)
         if here is not None:
             block.append(j)
         last = here
-    if len(gone) < len(later):
-        known = {key for key, _ in _keyed_runs(earlier, min_words)}
-        for key, places in _keyed_runs(later, min_words) if known else ():
-            if key in known:
-                gone.update(places)
+    known: dict[tuple, int] = {}
+    for key, _ in _keyed_runs(earlier, min_words) if len(gone) < len(later) else ():
+        known.setdefault(key, len(known))
+    left = [(known[key], places) for key, places in _keyed_runs(later, min_words) if key in known] if known else []
+    while left := [(run, places) for run, places in left if not gone.issuperset(places)]:
+        first: dict[int, range] = {}
+        for run, places in left:
+            first.setdefault(run, places)
+        here = list(first)
+        aligned = patience(sorted(here), here)
+        if not aligned:
+            break
+        for _, j in aligned:
+            gone.update(first[here[j]])
     return [later[k]["place"] for k in sorted(gone)]
 
 
-def repeated_places(docs: DataFrame, min_words: int = MIN_WORDS, by_runs: bool = False) -> DataFrame:
+def repeated_places(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
     """Per document with repeated blocks: doc_id, digest of the text, places of the lines."""
     shared = shared_lines(docs)
     line = F.struct("number", "place", "h", "words")
-    sequences = saved(shared.groupBy("doc_id", "of").agg(F.sort_array(F.collect_set(line)).alias("lines")), "sequences")
-    firsts = sequences.select(F.col("doc_id").alias("first_id"), F.col("of").alias("first_of"), F.col("lines").alias("earlier"))
-    pairs = sharing_runs(sequences, min_words) if by_runs else overlapping(shared, min_words)
-    pairs = pairs.join(sequences, ["doc_id", "of"]).join(firsts, ["first_id", "first_of"])
+    sequences = shared.groupBy("doc_id", "of").agg(F.sort_array(F.collect_set(line)).alias("lines"))
+    pairs = sharing_runs(sequences, min_words)
 
     def compute():
         def made(later: pa.Array, earlier: pa.Array) -> list:
@@ -241,15 +239,13 @@ def repeated_places(docs: DataFrame, min_words: int = MIN_WORDS, by_runs: bool =
     return found.agg(F.array_distinct(F.flatten(F.collect_list("gone"))).alias("gone"))
 
 
-def without_repeats(docs: DataFrame, min_words: int = MIN_WORDS, by_runs: bool = False) -> DataFrame:
+def without_repeats(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
     """docs with their repeated blocks deleted from ``text``, and ``n_lines_removed``.
 
-    ``by_runs`` pairs documents by runs of lines, so that no repeated block is missed;
-    otherwise by single lines, which misses blocks whose lines lead elsewhere.
     A document of which no line with a word is left has an empty text.
     """
     names = [c for c in docs.columns if c.lower() != "n_lines_removed"]
-    gone = saved(repeated_places(docs, min_words, by_runs), "gone").withColumnsRenamed({"doc_id": "__id", "of": "__of", "gone": "__gone"})
+    gone = saved(repeated_places(docs, min_words), "gone").withColumnsRenamed({"doc_id": "__id", "of": "__of", "gone": "__gone"})
     held = without(docs, ["n_lines_removed"])
     same = (F.col("doc_id") == F.col("__id")) & (F.xxhash64("text") == F.col("__of"))
     lines = r"split(text, '\n', -1)"

@@ -3,7 +3,10 @@
 import random
 from collections import defaultdict
 
-from millrace.llm.line_dedup import MIN_WORDS, RARE_WORDS, patience, repeated, without_repeats
+from pyspark.sql import functions as F
+
+from millrace.llm import line_dedup
+from millrace.llm.line_dedup import MIN_WORDS, patience, repeated, without_repeats
 
 LONG = " ".join(f"w{i}" for i in range(40))
 HALF = [" ".join(f"{c}{i}" for i in range(18)) for c in "ab"]
@@ -18,21 +21,29 @@ def sequence(text):
     return out
 
 
+def common(b, c, min_words):
+    """Places of the lines of c in blocks of consecutive lines, long enough, that b has too."""
+    out = set()
+    for x in range(len(b)):
+        for y in range(len(c)):
+            if x and y and b[x - 1]["h"] == c[y - 1]["h"]:
+                continue
+            k = 0
+            while x + k < len(b) and y + k < len(c) and b[x + k]["h"] == c[y + k]["h"]:
+                k += 1
+            if sum(z["words"] for z in c[y : y + k]) >= min_words:
+                out.update(z["place"] for z in c[y : y + k])
+    return out
+
+
 def expected(rows, min_words=MIN_WORDS):
+    """Every block that any earlier document has."""
     docs = sorted({(i, t) for i, t in rows if i is not None and t}, key=lambda x: x[0])
-    first = {}
-    for i, t in docs:
-        for x in sequence(t):
-            first.setdefault(x["h"], (i, t))
     gone = defaultdict(set)
     for i, t in docs:
-        words = defaultdict(list)
-        for x in sequence(t):
-            if first[x["h"]][0] < i:
-                words[first[x["h"]]].append(x["words"])
-        for other, n in words.items():
-            if sum(n) >= min_words and max(n) >= RARE_WORDS:
-                gone[i, t].update(repeated(sequence(t), sequence(other[1]), min_words))
+        for j, u in docs:
+            if j < i:
+                gone[i, t] |= common(sequence(u), sequence(t), min_words)
     out = []
     for i, t in rows:
         places = gone.get((i, t), set())
@@ -57,6 +68,42 @@ def test_patience_finds_a_common_chain():
     assert patience([1, 2, 3, 4], [1, 9, 3, 4]) == [(0, 0), (2, 2), (3, 3)]
 
 
+def crossing(r):
+    """Two sequences of lines with common blocks in any order, repeats among them."""
+    pool = [[f"b{k}x{i}" for i in range(r.randint(1, 6))] for k in range(5)]
+    make = lambda: [x for _ in range(r.randint(1, 6)) for x in (r.choice(pool) if r.random() < 0.8 else [f"o{r.randrange(99)}"])]
+    as_lines = lambda names: [{"number": n, "place": n, "h": h, "words": 9} for n, h in enumerate(names)]
+    return as_lines(make()), as_lines(make())
+
+
+def test_alignment_finds_every_block():
+    r = random.Random(21)
+    for _ in range(500):
+        a, b = crossing(r)
+        assert set(repeated(b, a)) == common(a, b, MIN_WORDS)
+
+
+def test_nothing_goes_without_alignment(monkeypatch):
+    """A mutation: with the alignment switched off the result must change."""
+    r = random.Random(21)
+    pairs = [crossing(r) for _ in range(50)]
+    assert any(repeated(b, a) for a, b in pairs)
+    monkeypatch.setattr(line_dedup, "patience", lambda a, b: [])
+    assert not any(repeated(b, a) for a, b in pairs)
+
+
+def test_a_long_document_with_many_leaders(spark):
+    """A pair holds the common lines, not the whole document."""
+    blocks = [[f"d{k} " + " ".join(f"w{k}x{i}y{j}" for j in range(12)) for i in range(4)] for k in range(150)]
+    rows = [(k, "\n".join([f"own {k}", *b])) for k, b in enumerate(blocks)]
+    rows.append((900, "\n".join(x for b in blocks for x in [*b, "between " + b[0][:4]])))
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    pairs = line_dedup.sharing_runs(line_dedup.shared_lines(df).groupBy("doc_id", "of").agg(F.sort_array(F.collect_set(F.struct("number", "place", "h", "words"))).alias("lines")))
+    assert {len(p.lines) for p in pairs.collect()} == {4}
+    got = {r.doc_id: r.n_lines_removed for r in without_repeats(df).collect()}
+    assert got[900] == 600 and sum(got.values()) == 600
+
+
 def test_cases(spark):
     check(
         spark,

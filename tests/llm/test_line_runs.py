@@ -33,7 +33,7 @@ def brute(rows, min_words=MIN_WORDS):
 
 def removed(spark, rows):
     df = spark.createDataFrame(rows, "doc_id long, text string")
-    got = {r.doc_id: r for r in without_repeats(df, by_runs=True).collect()}
+    got = {r.doc_id: r for r in without_repeats(df).collect()}
     want = brute(rows)
     for i, t in rows:
         lines = [x for k, x in enumerate(t.split("\n")) if k not in want[i]]
@@ -101,5 +101,5 @@ def test_short_lines_and_scripts_without_spaces(spark):
         (4, f"\u4e59\n{chinese[:20]}\n{chinese[20:]}"), (5, f"\u4e19\n{chinese[:20]}\n{chinese[20:]}"), (6, thai), (7, f"six\n{thai}\u0e02"), (8, f"{thai}\u0e02"),
     ]
     df = spark.createDataFrame(rows, "doc_id long, text string")
-    got = without_repeats(df, by_runs=True).collect()
+    got = without_repeats(df).collect()
     assert {r.doc_id: r.n_lines_removed for r in got} == {1: 0, 2: 12, 3: 1, 4: 0, 5: 2, 6: 0, 7: 0, 8: 1}
