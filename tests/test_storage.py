@@ -135,6 +135,21 @@ def test_objects(spark, tmp_path):
     assert tuple(objects.store_totals(listed.where("1 = 0")).first()) == (0, 0)
 
 
+def test_one_large_folder_is_listed_by_many_tasks(spark, tmp_path):
+    for i in range(3000):
+        (tmp_path / f"object-{i}").write_bytes(b"x" * (i % 7))
+    (tmp_path / "inner").mkdir()
+    (tmp_path / "inner" / "é").write_text("z")
+    (tmp_path / "gone").symlink_to(tmp_path / "nowhere")
+    listed = objects.list_objects(spark, str(tmp_path), names=100)
+    rows = listed.collect()
+    assert len(rows) == 3001 == len({r.path for r in rows})
+    assert sum(r.length for r in rows) == sum(i % 7 for i in range(3000)) + 1
+    assert all(r.modificationTime is not None for r in rows)
+    files = listed.select(F.input_file_name().alias("f")).distinct().count()
+    assert files > 8  # written by as many tasks
+
+
 def test_csv_quotes_survive(spark, tmp_path):
     texts = ['say "hi", ok', "", None, "two\nlines", "a\r\nb\rc", '"', ' "x" ', "  outer  ", "\n", "a,b\\", "\\\"", "é\t"]
     df = spark.createDataFrame([(t, i) for i, t in enumerate(texts)], "t string, n int")
