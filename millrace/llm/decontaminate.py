@@ -2,27 +2,34 @@
 
 Each task sorts the word suffixes of a shard of its documents and binary-searches every
 suffix of the benchmark items in it. The neighbours of the place found give the longest
-verbatim match; the range of suffixes that begin with a window gives all its places.
+verbatim match; the range of suffixes that begin with a window gives all its places. Places
+of an item's windows are marked once for each different window, and those that overlap make
+one match, so what a document holds of an item takes no more memory than its words.
 
 Words are runs of ASCII letters, digits and non-ASCII characters; A-Z count as lower case.
 A window is ``window`` words in sequence, or a whole shorter item. Null and empty texts
 have no words and match nothing. Items of equal id count once; the places of an item
 without id count, but it is not listed. Repeated documents get equal results. An empty
-benchmark leaves every document clean. Benchmarks of any size are taken in blocks, each
-of which is searched in a further pass over the rows.
+benchmark leaves every document clean. Benchmarks of any size are written in blocks to the
+shared folder; tasks open them one after another for each shard, so that neither the driver
+nor a task holds more than one.
 """
 
 from __future__ import annotations
 
+import functools
 import math
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Row
+from pyarrow.dataset import dataset
+from pyarrow.fs import FileSystem, FileType
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from millrace.llm.common import Words, add_columns, letter_words, slices, utf8, without
+from millrace.session import scratch_path
 
 WINDOW = 10
 #: Bytes of benchmark text sent to the tasks at once.
@@ -118,8 +125,8 @@ class TestItems:
 
     __test__ = False
 
-    def __init__(self, rows: list[Row], window: int):
-        kept = [(r.item_id, r.text) for r in rows if r.text]
+    def __init__(self, rows: list[tuple[object, str | None]], window: int):
+        kept = [(i, t) for i, t in rows if t]
         found = letter_words([t.encode() for _, t in kept]) if kept else Words(np.zeros(0, np.uint64), np.zeros(1, int))
         counts = np.diff(found.starts)
         self.ids = [i for i, _ in kept]
@@ -148,65 +155,72 @@ class TestItems:
         times = suffixes.place(self.words, q, width, after=True) - lo
         if not times.sum():
             return out
-        which = np.repeat(np.arange(len(q)), times)
-        inside = np.arange(len(which)) - np.repeat(np.cumsum(times) - times, times)
-        at, q, width = suffixes.order[lo[which] + inside], q[which], width[which]
-        # Windows one word apart in both texts make one longer match.
-        sort = np.lexsort((at, at - q))
-        at, q, width = at[sort], q[sort], width[sort]
-        item = self.item[q]
-        new = np.ones(len(at), dtype=bool)
-        new[1:] = (at[1:] != at[:-1] + 1) | (q[1:] != q[:-1] + 1) | (item[1:] != item[:-1])
-        first = np.flatnonzero(new)
-        last = np.append(first[1:], len(at)) - 1
         begin = np.concatenate([[0], np.cumsum(np.diff(found.starts) + 1)])
-        of = np.searchsorted(begin, at[first], side="right") - 1
-        length = at[last] - at[first] + width[last]
-        for d, i, a, n in zip(of, item[first], at[first] - begin[of], length, strict=True):
-            out[d].append((int(i), int(a), int(n)))
+        item = self.item[q]
+        by_item = np.lexsort((lo, item))
+        edges = np.flatnonzero(np.append(True, np.diff(item[by_item]) != 0))
+        for own in np.split(by_item, edges[1:]):
+            # Windows of one item have one length: equal ones have one range of suffixes.
+            own = own[np.append(True, np.diff(lo[own]) != 0) & (times[own] > 0)]
+            if not len(own):
+                continue
+            at = np.sort(np.concatenate([suffixes.order[lo[k] : lo[k] + times[k]] for k in own]))
+            n = int(width[own[0]])
+            first = np.flatnonzero(np.append(True, np.diff(at) >= n))
+            last = np.append(first[1:], len(at)) - 1
+            of = np.searchsorted(begin, at[first], side="right") - 1
+            number = int(item[own[0]])
+            for d, a, m in zip(of.tolist(), (at[first] - begin[of]).tolist(), (at[last] - at[first] + n).tolist(), strict=True):
+                out[d].append((number, a, m))
         return out
 
 
+@functools.lru_cache(maxsize=1)
+def _test_items(folder: str, window: int) -> TestItems:
+    """A block of items, as the tasks of a worker open it."""
+    store, path = FileSystem.from_uri(folder)
+    if store.get_file_info(path).type == FileType.NotFound:
+        return TestItems([], window)
+    held = dataset(path, filesystem=store, format="parquet").to_table(columns=["item_id", "text"])
+    return TestItems(list(zip(*(c.to_pylist() for c in held.columns), strict=True)), window)
+
+
 def find_matches(
     docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, text: str = "text", block_bytes: int = BLOCK_BYTES
 ) -> DataFrame:
-    """docs with ``n_words`` and ``matches``: item, first word and length of each longest match."""
+    """docs with ``n_words`` and ``matches``: item, first word and words of what windows of it cover."""
     items = benchmark.select("item_id", "text")
     kind = items.schema["item_id"].dataType
     size = items.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     n_blocks = max(1, math.ceil(size / block_bytes))
+    block = F.pmod(F.xxhash64("item_id", "text"), F.lit(n_blocks)).alias("block")
+    folder = scratch_path(docs.sparkSession, "items")
+    items.select("*", block).repartition("block").write.partitionBy("block").parquet(folder)
     found = T.ArrayType(
         T.StructType(
             [T.StructField("item_id", kind), T.StructField("first", T.IntegerType()), T.StructField("words", T.IntegerType())]
         )
     )
     fields = [T.StructField("n_words", T.LongType()), T.StructField("matches", found)]
-    out = docs
-    for block in range(n_blocks):
-        rows = items.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(n_blocks)) == block).collect()
-        out = add_columns(out, [text] + ["matches"] * (block > 0), fields, _matcher(TestItems(rows, window)))
-    return out
-
 
-def _matcher(tests: TestItems):
     def compute():
-        def made(column: pa.Array, before: pa.Array | None = None) -> list:
+        def made(column: pa.Array) -> list:
             batch = utf8(column)
             n_words, matches = [], []
             for lo, hi in slices(batch, SHARD_BYTES):
-                found = letter_words(batch[lo:hi])
-                n_words += np.diff(found.starts).tolist()
-                matches += [[(tests.ids[i], a, n) for i, a, n in m] for m in tests.matches(found)]
-            if before is not None:
-                matches = [
-                    [(m["item_id"], m["first"], m["words"]) for m in old] + new
-                    for old, new in zip(before.to_pylist(), matches, strict=True)
-                ]
+                words = letter_words(batch[lo:hi])
+                n_words += np.diff(words.starts).tolist()
+                own: list[list[tuple]] = [[] for _ in range(hi - lo)]
+                for k in range(n_blocks):
+                    tests = _test_items(f"{folder}/block={k}", window)
+                    for place, new in zip(own, tests.matches(words), strict=True):
+                        place += [(tests.ids[i], a, n) for i, a, n in new]
+                matches += own
             return [n_words, matches]
 
         return made
 
-    return compute
+    return add_columns(docs, [text], fields, compute)
 
 
 def contamination(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW) -> DataFrame:

@@ -6,7 +6,7 @@ import re
 import numpy as np
 
 from millrace.llm.common import letter_words, slices
-from millrace.llm.decontaminate import SuffixArray, clean_documents, contamination, find_matches
+from millrace.llm.decontaminate import SuffixArray, TestItems, clean_documents, contamination, find_matches
 
 WORD = re.compile(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
 
@@ -58,6 +58,31 @@ def test_random_texts_in_small_blocks(spark):
     assert key(parts.collect()) == key(whole.collect())
 
 
+def test_one_word_a_million_times():
+    """What a document of one word holds of an item of that word is one match, in bounded memory."""
+    import resource
+
+    tests = TestItems([(1, "a " * 100), (2, "a " * 30 + "b"), (3, "c " * 20)], 10)
+    found = tests.matches(letter_words([b"a " * 1_000_000, b"b " + b"a " * 12, b"x"]))
+    assert sorted(found[0]) == [(0, 0, 1_000_000), (1, 0, 1_000_000)]
+    assert sorted(found[1]) == [(0, 1, 12), (1, 1, 12)] and found[2] == []
+    assert resource.getrusage(resource.RUSAGE_SELF).ru_maxrss < 2 << 20  # kilobytes, with all that the tests have loaded
+
+
+def test_twenty_blocks_on_shared_storage(spark):
+    r = random.Random(9)
+    items = [(i, " ".join(f"i{i}w{k}" for k in range(r.randint(5, 30)))) for i in range(200)]
+    docs = [(d, " ".join(["before", *items[d][1].split()[2:14], "after", *items[199 - d][1].split()])) for d in range(60)]
+    d, b = spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")
+    size = sum(len(t) for _, t in items)
+    parts = find_matches(d, b, 10, block_bytes=size // 20)
+    key = lambda df: sorted((x.doc_id, sorted(map(tuple, x.matches))) for x in df.collect())
+    assert key(parts) == key(find_matches(d, b, 10))
+    assert sorted(((x.doc_id, x.n_words, x.n_hit, x.n_items, x.contaminated) for x in contamination(d, b).collect())) == sorted(
+        (i, *expected(t, items)) for i, t in docs
+    )
+
+
 def test_clean_documents_keep_their_columns(spark):
     d = spark.createDataFrame([(1, "one two three", 5), (2, "four", 6), (3, None, 7)], "doc_id long, text string, N_WORDS int")
     b = spark.createDataFrame([(1, "Two three")], "item_id long, text string")
