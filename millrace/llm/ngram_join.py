@@ -8,15 +8,15 @@ of all documents by ranges of their hashes, so shingles that only one text has c
 It only decides how short the lists are, never the result.
 
 Equal sets are one node. Nodes lie in shards: a node's shard is that of its longest list,
-cut where the sets of a list are many, so that nodes alike mostly lie together. A shard
+cut by sizes of sets and where they are many, so that nodes alike mostly lie together. A shard
 holds the inverted lists of its nodes' whole sets. Spark moves sets to shards, not pairs: a
-query goes once to each shard that has a node with which it shares a rare shingle. There it
+query goes once to each shard with which it shares enough rare shingles. There it
 is searched by DivideSkip: the longest lists of the query are set aside, the short ones are
 merged, the long ones are probed by bisection, and what reaches the required overlap is a
 link. A shard passes on links only that join what it has not joined yet.
 
-Two such searches are made. The first has a few nodes of each shard searched by all of it,
-which joins most of a group of copies into one component. The second has all pairs that
+Two such searches are made. The first has a few nodes of each large shard searched by all of
+it, which joins most of a group of copies into one component. The second has all pairs that
 share a list and are not in one component: of two components the smaller asks the larger.
 
 A null text or one without words has an empty set and links with nothing. Rows of equal id
@@ -44,8 +44,10 @@ SLOTS, PART_SLOTS = 1 << 20, 1 << 12
 _SLOT_SHIFT = np.uint64(44)
 #: Shingles of the sets in one shard, and queries of a shard in one task.
 SHARD, TASK = 1 << 20, 4096
-#: Nodes of a shard that the first search asks for.
+#: Nodes of a shard that the first search asks for, where a shard has more.
 LEADERS = 16
+#: Sizes in one shard: up to this share above the least, as a logarithm.
+BAND = 0.05
 #: Entries merged on a heap; more are merged by a sort of the lists.
 HEAPED = 256
 #: Long lists probed before the candidates that cannot reach the overlap are dropped.
@@ -259,24 +261,30 @@ class DivideSkip:
                     heapq.heappush(heap, (lists[k][at], k, at))
 
 
-def sets_of(docs: DataFrame, nodes: DataFrame, n_words: int) -> DataFrame:
-    """Nodes with their whole sets, each read from its first document."""
-    nodes = nodes.select("node", "shard", "members", "leads", F.col("first").alias("doc_id"))
+def placed_sets(docs: DataFrame, firsts: DataFrame, places: DataFrame, n_words: int) -> DataFrame:
+    """``places`` with the whole set of each node, made once a node from its first document.
+
+    places: node, component, members, shard, task and kind (0 is asked for, 1 asks).
+    """
+    place = F.struct("shard", "task", "kind")
+    wanted = places.groupBy("node", "component", "members").agg(F.collect_list(place).alias("places"))
+    wanted = saved(wanted.join(firsts, "node"), "wanted")
     # Both sides grow with the input: the same join at every size.
-    sets = whole_sets(docs.join(nodes.hint("merge"), "doc_id").drop("doc_id"), n_words)
-    return sets.where(F.xxhash64("digest") == F.col("node")).drop("digest")
+    sets = whole_sets(docs.join(wanted.hint("merge"), "doc_id").drop("doc_id"), n_words)
+    sets = sets.where(F.xxhash64("digest") == F.col("node"))
+    return sets.select("node", "component", "members", F.explode("places").alias("p"), "items").select("p.*", "node", "component", "members", "items")
 
 
 def asked_in_tasks(index: DataFrame, queries: DataFrame) -> DataFrame:
-    """Nodes by shard, task and kind: 0 is asked for, 1 asks. index, queries: shard and node.
+    """Nodes by shard, task and kind. index, queries: shard and node.
 
     A shard with very many queries is searched in several tasks, each of which has all its lists.
     """
     tasks = queries.groupBy("shard").agg(F.ceil(F.count("*") / TASK).alias("tasks"))
     index = index.join(tasks, "shard").withColumn("task", F.explode(F.sequence(F.lit(0), F.col("tasks") - 1)))
     queries = queries.join(tasks, "shard").withColumn("task", F.pmod(F.xxhash64("node"), F.col("tasks")))
-    return index.select("shard", "task", "node", F.lit(0).alias("kind")).unionAll(
-        queries.select("shard", "task", "node", F.lit(1).alias("kind"))
+    return index.select("node", "shard", "task", F.lit(0).alias("kind")).unionAll(
+        queries.select("node", "shard", "task", F.lit(1).alias("kind"))
     )
 
 
@@ -343,35 +351,41 @@ def searched(rows: DataFrame, percent: int, ordered: bool) -> DataFrame:
 def components(edges: DataFrame) -> DataFrame:
     """component and where it goes, for the components that edges (a, b) join.
 
-    Each follows its neighbour of least random priority, if that is less than its own; edges
-    shrink by a constant factor a round, also along chains.
+    A round has each follow its neighbour of least priority, if that is less than its own, and
+    the one that this follows, and so on for some steps; then the edges between what is left
+    remain. Priorities are hashes: local minima are few in any graph, and stay for good.
     """
-    edges = saved(edges.where("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "edges")
+    priority = lambda c: F.struct(F.xxhash64(F.col(c), F.lit(0)).alias("p"), F.col(c).alias("c"))
+
+    def moved(df: DataFrame, c: str, lead: DataFrame) -> DataFrame:
+        lead = lead.select(F.col("a").alias("_a"), F.col("to").alias("_to"))
+        return df.join(lead, F.col(c) == F.col("_a"), "left").withColumn(c, F.coalesce("_to", c)).drop("_a", "_to")
+
+    edges = saved(edges.where("a <> b").distinct(), "edges")
     label = edges.select(F.explode(F.array("a", "b")).alias("component")).distinct()
-    label = label.select("component", F.col("component").alias("to"))
-    step = 0
+    label = label.withColumn("to", F.col("component"))
     while not edges.isEmpty():
-        step += 1
-        rank = lambda c: F.struct(F.xxhash64(F.col(c), F.lit(step)).alias("p"), F.col(c).alias("c"))
         both = edges.unionAll(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        lead = both.groupBy("a").agg(F.least(rank("a"), F.min(rank("b")))["c"].alias("_to"))
-        lead = saved(lead.where("a <> _to"), "leads")
-        moved = lambda df, c: df.join(lead.withColumnRenamed("a", c), c, "left").withColumn(c, F.coalesce("_to", c)).drop("_to")
-        label = saved(moved(label, "to"), "components")
-        edges = saved(moved(moved(edges, "a"), "b").where("a <> b").distinct(), "edges")
+        lead = both.groupBy("a").agg(F.least(priority("a"), F.min(priority("b")))["c"].alias("to"))
+        lead = saved(lead.where("a <> to"), "leads")
+        for _ in range(2):  # to that of that
+            lead = saved(moved(lead, "to", lead), "leads")
+        label = saved(moved(label, "to", lead), "components")
+        edges = saved(moved(moved(edges, "a", lead), "b", lead).where("a <> b").distinct(), "edges")
     return label
 
 
 def shards(lists: DataFrame) -> DataFrame:
-    """node and shard: that of its longest list, cut by a hash of the node if its sets are many."""
+    """node and shard: that of its longest list and its size, cut by a hash of the node if sets are many."""
     sizes = saved(lists.groupBy("item").agg(F.count("*").alias("entries")), "sizes")
     longest = lists.join(sizes, "item").groupBy("node").agg(
         F.max("n").alias("n"), F.max(F.struct("entries", "item"))["item"].alias("item")
     )
     longest = saved(longest, "longest")
-    cuts = longest.groupBy("item").agg(F.ceil(F.sum("n") / SHARD).alias("cuts"))
+    longest = longest.withColumn("band", F.floor(F.log("n") / BAND))
+    cuts = longest.groupBy("item", "band").agg(F.ceil(F.sum("n") / SHARD).alias("cuts"))
     cut = F.pmod(F.xxhash64("node", F.lit(0)), F.col("cuts"))
-    return longest.join(cuts, "item").select("node", F.xxhash64("item", cut).alias("shard"))
+    return longest.join(cuts, ["item", "band"]).select("node", F.xxhash64("item", "band", cut).alias("shard"))
 
 
 def with_components(nodes: DataFrame, merged: DataFrame) -> DataFrame:
@@ -384,8 +398,11 @@ def with_components(nodes: DataFrame, merged: DataFrame) -> DataFrame:
 def visits(lists: DataFrame, nodes: DataFrame, placed: DataFrame, percent: int) -> tuple[DataFrame, DataFrame]:
     """Shards and nodes that are asked for, and shards with the nodes that ask there.
 
-    A node asks in a shard where one of its lists has a node that may be near in size and
-    belongs to a component that comes later, by members and number.
+    Of two linked sets one has its rare shingles wholly below the other's last one; those that
+    are not shared are missing from the overlap. So they share T - max(T of each) + 1 rare
+    shingles, T being the overlap that the pair needs. A node asks in a shard that has so many of
+    its rare shingles, for the size there that needs least, and a node that belongs to a
+    component that comes later, by members and number.
     """
     entries = lists.join(nodes, "node").join(placed, "node").withColumn("rank", F.struct("members", "component"))
     several = entries.groupBy("item").agg(F.min("component").alias("_a"), F.max("component").alias("_b"))
@@ -393,10 +410,18 @@ def visits(lists: DataFrame, nodes: DataFrame, placed: DataFrame, percent: int)
     routes = entries.groupBy("item", "shard").agg(
         F.max("rank").alias("_rank"), F.min("n").alias("_least"), F.max("n").alias("_most")
     )
-    routes = routes.withColumnRenamed("shard", "_shard")
     near = (F.col("n") * 100 >= F.col("_least") * percent) & (F.col("_most") * 100 >= F.col("n") * percent)
-    asking = entries.join(routes, "item").where(near & (F.col("rank") < F.col("_rank")))
-    asking = saved(asking.select(F.col("_shard").alias("shard"), "node").distinct(), "asking")
+    asking = entries.drop("shard").join(routes, "item").where(near & (F.col("rank") < F.col("_rank")))
+    asking = asking.groupBy("node", "n", "shard").agg(
+        F.count("*").alias("shared"), F.min("_least").alias("_least"), F.max("_most").alias("_most")
+    )
+
+    def needed(size):  # without rounding, which only makes more of it; least at the ends of a range of sizes
+        return percent * (F.col("n") + size) / (100 + percent) - percent * F.greatest(F.col("n"), size) / 100
+
+    ends = [F.greatest(F.col("_least"), percent * F.col("n") / 100), F.least(F.col("_most"), 100 * F.col("n") / percent)]
+    asking = asking.where(F.col("shared") > F.least(*map(needed, ends)) - 1e-6)
+    asking = saved(asking.select("shard", "node"), "asking")
     held = entries.select("node", "shard").distinct().join(asking.select("shard").distinct(), "shard", "left_semi")
     return held, asking
 
@@ -415,22 +440,19 @@ def joined(docs: DataFrame, percent: int = PERCENT, n_words: int = SHINGLE) -> D
     placed = saved(shards(lists), "shards")
     merged = None
     if not placed.isEmpty():
-        members = placed.groupBy("shard").agg(F.count("*").alias("members"))
-        leads = F.pmod(F.xxhash64("node", F.lit(1)), F.col("members")) < LEADERS
-        shard = placed.join(members, "shard").select("node", "shard", "members", leads.alias("leads"))
-        sets = saved(sets_of(docs, same.join(shard, "node"), n_words), "node-sets")
-        # The first search: every node of a shard asks a few of them, which also ask each other.
-        kinds = F.explode(F.when(F.col("leads"), F.array(F.lit(0), F.lit(1))).otherwise(F.array(F.lit(1)))).alias("kind")
-        rows = sets.where("members > 1").select(
-            "shard", F.lit(0).alias("task"), kinds, "node", F.col("node").alias("component"), F.lit(1).alias("members"), "items"
-        )
-        nodes = placed.select("node", F.col("node").alias("component"))
-        nodes = saved(with_components(nodes, components(searched(rows, percent, ordered=False))), "first-components")
-        # The second: what shares a list and is not in one component yet.
-        held, asking = visits(lists, nodes, placed, percent)
-        rows = saved(asked_in_tasks(held, asking), "asked").join(nodes, "node").join(sets.select("node", "items"), "node")
-        more = searched(rows, percent, ordered=True)
-        merged = saved(with_components(nodes.select("node", "component"), components(more)), "merged")
+        firsts = same.select("node", F.col("first").alias("doc_id"))
+        # The first search: every node of a large shard asks a few of them, which also ask each other.
+        members = placed.groupBy("shard").agg(F.count("*").alias("of")).where(F.col("of") > LEADERS)
+        leads = F.pmod(F.xxhash64("node", F.lit(1)), F.col("of")) < LEADERS
+        kinds = F.explode(F.when(leads, F.array(F.lit(0), F.lit(1))).otherwise(F.array(F.lit(1)))).alias("kind")
+        nodes = placed.select("node", F.col("node").alias("component"), F.lit(1).cast("long").alias("members"))
+        places = placed.join(members, "shard").select("node", "shard", F.lit(0).cast("long").alias("task"), kinds).join(nodes, "node")
+        links = searched(placed_sets(docs, firsts, places, n_words), percent, ordered=False)
+        nodes = saved(with_components(nodes.drop("members"), components(links)), "first-components")
+        # The second: what shares enough and is not in one component yet.
+        places = asked_in_tasks(*visits(lists, nodes, placed, percent)).join(nodes, "node")
+        links = searched(placed_sets(docs, firsts, places, n_words), percent, ordered=True)
+        merged = saved(with_components(nodes.drop("members"), components(links)), "merged")
 
     smallest = same.join(merged, "node") if merged is not None else same.withColumn("component", F.col("node")).where("1 = 0")
     least = smallest.groupBy("component").agg(F.min("first").alias("least"))
