@@ -15,6 +15,7 @@ import functools
 import heapq
 import json
 import unicodedata
+from collections.abc import Callable
 
 import public_tokenizers
 import pyarrow as pa
@@ -164,21 +165,26 @@ def _vocabulary(path: str) -> WordBpe:
     return WordBpe(path)
 
 
-def encode(df: DataFrame, vocabulary: str, text: str = "text", ids: str = "ids") -> DataFrame:
+def vocabulary_of(path: str | Callable[[], str]) -> WordBpe:
+    """The vocabulary of a path, or of a function that finds the path when a task calls it."""
+    return _vocabulary(path() if callable(path) else path)
+
+
+def encode(df: DataFrame, vocabulary: str | Callable[[], str], text: str = "text", ids: str = "ids") -> DataFrame:
     """df with the token ids of its texts. vocabulary: a path that all executors can open."""
 
     def compute():
-        bpe = _vocabulary(vocabulary)
+        bpe = vocabulary_of(vocabulary)
         return lambda column: [[bpe.encode(t) for t in texts(column)]]
 
     return add_columns(df, [text], [T.StructField(ids, T.ArrayType(T.IntegerType(), False))], compute)
 
 
-def decode(df: DataFrame, vocabulary: str, ids: str = "ids", text: str = "decoded") -> DataFrame:
+def decode(df: DataFrame, vocabulary: str | Callable[[], str], ids: str = "ids", text: str = "decoded") -> DataFrame:
     """df with the texts that its token ids stand for; null ids count as none."""
 
     def compute():
-        bpe = _vocabulary(vocabulary)
+        bpe = vocabulary_of(vocabulary)
 
         def made(column: pa.Array) -> list:
             return [[bpe.decode(x or []) for x in column.to_pylist()]]
@@ -189,12 +195,12 @@ def decode(df: DataFrame, vocabulary: str, ids: str = "ids", text: str = "decode
 
 
 def encode_and_decode(
-    df: DataFrame, vocabulary: str, text: str = "text", ids: str = "ids", decoded: str = "decoded"
+    df: DataFrame, vocabulary: str | Callable[[], str], text: str = "text", ids: str = "ids", decoded: str = "decoded"
 ) -> DataFrame:
     """df with the ids of its texts and what these ids decode to, in one pass over the rows."""
 
     def compute():
-        bpe = _vocabulary(vocabulary)
+        bpe = vocabulary_of(vocabulary)
 
         def made(column: pa.Array) -> list:
             found = [bpe.encode(t) for t in texts(column)]
@@ -211,7 +217,7 @@ def ids_sha256(ids: str) -> Column:
     return F.sha2(F.array_join(F.col(ids).cast("array<string>"), " "), 256)
 
 
-def tokenized(df: DataFrame, vocabulary: str) -> DataFrame:
+def tokenized(df: DataFrame, vocabulary: str | Callable[[], str]) -> DataFrame:
     """Per document: token count and the digests of ids and decoded text."""
     made = encode_and_decode(df.select("doc_id", "text"), vocabulary)
     return made.select(

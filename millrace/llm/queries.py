@@ -55,7 +55,7 @@ def op7_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op8_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return bpe.tokenized(table(spark, sf_dir, "documents"), bpe.VOCABULARY)
+    return bpe.tokenized(table(spark, sf_dir, "documents"), bpe.public_vocabulary)
 
 
 def op9_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -200,6 +200,23 @@ FROM f
 """
 
 
+#: Links by all pairs of shared shingles, then all that they lead to.
+_OP9 = rf"""
+WITH RECURSIVE w AS (SELECT doc_id, regexp_extract_all({_LOWER}, '[^\x20\x09-\x0D]+') AS w FROM documents),
+s AS (
+  SELECT DISTINCT doc_id, array_to_string(w[p:p + 2], ' ') AS s
+  FROM w, unnest(range(1, greatest(len(w) - 1, 2))) AS t(p) WHERE len(w) > 0),
+n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id),
+pairs AS (
+  SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS k FROM s a JOIN s b ON a.s = b.s AND a.doc_id < b.doc_id GROUP BY ALL),
+links AS (
+  SELECT a, b FROM pairs JOIN n x ON x.doc_id = a JOIN n y ON y.doc_id = b WHERE 100 * k >= 90 * (x.n + y.n - k)),
+edges AS (SELECT a, b FROM links UNION ALL SELECT b, a FROM links),
+reach AS (SELECT a AS doc_id, b AS c FROM edges UNION SELECT reach.doc_id, e.b FROM reach JOIN edges e ON reach.c = e.a)
+SELECT doc_id, coalesce(n, 0) AS n_shingles, coalesce(least(doc_id, c), doc_id) AS component_id
+FROM w LEFT JOIN n USING (doc_id) LEFT JOIN (SELECT doc_id, min(c) AS c FROM reach GROUP BY doc_id) USING (doc_id)
+"""
+
 
 def _op11() -> str:
     """Codes by comparing every part with every entry, round by round."""
@@ -257,6 +274,7 @@ QUALIFY row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id) <=
 """
 
 ORACLES: dict[str, str] = {
+    "op9_ngram_join": _OP9,
     "op11_vector_codes": _op11(),
     "op13_lexical_search": _OP13,
     "op4_decontaminate": _OP4,
