@@ -48,7 +48,7 @@ def benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Token ids of each text, their number, and digests of them and of what they decode to."""
     held = docs.select("doc_id", "lang", "source", "text")
-    found = bpe.encode_and_decode(held, bpe.VOCABULARY)
+    found = bpe.encode_and_decode(held, bpe.public_vocabulary)
     return found.select(
         "doc_id",
         "lang",
