@@ -47,6 +47,11 @@ HEADLINE = [
     "metric_sample_changes",
     "readiness_details",
     "csv_objects",
+    "device_recent",
+    "latest_stored_silver",
+    "paged_feed",
+    "polled_metrics",
+    "stored_state",
     "stored_validation",
     "stored_stream",
 ]

@@ -438,7 +438,7 @@ def bucket_metrics(spark, sf_dir):
 
 def object_texts(spark, sf_dir):
     path = scratch_path(spark, "texts")
-    readings = _readings(spark, sf_dir).select("event_id", "device_id")
+    readings = _readings(spark, sf_dir).select(*READING)
     logs.publish(readings, path, per_object=5000)
     lines = objects.read_objects(spark, path).select(F.explode(F.split("content", "\n")).alias("line"))
     return lines.where("line != ''").select(

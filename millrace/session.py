@@ -55,9 +55,13 @@ def clear_scratch(spark: SparkSession) -> None:
 def scratch_folder(spark: SparkSession) -> str:
     """This application's folder below ``spark.checkpoint.dir``.
 
-    Where that is unset, below the warehouse folder, which is shared as well.
+    Where that is unset, below the warehouse folder; on a cluster only if that names a
+    store, as a folder of one machine would not be shared.
     """
     base = spark.conf.get("spark.checkpoint.dir", None)
-    base = base or f"{spark.conf.get('spark.sql.warehouse.dir')}/_scratch"
+    if not base:
+        base = f"{spark.conf.get('spark.sql.warehouse.dir')}/_scratch"
+        if not re.match(r"local(\[|$)", spark.sparkContext.master) and not re.match(r"(?!file:)[a-z0-9]+://", base):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
     base = re.sub("^file:/+", "file:///", base.rstrip("/"))
     return f"{base}/millrace/{spark.sparkContext.applicationId}"
