@@ -1,8 +1,9 @@
 """Personal data: seed entities by form, and more identifiers by the words around them.
 
 Seeds are e-mail addresses, IP addresses, card and phone numbers of fixed form. The words
-before and after them are patterns; patterns and the identifiers they surround form a
-graph. In each round a pattern's score is the share of its identifiers that are known, and
+before and after them are patterns, and so is the word before together with the shape of
+the identifier (runs of letters and digits shortened), so that a label found often is
+enough, whatever follows. Patterns and the identifiers they surround form a graph. In each round a pattern's score is the share of its identifiers that are known, and
 an identifier is known as far as its patterns are good. What good patterns surround and no
 form has matched is added. Tables of the graph grow with the identifiers, not the texts.
 
@@ -42,8 +43,9 @@ _CHECKS = {
 }
 #: Text without one of these holds no entity of the kind.
 _SIGNS = {"email": "@", "phone": "+"}
-#: Anything with a digit or @; its edges are trimmed to letters, digits, + and @.
-_TOKEN = r"(?<!\\S)[^\\s0-9@]*+[0-9@]\\S*+"
+#: Anything with a digit or @, after white space or the separator of a label; its edges are
+#: trimmed to letters, digits, + and @.
+_TOKEN = r"(?<![^\\s=:])[^\\s0-9@=:]*+[0-9@]\\S*+"
 
 
 #: Numbers that are summed up together.
@@ -106,10 +108,16 @@ _TOKENS = (
 
 
 def _patterns() -> Column:
-    """Words before; the word before and the word after."""
+    """Words before; the word before and the word after; the word before and the shape.
+
+    In the last, marks that end the word (as in ``mail:``) and a leading + do not count.
+    """
     two = F.expr(r"CASE WHEN l rlike '\\S\\s+\\S' THEN concat('2:', regexp_replace(trim(l), '\\s+', ' ')) END")
     around = F.expr(r"CASE WHEN l <> '' AND r <> '' THEN concat('1:', regexp_extract(l, '(\\S+)\\s*$', 1), '_', r) END")
-    return F.array_compact(F.array(two, around))
+    label = r"regexp_extract(l, '([\\p{L}0-9](?:\\S*[\\p{L}0-9])?)[^\\p{L}0-9\\s]*+\\s*+\\z', 1)"
+    shape = r"regexp_replace(regexp_replace(regexp_replace(v, '^\\+', ''), '[0-9]++', '9'), '\\p{L}++', 'a')"
+    shaped = F.expr(f"CASE WHEN {label} <> '' THEN concat('0:', {label}, ' ', cast(xxhash64({shape}) AS string)) END")
+    return F.array_compact(F.array(two, around, shaped))
 
 
 def found_by_form(docs: DataFrame) -> DataFrame:
@@ -131,7 +139,7 @@ def found_by_form(docs: DataFrame) -> DataFrame:
 def bootstrapped(found: DataFrame, rounds: int = ROUNDS) -> DataFrame:
     """Tokens that good patterns surround: doc_id, text digest, place and kind."""
     seeds = found.select("doc_id", "of", F.explode("seeds").alias("e")).select(
-        F.xxhash64("e.v").alias("who"), F.col("e.k").alias("k"), "e.l", "e.r"
+        F.xxhash64("e.v").alias("who"), F.col("e.k").alias("k"), "e.v", "e.l", "e.r"
     )
     seeds = seeds.select("who", "k", F.explode(_patterns()).alias("pattern"))
     free = "filter(tokens, t -> NOT exists(seeds, s -> s.a < t.b AND t.a < s.b))"

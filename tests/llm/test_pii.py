@@ -1,10 +1,12 @@
 """Base spans against plain regular expressions, and spans that patterns add."""
 
 import hashlib
+import math
 import random
 import re
+from collections import defaultdict
 
-from millrace.llm.pii import KINDS, entities
+from millrace.llm.pii import GOOD, KINDS, ROUNDS, SUPPORT, entities
 from millrace.llm.queries import QUERIES
 
 
@@ -85,6 +87,105 @@ def test_patterns_find_what_no_form_matches(spark):
     assert spans[101] == "" and spans[3] == joined(base(rows[3][1]))
 
 
+def test_labels_find_what_is_near_the_form(spark):
+    rows = [(i, f"{'abcdefgh'[i]} tel: +1-555-010-200{i} {'klmnopqr'[i]}") for i in range(8)]
+    rows += [(20 + i, f"{'abcdefgh'[i]} mail=user{i}@host.example {'klmnopqr'[i]}") for i in range(8)]
+    rows += [(100, "x tel 1-555-010-3000 y"), (101, "so tel=1-555-010-4000. On"), (102, "my fax 1-555-010-3000 y"), (103, "x tel 12:30 y")]
+    rows += [(104, "x mail:bob7@host_example.example y")]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    spans = {r.doc_id: r.spans for r in entities(df).collect()}
+    assert spans[100] == "phone:6:20" and spans[101] == "phone:7:21"
+    assert spans[102] == "" and spans[103] == "" and spans[104] == ""
+
+
+def contexts(text, a, b, v):
+    before = re.search(r"(\S+\s+)?\S+\s*\Z", text[max(0, a - 80) : a], re.A)
+    after = re.match(r"\s*(\S+)", text[b : b + 60], re.A)
+    left, right = before.group().lower() if before else "", after[1].lower() if after else ""
+    words, out = left.split(), []
+    if len(words) == 2:
+        out.append(("two", *words))
+    if words and right:
+        out.append(("around", words[-1], right))
+    label = re.sub("[^a-z0-9]+$", "", words[-1]) if words else ""
+    label = re.sub("^[^a-z0-9]+", "", label)
+    if label:
+        shape = re.sub("[A-Za-z]+", "a", re.sub("[0-9]+", "9", v.removeprefix("+")))
+        out.append(("label", label, shape))
+    return out
+
+
+def bootstrap(texts):
+    """All spans of each text, by plain loops over patterns and identifiers."""
+    seeds, tokens, plain = defaultdict(set), [], [base(t) for t in texts]
+    for i, t in enumerate(texts):
+        for a, k, b in plain[i]:
+            # The operator looks back to the match before only; words beyond it are too varied here to count.
+            for p in contexts(t, a, b, t[a:b]):
+                seeds[p, k].add(t[a:b])
+        for m in re.finditer(r"(?<![^\s=:])[^\s0-9@=:]*[0-9@]\S*", t, re.A):
+            core = re.search("[A-Za-z0-9+@](?:.*[A-Za-z0-9@])?", m.group())
+            lead = len(re.match("[^A-Za-z0-9+@]*", m.group()).group())
+            a, v = m.start() + lead, core.group()
+            if len(v) < 5 or ("@" not in v and sum(c.isdigit() for c in v) < 3):
+                continue
+            if any(x < a + len(v) and a < y for x, _, y in plain[i]):
+                continue
+            # The context of a token ends where its match does.
+            ps = contexts(t[: m.start()] + " " * (m.end() - m.start()) + t[m.end() :], m.start(), m.end(), v)
+            tokens.append((i, a, a + len(v), v, ps))
+    first = {pk: len(vs) for pk, vs in seeds.items() if len(vs) >= SUPPORT}
+    use = {p for p, _ in first}
+    edges = {(p, v) for *_, v, ps in tokens for p in ps if p in use}
+    others = defaultdict(int)
+    for p, _ in edges:
+        others[p] += 1
+    score = {(p, k): n / (n + others[p]) for (p, k), n in first.items()}
+    for _ in range(ROUNDS):
+        wrong = defaultdict(float)
+        for p, v in edges:
+            for k in range(4):
+                if score.get((p, k), 0) >= GOOD:
+                    wrong[v, k] += math.log(1 - min(score[p, k], 0.999999))
+        gained = defaultdict(float)
+        for p, v in edges:
+            for k in range(4):
+                if (v, k) in wrong and (p, k) in first:
+                    gained[p, k] += 1 - math.exp(wrong[v, k])
+        score = {(p, k): (n + gained[p, k]) / (n + others[p]) for (p, k), n in first.items()}
+    best = {}
+    for (p, k), s in score.items():
+        if s >= GOOD and (p not in best or (s, -k) > best[p]):
+            best[p] = (s, -k)
+    out = [list(x) for x in plain]
+    added = {(i, a, -best[p][1], b) for i, a, b, _, ps in tokens for p in ps if p in best}
+    for i, a, k, b in added:
+        out[i].append((a, k, b))
+    return [joined(sorted(x)) for x in out]
+
+
+def test_spans_against_a_plain_bootstrap(spark):
+    r = random.Random(5)
+    word = lambda: r.choice(["call", "mail=", "tel:", "ip", "or", "host", "card", "now"])
+    number = lambda n: "".join(r.choice("0123456789") for _ in range(n))
+    forms = [
+        lambda: f"u{number(2)}@mail.example", lambda: f"+1-{number(3)}-{number(4)}-{number(2)}", lambda: f"10.0.{r.randint(0, 255)}.{r.randint(0, 99)}",
+        lambda: f"1-{number(3)}-{number(4)}-{number(2)}", lambda: f"10.0.{r.randint(0, 255)}.{r.randint(300, 400)}", lambda: f"u{number(2)}(at)mail", word,
+    ]
+    label = {0: ["mail=", "write to "], 1: ["tel: ", "call "], 2: ["ip ", "host=", "from host "], 3: ["tel: ", "call "], 4: ["ip ", "host="], 5: ["mail=", "write to "], 6: ["", "or "]}
+
+    def part():
+        k = r.choice([0, 0, 0, 1, 1, 1, 2, 2, 2, 3, 4, 5, 6, 6])
+        return r.choice(label[k]) + forms[k]()
+
+    texts = [" ".join(x for _ in range(r.randint(1, 4)) for x in (part(), *[word() for _ in range(r.randint(0, 2))])) for _ in range(500)]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    spans = {x.doc_id: x.spans for x in entities(df).collect()}
+    want = bootstrap(texts)
+    assert spans == dict(enumerate(want))
+    assert sum(w != joined(base(t)) for w, t in zip(want, texts)) > 20
+
+
 def test_nulls_repeats_and_empty_table(spark):
     rows = [(1, "a@b.c", 5), (1, "a@b.c", 5), (None, "1.2.3.4", 6), (None, None, 7)]
     df = spark.createDataFrame(rows, "doc_id long, text string, SPANS int")
