@@ -121,8 +121,13 @@ def _typed_fields(log: DataFrame) -> DataFrame:
     value = F.col("value")
     keys = F.when(some_null, F.json_object_keys("value"))
     # Text that no string can hold, such as half a surrogate pair, empties every field.
-    said_null = value.rlike(rf'"{texts[0]}"\s*:\s*null')
-    unreadable = all_null & F.array_contains(keys, texts[0]) & ~said_null
+    # Only where no field could be read is the key's own value looked at; a message that
+    # repeats keys is no variant, and is judged by how the key is written.
+    whole = F.try_parse_json("value")
+    own_null = F.is_variant_null(F.try_variant_get(whole, f"$.{texts[0]}", "variant"))
+    written_null = value.rlike(rf'"{texts[0]}"\s*:\s*null')
+    said_null = F.when(whole.isNull(), written_null).otherwise(own_null)
+    unreadable = all_null & F.array_contains(keys, texts[0]) & F.when(all_null, ~said_null)
     return parsed.select(
         *log.columns,
         F.col("_event_id").alias("event_id"),

@@ -83,6 +83,9 @@ CASES = [
     (message(timestamp="2024-01-01T00:00:00+24:00"), "timestamp_invalid"),
     (message(timestamp="2024-01-01T00:00:00+23:60"), "timestamp_invalid"),
     (message(device_id="x").replace('"x"', '"\\ud83d"'), "malformed"),
+    (message(device_id="x").replace('"x"', '"\\ud83d"')[:-1] + ', "more": {"event_id": null}}', "malformed"),
+    ('{"event_id": null, "event_id": null}', "missing_keys,null_required"),
+    ('{"event_id": null, "more": {"event_id": "x"}}', "missing_keys,null_required"),
     (message(device_id="x").replace('"x"', '"a\x01b"'), "malformed"),
     (message(device_id="x").replace('"x"', '"a\nb"'), "malformed"),
     (message().replace(", ", ",\n\t"), ""),
