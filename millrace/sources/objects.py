@@ -137,6 +137,14 @@ def folder_of(path: Column) -> Column:
     return F.regexp_replace(path, "/[^/]*$", "")
 
 
+def whole_objects(parts: DataFrame) -> DataFrame:
+    """Objects that tasks wrote in parts: a folder of parts is one object, of all their bytes."""
+    return (
+        parts.groupBy(folder_of(F.col("path")).alias("path"))
+        .agg(F.sum("length").alias("length"), F.max("modificationTime").alias("modificationTime"))
+    )
+
+
 def bucket_metrics(inventory: DataFrame) -> DataFrame:
     """Object count and bytes per folder."""
     return (
