@@ -57,9 +57,11 @@ def test_a_frequent_language_is_published_by_many_tasks(spark, tmp_path, adaptiv
         conf = {"adaptive.advisoryPartitionSizeInBytes": "96k", "adaptive.enabled": adaptive, "files.openCostInBytes": "1m", "files.maxPartitionBytes": "1m"}
         with settings(spark, **conf):
             rows, parts = published(spark, "object_inventory", folder)
+            (total,), again = published(spark, "store_totals", folder)
         assert {r.lang: r.length for r in rows} == sizes and len(rows) == 3
-        assert sum(parts.values()) == sum(sizes.values())
-        largest[files] = max(parts.values())
+        assert tuple(total) == (3, sum(sizes.values()))
+        assert sum(parts.values()) == sum(again.values()) == sum(sizes.values())
+        largest[files] = max([*parts.values(), *again.values()])
         assert largest[files] < sizes["en"] / 2
     assert largest[18] < 1.5 * largest[6]  # of three times the input
 
